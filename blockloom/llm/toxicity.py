@@ -326,10 +326,19 @@ def _scale(high: np.ndarray, y: np.ndarray, trust: np.ndarray) -> np.ndarray:
     beta = np.zeros(x.shape[1])
     beta[0] = 1
     ridge = np.array([1e-3] * TOP + [1e-5])
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float((w * (np.logaddexp(0, z) - t * z)).sum() + (ridge * v * v).sum() / 2)
+
     for _ in range(60):
         q = _logistic(x @ beta)
         g = x.T @ (w * (q - t)) + ridge * beta
-        beta = beta - np.linalg.solve((x * (w * q * (1 - q))[:, None]).T @ x + np.diag(ridge), g)
+        step = np.linalg.solve((x * (w * q * (1 - q))[:, None]).T @ x + np.diag(ridge), g)
+        size = 1.0
+        while size > 1e-6 and loss(beta - size * step) > loss(beta):
+            size /= 2
+        beta = beta - size * step
     return beta
 
 
