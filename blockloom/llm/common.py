@@ -22,25 +22,23 @@ def session_of(df: DataFrame) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialises df in the checkpoint folder shared by the cluster, cutting its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the whole cluster shares: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only a local master without that setting gets a temporary one."""
-    context = df.sparkSession.sparkContext
+    Only a local master without that setting gets a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="blockloom-checkpoints-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores in front until it clashes with no column of df."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def durable(df: DataFrame) -> DataFrame:
+    """Materialises df in the shared checkpoint folder, cutting its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def col(name: str) -> Column:

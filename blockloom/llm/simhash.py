@@ -51,17 +51,21 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for every row of docs."""
+    """doc_id, key (a hash of id and text), fp (the 64 bits as a signed long) for every row of docs."""
     session_of(docs)
-    slim = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("text"))
+    slim = docs.select(col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, fp long")
+    return slim.mapInArrow(run, f"doc_id {kind}, key long, fp long")
+
+
+def _key(doc_id: str, text: str):
+    return F.xxhash64(col(doc_id), F.coalesce(col(text), F.lit("")))
 
 
 def _masks() -> tuple[np.ndarray, np.ndarray]:
@@ -176,15 +180,31 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least id reachable by links) for every row of docs."""
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """doc_id, key, fp, root (its group's fingerprint), component_id (its group's least id) for every row of docs."""
     fps = durable(fingerprints(docs, doc_id, text, words))
     classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(classes))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(groups, "root").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(rooted.join(groups, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least id reachable by links) for every row of docs."""
+    return grouped(docs, doc_id, text, words).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """One row of docs of each group: of its least id, ids before nulls; all columns."""
+    groups = grouped(docs, doc_id, text, words)
+    kept = durable(groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("_kept"), F.col("k.key").alias("_key"), "root", "n"))
+    out = docs.withColumn("_k", _key(doc_id, text)).join(kept, col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_k") == F.col("_key")), "left_semi")
+    # rows that agree in id and text are all met by that join: one of them stays
+    again = groups.join(kept.where("n > 1"), groups["doc_id"].eqNullSafe(F.col("_kept")) & (groups["key"] == F.col("_key")), "left_semi").groupBy("doc_id", "key").count().where("count > 1")
+    if not again.isEmpty():
+        out = out.dropDuplicates([doc_id, "_k"])
+    return out.drop("_k")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
