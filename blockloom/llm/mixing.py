@@ -63,7 +63,9 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, source:
         salt = F.pmod(F.xxhash64(col(doc_id), col(text)), F.lit(SALTS))
         met = rows.withColumn("_salt", salt).join(by.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), col(source).eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_salt2")))
     met = met.withColumn("_id", row_digest(doc_id, text))
-    draws = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, p: a + F.size(F.filter(F.col("_cdf"), lambda c: c <= _hash(str(seed), F.col("_id"), p.cast("string")) / F.lit(2.0**52))))
+    # each part's hash once, then its place in the distribution
+    uniform = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda p: _hash(str(seed), F.col("_id"), p.cast("string")) / F.lit(2.0**52))
+    draws = F.aggregate(uniform, F.lit(0), lambda a, u: a + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
     met = met.withColumn("copies", draws).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     met = met.withColumn("shuffle_key", _hash(f"{seed}:order", F.col("_id"), F.col("copy").cast("string")))
     return met.select(*map(col, keep), "copy", "copies", F.round("rate", 9).alias("rate"), "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
