@@ -1,4 +1,6 @@
 """All queries of the library with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import context, ingest
+
+QUERIES = {k: f for m in (ingest, context) for k, f in m.QUERIES.items()}
+SQL = {k: s for m in (ingest, context) for k, s in m.SQL.items()}
