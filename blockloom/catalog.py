@@ -1,6 +1,7 @@
 """All queries of the library with their SQL."""
 
-from .plans import context, ingest
+from .plans import context, evaluation, ingest, models, retrieval
 
-QUERIES = {k: f for m in (ingest, context) for k, f in m.QUERIES.items()}
-SQL = {k: s for m in (ingest, context) for k, s in m.SQL.items()}
+_PARTS = (ingest, context, models, retrieval, evaluation)
+QUERIES = {k: f for m in _PARTS for k, f in m.QUERIES.items()}
+SQL = {k: s for m in _PARTS for k, s in m.SQL.items()}
