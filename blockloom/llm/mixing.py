@@ -41,11 +41,11 @@ def rates(docs: DataFrame, source: str, targets: dict[str | None, float] | None,
         named = [x for k, v in targets.items() if k is not None for x in (F.lit(k), F.lit(float(v)))]
         known = F.element_at(F.create_map(*named), F.col("_s").cast("string")) if named else F.lit(None).cast("double")
         weight = F.coalesce(F.when(F.col("_s").isNull(), F.lit(float(targets.get(None, 0.0)))).otherwise(known), F.lit(0.0))
-    sizes = sizes.withColumn("_w", weight).where("_w > 0")
-    # one row of two sums; rows without a weighted source count towards the total that is to be reached
-    total = sizes.agg(F.sum("_w").alias("w")).first()["w"] or 1.0
-    rows = sizes.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    out = sizes.select("_s", (F.col("_w") / F.lit(float(total)) * F.lit(float(rows)) / F.col("_n")).alias("rate"))
+    sizes = sizes.withColumn("_w", weight)
+    # one row of two sums; rows of sources without a weight count towards the total that is to be reached
+    sums = sizes.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n")).first()
+    total, rows = sums["w"] or 1.0, sums["n"] or 0
+    out = sizes.where("_w > 0").select("_s", (F.col("_w") / F.lit(float(total)) * F.lit(float(rows)) / F.col("_n")).alias("rate"))
     out = out.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")).withColumn("_mean", F.col("rate") / F.col("_parts"))
     terms = F.expr(f"""aggregate(sequence(1, {TERMS}), struct(array(exp(-_mean)) as cdf, exp(-_mean) as term),
         (a, j) -> struct(concat(a.cdf, array(element_at(a.cdf, -1) + a.term * _mean / j)) as cdf, a.term * _mean / j as term), a -> a.cdf)""")

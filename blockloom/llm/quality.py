@@ -39,25 +39,24 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumn("_t", F.coalesce(col(text), F.lit("")))
     out = out.withColumns({"_w": F.filter(F.split("_t", r"\s+"), lambda x: x != ""), "_l": F.filter(F.split("_t", r"\n"), lambda x: x != ""), "_n": F.length("_t")})
     w, n, words, lines = F.col("_w"), F.col("_n"), F.size("_w"), F.size("_l")
-    return out.withColumn(
-        "_q",
-        F.struct(
-            F.log1p(words.cast("double")).alias("log_words"),
-            share(n, words).alias("word_length"),
-            share(F.size(F.array_distinct(w)), words).alias("distinct_words"),
-            share(F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1))), words).alias("repeats"),
-            share(n - F.length(F.regexp_replace("_t", r"\p{Lu}+", "")), n).alias("upper"),
-            share(less("0123456789"), n).alias("digits"),
-            share(less(SYMBOLS), n).alias("symbols"),
-            share(less("!?"), n).alias("marks"),
-            share(less("|"), n).alias("bars"),
-            share(less(".,;:"), words).alias("stops"),
-            share(n, lines).alias("line_length"),
-            share(F.size(F.array_distinct("_l")), lines).alias("distinct_lines"),
-            share(F.size(F.filter(w, lambda x: F.length(x) > 12)), words).alias("long_words"),
-            share(F.size(F.filter(w, lambda x: F.length(x) < 4)), words).alias("short_words"),
-        ),
-    ).drop("_t", "_w", "_l", "_n")
+    found = F.struct(
+        F.log1p(words.cast("double")).alias("log_words"),
+        share(n, words).alias("word_length"),
+        share(F.size(F.array_distinct(w)), words).alias("distinct_words"),
+        share(F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1))), words).alias("repeats"),
+        share(n - F.length(F.regexp_replace("_t", r"\p{Lu}+", "")), n).alias("upper"),
+        share(less("0123456789"), n).alias("digits"),
+        share(less(SYMBOLS), n).alias("symbols"),
+        share(less("!?"), n).alias("marks"),
+        share(less("|"), n).alias("bars"),
+        share(less(".,;:"), words).alias("stops"),
+        share(n, lines).alias("line_length"),
+        share(F.size(F.array_distinct("_l")), lines).alias("distinct_lines"),
+        share(F.size(F.filter(w, lambda x: F.length(x) > 12)), words).alias("long_words"),
+        share(F.size(F.filter(w, lambda x: F.length(x) < 4)), words).alias("short_words"),
+    )
+    # a generator of one row: the optimizer neither repeats the statistics in each rule that reads them nor moves filters below them
+    return out.select(*map(col, docs.columns), F.explode(F.array(found)).alias("_q"))
 
 
 @dataclass(frozen=True)

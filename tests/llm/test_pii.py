@@ -1,0 +1,68 @@
+import hashlib
+import re
+import time
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from blockloom.llm import pii
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("a1.@+-_ 25()éZ0")), max_size=50))
+def test_base_spans_match_the_patterns(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+def test_cards_and_phones():
+    text = "x 4644 3483-9801 0899, 4111111111111111 +1 (706) 555-3138 99+44 20 7946 0958. 255.1.0.256 1.2.3.4.5.6.7.8 ①٣"
+    assert pii.base_spans(text) == plain(text) and {k for k, *_ in plain(text)} == {"card", "phone", "ip"}
+
+
+def test_added_kinds():
+    got = {(k, text[a:b]) for text in ("pay to DE89 3704 0044 0532 0130 00 now", "GB82WEST12345698765432", "GB82WEST12345698765433", "SSN 123-45-6789", "123-45-6789", "born 1980-02-29", "on 1980-02-29") for k, a, b, _ in pii.spans(text)}
+    assert got == {("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("ssn", "123-45-6789"), ("dob", "1980-02-29")}
+
+
+def test_context_moves_the_score():
+    score = lambda t: pii.spans(t)[0][3]
+    assert score("example a@b.co") < score("a@b.co") < score("mail a@b.co")
+
+
+def test_linear_time():
+    start = time.time()
+    for bad in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" + "(" * 200_000, "1 " * 100_000, "AB12" + " 3" * 100_000, "a.b@c" * 40_000):
+        pii.spans(bad)
+    assert time.time() - start < 20
+
+
+def test_frames(spark):
+    rows = [(1, None), (2, ""), (3, "é a@b.cd 10.0.0.1"), (3, "é a@b.cd 10.0.0.1"), (None, "x")]
+    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, found string")
+    got = pii.find(df).collect()
+    assert sorted(len(r.found) for r in got) == [0, 0, 0, 2, 2]
+    assert {x.text for r in got for x in r.found} == {"a@b.cd", "10.0.0.1"}
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def test_query_on_documents(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in pii.query(spark, "/root/testdata/sf0.001").collect():
+        base = plain(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest() == pii.base_sha256(docs[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in pii.BASE]
