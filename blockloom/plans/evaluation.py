@@ -176,7 +176,7 @@ def stream_event_windows(spark, sf_dir):
 
     from ..streaming import streams
 
-    return streams.drained(streams.windowed(streams.event_stream(spark, sf_dir), "1 hour"), f"windows_{uuid.uuid4().hex}")
+    return streams.drained(streams.windowed(streams.event_stream(spark, sf_dir), "1 hour"), f"windows_{uuid.uuid4().hex}").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def stream_once_each(spark, sf_dir):
