@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, DECIMALS = 1024, 6
+QUERY_BLOCK, SCAN_ROWS, DECIMALS = 1024, 2048, 6
 MODES = ("local", "global", "hybrid", "naive", "mix", "bypass")
 
 
@@ -54,28 +54,30 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | Non
 
         def run(batches, sent=sent, dim=dim):
             ids, m, groups = sent.value
-            best_i, best_s = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for batch in batches:
-                if not len(ids):
-                    break
-                at, v = _rows(batch.column(1), dim)
-                if not len(at):
-                    continue
-                vids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-                s = np.round(m @ _unit(v).T, DECIMALS)
-                bad = np.zeros(s.shape, bool) if self_match else ids[:, None] == vids[None, :]
-                if groups is not None:
-                    bad |= groups[:, None] != np.array(batch.column(2).to_pylist())[at][None, :]
-                if threshold is not None:
-                    bad |= s < threshold
-                s[bad] = -np.inf
-                best_i = np.concatenate((best_i, np.broadcast_to(vids, s.shape)), 1)
-                best_s = np.concatenate((best_s, s), 1)
-                order = np.lexsort((best_i, -best_s))[:, :k] if len(ids) else best_i
-                best_i, best_s = np.take_along_axis(best_i, order, 1), np.take_along_axis(best_s, order, 1)
-            keep = np.isfinite(best_s)
-            q = np.broadcast_to(ids[:, None], best_s.shape) if len(ids) else best_i
-            yield pa.RecordBatch.from_arrays([pa.array(q[keep].astype(np.int64)), pa.array(best_i[keep]), pa.array(best_s[keep])], names=["query_id", "vec_id", "score"])
+            row, vid, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for whole in batches:
+                for at in range(0, whole.num_rows if len(ids) else 0, SCAN_ROWS):
+                    batch = whole.slice(at, SCAN_ROWS)
+                    ok, v = _rows(batch.column(1), dim)
+                    if not len(ok):
+                        continue
+                    vids = batch.column(0).to_numpy(zero_copy_only=False)[ok]
+                    s = np.round(m @ _unit(v).T, DECIMALS)
+                    bad = np.zeros(s.shape, bool) if self_match else ids[:, None] == vids[None, :]
+                    if groups is not None:
+                        bad |= groups[:, None] != np.array(batch.column(2).to_pylist())[ok][None, :]
+                    if threshold is not None:
+                        bad |= s < threshold
+                    s[bad] = -np.inf
+                    # what reaches the batch's k-th best of its query, ties included
+                    kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                    r, c = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+                    row, vid, score = np.concatenate((row, r)), np.concatenate((vid, vids[c])), np.concatenate((score, s[r, c]))
+                    order = np.lexsort((vid, -score, row))
+                    row, vid, score = row[order], vid[order], score[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, vid, score = row[keep], vid[keep], score[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row].astype(np.int64) if len(row) else row), pa.array(vid), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         got = vectors.select(F.col(vid).cast("long"), embedding, *extra).mapInArrow(run, "query_id long, vec_id long, score double")
         out = got if out is None else out.unionByName(got)

@@ -134,9 +134,37 @@ def vlm_messages(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(parts).alias("n", "p")).select("conv_id", "turn", "n", "p.type", F.coalesce("p.text", F.lit("")).alias("text"), F.coalesce("p.image", F.lit(-1)).alias("image"))
 
 
+def analysis_prompts(spark, sf_dir):
+    """What a model is asked about each block, by language; German lacks all but one prompt and falls back."""
+    from ..functions.prompts import Prompts
+
+    known = Prompts().register("de", {"image": "Bild {image_path}: {captions}"})
+    df = blocks(spark, sf_dir).where("type = 'image'").withColumns({"footnotes": F.lit(None).cast("array<string>"), "extra": F.lit(None).cast("string")})
+    return df.select("doc_id", "pos", known.use("de").column("image").alias("de"), F.length(known.use("de").column("table")).alias("en_length"))
+
+
+def multimodal_pipeline(spark, sf_dir):
+    """Ingest from end to end with a stub for the model: all chunks."""
+    from ..functions import models
+    from ..operators import pipeline
+    from .common import docs
+
+    return pipeline.ingest(docs(spark, sf_dir), models.stub_text, pipeline.first_words).chunks
+
+
+def multimodal_graph(spark, sf_dir):
+    """The edges of the same."""
+    from ..functions import models
+    from ..operators import pipeline
+    from .common import docs
+
+    return pipeline.ingest(docs(spark, sf_dir), models.stub_text, pipeline.first_words).edges
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        analysis_prompts, multimodal_pipeline, multimodal_graph,
         strip_thinking, json_cleanup, json_fields_regex, robust_json_parse, parse_response, judge_scores, route_processors, enabled_modalities, processor_supports, belongs_to_edges, merge_nodes, merge_edges, entity_rows,
         merge_full_entities, query_cache_key, query_cache_hits, enhanced_query, image_markers, vlm_messages,
     )

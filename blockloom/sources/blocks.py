@@ -114,6 +114,7 @@ def html(df: DataFrame, key: str, text: str) -> DataFrame:
 
     class Reader(HTMLParser):
         levels = {f"h{k}": k for k in range(1, 7)} | dict.fromkeys(("p", "li", "td", "th", "div", "article", "section", "blockquote", "pre", "figcaption"), 0)
+        breaks = {"table", "tr", "tbody", "thead", "ul", "ol", "dl", "main", "header", "aside", "form", "hr"}
         skipped = {"script", "style", "nav", "footer", "head", "noscript"}
 
         def __init__(self):
@@ -132,6 +133,9 @@ def html(df: DataFrame, key: str, text: str) -> DataFrame:
             elif tag in self.levels:
                 self.close_block()
                 self.tag = tag
+            elif tag in self.breaks:
+                self.close_block()
+                self.tag = "p"
             elif tag == "br":
                 self.text.append(" ")
 
@@ -139,7 +143,7 @@ def html(df: DataFrame, key: str, text: str) -> DataFrame:
             if tag in self.hidden:
                 while self.hidden and self.hidden.pop() != tag:
                     pass
-            elif tag in self.levels:
+            elif tag in self.levels or tag in self.breaks:
                 self.close_block()
                 self.tag = "p"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -86,27 +87,32 @@ def breaker_stream(stream: DataFrame) -> DataFrame:
 
 
 def breaker_table(events: DataFrame) -> DataFrame:
-    """The same of a table: a user's events, put in order, are folded in the JVM; each state depends on the one before."""
+    """The same of a table. Each state depends on the one before, so a user's events are read in order by one task; they
+    stream through it one batch at a time, sorted by Spark, and only the breaker itself is held."""
     rows = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_type") != "error").alias("ok"))
-    zero = F.struct(F.lit(0).alias("failures"), F.lit("closed").alias("state"), F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("rejected"))
-    reset = int(RESET_SECONDS * 1e6)
-
-    def step(b, e):
-        ready = F.coalesce(e["at"] - b["last"] >= reset, F.lit(False))
-        state = F.when((b["state"] == "open") & ready, "half-open").otherwise(b["state"])
-        rejected = state == "open"
-        failures = F.when(rejected, b["failures"]).when(e["ok"], 0).when(state == "half-open", THRESHOLD).when(ready, 1).otherwise(b["failures"] + 1)
-        fails = ~rejected & ~e["ok"]
-        return F.struct(
-            failures.alias("failures"),
-            F.when(rejected, "open").when(e["ok"], "closed").when(failures >= THRESHOLD, "open").otherwise("closed").alias("state"),
-            F.when(fails, e["at"]).otherwise(b["last"]).alias("last"),
-            (b["rejected"] + rejected.cast("long")).alias("rejected"),
-        )
-
-    out = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "ok"))).alias("_e"))
-    out = out.select("user_id", F.aggregate("_e", zero, step).alias("b"))
-    return out.select("user_id", F.col("b.failures").alias("n_failures"), F.col("b.state").alias("state"), F.col("b.rejected").alias("n_rejected"))
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").select("user_id", "at", "ok")
+
+    def run(batches):
+        user, b, done = None, None, []
+
+        def out():
+            cols = zip(*done, strict=True) if done else ([], [], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["user_id", "n_failures", "state", "n_rejected"])
+
+        for batch in batches:
+            for u, at, ok in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b is None or u != user:
+                    if b is not None:
+                        done.append((user, b.failures, b.state, b.rejected))
+                    user, b = u, Breaker()
+                b.call(at / 1e6, bool(ok))
+            yield out()
+            done = []
+        if b is not None:
+            done.append((user, b.failures, b.state, b.rejected))
+        yield out()
+
+    return rows.mapInArrow(run, "user_id long, n_failures int, state string, n_rejected long")
 
 
 def ingest_new(spark: SparkSession, folder: str, table: str, schema, checkpoint: str, transform=lambda df: df, keys: tuple[str, ...] = ()) -> StreamingQuery:

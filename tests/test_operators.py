@@ -47,7 +47,7 @@ def plain_context(bs, at, w, page):
         near = abs(b.get("page_idx", 0) - bs[at].get("page_idx", 0)) <= w if page else i != at and abs(i - at) <= w
         if near and b["type"] == "text" and b["text"].strip():
             said = "#" * b.get("text_level", 0) + " " * bool(b.get("text_level")) + b["text"]
-            out.append(f"[Page {b['page_idx']}] {said}" if page and b.get("page_idx", 0) != bs[at].get("page_idx", 0) else said)
+            out.append(f"[Page {b.get('page_idx', 0)}] {said}" if page and b.get("page_idx", 0) != bs[at].get("page_idx", 0) else said)
     return "\n".join(out)
 
 
