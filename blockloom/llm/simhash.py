@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import col, durable, session_of, table
 from .components import components
+from .graphs import forest, forest_between
 
-SEED, DISTANCE, TILE = 42, 3, 4096
+SEED, DISTANCE, TILE, SMALL = 42, 3, 4096, 8
 _BLOCK = 1 << 16  # shingles whose bits are summed at once
 
 
@@ -107,49 +108,66 @@ def _cover(classes: DataFrame) -> DataFrame:
     return classes.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
-def spanning(x: np.ndarray, y: np.ndarray | None = None, most: int = DISTANCE) -> Iterator[tuple[int, int]]:
-    """Links (of x's positions, or of x's and y's) within `most` bits that join all that such links join."""
-    own = y is None
-    y = x if own else y
-    n = len(x)
-    root = list(range(n if own else n + len(y)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    step = max(1, (1 << 21) // max(1, len(y)))
-    for at in range(0, n, step):
-        rows = x[at : at + step]
-        close = np.bitwise_count(rows[:, None] ^ y[None, :]) <= most
-        for i, j in np.argwhere(close):
-            a, b = at + int(i), int(j) + (0 if own else n)
-            if (not own or a < b) and (p := top(a)) != (q := top(b)):
-                root[q] = p
-                yield a, int(j)
-
-
-def _groups(batches, keys: int):
-    """Slices of sorted batches whose first `keys` columns agree, gathered over batch ends; groups of one row are left out."""
-    held: list[list[np.ndarray]] = []
+def close(x: np.ndarray, y: np.ndarray, most: int = DISTANCE) -> np.ndarray:
+    """Boolean matrix: within most bits."""
+    out = np.empty((len(x), len(y)), bool)
+    step = max(1, (1 << 20) // max(1, len(y)))
+    for at in range(0, len(x), step):
+        out[at : at + step] = np.bitwise_count(x[at : at + step, None] ^ y[None, :]) <= most
+    return out
+
+
+def group_links(group: np.ndarray, tile: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (two arrays of fingerprints) that join all that belongs together within runs of equal group numbers.
+
+    Small groups are compared all at once, each row with the ones up to SMALL - 1 after it; larger ones give a forest of
+    their links, or of the links between their two tiles."""
+    sizes = np.bincount(group)
+    small = sizes[group] <= SMALL
+    left, right = [], []
+    for k in range(1, SMALL):
+        i = np.flatnonzero((group[k:] == group[:-k]) & small[:-k])
+        if not len(i):
+            break
+        near = np.bitwise_count(fp[i] ^ fp[i + k]) <= DISTANCE
+        left.append(fp[i[near]])
+        right.append(fp[i[near] + k])
+    starts = np.cumsum(sizes) - sizes
+    for g in np.flatnonzero(sizes > SMALL):
+        rows = slice(starts[g], starts[g] + sizes[g])
+        x, t = fp[rows], tile[rows]
+        a = t == t[0]
+        edges = forest(close(x, x)) if a.all() else forest_between(close(x[a], x[~a]))
+        if edges:
+            e = np.array(edges)
+            left.append((x if a.all() else x[a])[e[:, 0]])
+            right.append((x if a.all() else x[~a])[e[:, 1]])
+    none = [fp[:0]]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def _whole(batches, keys: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(group numbers, columns) of sorted batches; rows that agree in the first keys columns stay together over batch ends."""
+    held: list[np.ndarray] = []
+
+    def numbered(cols: list[np.ndarray]) -> np.ndarray:
+        new = np.zeros(len(cols[0]), np.int64)
+        for k in cols[:keys]:
+            new[1:] |= k[1:] != k[:-1]
+        return np.cumsum(new)
+
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held:
-            cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
+        cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)] if held else cols
         if not len(cols[0]):
             continue
-        new = np.zeros(len(cols[0]), bool)
-        for k in cols[:keys]:
-            new[1:] |= k[1:] != k[:-1]
-        edges = np.concatenate(([0], np.flatnonzero(new), [len(new)]))
-        for a, b in zip(edges[:-2], edges[1:-1], strict=True) if len(edges) > 2 else ():
-            if b - a > 1:
-                yield [c[a:b] for c in cols]
-        held = [c[edges[-2] :] for c in cols]
-    if held and len(held[0]) > 1:
-        yield held
+        group = numbered(cols)
+        end = int(np.searchsorted(group, group[-1]))
+        if end:
+            yield group[:end], [c[:end] for c in cols]
+        held = [c[end:] for c in cols]
+    if held:
+        yield numbered(held), held
 
 
 def links(classes: DataFrame) -> DataFrame:
@@ -166,16 +184,9 @@ def links(classes: DataFrame) -> DataFrame:
     dealt = dealt.repartition("anchor", "t1", "t2").sortWithinPartitions("anchor", "t1", "t2", "t", "fp")
 
     def run(batches):
-        for anchor, t1, t2, t, fp in _groups(batches, 3):
-            fp = fp.view(np.uint64)
-            if t1[0] == t2[0]:
-                got = [(fp[i], fp[j]) for i, j in spanning(fp)]
-            else:
-                x, y = fp[t == t1[0]], fp[t == t2[0]]
-                got = [(x[i], y[j]) for i, j in spanning(x, y)]
-            if got:
-                e = np.array(got, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(e.min(1)), pa.array(e.max(1))], names=["a", "b"])
+        for group, (*_, tile, fp) in _whole(batches, 3):
+            a, b = (x.view(np.int64) for x in group_links(group, tile, fp.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
