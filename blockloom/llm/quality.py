@@ -28,14 +28,14 @@ KEEP_FROM = 0.7
 STATISTICS = (
     "log_words", "word_length", "distinct_words", "repeats", "upper", "digits", "symbols", "marks", "bars", "stops", "line_length", "distinct_lines", "long_words", "short_words",
 )
-#: Characters that are counted as symbols.
-SYMBOLS = "*$#%&@^~<>{}[]=+_\\/"
+#: Characters that are counted as symbols, as a pattern's class.
+SYMBOLS = r"*$#%&@^~<>{}\[\]=+_\\/"
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column _q: a struct of STATISTICS. Shares are of characters, words or lines."""
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    less = lambda chars: F.col("_n") - F.length(F.translate("_t", chars, ""))
+    of = lambda kind: F.regexp_count("_t", F.lit(f"[{kind}]"))
     out = docs.withColumn("_t", F.coalesce(col(text), F.lit("")))
     out = out.withColumns({"_w": F.filter(F.split("_t", r"\s+"), lambda x: x != ""), "_l": F.filter(F.split("_t", r"\n"), lambda x: x != ""), "_n": F.length("_t")})
     w, n, words, lines = F.col("_w"), F.col("_n"), F.size("_w"), F.size("_l")
@@ -44,12 +44,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         share(n, words).alias("word_length"),
         share(F.size(F.array_distinct(w)), words).alias("distinct_words"),
         share(F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1))), words).alias("repeats"),
-        share(n - F.length(F.regexp_replace("_t", r"\p{Lu}+", "")), n).alias("upper"),
-        share(less("0123456789"), n).alias("digits"),
-        share(less(SYMBOLS), n).alias("symbols"),
-        share(less("!?"), n).alias("marks"),
-        share(less("|"), n).alias("bars"),
-        share(less(".,;:"), words).alias("stops"),
+        share(of(r"\p{Lu}"), n).alias("upper"),
+        share(of("0-9"), n).alias("digits"),
+        share(of(SYMBOLS), n).alias("symbols"),
+        share(of("!?"), n).alias("marks"),
+        share(of("|"), n).alias("bars"),
+        share(of(".,;:"), words).alias("stops"),
         share(n, lines).alias("line_length"),
         share(F.size(F.array_distinct("_l")), lines).alias("distinct_lines"),
         share(F.size(F.filter(w, lambda x: F.length(x) > 12)), words).alias("long_words"),
