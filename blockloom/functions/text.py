@@ -136,3 +136,20 @@ def inline_markup(x: Column | str) -> Column:
 
 def page_of(pos: Column | str, per_page: int = 10) -> Column:
     return F.floor(_c(pos) / per_page).cast("int")
+
+
+def page(body: Column | str, title: str = "Document", style: str = "body{font-family:serif;margin:2em}") -> Column:
+    """A whole HTML document around a body."""
+    return F.concat(F.lit(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title><style>{style}</style></head><body>'), _c(body), F.lit("</body></html>"))
+
+
+def markdown_page(x: Column | str) -> Column:
+    """Markdown's lines as an HTML document: headings, list items, paragraphs, with their inline markup."""
+
+    def line(v: Column) -> Column:
+        level = F.least(heading_level(v), F.lit(6)).cast("string")
+        rest = inline_markup(strip(F.regexp_replace(v, r"^(#+|[-*+] )", "")))
+        return F.when(heading_level(v) > 0, F.concat(F.lit("<h"), level, F.lit(">"), rest, F.lit("</h"), level, F.lit(">"))).when(v.rlike("^[-*+] "), F.concat(F.lit("<li>"), rest, F.lit("</li>"))).otherwise(F.concat(F.lit("<p>"), rest, F.lit("</p>")))
+
+    lines = F.filter(F.split(_c(x), "\n"), lambda v: strip(v) != "")
+    return page(F.array_join(F.transform(lines, line), ""))

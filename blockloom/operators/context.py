@@ -64,3 +64,14 @@ def map_context(source: Column | str, config: Config = DEFAULT) -> Column:
     """Of a map: its content, else its text, else all its values."""
     m = F.col(source) if isinstance(source, str) else source
     return truncate(F.coalesce(m["content"], m["text"], F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: e["value"]), "\n"), F.lit("")), config.max_context_tokens)
+
+
+def any_context(kind: str, source: Column, index: Column, config: Config = DEFAULT) -> Column:
+    """Of a source that isn't blocks: an array of texts, a map or a text."""
+    if kind == "texts":
+        return texts_context(source, index, config)
+    if kind == "map":
+        return map_context(source, config)
+    if kind == "text":
+        return truncate(F.coalesce(source, F.lit("")), config.max_context_tokens)
+    raise ValueError(f"no kind of source {kind}; there are texts, map, text")
