@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import similarity
 from .common import col, durable, session_of, table
 from .components import components
 from .graphs import forest, forest_between
@@ -31,38 +32,54 @@ SEED, DISTANCE, TILE, SMALL = 42, 3, 4096, 8
 _BLOCK = 1 << 16  # shingles whose bits are summed at once
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Unsigned 64 bits."""
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """Hashes (uint64) of a text's shingles in order, repeats included, in blocks."""
     import xxhash
 
     parts = text.encode().lower().split()  # bytes: A-Z only, and space and \\x09-\\x0D
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum([len(x) + 1 for x in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(parts))
     starts, ends = starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()
     of = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, len(starts), _BLOCK):
-        h = np.array([of(joined[a:b], SEED) for a, b in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK], strict=True)], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts), bitorder="little").tobytes(), "little")
+        yield np.array([of(joined[a:b], SEED) for a, b in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK], strict=True)], np.uint64)
+
 
+def fingerprint(text: str, words: int = 3) -> int:
+    """Unsigned 64 bits."""
+    return _sketched(text, words, False)[0]
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, key (a hash of id and text), fp (the 64 bits as a signed long) for every row of docs."""
+
+def _sketched(text: str, words: int, wide: bool) -> tuple[int, list[int] | None, bytes | None]:
+    """The fingerprint; if wide, bands and sketch too (None without words)."""
+    counts, n, least = np.zeros(64, np.int64), 0, None
+    for h in shingle_hashes(text, words):
+        n += len(h)
+        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        if wide:
+            least = similarity.minima(np.unique(h), least)
+    fp = int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    return (fp, None, None) if least is None else (fp, similarity.bands(least), similarity.sketch(least))
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, wide: bool = False) -> DataFrame:
+    """doc_id, key (a hash of id and text), fp (the 64 bits as a signed long) for every row of docs; if wide, bands and sketch too."""
     session_of(docs)
     slim = docs.select(col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
+            got = [_sketched(t, words, wide) for t in batch.column("text").to_pylist()]
+            cols = [batch.column("doc_id"), batch.column("key"), pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64))]
+            more = [pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.binary())] if wide else []
+            yield pa.RecordBatch.from_arrays(cols + more, names=["doc_id", "key", "fp", "bands", "sketch"][: len(cols) + len(more)])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, key long, fp long")
+    return slim.mapInArrow(run, f"doc_id {kind}, key long, fp long" + ", bands array<long>, sketch binary" * wide)
 
 
 def _key(doc_id: str, text: str):
@@ -191,11 +208,18 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, key, fp, root (its group's fingerprint), component_id (its group's least id) for every row of docs."""
-    fps = durable(fingerprints(docs, doc_id, text, words))
-    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(classes))
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, wide: bool = False) -> DataFrame:
+    """doc_id, key, fp, root (its group's fingerprint), component_id (its group's least id) for every row of docs.
+
+    wide: texts link as well if their shingles agree by similarity.SIMILARITY."""
+    fps = durable(fingerprints(docs, doc_id, text, words, wide))
+    # texts of one fingerprint are one class, with the sketch of one of them
+    more = [F.min_by(F.struct("bands", "sketch"), "key").alias("s")] if wide else []
+    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *more))
+    edges = links(classes)
+    if wide:
+        edges = edges.unionByName(similarity.links(classes.where("s.bands is not null").select("fp", "s.bands", "s.sketch")))
+    found = components(edges)
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(groups, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "key", "fp", "root", "component_id")
@@ -207,8 +231,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """One row of docs of each group: of its least id, ids before nulls; all columns."""
-    groups = grouped(docs, doc_id, text, words)
+    """One row of docs of each group of texts alike by fingerprint or by 0.8 of their shingles: of its least id, ids before nulls; all columns."""
+    groups = grouped(docs, doc_id, text, words, wide=True)
     kept = durable(groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("_kept"), F.col("k.key").alias("_key"), "root", "n"))
     out = docs.withColumn("_k", _key(doc_id, text)).join(kept, col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_k") == F.col("_key")), "left_semi")
     # rows that agree in id and text are all met by that join: one of them stays
