@@ -6,11 +6,13 @@ hashed character trigrams. A forward and a backward GRU read the window; attenti
 scores the weighted sum. A text's score is a logistic of its TOP highest windows, fitted to whole training texts: one odd
 word fills two windows at most, and many long clean texts have one.
 
-Training takes labelled rows that aren't held out, MAX_TEXTS of each label at most by least hash of the id: a bounded
-sample. Word vectors start with the log odds of the label given the word in that sample. First each toxic text's window
-of highest log odds is taken for toxic, later the one that the network scores highest; windows of clean texts are drawn
-at random at first, later by highest score. Gradients run back through time; Adam takes the steps. Every window of
-every text is scored, so long texts are read in whole.
+Training takes labelled rows that aren't held out, MAX_TEXTS of each label at most by least hash of the id, without texts
+of over MAX_TEXT_BYTES: a bounded sample. A word's vector starts with the log odds of the label given the word; in
+training they are those that the other folds of the sample give, so that the network meets them as it will in new texts.
+First each toxic text's window of highest log odds is taken for toxic, later the one that the network scores highest;
+windows of clean texts are drawn at random, later the one of highest score too. In the first round words have their odds
+only; toxic labels that this round speaks against weigh less from then on. Gradients run back through time; Adam takes
+the steps. Every window of every text is scored, so long texts are read in whole.
 
 Nulls are empty texts; texts without words have score 0. Null labels are left out. With one label only, all scores are
 that label's share, or 0 without labels. Empty table: empty result.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import col, session_of, table
 
-MAX_TEXTS, MAX_WORDS, WINDOW = 1500, 20_000, 32
+MAX_TEXTS, MAX_TEXT_BYTES, MAX_WORDS, WINDOW = 1500, 1 << 16, 20_000, 32
 WORD_DIM, CHAR_DIM, HIDDEN, TRIGRAMS, MAX_TRIGRAMS = 8, 8, 8, 4096, 16
 EPOCHS, STEPS, ROUNDS, BATCH, RATE, DROP, DECAY, SEED = 4, 120, 3, 256, 0.01, 0.5, 1.0, 7  # epochs of a round, or as many as make the steps
 FOLDS, CLEAN_WINDOWS, TOP = 5, 3, 5
@@ -347,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str
     key = col(doc_id).cast("string")
     rows = labels.where(col(doc_id).isNotNull() & (F.pmod(F.crc32(key), F.lit(modulus)) != held)).select(col(doc_id).alias("_id"), (col(target) > 0).alias("_y"), F.md5(key).alias("_o"))
     sample = rows.where("_y").orderBy("_o").limit(most).unionAll(rows.where("not _y").orderBy("_o").limit(most))
-    met = docs.select(col(doc_id).alias("_id"), col(text).alias("_text")).join(F.broadcast(sample), "_id")  # bounded by most
+    met = docs.select(col(doc_id).alias("_id"), col(text).alias("_text")).where(F.octet_length("_text") <= MAX_TEXT_BYTES).join(F.broadcast(sample), "_id")  # bounded by most
     got = sorted((r["_o"], r["_y"], r["_text"] or "") for r in met.limit(4 * most).collect())
     return fit([t for _, _, t in got], [y for _, y, _ in got])
 
