@@ -23,17 +23,17 @@ from pyspark.sql import functions as F
 from .common import col, table
 
 MAX_ROWS = 20_000
-TREES, DEPTH, CUTS, MIN_LEAF, L1, STEPS = 24, 3, 32, 5, 1e-3, 600
+TREES, DEPTH, CUTS, MIN_LEAF, L1, STEPS = 24, 3, 32, 5, 3e-4, 600
 KEEP_FROM = 0.7
 STATISTICS = (
-    "log_words", "word_length", "distinct_words", "repeats", "upper", "digits", "symbols", "marks", "bars", "stops", "line_length", "distinct_lines", "long_words", "short_words",
+    "log_words", "word_length", "richness", "repeats", "upper", "digits", "symbols", "marks", "bars", "stops", "line_length", "distinct_lines", "long_words", "short_words",
 )
 #: Characters that are counted as symbols, as a pattern's class.
 SYMBOLS = r"*$#%&@^~<>{}\[\]=+_\\/"
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column _q: a struct of STATISTICS. Shares are of characters, words or lines."""
+    """docs with a column _q: a struct of STATISTICS, mostly shares of characters, words or lines."""
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     of = lambda kind: F.regexp_count("_t", F.lit(f"[{kind}]"))
     out = docs.withColumn("_t", F.coalesce(col(text), F.lit("")))
@@ -42,7 +42,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     found = F.struct(
         F.log1p(words.cast("double")).alias("log_words"),
         share(n, words).alias("word_length"),
-        share(F.size(F.array_distinct(w)), words).alias("distinct_words"),
+        # of distinct words, by logarithms, as their share falls with a text's length
+        share(F.log1p(F.size(F.array_distinct(w)).cast("double")), F.log1p(words.cast("double"))).alias("richness"),
         share(F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1))), words).alias("repeats"),
         share(of(r"\p{Lu}"), n).alias("upper"),
         share(of("0-9"), n).alias("digits"),
