@@ -214,6 +214,9 @@ _TOLD = ", ".join(
     + [f"case when {_FAIL(k)} then {'case when e0 is not null then ' + repr('VLM token limit exceeded') + ' else ' if k == 0 else ''}'{n} error: ' || left(coalesce(e{k}, '{n} query failed'), 50) || '...'{' end' if k == 0 else ''} end" for k, n in enumerate(("VLM", "Hybrid", "Mix", "Naive"))]
 )
 _STATUS = "st as (select distinct on (doc_id) doc_id, ['ready', 'handling', 'pending', 'processing', 'processed', 'failed'][(doc_id % 6 + 1)::int] as status, quality = 1 as mm, (doc_id % 9)::int as chunks_count from labels)"
+_READY = "coalesce(e.at - a.l >= 3600000000, false)"
+_NOW = f"(case when a.s = 'open' and {_READY} then 'half-open' else a.s end)"
+_FAILED = f"(case when {_NOW} = 'open' then a.f when e.ok then 0 when {_NOW} = 'half-open' then 3 when {_READY} then 1 else a.f + 1 end)"
 _ROLE = lambda n: f"event_type = '{n}'"
 SQL = {
     "eval_by_method": f"with {_RESULTS} select method, {_BY} from r where accuracy is not null group by method",
@@ -242,6 +245,10 @@ SQL = {
     "event_windows_tumbling": "select event_type, time_bucket(interval '1 hour', ts) as window_start, count(*) as n, round(sum(value), 4) as total from events group by all",
     "event_windows_sliding": "with w as (select event_type, value, time_bucket(interval '1 hour', ts) - unnest([0, 1]) * interval '1 hour' as window_start from events) select event_type, window_start, count(*) as n, round(sum(value), 4) as total from w group by all",
     "event_sessions": "with g as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval '30 minutes', true)::int as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id, min(ts) as session_start, count(*) as n from s group by user_id, s",
+    "breaker_states": f"""with e as (select user_id, list({{'f': 0, 's': 'closed', 'l': null::bigint, 'r': 0::bigint, 'at': epoch_us(ts), 'ok': event_type <> 'error'}} order by ts, event_id) as l from events group by user_id),
+        b as (select user_id, list_reduce(l, lambda a, e: {{'f': {_FAILED}, 's': case when {_NOW} = 'open' then 'open' when e.ok then 'closed' when {_FAILED} >= 3 then 'open' else 'closed' end,
+          'l': case when {_NOW} <> 'open' and not e.ok then e.at else a.l end, 'r': a.r + ({_NOW} = 'open')::bigint, 'at': e.at, 'ok': e.ok}}, {{'f': 0, 's': 'closed', 'l': null::bigint, 'r': 0::bigint, 'at': 0::bigint, 'ok': true}}) as b from e)
+        select user_id, b.f::int as n_failures, b.s as state, b.r as n_rejected from b""",
     "stream_event_windows": "select event_type, time_bucket(interval '1 hour', ts) as window_start, count(*) as n, round(sum(value), 4) as total from events group by all",
     "stream_once_each": "select event_id, event_type from events",
 }

@@ -139,4 +139,8 @@ SQL = {
         select doc_id, pos, length(regexp_extract(line, '^(#+)', 1))::int as text_level, {strip_sql("regexp_replace(line, '^#+', '')")} as text from m where {strip_sql('line')} <> ''""",
     "content_list_blocks": "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents) select doc_id, pos, case when pos % 5 = 4 then 'image' else 'text' end as type, case when pos % 5 = 4 then 0 else pos end as page_idx, case when pos % 5 = 4 then left(x, 9) else x end as said from l",
     "reference_tree": "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents) select doc_id, pos, case when pos % 5 = 2 then 'image' when pos % 3 = 1 then 'equation' else 'text' end as type, (pos // 10)::int as page_idx, x as text from l",
+    "span_text": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents)
+        select doc_id, coalesce(string_agg(case when pos % 2 = 0 then '' else '- ' end || {strip_sql('x')}, chr(10) || chr(10) order by pos) filter ({strip_sql('x')} <> ''), '') as plain from l group by doc_id""",
+    "recognised_lines": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents),
+        n as (select doc_id, {strip_sql('x')} as line, row_number() over (partition by doc_id order by pos) as n from l where {strip_sql('x')} <> '') select doc_id, (2 * (n - 1) + k)::int as pos, line from n, (values (0), (1)) t(k)""",
 }

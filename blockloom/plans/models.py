@@ -135,12 +135,12 @@ def vlm_messages(spark, sf_dir):
 
 
 def analysis_prompts(spark, sf_dir):
-    """What a model is asked about each block, by language; German lacks all but one prompt and falls back."""
+    """What a model is asked about images in a language that has that prompt only, and how its fallback for tables begins."""
     from ..functions.prompts import Prompts
 
     known = Prompts().register("de", {"image": "Bild {image_path}: {captions}"})
     df = blocks(spark, sf_dir).where("type = 'image'").withColumns({"footnotes": F.lit(None).cast("array<string>"), "extra": F.lit(None).cast("string")})
-    return df.select("doc_id", "pos", known.use("de").column("image").alias("de"), F.length(known.use("de").column("table")).alias("en_length"))
+    return df.select("doc_id", "pos", known.use("de").column("image").alias("de"), F.left(known.use("de").column("table"), F.lit(18)).alias("fallback"))
 
 
 def multimodal_pipeline(spark, sf_dir):
@@ -198,6 +198,15 @@ SQL = {
         m as (select coalesce(o.doc_id, n.doc_id) as doc_id, list_concat(coalesce(o.l, []), coalesce(n.l, [])) as l, n.l is not null as has_new, o.l is not null as has_old from o full join n on o.doc_id = n.doc_id),
         u as (select doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) as l, has_new, has_old from m)
         select doc_id, array_to_string(l, '|') as entity_names, len(l)::int as count, case when has_new then 222 else 111 end as update_time, case when has_old then 'kept' end as note from u""",
+    "analysis_prompts": f"with {BLOCKS} select doc_id, pos, 'Bild ' || img_path || ': ' || case when caption = '' then 'None' else caption end as de, 'Explain the table:' as fallback from blocks where type = 'image'",
+    "robust_json_parse": f"""with {BLOCKS}, {ANSWERS}, d as (select doc_id, pos, regexp_replace(left(text, 60), '["\\\\]', '', 'g') as d from answers)
+        select doc_id, pos, case when pos % 5 = 4 then '{{"detailed_description": "", "entity_info": {{"entity_name": "unknown_entity", "entity_type": "unknown", "summary": ""}}}}'
+          else '{{"detailed_description": "' || d || '", "entity_info": {{"entity_name": "E' || pos || '", "entity_type": "thing", "summary": "s' || doc_id || '"}}}}' end as parsed from d""",
+    "parse_response": f"""with {BLOCKS}, {ANSWERS}, d as (select doc_id, pos, regexp_replace(left(text, 60), '["\\\\]', '', 'g') as d, {_THOUGHTLESS} as plain from answers), k as (select *, pos % 5 <> 4 and d <> '' as ok from d)
+        select doc_id, pos, case when ok then d else plain end as description, case when ok then 'E' || pos || ' (thing)' else 'image_' || md5(plain) end as entity_name, case when ok then 'thing' else 'image' end as entity_type,
+          case when ok then 's' || doc_id when length(plain) > 100 then left(plain, 100) || '...' else plain end as summary from k""",
+    "query_cache_key": r"""select conv_id, turn, 'multimodal_query:' || md5('{"query":' || to_json(regexp_replace(text, '^\s+|\s+$', '', 'g'))::varchar || ',"mode":"mix","items":[{"type":"table","img_path":"t.png",' ||
+          case when length(text) > 200 then '"table_body_hash":"' || md5(text) || '"' else '"table_body":' || to_json(text)::varchar end || '}]}') as cache_key from conversations where role = 'user'""",
     "query_cache_hits": "with u as (select conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from conversations where role = 'user') select conv_id, t in (select t from u where turn > 0) as hit from u where turn = 0",
     "enhanced_query": f"""with q as (select conv_id, turn, text, case when turn % 4 = 0 and turn % 3 = 0 then 'Image path: /a.png; Image captions: c1, c2' when turn % 4 = 0 then 'Image path: /a.png' when turn % 3 = 0 then 'Image captions: c1, c2' else 'Image content information incomplete' end as i from conversations where role = 'user')
         select conv_id, turn, 'User query: ' || text || chr(10) || chr(10) || 'Related image content: ' || i || case when turn > 1 then chr(10) || chr(10) || 'Related table content: ' || left(text, 10) else '' end || chr(10) || chr(10) || '{Q.SUFFIX.strip()}' as enhanced from q""",
