@@ -172,21 +172,17 @@ def breaker_states(spark, sf_dir):
 
 def stream_event_windows(spark, sf_dir):
     """The tumbling windows, from a stream of the same events."""
-    import uuid
-
     from ..streaming import streams
 
-    return streams.drained(streams.windowed(streams.event_stream(spark, sf_dir), "1 hour"), f"windows_{uuid.uuid4().hex}").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return streams.drained(streams.windowed(streams.event_stream(spark, sf_dir), "1 hour")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def stream_once_each(spark, sf_dir):
     """Events delivered twice, counted once."""
-    import uuid
-
     from ..streaming import streams
 
     s = streams.event_stream(spark, sf_dir)
-    return streams.drained(streams.once_each(s.unionByName(s), late="100 days").select("event_id", "event_type"), f"once_{uuid.uuid4().hex}", "append")
+    return streams.drained(streams.once_each(s.unionByName(s), late="100 days").select("event_id", "event_type"), "append")
 
 
 QUERIES = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import metrics
+from ..operators.status import latest
+from ..shared import shared_folder
 
 THRESHOLD, RESET_SECONDS = 3, 3600.0
 STATES = "user_id long, n_failures int, state string, n_rejected long, last_failure double"
@@ -32,12 +35,23 @@ def once_each(stream: DataFrame, key: str = "event_id", late: str = "1 hour") ->
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def drained(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """What a stream gives once all that is there now has been read."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query: StreamingQuery = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def drained(df: DataFrame, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
+    """What a stream gives once all that is there now has been read: the last table of a complete stream, all rows of an
+    appending one, the latest row of each key of an updating one.
+
+    State and batches go to the shared folder, each batch to a path of its own, so that one that is tried again
+    replaces itself; nothing passes through the driver."""
+    spark, folder, batches = df.sparkSession, f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4()}", []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/rows/{n:09d}")
+        batches.append(n)
+
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.parquet(*(f"{folder}/rows/{n:09d}" for n in ([max(batches)] if mode == "complete" else sorted(set(batches)))))
+    return (latest(rows, list(keys), "_batch") if mode == "update" else rows).drop("_batch")
 
 
 class Breaker:

@@ -26,7 +26,7 @@ def test_breaker_table_and_stream_agree(spark):
     assert {r.user_id: (r.n_failures, r.state, r.n_rejected) for r in streams.breaker_table(events).collect()} == want
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = streams.drained(streams.breaker_stream(streams.event_stream(spark, SF)), "breakers", "update").collect()
+        out = streams.drained(streams.breaker_stream(streams.event_stream(spark, SF)), "update", ("user_id",)).collect()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert {r.user_id: (r.n_failures, r.state, r.n_rejected) for r in out} == want
