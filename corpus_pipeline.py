@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm import decontamination, mixing, quality, sharding, simhash
-from blockloom.llm.common import col, shared_folder, table
+from blockloom.llm.common import col, table
+from blockloom.shared import shared_folder
 
-#: Near-duplicates are of five-word shingles; fingerprints within 3 of 64 bits stand for a similarity far above 0.8.
+#: Near-duplicates are of five-word shingles: within 3 of 64 bits, or sharing 0.8 of them.
 SHINGLE_WORDS = 5
 
 
