@@ -17,6 +17,11 @@ def page_context(spark, sf_dir):
     return O.page_context(blocks(spark, sf_dir)).select(*KEPT)
 
 
+def page_context_in_rows(spark, sf_dir):
+    """The same within each document's row: more work for the processors, no shuffle."""
+    return O.document_context(docs(spark, sf_dir)).select(*KEPT)
+
+
 def page_context_wide(spark, sf_dir):
     """Captions count as well, and the limit is short."""
     return O.page_context(blocks(spark, sf_dir), Config(context_window=2, max_context_tokens=300, context_filter_types=("text", "image", "table"))).select(*KEPT)
@@ -26,6 +31,10 @@ def chunk_context(spark, sf_dir):
     return O.chunk_context(blocks(spark, sf_dir), Config(context_window=2)).select(*KEPT)
 
 
+def chunk_context_in_rows(spark, sf_dir):
+    return O.document_context(docs(spark, sf_dir), Config(context_mode="chunk", context_window=2)).select(*KEPT)
+
+
 def context_text(spark, sf_dir):
     return blocks(spark, sf_dir).select("doc_id", "pos", O.item_text().alias("said"))
 
@@ -91,7 +100,7 @@ def chunk_order(spark, sf_dir):
     return df.select("doc_id", F.col("b.pos").alias("pos"), (F.col("base") + F.col("i")).alias("chunk_order_index"), C.progress(F.col("i") + 1, F.col("n")).alias("report"))
 
 
-QUERIES = {f.__name__: f for f in (page_context, page_context_wide, chunk_context, context_text, truncate_context, text_chunk_context, map_context, embedding_only_chunks, multimodal_chunks, dedupe_chunks, split_by_character, token_window_chunks, chunk_order)}
+QUERIES = {f.__name__: f for f in (page_context, page_context_in_rows, page_context_wide, chunk_context, chunk_context_in_rows, context_text, truncate_context, text_chunk_context, map_context, embedding_only_chunks, multimodal_chunks, dedupe_chunks, split_by_character, token_window_chunks, chunk_order)}
 QUERIES |= {f"chunk_template_{k}": _template(k) for k in C.TEMPLATES}
 
 _SAID = "case when type = 'text' then case when text_level > 0 then repeat('#', text_level) || ' ' || text else text end when type = 'image' then '[Image: ' || caption || ']' when type = 'table' then '[Table: ' || caption || ']' else '' end"
@@ -116,6 +125,8 @@ SQL = {
     "page_context": _context(1, 2000, "'text'", True),
     "page_context_wide": _context(2, 300, "'text', 'image', 'table'", True),
     "chunk_context": _context(2, 2000, "'text'", False),
+    "page_context_in_rows": _context(1, 2000, "'text'", True),
+    "chunk_context_in_rows": _context(2, 2000, "'text'", False),
     "context_text": f"with {BLOCKS} select doc_id, pos, {_SAID} as said from blocks",
     "truncate_context": f"with d as (select doc_id, coalesce(text, '') as x from documents) select doc_id, {', '.join(f'{truncate_sql("x", n)} as c{n}' for n in (2000, 300, 50))} from d",
     "text_chunk_context": f"with {BLOCKS}, d as (select distinct doc_id from documents), c as (select d.doc_id, coalesce(string_agg({strip_sql('coalesce(text, table_body)')}, chr(10) order by pos), '') as x from d left join blocks b on d.doc_id = b.doc_id and pos between 0 and 4 and pos <> 2 and {strip_sql('coalesce(text, table_body)')} <> '' group by d.doc_id) select doc_id, {truncate_sql('x', 2000)} as context from c",

@@ -61,6 +61,18 @@ def test_context_windows(spark):
             assert got[1, 1] == ("other" if page or w else "")
 
 
+def test_contexts_within_rows_and_by_windows_agree(spark, monkeypatch):
+    bs = [T(f"t{k}", page_idx=(k * 7) % 5, text_level=k % 2) if k % 3 else {"type": "table", "page_idx": k % 4, "captions": ["c"] * (k % 2)} for k in range(30)]
+    df = docs(spark, bs, [T("x")], [], bs[:9])
+    for mode, f in (("page", context.page_context), ("chunk", context.chunk_context)):
+        for w in (0, 1, 3):
+            c = Config(context_mode=mode, context_window=w, context_filter_types=("text", "table"))
+            want = sorted((r.doc_id, r.pos, r.context) for r in f(source.exploded(df), c).collect())
+            for most in (5000, 20):
+                monkeypatch.setattr(context, "LONG", most)
+                assert sorted((r.doc_id, r.pos, r.context) for r in context.document_context(df, c).collect()) == want
+
+
 def test_context_of_captions(spark):
     bs = [{"type": "image", "captions": ["a", "b"]}, {"type": "table", "captions": []}, T("t")]
     got = [r.s for r in source.exploded(docs(spark, bs)).select(context.item_text().alias("s")).collect()]
