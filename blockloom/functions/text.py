@@ -134,6 +134,11 @@ def inline_markup(x: Column | str) -> Column:
     return out
 
 
+def image_data(content: Column | str) -> Column:
+    """An image's bytes as base64, empty without any."""
+    return F.coalesce(F.base64(_c(content)), F.lit(""))
+
+
 def page_of(pos: Column | str, per_page: int = 10) -> Column:
     return F.floor(_c(pos) / per_page).cast("int")
 

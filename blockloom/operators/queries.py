@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, strip
@@ -79,6 +79,24 @@ def marked(prompt: Column, readable: Column) -> Column:
     return run(prompt, readable)
 
 
+def readable_images(prompt: Column, folders: list[str]) -> Column:
+    """The paths that a prompt names as images and that lie, normalised, in one of some folders."""
+    from ..sources.files import below
+
+    found = F.regexp_extract_all(prompt, F.lit(_IMAGE.pattern), 1)
+    return F.array_distinct(F.filter(F.transform(found, strip), lambda p: below(p, folders)))
+
+
+def vision_messages(df: DataFrame, prompt: str, question: str, folders: list[str], system: Column | None = None) -> DataFrame:
+    """df with system, parts, images for a vision model: a retrieved prompt with its safe images between its texts. Without such images the parts are the prompt and the question as one text."""
+    p, q = F.col(prompt), F.col(question)
+    # a generator of one row keeps the Python function out of the expressions over its result
+    m = df.withColumn("_m", F.explode(F.array(marked(p, readable_images(p, folders)))))
+    plain = F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit("Context:\n"), p, F.lit("\n\nUser Question: "), q).alias("text"), F.lit(None).cast("int").alias("image")))
+    parts = F.when(F.size("_m.images") > 0, messages(F.col("_m.prompt"), F.col("_m.images"), q)).otherwise(plain)
+    return m.withColumns({"system": F.lit(SYSTEM) if system is None else F.concat(F.lit(SYSTEM + " "), system), "parts": parts, "images": F.col("_m.images")}).drop("_m")
+
+
 def messages(prompt: Column, images: Column, question: Column) -> Column:
     """The parts of a message: texts between markers, images (by number from 0) at them, then the question. Markers of no image go."""
     pieces = F.split(prompt, r"\[VLM_IMAGE_")

@@ -238,6 +238,23 @@ def test_cache_key_is_portable(spark):
     assert a == b != c and a.startswith("multimodal_query:")
 
 
+def test_vision_message(spark):
+    prompt = "a\nImage Path: /w/x.png\nb\nImage Path: /w/../etc/y.png\nImage Path: /w/d/z.JPG\nImage Path: /w/d/z.jpg\nc"
+    df = spark.createDataFrame([(prompt, "q?"), ("no image", "q?")], "p string, q string")
+    a, b = queries.vision_messages(df, "p", "q", ["/w"], F.lit("Be brief.")).collect()
+    assert a.images == ["/w/x.png", "/w/d/z.jpg"] and a.system.endswith("answers. Be brief.")
+    assert [(p.type, p.image) for p in a.parts] == [("text", None), ("image", 0), ("text", None), ("image", 1), ("text", None), ("text", None)]
+    assert "/w/../etc/y.png" in a.parts[2].text and a.parts[-1].text.startswith("\n\nUser Question: q?")
+    assert [p.text for p in b.parts] == ["Context:\nno image\n\nUser Question: q?"]
+
+
+def test_image_data(spark):
+    from blockloom.functions.text import image_data
+
+    df = spark.createDataFrame([(b"png",), (None,)], "c binary")
+    assert [r.d for r in df.select(image_data("c").alias("d")).collect()] == ["cG5n", ""]
+
+
 def test_config(spark):
     c = Config()
     assert (c.parser, c.parse_method, c.context_window, c.context_mode, c.max_context_tokens, c.use_full_path, c.max_concurrent_files) == ("mineru", "auto", 1, "page", 2000, False, 1)
