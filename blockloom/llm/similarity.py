@@ -7,7 +7,8 @@ bands of ROWS; texts that agree in a band meet, and the share of agreeing least
 (standard error 0.035 at 0.8). A pair of 0.8 shares a band with a chance of 0.9999.
 
 Only bands that different fingerprints share are kept, and only their texts' sketches travel (256 bytes). A band's
-members are compared in tiles; large groups are split to pairs of tiles as anchors are; each gives a forest of links.
+members are compared among each other; of bands of over TILE members, first with LEADERS of them, and only what that
+leaves apart is compared with all. Each comparison gives a forest of links, never all pairs.
 Texts without words have no sketch and are left to their fingerprints.
 """
 
@@ -25,7 +26,7 @@ PERMUTATIONS, ROWS, SIMILARITY = 128, 5, 0.8
 BANDS = PERMUTATIONS // ROWS
 #: What the estimate must reach: about one standard error below, as a missed copy costs more than a near miss.
 LEAST = SIMILARITY - 0.03
-TILE = 512
+TILE, LEADERS = 512, 16
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -64,28 +65,102 @@ def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _vectors(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, PERMUTATIONS)
+
+
+def _edges(pairs: list) -> pa.RecordBatch:
+    e = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(e.min(1)), pa.array(e.max(1))], names=["a", "b"])
+
+
 def links(sketches: DataFrame) -> DataFrame:
     """(a, b): fingerprints of similar texts. sketches: fp, bands, sketch; one row for each fingerprint."""
     members = sketches.select(F.explode("bands").alias("band"), "fp")
     # partial minima, maxima and counts: a band that all texts share is one row for each task
-    shared = durable(members.groupBy("band").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
-    met = members.join(shared, "band").withColumn("t", F.pmod(F.xxhash64("fp"), "tiles").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("band", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "fp").join(sketches.select("fp", "sketch"), "fp")
-    dealt = met.repartition("band", "t1", "t2").sortWithinPartitions("band", "t1", "t2").select("band", "t1", "t2", "t", "fp", "sketch")
+    shared = durable(members.groupBy("band").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n"))
+    calm = members.join(shared.where(F.col("n") <= TILE).select("band"), "band").join(sketches.select("fp", "sketch"), "fp")
+    calm = calm.repartition("band").sortWithinPartitions("band").select("band", "fp", "sketch")
+
+    def run(batches):
+        from .embeddings import _works
+
+        for work in _works(batches, 1):
+            fp, x = work.column("fp").to_numpy(), _vectors(work.column("sketch"))
+            yield _edges([(fp[i], fp[j]) for i, j in forest(alike(x, x))])
+
+    out = calm.mapInArrow(run, "a long, b long")
+    hot = shared.where(F.col("n") > TILE)
+    if not hot.isEmpty():
+        out = out.unionByName(_hot_links(members, hot, sketches.select("fp", "sketch")))
+    return out.distinct()
+
+
+def _hot_links(members: DataFrame, hot: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links within bands of many members, that join all that all their links would.
+
+    LEADERS of a band's members are compared with all of them. What is linked to leaders that are linked to each other
+    is one component; only the members outside a band's largest such component are then compared with all its members,
+    in tiles. For a group of near copies nearly nobody is outside, and the work is linear in the group."""
+    tile = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    own = members.join(hot.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("nj")), "band")
+    chosen = own.groupBy("band", "nj", F.pmod(F.xxhash64("fp"), F.lit(LEADERS)).cast("int").alias("k")).agg(F.min("fp").alias("fp"))
+    led = chosen.select("band", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "k", "fp")
+    first = own.select("band", tile(F.col("nj")).alias("j"), F.lit(-1).alias("k"), "fp").unionByName(led)
+    first = first.join(sketches, "fp").repartition("band", "j").sortWithinPartitions("band", "j", "k").select("band", "j", "k", "fp", "sketch")
+
+    def with_leaders(batches):
+        from .embeddings import _works
+
+        for work in _works(batches, 2):
+            k, fp, x = work.column("k").to_numpy(), work.column("fp").to_numpy(), _vectors(work.column("sketch"))
+            lead, rows = k >= 0, k < 0
+            m = alike(x[rows], x[lead])
+            masks = (m.astype(np.int64) << k[lead].astype(np.int64)[None, :]).sum(1)
+            ids = fp[lead]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(int(rows.sum()), work.column("band")[0].as_py(), np.int64)), pa.array(fp[rows]), pa.array(masks), pa.array([ids[r].tolist() for r in m], pa.list_(pa.int64()))], names=["band", "fp", "mask", "to"]
+            )
+
+    found = durable(first.mapInArrow(with_leaders, "band long, fp long, mask long, to array<long>"))
+    star = found.select("fp", F.explode("to").alias("b")).where("fp <> b")
+    stars = star.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
+
+    @F.arrow_udf("long")
+    def largest(groups: pa.Array) -> pa.Array:
+        """Of masks with their numbers of members: the leaders of the component with most members, as bits."""
+        out = []
+        for rows in groups.to_pylist():
+            parts: list[int] = []
+            for r in rows:
+                mask, rest = r["mask"], []
+                for p in parts:
+                    if p & mask:
+                        mask |= p
+                    else:
+                        rest.append(p)
+                parts = [*rest, mask] if mask else rest
+            out.append(max(parts, key=lambda p: (sum(r["n"] for r in rows if r["mask"] & p), p), default=0))
+        return pa.array(out, pa.int64())
+
+    # 2**LEADERS masks of a band at most
+    masks = found.groupBy("band", "mask").agg(F.count("*").alias("n")).groupBy("band").agg(F.collect_list(F.struct("mask", "n")).alias("g"), F.sum("n").alias("n"))
+    main = masks.select("band", "n", largest("g").alias("main"))
+    seen = found.select("band", "fp", "mask").join(main, "band").withColumn("outside", F.col("mask").bitwiseAND(F.col("main")) == 0)
+    out_n = durable(seen.where("outside").groupBy("band").agg(F.count("*").alias("r"), F.first("n").alias("n")))
+    if out_n.isEmpty():
+        return stars
+    sized = seen.select("band", "fp", "outside").join(out_n.select("band", F.ceil(F.col("r") / TILE).cast("int").alias("ri"), F.ceil(F.col("n") / TILE).cast("int").alias("nj")), "band")
+    left = sized.where("outside").select("band", tile(F.col("ri")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("left"), "fp")
+    right = sized.select("band", F.explode(F.sequence(F.lit(0), F.col("ri") - 1)).alias("i"), tile(F.col("nj")).alias("j"), F.lit(False).alias("left"), "fp")
+    dealt = left.unionByName(right).join(sketches, "fp").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").select("band", "i", "j", "left", "fp", "sketch")
 
     def run(batches):
         from .embeddings import _works
 
         for work in _works(batches, 3):
-            tile, fp = work.column("t").to_numpy(), work.column("fp").to_numpy()
-            x = np.frombuffer(b"".join(work.column("sketch").to_pylist()), "<u2").reshape(len(fp), PERMUTATIONS)
-            if work.column("t1")[0] == work.column("t2")[0]:
-                edges = [(fp[i], fp[j]) for i, j in forest(alike(x, x))]
-            else:
-                a = tile == work.column("t1")[0].as_py()
-                edges = [(fp[a][i], fp[~a][j]) for i, j in forest_between(alike(x[a], x[~a]))]
-            if edges:
-                e = np.array(edges, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(e.min(1)), pa.array(e.max(1))], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            a, fp, x = work.column("left").to_numpy(), work.column("fp").to_numpy(), _vectors(work.column("sketch"))
+            m = alike(x[a], x[~a]) & (fp[a][:, None] != fp[~a][None, :])
+            yield _edges([(fp[a][i], fp[~a][j]) for i, j in forest_between(m)])
+
+    return stars.unionByName(dealt.mapInArrow(run, "a long, b long"))
