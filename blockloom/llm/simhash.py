@@ -82,6 +82,24 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     return slim.mapInArrow(run, f"doc_id {kind}, key long, fp long" + ", bands array<long>, sketch binary" * wide)
 
 
+def _hashed(near: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """fp, sketch, hashes (the text's distinct shingle hashes, sorted, uint64). near: fp, key (of the text's row), sketch."""
+    texts = docs.select(_key(doc_id, text).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
+    met = texts.join(near, "key").select("fp", "sketch", "text")
+
+    def run(batches):
+        for batch in batches:
+            seen, rows = set(), []
+            for fp, sketch, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if fp not in seen:  # rows that agree in id and text
+                    seen.add(fp)
+                    rows.append((fp, sketch, np.unique(np.concatenate(list(shingle_hashes(t, words)))).astype("<u8").tobytes()))
+            cols = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["fp", "sketch", "hashes"])
+
+    return met.mapInArrow(run, "fp long, sketch binary, hashes binary")
+
+
 def _key(doc_id: str, text: str):
     return F.xxhash64(col(doc_id), F.coalesce(col(text), F.lit("")))
 
@@ -211,14 +229,18 @@ def links(classes: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, wide: bool = False) -> DataFrame:
     """doc_id, key, fp, root (its group's fingerprint), component_id (its group's least id) for every row of docs.
 
-    wide: texts link as well if their shingles agree by similarity.SIMILARITY."""
+    wide: texts link as well if they share similarity.SIMILARITY of their shingles."""
     fps = durable(fingerprints(docs, doc_id, text, words, wide))
     # texts of one fingerprint are one class, with the sketch of one of them
-    more = [F.min_by(F.struct("bands", "sketch"), "key").alias("s")] if wide else []
+    more = [F.min_by(F.struct("key", "bands", "sketch"), "key").alias("s")] if wide else []
     classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *more))
     edges = links(classes)
     if wide:
-        edges = edges.unionByName(similarity.links(classes.where("s.bands is not null").select("fp", "s.bands", "s.sketch")))
+        sketched = classes.where("s.bands is not null").select("fp", "s.key", "s.bands", "s.sketch")
+        candidates = components(similarity.links(sketched.drop("key")))
+        candidates = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())  # roots are no nodes there
+        near = sketched.join(candidates.select(F.col("node").alias("fp")), "fp").select("fp", "key", "sketch")
+        edges = edges.unionByName(similarity.confirmed(candidates, _hashed(near, docs, doc_id, text, words)))
     found = components(edges)
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

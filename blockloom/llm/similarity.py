@@ -4,11 +4,14 @@ SimHash within 3 of 64 bits finds copies and nearly equal texts. Two texts with
 about 10 bits, beyond any radius that anchors can prune. So that "near-duplicate" means 0.8 here, the operator's
 deduplicate() adds candidates from the same shingle hashes: the least hashes under PERMUTATIONS linear permutations, in
 bands of ROWS; texts that agree in a band meet, and the share of agreeing least hashes estimates their similarity
-(standard error 0.035 at 0.8). A pair of 0.8 shares a band with a chance of 0.9999.
+(standard error 0.035 at 0.8). A pair of 0.8 shares a band with a chance of 0.9999, and its estimate reaches LEAST with
+one of 0.99998. The estimate only proposes: links() gives groups of candidates, and confirmed() compares the whole sets
+of shingle hashes of a group's pairs whose estimate reaches LEAST; they link if the similarity is SIMILARITY or more.
 
 Only bands that different fingerprints share are kept, and only their texts' sketches travel (256 bytes). A band's
 members are compared among each other; of bands of over TILE members, first with LEADERS of them, and only what that
-leaves apart is compared with all. Each comparison gives a forest of links, never all pairs.
+leaves apart is compared with all; groups of candidates alike. Each comparison gives a forest of links, never all pairs.
+Sets travel once, for texts that have candidates only; of groups of over TILE texts, the leaders' go to each tile.
 Texts without words have no sketch and are left to their fingerprints.
 """
 
@@ -24,8 +27,8 @@ from .graphs import forest, forest_between
 
 PERMUTATIONS, ROWS, SIMILARITY = 128, 5, 0.8
 BANDS = PERMUTATIONS // ROWS
-#: What the estimate must reach: about one standard error below, as a missed copy costs more than a near miss.
-LEAST = SIMILARITY - 0.03
+#: What the estimate of a candidate must reach: over four standard errors below.
+LEAST = SIMILARITY - 0.15
 TILE, LEADERS = 512, 16
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,15 +59,57 @@ def sketch(least: np.ndarray) -> bytes:
     return ((least * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Boolean matrix: the estimate reaches LEAST, for rows of sketches (uint16)."""
-    need, out = int(np.ceil(LEAST * PERMUTATIONS)), np.empty((len(x), len(y)), bool)
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Matrix: how many least hashes agree, for rows of sketches (uint16)."""
+    out = np.empty((len(x), len(y)), np.int16)
     step = max(1, (1 << 22) // max(1, y.size))
     for at in range(0, len(x), step):
-        out[at : at + step] = (x[at : at + step, None, :] == y[None, :, :]).sum(2) >= need
+        out[at : at + step] = (x[at : at + step, None, :] == y[None, :, :]).sum(2)
+    return out
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Boolean matrix: the estimate reaches LEAST."""
+    return agreeing(x, y) >= int(np.ceil(LEAST * PERMUTATIONS))
+
+
+def near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) share SIMILARITY of their hashes; no rounding: 4/5."""
+    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * both >= 4 * (len(x) + len(y) - both)
+
+
+def near_forest(x: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that join what near pairs join, of sketches and sets; likelier pairs first, pairs already joined not at all."""
+    agree = np.triu(agreeing(x, x), 1)
+    i, j = np.nonzero(agree >= int(np.ceil(LEAST * PERMUTATIONS)))
+    label, out = np.arange(len(x)), []
+    for k in np.argsort(-agree[i, j], kind="stable").tolist():
+        a, b = int(i[k]), int(j[k])
+        if label[a] != label[b] and near(sets[a], sets[b]):
+            label[label == label[b]] = label[a]
+            out.append((a, b))
     return out
 
 
+def _matches(work: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Boolean matrix between two selections of rows: near, or alike where there are no sets."""
+    x = _vectors(work.column("sketch"))
+    m = alike(x[a], x[b])
+    if "hashes" in work.column_names:
+        sets = _sets(work.column("hashes"))
+        own, other = np.flatnonzero(a), np.flatnonzero(b)
+        for i, j in zip(*np.nonzero(m), strict=True):
+            m[i, j] = near(sets[own[i]], sets[other[j]])
+    return m
+
+
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), "<u8") for v in column]
+
+
 def _vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, PERMUTATIONS)
 
@@ -75,7 +120,7 @@ def _edges(pairs: list) -> pa.RecordBatch:
 
 
 def links(sketches: DataFrame) -> DataFrame:
-    """(a, b): fingerprints of similar texts. sketches: fp, bands, sketch; one row for each fingerprint."""
+    """(a, b): fingerprints of candidates, by estimate. sketches: fp, bands, sketch; one row for each fingerprint."""
     members = sketches.select(F.explode("bands").alias("band"), "fp")
     # partial minima, maxima and counts: a band that all texts share is one row for each task
     shared = durable(members.groupBy("band").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n"))
@@ -96,8 +141,31 @@ def links(sketches: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def confirmed(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): fingerprints of texts that share SIMILARITY of their shingles, enough to join all such pairs of a group.
+
+    groups: node, root, of candidates. sets: fp, sketch, hashes (the whole set, sorted, uint64); of those nodes."""
+    members = groups.select(F.col("root").alias("band"), F.col("node").alias("fp"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
+    hot = durable(sizes.where(F.col("n") > TILE))
+    some = not hot.isEmpty()
+    sets = durable(sets) if some else sets
+    calm = (members.join(hot.select("band"), "band", "left_anti") if some else members).join(sets, "fp")
+    calm = calm.repartition("band").sortWithinPartitions("band").select("band", "fp", "sketch", "hashes")
+
+    def run(batches):
+        from .embeddings import _works
+
+        for work in _works(batches, 1):
+            fp = work.column("fp").to_numpy()
+            yield _edges([(fp[i], fp[j]) for i, j in near_forest(_vectors(work.column("sketch")), _sets(work.column("hashes")))])
+
+    out = calm.mapInArrow(run, "a long, b long")
+    return out.unionByName(_hot_links(members, hot, sets)) if some else out
+
+
 def _hot_links(members: DataFrame, hot: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links within bands of many members, that join all that all their links would.
+    """Links within bands of many members, that join all that all their links would; near ones if sketches have hashes.
 
     LEADERS of a band's members are compared with all of them. What is linked to leaders that are linked to each other
     is one component; only the members outside a band's largest such component are then compared with all its members,
@@ -107,15 +175,16 @@ def _hot_links(members: DataFrame, hot: DataFrame, sketches: DataFrame) -> DataF
     chosen = own.groupBy("band", "nj", F.pmod(F.xxhash64("fp"), F.lit(LEADERS)).cast("int").alias("k")).agg(F.min("fp").alias("fp"))
     led = chosen.select("band", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "k", "fp")
     first = own.select("band", tile(F.col("nj")).alias("j"), F.lit(-1).alias("k"), "fp").unionByName(led)
-    first = first.join(sketches, "fp").repartition("band", "j").sortWithinPartitions("band", "j", "k").select("band", "j", "k", "fp", "sketch")
+    held = [c for c in sketches.columns if c != "fp"]
+    first = first.join(sketches, "fp").repartition("band", "j").sortWithinPartitions("band", "j", "k").select("band", "j", "k", "fp", *held)
 
     def with_leaders(batches):
         from .embeddings import _works
 
         for work in _works(batches, 2):
-            k, fp, x = work.column("k").to_numpy(), work.column("fp").to_numpy(), _vectors(work.column("sketch"))
+            k, fp = work.column("k").to_numpy(), work.column("fp").to_numpy()
             lead, rows = k >= 0, k < 0
-            m = alike(x[rows], x[lead])
+            m = _matches(work, rows, lead)
             masks = (m.astype(np.int64) << k[lead].astype(np.int64)[None, :]).sum(1)
             ids = fp[lead]
             yield pa.RecordBatch.from_arrays(
@@ -153,14 +222,14 @@ def _hot_links(members: DataFrame, hot: DataFrame, sketches: DataFrame) -> DataF
     sized = seen.select("band", "fp", "outside").join(out_n.select("band", F.ceil(F.col("r") / TILE).cast("int").alias("ri"), F.ceil(F.col("n") / TILE).cast("int").alias("nj")), "band")
     left = sized.where("outside").select("band", tile(F.col("ri")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("left"), "fp")
     right = sized.select("band", F.explode(F.sequence(F.lit(0), F.col("ri") - 1)).alias("i"), tile(F.col("nj")).alias("j"), F.lit(False).alias("left"), "fp")
-    dealt = left.unionByName(right).join(sketches, "fp").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").select("band", "i", "j", "left", "fp", "sketch")
+    dealt = left.unionByName(right).join(sketches, "fp").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").select("band", "i", "j", "left", "fp", *held)
 
     def run(batches):
         from .embeddings import _works
 
         for work in _works(batches, 3):
-            a, fp, x = work.column("left").to_numpy(), work.column("fp").to_numpy(), _vectors(work.column("sketch"))
-            m = alike(x[a], x[~a]) & (fp[a][:, None] != fp[~a][None, :])
+            a, fp = work.column("left").to_numpy(), work.column("fp").to_numpy()
+            m = _matches(work, a, ~a) & (fp[a][:, None] != fp[~a][None, :])
             yield _edges([(fp[a][i], fp[~a][j]) for i, j in forest_between(m)])
 
     return stars.unionByName(dealt.mapInArrow(run, "a long, b long"))

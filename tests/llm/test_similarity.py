@@ -82,3 +82,23 @@ def test_texts_without_words(spark):
     got = sorted(r.doc_id for r in simhash.deduplicate(df).collect())
     assert got == [1, 4, 6]
     assert simhash.deduplicate(df.where("doc_id < 4")).count() == 1
+
+
+def test_pairs_at_the_border_are_decided_exactly(spark, monkeypatch):
+    """Pairs of 0.80 and 0.81 link, pairs of 0.79 and 0.78 don't: each decided by the whole sets, in small groups and in split ones."""
+    rng, rows, want = random.Random(9), [], {}
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for k in range(120):
+        base = [word() for _ in range((94, 99, 91, 87)[k % 4])]
+        copy = list(base)
+        copy[30], copy[60] = word(), word()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        a, b = (shingles(t) for _, t in rows[-2:])
+        x, y = (simhash.fingerprint(t, 5) for _, t in rows[-2:])
+        want[k] = 5 * len(a & b) >= 4 * len(a | b) or (x ^ y).bit_count() <= 3
+    assert 55 <= sum(want.values()) <= 65
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for tile in (similarity.TILE, 1):
+        monkeypatch.setattr(similarity, "TILE", tile)
+        root = {r.doc_id: r.root for r in simhash.grouped(df, words=5, wide=True).collect()}
+        assert {k: root[2 * k] == root[2 * k + 1] for k in want} == want
