@@ -54,20 +54,33 @@ def fingerprint(text: str, words: int = 3) -> int:
     return _sketched(text, words, False)[0]
 
 
-def _sketched(text: str, words: int, wide: bool) -> tuple[int, list[int] | None, bytes | None]:
-    """The fingerprint; if wide, bands and sketch too (None without words)."""
-    counts, n, least = np.zeros(64, np.int64), 0, None
+def distinct_hashes(text: str, words: int) -> np.ndarray:
+    """A text's whole set of shingle hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, shingle_hashes(text, words))]))
+
+
+def _sketched(text: str, words: int, wide: bool) -> tuple[int, int | None, list[int] | None, bytes | None]:
+    """The fingerprint; if wide, a number for the set of shingles, bands and sketch too (None without words)."""
+    import xxhash
+
+    counts, n, least, sets = np.zeros(64, np.int64), 0, None, []
     for h in shingle_hashes(text, words):
         n += len(h)
         counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         if wide:
-            least = similarity.minima(np.unique(h), least)
+            sets.append(np.unique(h))
+            least = similarity.minima(sets[-1], least)
     fp = int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
-    return (fp, None, None) if least is None else (fp, similarity.bands(least), similarity.sketch(least))
+    if least is None:
+        return fp, None, None, None
+    whole = sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
+    # the fingerprint counts repeats, the set doesn't: the number stands for both
+    number = xxhash.xxh64_intdigest(whole.astype("<u8").tobytes(), fp) - (1 << 63)
+    return fp, number, similarity.bands(least), similarity.sketch(least)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, wide: bool = False) -> DataFrame:
-    """doc_id, key (a hash of id and text), fp (the 64 bits as a signed long) for every row of docs; if wide, bands and sketch too."""
+    """doc_id, key (a hash of id and text), fp (the 64 bits as a signed long) for every row of docs; if wide, unit (fingerprint and set of shingles), bands and sketch too."""
     session_of(docs)
     slim = docs.select(col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -76,10 +89,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
         for batch in batches:
             got = [_sketched(t, words, wide) for t in batch.column("text").to_pylist()]
             cols = [batch.column("doc_id"), batch.column("key"), pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64))]
-            more = [pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.binary())] if wide else []
-            yield pa.RecordBatch.from_arrays(cols + more, names=["doc_id", "key", "fp", "bands", "sketch"][: len(cols) + len(more)])
+            more = [pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.list_(pa.int64())), (3, pa.binary()))] if wide else []
+            yield pa.RecordBatch.from_arrays(cols + more, names=["doc_id", "key", "fp", "unit", "bands", "sketch"][: len(cols) + len(more)])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, key long, fp long" + ", bands array<long>, sketch binary" * wide)
+    return slim.mapInArrow(run, f"doc_id {kind}, key long, fp long" + ", unit long, bands array<long>, sketch binary" * wide)
 
 
 def _hashed(near: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -93,7 +106,7 @@ def _hashed(near: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int
             for fp, sketch, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if fp not in seen:  # rows that agree in id and text
                     seen.add(fp)
-                    rows.append((fp, sketch, np.unique(np.concatenate(list(shingle_hashes(t, words)))).astype("<u8").tobytes()))
+                    rows.append((fp, sketch, distinct_hashes(t, words).astype("<u8").tobytes()))
             cols = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["fp", "sketch", "hashes"])
 
@@ -231,16 +244,20 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
     wide: texts link as well if they share similarity.SIMILARITY of their shingles."""
     fps = durable(fingerprints(docs, doc_id, text, words, wide))
-    # texts of one fingerprint are one class, with the sketch of one of them
-    more = [F.min_by(F.struct("key", "bands", "sketch"), "key").alias("s")] if wide else []
-    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *more))
+    # texts of one fingerprint are one class
+    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(classes)
     if wide:
-        sketched = classes.where("s.bands is not null").select("fp", "s.key", "s.bands", "s.sketch")
-        candidates = components(similarity.links(sketched.drop("key")))
+        # texts of one fingerprint may be of different shingles, and each set has links of its own
+        units = fps.where("unit is not null").groupBy("unit").agg(F.min_by(F.struct("key", "fp", "bands", "sketch"), "key").alias("s"))
+        units = durable(units.select(F.col("unit").alias("fp"), "s.key", F.col("s.fp").alias("of"), "s.bands", "s.sketch"))
+        candidates = components(similarity.links(units.select("fp", "bands", "sketch")))
         candidates = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())  # roots are no nodes there
-        near = sketched.join(candidates.select(F.col("node").alias("fp")), "fp").select("fp", "key", "sketch")
-        edges = edges.unionByName(similarity.confirmed(candidates, _hashed(near, docs, doc_id, text, words)))
+        near = durable(units.join(candidates.select(F.col("node").alias("fp")), "fp").select("fp", "of", "key", "sketch"))
+        found = similarity.confirmed(candidates, _hashed(near.drop("of"), docs, doc_id, text, words))
+        for side in ("a", "b"):
+            found = found.join(near.select(F.col("fp").alias(side), F.col("of").alias(f"{side}_of")), side)
+        edges = edges.unionByName(found.select(F.least("a_of", "b_of").alias("a"), F.greatest("a_of", "b_of").alias("b")))
     found = components(edges)
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -102,3 +102,16 @@ def test_pairs_at_the_border_are_decided_exactly(spark, monkeypatch):
         monkeypatch.setattr(similarity, "TILE", tile)
         root = {r.doc_id: r.root for r in simhash.grouped(df, words=5, wide=True).collect()}
         assert {k: root[2 * k] == root[2 * k + 1] for k in want} == want
+
+
+def test_each_set_of_shingles_of_a_fingerprint_has_its_links(spark):
+    """One repeated line makes the fingerprint of two texts; a third and a fourth are each like one of the two."""
+    rng = random.Random(5)
+    said = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120))
+    x, y, line = said(), said(), "one two three four five "
+    rows = [(1, line * 400 + x), (2, line * 400 + y), (3, line + x), (4, line + y), (5, said())]
+    fp = [simhash.fingerprint(t, 5) for _, t in rows]
+    assert fp[0] == fp[1] and len(set(fp)) == 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {r.doc_id: r.root for r in simhash.grouped(df, words=5, wide=True).collect()}
+    assert root[1] == root[2] == root[3] == root[4] != root[5]
