@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
 
 Base kinds are email, ip, card (Luhn) and phone; the method adds iban (mod 97) and, where a context word stands nearby,
-ssn and dob. A span that fails its check is dropped and not retried. Offsets are code points, ends exclusive. All scans
+ssn and dob. A span that fails its check is dropped and not retried, but
+of an IBAN all ends are tried, the longest first. Offsets are code points, ends exclusive. All scans
 are linear in the text: runs are matched possessively and local parts of addresses are found from their "@".
 
 Nulls are empty texts, which have no spans; every input row gives one row; an empty table gives none.
@@ -25,7 +26,15 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+#: Where an IBAN may start, and one character more of it; its end is tried by _ibans.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_IBAN_NEXT = re.compile(r" ?[A-Z0-9]")
+#: An IBAN's length by country. Of other countries any of 15 to 34 that passes is taken.
+IBAN_LENGTH = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT", 32: "LC",
+}.items() for c in cs.split()}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _DOB = re.compile(r"(?<![0-9/-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9/-])")
 #: Score before context; an added kind stays at KEEP and above.
@@ -92,6 +101,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _ibans(text: str):
+    """Spans that end a word and pass mod 97, of their country's length, or else the longest of 15 to 34; spaces apart."""
+    free = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < free:
+            continue
+        at, ends, fixed = m.end(), [], IBAN_LENGTH.get(m[0][:2])
+        for n in range(5, 35):
+            x = _IBAN_NEXT.match(text, at)
+            if not x:
+                break
+            at = x.end()
+            after = text[at : at + 1]
+            if (n == fixed if fixed else n >= 15) and not (after.isascii() and after.isalnum()):
+                ends.append(at)
+        for b in reversed(ends):
+            if mod97(text[m.start() : b].replace(" ", "")):
+                yield m.start(), b
+                free = b
+                break
+
+
 def _score(kind: str, text: str, a: int, b: int) -> float:
     around = text[max(0, a - NEAR) : a] + " " + text[b : b + NEAR]
     return round(min(1.0, max(0.0, PRIOR[kind] + LIFT * bool(_FOR[kind].search(around)) - DAMP * bool(_NOT.search(around)))), 4)
@@ -100,12 +131,11 @@ def _score(kind: str, text: str, a: int, b: int) -> float:
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score), base kinds first, then by start."""
     out = [(k, a, b, _score(k, text, a, b)) for k, a, b in base_spans(text)]
-    for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("dob", _DOB)):
-        for m in pattern.finditer(text):
-            if kind == "iban" and not (15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x)):
-                continue
-            if (s := _score(kind, text, *m.span())) >= KEEP:
-                out.append((kind, *m.span(), s))
+    added = [("iban", a, b) for a, b in _ibans(text)]
+    added += [(k, *m.span()) for k, pattern in (("ssn", _SSN), ("dob", _DOB)) for m in pattern.finditer(text)]
+    for kind, a, b in added:
+        if (s := _score(kind, text, a, b)) >= KEEP:
+            out.append((kind, a, b, s))
     return out
 
 

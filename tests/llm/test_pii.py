@@ -39,6 +39,16 @@ def test_added_kinds():
     assert got == {("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("ssn", "123-45-6789"), ("dob", "1980-02-29")}
 
 
+def test_ibans_before_capitals_and_numbers():
+    for after in (" Please pay", " BIC COBADEFF", " 12.5 EUR", " AND MORE", " 7", "", ".", " now", "é"):
+        for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"):
+            text = f"IBAN {iban}{after}"
+            assert [text[a:b] for k, a, b, _ in pii.spans(text) if k == "iban"] == [iban], text
+    assert not [x for x in pii.spans("DE89370400440532013001 Please") + pii.spans("DE89370400440532013000x") if x[0] == "iban"]
+    two = "DE89370400440532013000 GB82WEST12345698765432"
+    assert [two[a:b] for k, a, b, _ in pii.spans(two) if k == "iban"] == two.split()
+
+
 def test_context_moves_the_score():
     score = lambda t: pii.spans(t)[0][3]
     assert score("example a@b.co") < score("a@b.co") < score("mail a@b.co")
