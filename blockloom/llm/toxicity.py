@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-A text's words (runs of letters and digits in lower case) are cut into all windows of WINDOW words, each overlapping
+A text's words (runs of letters and digits in lower case, very long ones in overlapping pieces) are cut into all windows of WINDOW words, each overlapping
 the next by half. A word's input is the vector of the word, if training knew it, and the mean of the vectors of its
 hashed character trigrams. A forward and a backward GRU read the window; attention weighs their states; a logistic unit
 scores the weighted sum. A text's score is a logistic of its TOP highest windows, fitted to whole training texts: one odd
@@ -32,23 +32,30 @@ from pyspark.sql import functions as F
 from .common import col, session_of, table
 
 MAX_TEXTS, MAX_TEXT_BYTES, MAX_WORDS, WINDOW = 1500, 1 << 16, 20_000, 32
-WORD_DIM, CHAR_DIM, HIDDEN, TRIGRAMS, MAX_TRIGRAMS = 8, 8, 8, 4096, 16
+WORD_DIM, CHAR_DIM, HIDDEN, TRIGRAMS = 8, 8, 8, 4096
 EPOCHS, STEPS, ROUNDS, BATCH, RATE, DROP, DECAY, SEED = 4, 120, 3, 256, 0.01, 0.5, 1.0, 7  # epochs of a round, or as many as make the steps
 FOLDS, CLEAN_WINDOWS, TOP = 5, 3, 5
 PASSED = 0.7
+LONG, PIECE, SHARED = 32, 16, 2  # characters: of the longest word, of a longer run's pieces, of two pieces' overlap
 CACHE = 200_000
 _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, digits and underscores; those of over LONG characters in pieces that hold all their trigrams."""
+    out: list[str] = []
+    for w in _WORD.findall(text.lower()):
+        if len(w) <= LONG:
+            out.append(w)
+        else:
+            out += [w[k : k + PIECE] for k in range(0, len(w) - SHARED, PIECE - SHARED)]
+    return out
 
 
 def trigrams(word: str) -> list[int]:
-    """Hashed trigrams of the word with its ends marked, MAX_TRIGRAMS of them at most, evenly from a longer word."""
+    """Hashed trigrams of the word with its ends marked."""
     s = f"<{word}>"
-    grams = [zlib.crc32(s[k : k + 3].encode("utf-8", "replace")) % TRIGRAMS for k in range(max(1, len(s) - 2))]
-    return grams if len(grams) <= MAX_TRIGRAMS else [grams[k * len(grams) // MAX_TRIGRAMS] for k in range(MAX_TRIGRAMS)]
+    return [zlib.crc32(s[k : k + 3].encode("utf-8", "replace")) % TRIGRAMS for k in range(max(1, len(s) - 2))]
 
 
 def windows(n: int) -> np.ndarray:

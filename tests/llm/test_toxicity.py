@@ -67,6 +67,17 @@ def test_windows_cover_every_word():
         assert seen == set(range(n))
 
 
+def test_long_runs_are_read_whole():
+    rng = random.Random(8)
+    for n in (1, 17, 32, 33, 34, 48, 2000):
+        run = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+        words = T.words_of(run)
+        assert max(map(len, words)) <= T.LONG and (n <= T.LONG) == (words == [run])
+        assert {run[k : k + 3] for k in range(n - 2)} <= {w[k : k + 3] for w in words for k in range(len(w) - 2)}
+        assert all(len(T.trigrams(w)) == len(w) for w in words)  # one for each character, the ends marked
+    assert len(T.windows(len(T.words_of("x" * 2000)))) > 1
+
+
 def test_frames(spark):
     rows = made(120, 3)
     df = spark.createDataFrame([(i, t, 0.0) for i, t, _ in rows] + [(900, None, 0.0), (901, "", 0.0), (902, "...", 0.0), (None, "a", 0.0), (0, rows[0][1], 0.0)], "doc_id long, text string, score double")
