@@ -7,8 +7,10 @@ at most MAX_ROWS of them, by least hash of the id: a bounded sample, as labels o
 reach the driver, never texts.
 
 Nulls are empty texts, which have statistics of 0 and a score like any other. Null or repeated labels: nulls are left
-out, repeats count as often as they occur. With one label only or none, the score is its share, or 0.5. Empty table:
-empty result.
+out, repeats count as often as they occur. With one label only or none, or where no statistic parts the labels (equal
+texts, say), the score is the label's share, or 0.5. Empty table: empty result. Ties in the sample go by id's hash, then
+label, then statistics. Other columns, whatever their names, are returned as they are, but score and predicted are
+replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, packed, table
 
 MAX_ROWS = 20_000
 TREES, DEPTH, CUTS, MIN_LEAF, L1, STEPS = 24, 3, 32, 5, 3e-4, 600
@@ -33,12 +35,12 @@ SYMBOLS = r"*$#%&@^~<>{}\[\]=+_\\/"
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column _q: a struct of STATISTICS, mostly shares of characters, words or lines."""
+    """row, a struct of all columns of docs, and q, a struct of STATISTICS, mostly shares of characters, words or lines."""
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    of = lambda kind: F.regexp_count("_t", F.lit(f"[{kind}]"))
-    out = docs.withColumn("_t", F.coalesce(col(text), F.lit("")))
-    out = out.withColumns({"_w": F.filter(F.split("_t", r"\s+"), lambda x: x != ""), "_l": F.filter(F.split("_t", r"\n"), lambda x: x != ""), "_n": F.length("_t")})
-    w, n, words, lines = F.col("_w"), F.col("_n"), F.size("_w"), F.size("_l")
+    of = lambda kind: F.regexp_count("t", F.lit(f"[{kind}]"))
+    out = docs.select(packed(docs), F.coalesce(col(text), F.lit("")).alias("t"))
+    out = out.withColumns({"w": F.filter(F.split("t", r"\s+"), lambda x: x != ""), "l": F.filter(F.split("t", r"\n"), lambda x: x != ""), "n": F.length("t")})
+    w, n, words, lines = F.col("w"), F.col("n"), F.size("w"), F.size("l")
     found = F.struct(
         F.log1p(words.cast("double")).alias("log_words"),
         share(n, words).alias("word_length"),
@@ -52,12 +54,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         share(of("|"), n).alias("bars"),
         share(of(".,;:"), words).alias("stops"),
         share(n, lines).alias("line_length"),
-        share(F.size(F.array_distinct("_l")), lines).alias("distinct_lines"),
+        share(F.size(F.array_distinct("l")), lines).alias("distinct_lines"),
         share(F.size(F.filter(w, lambda x: F.length(x) > 12)), words).alias("long_words"),
         share(F.size(F.filter(w, lambda x: F.length(x) < 4)), words).alias("short_words"),
     )
     # a generator of one row: the optimizer neither repeats the statistics in each rule that reads them nor moves filters below them
-    return out.select(*map(col, docs.columns), F.explode(F.array(found)).alias("_q"))
+    return out.select("row", F.explode(F.array(found)).alias("q"))
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,7 @@ class Rule:
     def column(self) -> Column:
         out = F.lit(True)
         for k, above, cut in self.terms:
-            c = F.col(f"_q.{STATISTICS[k]}")
+            c = F.col(f"q.{STATISTICS[k]}")
             out = out & ((c > F.lit(cut)) if above else (c <= F.lit(cut)))
         return out
 
@@ -135,6 +137,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
             rules[rule] = None
             f[rows] += 0.5 * step
     rules = list(rules)
+    if not rules:
+        return Model(math.log(share / (1 - share)), ())
     z = np.stack([r.holds(x) for r in rules], 1).astype(np.float64)
     # lasso logistic regression by accelerated proximal gradient steps; the bias has no penalty
     w, b = np.zeros(len(rules)), math.log(share / (1 - share))
@@ -152,26 +156,26 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def training_sample(labels: DataFrame, target: str, doc_id: str, modulus: int, held: int, most: int) -> DataFrame:
-    """At most `most` labelled rows (_id, _y) that aren't held out, by least hash of the id."""
+    """At most `most` labelled rows (id, y, o: hash of the id) that aren't held out, by least hash of the id."""
     key = col(doc_id).cast("string")
     rows = labels.where(col(doc_id).isNotNull() & col(target).isNotNull() & (F.pmod(F.crc32(key), F.lit(modulus)) != held))
-    return rows.select(col(doc_id).alias("_id"), col(target).cast("double").alias("_y"), F.md5(key).alias("_o")).orderBy("_o", "_y").limit(most)
+    return rows.select(col(doc_id).alias("id"), col(target).cast("double").alias("y"), F.md5(key).alias("o")).orderBy("o", "y").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: str = "doc_id", text: str = "text", modulus: int = 4, held: int = 2, most: int = MAX_ROWS) -> Model:
     sample = training_sample(labels, target, doc_id, modulus, held, most)
-    met = docs.select(col(doc_id).alias("_id"), col(text).alias("_text")).join(F.broadcast(sample), "_id")  # bounded by most
+    met = docs.select(col(doc_id).alias("id"), col(text).alias("text")).join(F.broadcast(sample), "id")  # bounded by most
     # a table that repeats ids could give more rows than the sample has
-    rows = statistics(met, "_text").select("_o", "_y", "_q.*").orderBy("_o", "_y", *STATISTICS).limit(2 * most).collect()
+    rows = statistics(met).select("row.o", "row.y", "q.*").orderBy("o", "y", *STATISTICS).limit(2 * most).collect()
     data = np.array([tuple(r)[1:] for r in rows], np.float64).reshape(len(rows), len(STATISTICS) + 1)
     return fit(data[:, 1:], data[:, 0])
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """docs with score and predicted; columns of these names are replaced."""
+    """docs with score and predicted; columns of these names are replaced (but the text's is read first)."""
     keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    out = statistics(docs.select(*map(col, keep)), text).withColumn("score", model.score())
-    return out.withColumn("predicted", (F.col("score") >= keep_from).cast("int")).drop("_q")
+    out = statistics(docs, text).select(*(F.col("row")[c].alias(c) for c in keep), model.score().alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= keep_from).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
