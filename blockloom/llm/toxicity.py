@@ -6,16 +6,18 @@ hashed character trigrams. A forward and a backward GRU read the window; attenti
 scores the weighted sum. A text's score is a logistic of its TOP highest windows, fitted to whole training texts: one odd
 word fills two windows at most, and many long clean texts have one.
 
-Training takes labelled rows that aren't held out, MAX_TEXTS of each label at most by least hash of the id, without texts
-of over MAX_TEXT_BYTES: a bounded sample. A word's vector starts with the log odds of the label given the word; in
+Training takes labelled rows that aren't held out, MAX_TEXTS of each label at most by least hash of the id, whole texts
+of any length: a bounded number of rows. A word's vector starts with the log odds of the label given the word; in
 training they are those that the other folds of the sample give, so that the network meets them as it will in new texts.
 First each toxic text's window of highest log odds is taken for toxic, later the one that the network scores highest;
 windows of clean texts are drawn at random, later the one of highest score too. In the first round words have their odds
 only; toxic labels that this round speaks against weigh less from then on. Gradients run back through time; Adam takes
 the steps. Every window of every text is scored, so long texts are read in whole.
 
-Nulls are empty texts; texts without words have score 0. Null labels are left out. With one label only, all scores are
-that label's share, or 0 without labels. Empty table: empty result.
+Nulls are empty texts; texts without words have score 0. Null labels are left out. With one label only, or if no
+training text has a word, all scores are the label's share, or 0 without labels. Rows of one id with different texts all
+train; in ties of the id's hash the order of texts decides, so the fit doesn't depend on partitions. Empty table: empty
+result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import col, session_of, table
 
-MAX_TEXTS, MAX_TEXT_BYTES, MAX_WORDS, WINDOW = 1500, 1 << 16, 20_000, 32
+MAX_TEXTS, MAX_WORDS, WINDOW = 1500, 20_000, 32
 WORD_DIM, CHAR_DIM, HIDDEN, TRIGRAMS = 8, 8, 8, 4096
 EPOCHS, STEPS, ROUNDS, BATCH, RATE, DROP, DECAY, SEED = 4, 120, 3, 256, 0.01, 0.5, 1.0, 7  # epochs of a round, or as many as make the steps
 FOLDS, CLEAN_WINDOWS, TOP = 5, 3, 5
@@ -226,6 +228,8 @@ def fit(texts: list[str], labels: list[int]) -> Network:
     if not len(y) or y.all() or not y.any():
         return Network({}, {}, rate=float(y.mean()) if len(y) else 0.0)
     docs = [words_of(t) for t in texts]
+    if not any(docs):
+        return Network({}, {}, rate=float(y.mean()))
     fold = rng.permutation(len(docs)) % FOLDS
     # by word and fold, how many texts of either label hold it
     counts: dict[str, np.ndarray] = {}
@@ -354,11 +358,12 @@ def _scale(high: np.ndarray, y: np.ndarray, trust: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str = "doc_id", text: str = "text", modulus: int = 3, held: int = 1, most: int = MAX_TEXTS) -> Network:
     """most: texts of each label at most."""
     key = col(doc_id).cast("string")
-    rows = labels.where(col(doc_id).isNotNull() & (F.pmod(F.crc32(key), F.lit(modulus)) != held)).select(col(doc_id).alias("_id"), (col(target) > 0).alias("_y"), F.md5(key).alias("_o"))
-    sample = rows.where("_y").orderBy("_o").limit(most).unionAll(rows.where("not _y").orderBy("_o").limit(most))
-    met = docs.select(col(doc_id).alias("_id"), col(text).alias("_text")).where(F.octet_length("_text") <= MAX_TEXT_BYTES).join(F.broadcast(sample), "_id")  # bounded by most
-    got = sorted((r["_o"], r["_y"], r["_text"] or "") for r in met.limit(4 * most).collect())
-    return fit([t for _, _, t in got], [y for _, y, _ in got])
+    rows = labels.where(col(doc_id).isNotNull() & (F.pmod(F.crc32(key), F.lit(modulus)) != held)).select(col(doc_id).alias("id"), (col(target) > 0).alias("y"), F.md5(key).alias("o"))
+    sample = rows.where("y").orderBy("o").limit(most).unionAll(rows.where("not y").orderBy("o").limit(most))
+    met = docs.select(col(doc_id).alias("id"), col(text).alias("text")).join(F.broadcast(sample), "id")  # bounded by most
+    # of a table that repeats ids still 4 * most rows at most
+    got = met.select("o", "y", F.coalesce("text", F.lit("")).alias("text")).orderBy("o", "y", "text").limit(4 * most).collect()
+    return fit([r["text"] for r in got], [r["y"] for r in got])
 
 
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -88,3 +89,59 @@ def test_frames(spark):
     assert all(0 <= r.score <= 1 for r in got)
     assert T.score(df, T.train(df, labels.limit(0))).count() == 125
     assert T.score(df.limit(0), net).count() == 0
+
+
+def plain_score(net, text):
+    """The network word by word and window by window, without batches or caches."""
+    p, words = net.p, T.words_of(text)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h0, logits = T.HIDDEN, []
+
+    def vector(w):
+        grams = T.trigrams(w)
+        return np.concatenate((p["word"][net.words.get(w, 0)], sum(p["char"][g] for g in grams) / len(grams))).astype(float)
+
+    for start in range(0, max(1, len(words) - T.WINDOW // 2), T.WINDOW // 2) if words else ():
+        own = [vector(w) for w in words[start : start + T.WINDOW]]
+        states = np.zeros((len(own), 2 * h0))
+        for side, s in enumerate("fb"):
+            h = np.zeros(h0)
+            for t in range(len(own)) if s == "f" else reversed(range(len(own))):
+                x, r = own[t] @ p["w" + s] + p["b" + s], h @ p["u" + s]
+                z, reset = sig(x[:h0] + r[:h0]), sig(x[h0 : 2 * h0] + r[h0 : 2 * h0])
+                h = (1 - z) * np.tanh(x[2 * h0 :] + reset * r[2 * h0 :]) + z * h
+                states[t, h0 * side : h0 * (side + 1)] = h
+        e = np.exp(states @ p["v"] - (states @ p["v"]).max())
+        logits.append(float((e / e.sum()) @ states @ p["o"] + p["c"][0]))
+    if not logits:
+        return 0.0
+    top = sorted(logits, reverse=True)[: T.TOP]
+    top += [top[-1]] * (T.TOP - len(top))
+    return sig(float(np.array([*np.clip(top, -20, 20), 1.0]) @ net.scale))
+
+
+def test_scores_against_a_plain_loop(spark):
+    rows = made(150, 4)
+    net = T.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    texts = [t for _, t, _ in made(30, 5)] + ["", "...", "one", "word " * 31, "word " * 32, "word " * 33, "zzuugh " * 200, "漢字" * 120, "x" * 500 + " zzuugh", " ".join(t for _, t, _ in rows)]
+    assert np.allclose(net.scores(texts), [plain_score(net, t) for t in texts], atol=1e-4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(6)
+    assert np.allclose([r.score for r in T.score(df, net).orderBy("doc_id").collect()], [plain_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_training_texts_without_words():
+    net = T.fit(["", "...", "!", "?"], [1, 0, 0, 0])
+    assert net.scores(["anything", ""]).tolist() == [0.25, 0.25]
+    one = T.fit(["", "a word", "", "..."], [1, 0, 1, 0])  # only clean texts have words
+    assert all(0 <= s <= 1 for s in one.scores(["a word", "", "other"]))
+
+
+def test_very_long_texts_train_and_the_fit_is_the_same_for_any_partitions(spark):
+    rows = made(60, 6)
+    long = [k for k in range(0, 60, 5) if zlib.crc32(str(k).encode()) % 3 != 1][:2]
+    for k in long:
+        rows[k] = (k, rows[k][1] + " padding" * 20_000 + " zzuugh qqrrk", 1)  # over 64 KB
+    df = spark.createDataFrame([(i, t, 0) for i, t, _ in rows] + [(5, "another text of an id", 1), (5, "and another", 1), (6, "x", 1)], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    a, b = T.train(df, labels), T.train(df.repartition(7), labels.repartition(4))
+    assert a.words == b.words and all((a.p[k] == b.p[k]).all() for k in a.p) and "padding" in a.words
