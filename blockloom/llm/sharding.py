@@ -8,8 +8,9 @@ opens, so the first is always small enough to broadcast; later ones are counted
 
 Nulls: a null id or text hashes and weighs like an empty string. Empty table: no shard. Rows that agree in id and text
 have the same hash and no bit parts them: if together they exceed the limit, they are numbered and paged over several
-shards ("<bits>#<page>"). One row above the limit is a shard of its own, marked oversize. Columns whose names clash
-with the added ones (shard, shard_depth, shard_bytes, shard_rows, oversize) are replaced.
+shards ("<bits>#<page>"). One row above the limit is a shard of its own, marked oversize. Columns of docs named like
+the added ones (shard, shard_depth, shard_bytes, shard_rows, oversize) are replaced; any others, whatever their names,
+are returned as they are.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, durable, row_digest, table
+from .common import col, durable, packed, row_digest, table
 
 HASH_BITS, LEVEL_BITS = 60, 12
 LIMIT_BYTES = 32 << 20
+#: Of the registered query: low enough that small tables have many shards, and buckets that only paging splits.
+QUERY_BYTES = 64 << 10
 #: Directory cells of later rounds that are broadcast at most; beyond, the join shuffles.
 BROADCAST_CELLS = 100_000
 ADDED = ("shard", "shard_depth", "shard_bytes", "shard_rows", "oversize")
@@ -31,13 +34,13 @@ SQL_NAME = "op1_sharding"
 
 
 def _prefix(bits: int) -> Column:
-    return F.shiftright(F.col("_h"), HASH_BITS - bits)
+    return F.shiftright(F.col("h"), HASH_BITS - bits)
 
 
 def _level(rows: DataFrame, base: int, limit: int) -> DataFrame:
     """The nodes of the directory between base and base + LEVEL_BITS bits, each with its own and its parent's size."""
     deep = base + LEVEL_BITS
-    cells = rows.groupBy(_prefix(deep).alias("cell")).agg(F.sum("_b").alias("b"), F.count("*").alias("n"), F.min("_h").alias("lo"), F.max("_h").alias("hi"))
+    cells = rows.groupBy(_prefix(deep).alias("cell")).agg(F.sum("b").alias("b"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
     nodes = (
         cells.withColumn("depth", F.explode(F.sequence(F.lit(base if base == 0 else base + 1), F.lit(deep))))
         .groupBy("depth", F.expr(f"shiftright(cell, {deep} - depth)").alias("prefix"))
@@ -56,66 +59,69 @@ def directory(rows: DataFrame, limit: int) -> list[DataFrame]:
     for base in range(0, HASH_BITS, LEVEL_BITS):
         nodes = durable(_level(open_rows, base, limit))
         levels.append(nodes)
-        large = nodes.where(~F.col("fits") & (F.col("depth") == base + LEVEL_BITS)).select(F.col("prefix").alias("_open"))
+        large = nodes.where(~F.col("fits") & (F.col("depth") == base + LEVEL_BITS)).select(F.col("prefix").alias("open"))
         if large.isEmpty():
             break
-        open_rows = open_rows.join(large, _prefix(base + LEVEL_BITS) == F.col("_open"), "left_semi")
+        open_rows = open_rows.join(large, _prefix(base + LEVEL_BITS) == F.col("open"), "left_semi")
     return levels
 
 
 def shard(docs: DataFrame, limit: int = LIMIT_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the shard of each row, clustered by shard."""
-    rows = docs.drop(*ADDED)
-    keep = rows.columns
-    rows = rows.withColumns({"_h": F.conv(F.substring(row_digest(doc_id, text), 1, HASH_BITS // 4), 16, 10).cast("long"), "_b": F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("long")})
-    levels = directory(rows.select("_h", "_b"), limit)
+    rest = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
+    rows = docs.select(packed(rest), F.conv(F.substring(row_digest(doc_id, text), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"), F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("long").alias("b"))
+    levels = directory(rows.select("h", "b"), limit)
     out, found = rows, []
     for k, nodes in enumerate(levels):
         deep = (k + 1) * LEVEL_BITS
         leaves = nodes.where("fits and not parent_fits")
         # every cell of this round that lies under a leaf: at most 2**LEVEL_BITS for each opened bucket
         span = F.expr(f"shiftleft(1L, {deep} - depth)")
-        cells = leaves.select(F.explode(F.sequence(F.lit(0).cast("long"), span - 1)).alias("_i"), span.alias("_w"), F.struct("depth", "prefix", "b", "n", (F.col("lo") == F.col("hi")).alias("one")).alias(f"_leaf{k}"))
-        cells = cells.select((F.col(f"_leaf{k}.prefix") * F.col("_w") + F.col("_i")).alias(f"_cell{k}"), f"_leaf{k}")
+        cells = leaves.select(F.explode(F.sequence(F.lit(0).cast("long"), span - 1)).alias("i"), span.alias("w"), F.struct("depth", "prefix", "b", "n", (F.col("lo") == F.col("hi")).alias("one")).alias(f"leaf{k}"))
+        cells = cells.select((F.col(f"leaf{k}.prefix") * F.col("w") + F.col("i")).alias(f"cell{k}"), f"leaf{k}")
         if k == 0 or cells.count() <= BROADCAST_CELLS:
             cells = F.broadcast(cells)
-        out = out.join(cells, _prefix(deep) == F.col(f"_cell{k}"), "left").drop(f"_cell{k}")
-        found.append(F.col(f"_leaf{k}"))
-    out = out.withColumn("_leaf", reduce(lambda a, b: F.coalesce(a, b), found))
-    bits = F.when(F.col("_leaf.depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(_leaf.prefix), _leaf.depth, '0')"))
-    done = out.select(*map(col, keep), F.concat(F.lit("b"), bits).alias("shard"), F.col("_leaf.depth").alias("shard_depth"), F.col("_leaf.b").alias("shard_bytes"), F.col("_leaf.n").alias("shard_rows"), (F.col("_leaf.b") > limit).alias("oversize"), "_h", "_b")
+        out = out.join(cells, _prefix(deep) == F.col(f"cell{k}"), "left").drop(f"cell{k}")
+        found.append(F.col(f"leaf{k}"))
+    out = out.select("row", "h", "b", reduce(lambda a, b: F.coalesce(a, b), found).alias("leaf"))
+    bits = F.when(F.col("leaf.depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(leaf.prefix), leaf.depth, '0')"))
+    done = out.select("row", F.concat(F.lit("b"), bits).alias("shard"), F.col("leaf.depth").alias("shard_depth"), F.col("leaf.b").alias("shard_bytes"), F.col("leaf.n").alias("shard_rows"), (F.col("leaf.b") > limit).alias("oversize"), "h", "b")
     copies = reduce(DataFrame.unionByName, [x.where("fits and not parent_fits") for x in levels]).where((F.col("b") > limit) & (F.col("n") > 1))
     if not copies.isEmpty():
         stuck = F.col("oversize") & (F.col("shard_rows") > 1)
-        done = done.where(~stuck).unionByName(_paged(durable(done.where(stuck).withColumn("_at", F.monotonically_increasing_id())), limit))
-    return done.drop("_h", "_b").hint("rebalance", "shard")
+        done = done.where(~stuck).unionByName(_paged(durable(done.where(stuck).withColumn("at", F.monotonically_increasing_id())), limit))
+    return done.select("row.*", *ADDED).hint("rebalance", "shard")
 
 
 def _paged(rows: DataFrame, limit: int) -> DataFrame:
     """Rows of one hash each, numbered without bringing a hash to one task: counts per input partition, then offsets."""
-    part = F.shiftright("_at", 33)
-    sizes = rows.groupBy("_h", part.alias("_part")).agg(F.count("*").alias("_c"))
-    before = W.partitionBy("_h").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_h", "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    rows = rows.withColumn("_part", part).join(offsets, ["_h", "_part"])
-    number = F.row_number().over(W.partitionBy("_h", "_part").orderBy("_at")) - 1 + F.col("_off")
-    per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("_b"), F.lit(1)))).cast("long")
+    rows = rows.withColumn("part", F.shiftright("at", 33))
+    sizes = rows.groupBy("h", "part").agg(F.count("*").alias("c"))
+    before = W.partitionBy("h").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("h", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"))
+    rows = rows.join(offsets, ["h", "part"])
+    number = F.row_number().over(W.partitionBy("h", "part").orderBy("at")) - 1 + F.col("off")
+    per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("b"), F.lit(1)))).cast("long")
     page = F.floor(number / per).cast("long")
     here = F.least(per, F.col("shard_rows") - page * per)
-    return rows.select("*", page.alias("_page"), here.alias("_here")).withColumns({"shard": F.concat("shard", F.lit("#"), F.col("_page")), "shard_bytes": F.col("_here") * F.col("_b"), "shard_rows": F.col("_here"), "oversize": F.col("_b") > limit}).drop("_part", "_off", "_at", "_page", "_here")
+    paged = rows.select("*", page.alias("page"), here.alias("here")).withColumns({"shard": F.concat("shard", F.lit("#"), F.col("page")), "shard_bytes": F.col("here") * F.col("b"), "shard_rows": F.col("here"), "oversize": F.col("b") > limit})
+    return paged.drop("part", "off", "at", "page", "here")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"))
+    return shard(table(spark, sf_dir, "documents"), QUERY_BYTES)
 
 
-def sql(limit: int = LIMIT_BYTES, docs: str = "documents", bits: int = 24) -> str:
-    """DuckDB's equivalent: the least depth at which a row's bucket fits. Rows that agree in id and text must fit together."""
+def sql(limit: int = QUERY_BYTES, docs: str = "documents") -> str:
+    """DuckDB's equivalent: the least depth at which a row's bucket fits; rows that agree in id and text, paged if together they don't."""
     return f"""
 with recursive d as (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as h, strlen(coalesce(text, ''))::bigint as sz from {docs}),
-nodes as (select k::int as depth, h >> (60 - k) as prefix, sum(sz)::bigint as b, count(*) as n, min(h) = max(h) as one from d, range(0, {bits + 1}) r(k) group by all),
-fit as (select d.doc_id, d.h, d.sz, min(nodes.depth) as depth from d, nodes where nodes.prefix = d.h >> (60 - nodes.depth) and (nodes.b <= {limit} or nodes.one) group by all)
-select d.doc_id, d.text, d.lang, d.source, d.n_chars, 'b' || case when fit.depth = 0 then '' else right(lpad(bin(nodes.prefix), 64, '0'), fit.depth) end as shard,
-  fit.depth as shard_depth, nodes.b as shard_bytes, nodes.n as shard_rows, nodes.b > {limit} as oversize
-from d join fit on d.doc_id is not distinct from fit.doc_id and d.h = fit.h join nodes on nodes.depth = fit.depth and nodes.prefix = d.h >> (60 - fit.depth)
+nodes as (select k::int as depth, h >> ({HASH_BITS} - k) as prefix, sum(sz)::bigint as b, count(*) as n, min(h) = max(h) as one from d, range(0, {HASH_BITS + 1}) r(k) group by all),
+fit as (select d.h, min(nodes.depth) as depth from (select distinct h from d) d, nodes where nodes.prefix = d.h >> ({HASH_BITS} - nodes.depth) and (nodes.b <= {limit} or nodes.one) group by all),
+placed as (select d.*, fit.depth, nodes.b, nodes.n, 'b' || case when fit.depth = 0 then '' else right(lpad(bin(nodes.prefix), 64, '0'), fit.depth) end as shard, nodes.b > {limit} and nodes.n > 1 as stuck,
+    greatest(1, {limit} // greatest(d.sz, 1)) as per, (row_number() over (partition by d.h) - 1) // greatest(1, {limit} // greatest(d.sz, 1)) as page
+  from d join fit using (h) join nodes on nodes.depth = fit.depth and nodes.prefix = d.h >> ({HASH_BITS} - fit.depth))
+select doc_id, text, lang, source, n_chars, case when stuck then shard || '#' || page else shard end as shard, depth as shard_depth,
+  case when stuck then least(per, n - page * per) * sz else b end as shard_bytes, case when stuck then least(per, n - page * per) else n end as shard_rows, case when stuck then sz else b end > {limit} as oversize
+from placed
 """

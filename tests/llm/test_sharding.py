@@ -16,12 +16,12 @@ def frame(spark, rows):
 @pytest.mark.parametrize("limit", [200, 2000, 10**9])
 def test_agrees_with_sql_at_small_limits(spark, limit):
     rng = random.Random(limit)
-    rows = [(k, rng.choice("abcdé") * rng.randrange(0, 90)) for k in range(400)] + [(401, "x" * 5000), (None, "n"), (402, None), (403, "")]
+    rows = [(k, rng.choice("abcdé") * rng.randrange(0, 90)) for k in range(400)] + [(401, "x" * 5000), (None, "n"), (402, None), (403, "")] + [(404, "same" * 9)] * 30
     df = frame(spark, rows).repartition(5)
     got = sharding.shard(df, limit).collect()
     con = connect()
     con.register("given", df.toPandas().astype({"doc_id": "Int64"}))
-    want = con.sql(sharding.sql(limit, "given", 40)).fetchall()
+    want = con.sql(sharding.sql(limit, "given")).fetchall()
     key = lambda r: (-1 if r[0] is None or r[0] != r[0] else int(r[0]), r[1] or "", *r[5:])
     assert sorted(map(key, map(tuple, got))) == sorted(map(key, want))
 
@@ -61,6 +61,12 @@ def test_repeated_rows_are_paged(spark):
 
 def test_empty_and_clashing_columns(spark):
     assert sharding.shard(frame(spark, [])).count() == 0
-    df = frame(spark, [(1, "a")]).selectExpr("*", "'old' as shard", "1 as `dotted.name`")
-    (r,) = sharding.shard(df).collect()
-    assert r.shard == "b" and r["dotted.name"] == 1
+    names = "h b cell0 leaf leaf0 row at part off page here open lo hi depth prefix n _h _b _cell0 _leaf".split()
+    rows = [(k, "abc" * (k % 9)) for k in range(200)] + [(7, "same" * 20)] * 20
+    df = frame(spark, rows).selectExpr("*", "'old' as Shard", "1 as `dotted.name`", *(f"'{n}' as `{n}`" for n in names))
+    got, plain = sharding.shard(df, 100), sharding.shard(frame(spark, rows), 100)
+    assert got.columns == [*df.columns[:5], "dotted.name", *names, *sharding.ADDED]
+    got = got.collect()
+    assert all(r["dotted.name"] == 1 and all(r[n] == n for n in names) for r in got)
+    key = lambda r: tuple(r[c] for c in plain.columns)
+    assert Counter(map(key, got)) == Counter(map(key, plain.collect()))
