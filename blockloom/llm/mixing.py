@@ -8,8 +8,9 @@ partitions by a hash and sorted by it: a global shuffle that reruns alike.
 
 Targets: a dict source -> weight (sources not in it get none and leave), or by default weights n ** ALPHA, which
 flatten the sources' natural sizes. Nulls: a null source is a source of its own (None in the dict); null ids and
-texts hash as empty. Rows that agree in id and text draw the same number. Empty table: empty result. Columns whose names clash
-with the added ones (copy, copies, rate, shuffle_key) are replaced.
+texts hash as empty. Rows that agree in id and text draw the same number. Empty table: empty result. Columns of docs
+named like the added ones (copy, copies, rate, shuffle_key) are replaced; any others, whatever their names, are returned
+as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, durable, row_digest, table
+from .common import col, durable, packed, row_digest, table
 
 SEED, ALPHA, PART = 42, 0.5, 16.0
 #: Sources whose rates are broadcast at most; beyond, rows and rates meet by a salted shuffle.
@@ -34,41 +35,40 @@ def _hash(seed: str, *parts: Column) -> Column:
 
 def rates(docs: DataFrame, source: str, targets: dict[str | None, float] | None, alpha: float) -> DataFrame:
     """source, rate, parts, cdf of a part: one row for each source of docs that has a weight."""
-    sizes = durable(docs.groupBy(col(source).alias("_s")).agg(F.count("*").alias("_n")))
+    sizes = durable(docs.groupBy(col(source).alias("source")).agg(F.count("*").alias("n")))
     if targets is None:
-        weight = F.pow(F.col("_n").cast("double"), F.lit(float(alpha)))
+        weight = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
     else:
         named = [x for k, v in targets.items() if k is not None for x in (F.lit(k), F.lit(float(v)))]
-        known = F.element_at(F.create_map(*named), F.col("_s").cast("string")) if named else F.lit(None).cast("double")
-        weight = F.coalesce(F.when(F.col("_s").isNull(), F.lit(float(targets.get(None, 0.0)))).otherwise(known), F.lit(0.0))
-    sizes = sizes.withColumn("_w", weight)
+        known = F.element_at(F.create_map(*named), F.col("source").cast("string")) if named else F.lit(None).cast("double")
+        weight = F.coalesce(F.when(F.col("source").isNull(), F.lit(float(targets.get(None, 0.0)))).otherwise(known), F.lit(0.0))
+    sizes = sizes.withColumn("w", weight)
     # one row of two sums; rows of sources without a weight count towards the total that is to be reached
-    sums = sizes.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n")).first()
+    sums = sizes.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
     total, rows = sums["w"] or 1.0, sums["n"] or 0
-    out = sizes.where("_w > 0").select("_s", (F.col("_w") / F.lit(float(total)) * F.lit(float(rows)) / F.col("_n")).alias("rate"))
-    out = out.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")).withColumn("_mean", F.col("rate") / F.col("_parts"))
-    terms = F.expr(f"""aggregate(sequence(1, {TERMS}), struct(array(exp(-_mean)) as cdf, exp(-_mean) as term),
-        (a, j) -> struct(concat(a.cdf, array(element_at(a.cdf, -1) + a.term * _mean / j)) as cdf, a.term * _mean / j as term), a -> a.cdf)""")
-    return out.withColumn("_cdf", terms).drop("_mean")
+    out = sizes.where("w > 0").select("source", (F.col("w") / F.lit(float(total)) * F.lit(float(rows)) / F.col("n")).alias("rate"))
+    out = out.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")).withColumn("mean", F.col("rate") / F.col("parts"))
+    terms = F.expr(f"""aggregate(sequence(1, {TERMS}), struct(array(exp(-mean)) as cdf, exp(-mean) as term),
+        (a, j) -> struct(concat(a.cdf, array(element_at(a.cdf, -1) + a.term * mean / j)) as cdf, a.term * mean / j as term), a -> a.cdf)""")
+    return out.withColumn("cdf", terms).drop("mean")
 
 
 def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text", seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
     """docs with each row repeated, copies numbered from 1, in a global pseudo-random order."""
-    rows = docs.drop(*ADDED)
-    keep = rows.columns
-    by = rates(rows, source, targets, alpha)
+    rest = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
+    rows = docs.select(packed(rest), col(source).alias("of"), row_digest(doc_id, text).alias("id"))
+    by = rates(docs, source, targets, alpha)
     if by.count() <= BROADCAST_SOURCES:
-        met = rows.join(F.broadcast(by), col(source).eqNullSafe(F.col("_s")))
+        met = rows.join(F.broadcast(by), F.col("of").eqNullSafe(F.col("source")))
     else:
-        salt = F.pmod(F.xxhash64(col(doc_id), col(text)), F.lit(SALTS))
-        met = rows.withColumn("_salt", salt).join(by.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), col(source).eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_salt2")))
-    met = met.withColumn("_id", row_digest(doc_id, text))
+        salted = by.withColumn("salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(salted, F.col("of").eqNullSafe(F.col("source")) & (F.col("salt") == F.col("salt2")))
     # each part's hash once, then its place in the distribution
-    uniform = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda p: _hash(str(seed), F.col("_id"), p.cast("string")) / F.lit(2.0**52))
-    draws = F.aggregate(uniform, F.lit(0), lambda a, u: a + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
+    uniform = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda p: _hash(str(seed), F.col("id"), p.cast("string")) / F.lit(2.0**52))
+    draws = F.aggregate(uniform, F.lit(0), lambda a, u: a + F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
     met = met.withColumn("copies", draws).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    met = met.withColumn("shuffle_key", _hash(f"{seed}:order", F.col("_id"), F.col("copy").cast("string")))
-    return met.select(*map(col, keep), "copy", "copies", F.round("rate", 9).alias("rate"), "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    met = met.withColumn("shuffle_key", _hash(f"{seed}:order", F.col("id"), F.col("copy").cast("string")))
+    return met.select("row.*", "copy", "copies", F.round("rate", 9).alias("rate"), "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

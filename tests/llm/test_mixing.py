@@ -60,5 +60,11 @@ def test_poisson_frequencies(spark):
 
 def test_empty_and_clashing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
-    out = mixing.mix(frame(spark, rows(50)).selectExpr("*", "'x' as copies", "2 as `a.b`"))
-    assert dict(out.dtypes)["copies"] == "int" and "a.b" in out.columns
+    names = "of id row n w parts mean cdf salt salt2 _s _cdf _parts _id a.b".split()
+    df = frame(spark, rows(200)).selectExpr("*", "'x' as Copies", *(f"'{n}' as `{n}`" for n in names))
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns[:5], *names, *mixing.ADDED] and dict(out.dtypes)["copies"] == "int"
+    got = out.collect()
+    assert all(r[n] == n for r in got for n in names)
+    key = lambda r: (r.doc_id, r.text, r.source, r.copy, r.copies, r.shuffle_key)
+    assert Counter(map(key, got)) == Counter(map(key, mixing.mix(frame(spark, rows(200))).collect()))
