@@ -69,7 +69,7 @@ def lengths(texts: list[str], path: str | None = None) -> list[int]:
         for piece in cuts(text) if cut else [text]:
             owners.append(i)
             group.append(piece)
-            held += len(piece)
+            held += len(piece.encode())
             if held >= GROUP_BYTES:
                 flush()
                 held = 0
