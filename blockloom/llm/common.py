@@ -24,10 +24,29 @@ def session_of(df: DataFrame) -> SparkSession:
     return spark
 
 
+#: Shuffle files of a query go when it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder, cutting its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialises df in the shared checkpoint folder, cutting its lineage; the shuffle files that it took are removed."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a query of its own, planned under this setting
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def discard(*done: DataFrame) -> None:
+    """Deletes what durable() wrote for these, which nothing may read any more."""
+    for df in done:
+        path = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if path.isDefined():
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path.get())
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def col(name: str) -> Column:

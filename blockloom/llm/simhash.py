@@ -11,7 +11,8 @@ bounded size; each tile returns links that span its groups, never all pairs. Anc
 split: members are dealt to tiles by hash, and each pair of tiles is a task's work of its own.
 
 Nulls are empty texts; texts without words have fingerprint zero and link like any other. Repeated ids: each row is
-kept; their least id counts. Empty table: empty result.
+kept; their least id counts. Empty table: empty result. Other columns, whatever their names, are neither read nor
+changed: deduplicate() returns them as they are, the others leave them out.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import similarity
-from .common import col, durable, session_of, table
+from .common import col, durable, packed, session_of, spread_join, table
 from .components import components
 from .graphs import forest, forest_between
 
@@ -245,7 +246,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     wide: texts link as well if they share similarity.SIMILARITY of their shingles."""
     fps = durable(fingerprints(docs, doc_id, text, words, wide))
     # texts of one fingerprint are one class
-    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     edges = links(classes)
     if wide:
         # texts of one fingerprint may be of different shingles, and each set has links of its own
@@ -255,13 +256,13 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         candidates = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())  # roots are no nodes there
         near = durable(units.join(candidates.select(F.col("node").alias("fp")), "fp").select("fp", "of", "key", "sketch"))
         found = similarity.confirmed(candidates, _hashed(near.drop("of"), docs, doc_id, text, words))
-        for side in ("a", "b"):
-            found = found.join(near.select(F.col("fp").alias(side), F.col("of").alias(f"{side}_of")), side)
-        edges = edges.unionByName(found.select(F.least("a_of", "b_of").alias("a"), F.greatest("a_of", "b_of").alias("b")))
+        # sets are nodes beside their fingerprints
+        edges = edges.unionByName(found).unionByName(near.select(F.col("fp").alias("a"), F.col("of").alias("b")))
     found = components(edges)
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(groups, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "key", "fp", "root", "component_id")
+    rooted = durable(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    named = spread_join(rooted, groups, ["root"], rooted.count(), "classes").select("fp", "root", "component_id", "n")
+    return spread_join(fps, named, ["fp"], fps.count()).select("doc_id", "key", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -272,13 +273,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """One row of docs of each group of texts alike by fingerprint or by 0.8 of their shingles: of its least id, ids before nulls; all columns."""
     groups = grouped(docs, doc_id, text, words, wide=True)
-    kept = durable(groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("_kept"), F.col("k.key").alias("_key"), "root", "n"))
-    out = docs.withColumn("_k", _key(doc_id, text)).join(kept, col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_k") == F.col("_key")), "left_semi")
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("k"), F.count("*").alias("n"))
+    kept = durable(kept.select(F.col("k.doc_id").alias("kept"), F.col("k.key").alias("kept_key"), "n"))
+    own = docs.select(packed(docs), col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"))
+    met = lambda rows: (rows["doc_id"].eqNullSafe(F.col("kept"))) & (rows["key"] == F.col("kept_key"))
+    out = own.join(kept, met(own), "left_semi")
     # rows that agree in id and text are all met by that join: one of them stays
-    again = groups.join(kept.where("n > 1"), groups["doc_id"].eqNullSafe(F.col("_kept")) & (groups["key"] == F.col("_key")), "left_semi").groupBy("doc_id", "key").count().where("count > 1")
+    again = groups.join(kept.where("n > 1"), met(groups), "left_semi").groupBy("doc_id", "key").count().where("count > 1")
     if not again.isEmpty():
-        out = out.dropDuplicates([doc_id, "_k"])
-    return out.drop("_k")
+        out = out.dropDuplicates(["doc_id", "key"])
+    return out.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from blockloom.llm import decontamination, mixing, quality, sharding, simhash
@@ -29,7 +30,7 @@ def test_each_stage_does_what_a_plain_version_does(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     # 1: the model, scored row by row in numpy
     model = quality.train(docs, labels)
-    rows = quality.statistics(docs).select("doc_id", "_q.*").collect()
+    rows = quality.statistics(docs).select("row.doc_id", "q.*").collect()
     score = dict(zip([r[0] for r in rows], model(np.array([tuple(r)[1:] for r in rows], float)), strict=True))
     good = P.good_quality(spark, docs, SF)
     assert {r.doc_id for r in good.collect()} == {i for i, s in score.items() if s >= quality.KEEP_FROM}
@@ -69,3 +70,16 @@ def test_one_row_of_repeated_rows_stays(spark):
     got = Counter((r.doc_id, r.text) for r in simhash.deduplicate(df).collect())
     assert got == Counter({(1, "a b c d e f g"): 1, (1, rows[2][1]): 1, (None, rows[4][1]): 1, (5, None): 1})
     assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_columns_named_like_internal_ones_are_kept(spark):
+    """Every stage on documents with extra columns whose names operators use within."""
+    names = "row h b cell cell0 leaf0 leaf w l n q t key kept kept_key k of id source2 cdf parts mean salt salt2 root fp _h _b _q _w _l _n _t _k _key _kept _s _cdf _parts _id label page part at off c open".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    for name, stage in P.STAGES:
+        got = stage(spark, wide, SF)
+        assert got.columns[: len(wide.columns)] == wide.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+        assert Counter(tuple(r[c] for c in docs.columns) for r in rows) == Counter(tuple(r[c] for c in docs.columns) for r in stage(spark, docs, SF).collect()), name
