@@ -1,15 +1,18 @@
 """Embedding near-duplicates: int8 tile products with rigorous error bounds, full precision only where they leave doubt.
 
 Vectors are compared within their label. Equal vectors of a label are one class with a multiplicity, so copies are
-never compared. A label's classes are dealt by hash to tiles of about TILE vectors; each pair of tiles is one piece of
-work, whatever the label's size, and a vector travels once for each tile of its label.
+never compared. A label's classes are dealt by hash to blocks of about BLOCK vectors; each pair of blocks is one task's
+work, whatever the label's size, compared tile by tile (TILE vectors a side), and a vector travels once for each block
+of its label: n * ceil(n / BLOCK) vectors of a label of n. All pairs of tiles are compared, so the products grow with
+the square of a label; what travels does so from BLOCK distinct vectors of one label on, at 1 / BLOCK of it.
 
 A unit vector u is stored as s * q with q in int8; e = |u - s q| is its exact quantisation error. For two of them
 |u.v - s_u s_v q_u.q_v| <= e_u + (1 + e_u) e_v, and q_u.q_v is exact in float32 products over up to 1,024 components.
 Pairs that may reach the threshold by that bound are recomputed in double precision from the given vectors.
 
 A vector that is null, empty, zero, of a null label or holds null or non-finite components links with nothing, nor do
-vectors of different lengths. Empty table: empty result. Repeated ids are separate vectors of one id.
+vectors of different lengths. Empty table: empty result. Repeated ids are separate vectors of one id. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, durable, session_of, table
+from .common import col, durable, session_of, spread_join, table
 from .components import components
 from .graphs import forest, forest_between
 
-THRESHOLD, TILE = 0.93, 2048
+THRESHOLD, TILE, BLOCK = 0.93, 2048, 16_384
 _EXACT, _PAIRS = 1024, 1 << 16
 SLACK = 1e-9  # far above the rounding of the double-precision bounds
 
@@ -99,44 +102,51 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     sound = F.coalesce(F.col("l").isNotNull() & ~odd & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.select("vec_id", F.when(sound, F.col("l")).alias("l"), F.when(sound, F.col("v")).alias("v"))
     classes = durable(rows.where("v is not null").groupBy("l", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("c", F.monotonically_increasing_id()))
-    groups = durable(classes.groupBy("l", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).withColumn("g", F.monotonically_increasing_id()))
-    work = classes.withColumn("dim", F.size("v")).join(groups, ["l", "dim"]).withColumn("t", F.pmod(F.xxhash64("c"), "tiles").cast("int"))
-    work = work.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # a few figures for each label; labels that are very many shuffle, as any key does
+    groups = durable(classes.groupBy("l", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("own")).withColumn("g", F.monotonically_increasing_id()))
+    work = spread_join(classes.withColumn("dim", F.size("v")), groups, ["l", "dim"], classes.count(), "own").withColumn("t", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    work = work.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = work.select("g", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "c", "n", "v")
-    work = work.repartition("g", "t1", "t2").sortWithinPartitions("g", "t1", "t2")
+    work = work.repartition("g", "t1", "t2").sortWithinPartitions("g", "t1", "t2", "t")
 
     def run(batches):
         for t in _works(batches, 3):
-            tile, c, n, v = t.column("t").to_numpy(), t.column("c").to_numpy(), t.column("n").to_numpy(), _matrix(t)
-            t1, t2 = t.column("t1")[0].as_py(), t.column("t2")[0].as_py()
-            a = tile == t1
-            if t1 == t2:
-                m = linked(v, v, threshold)
-                m |= m.T
-                np.fill_diagonal(m, False)
-                ids, sums = c, m @ n
-                pairs = [(c[i], c[j]) for i, j in forest(m)]
-            else:
-                b = ~a
-                m = linked(v[a], v[b], threshold)
-                ids, sums = np.concatenate((c[a], c[b])), np.concatenate((m @ n[b], n[a] @ m))
-                pairs = [(c[a][i], c[b][j]) for i, j in forest_between(m)]
-            some = sums > 0
-            ids, sums = ids[some], sums[some].astype(np.int64)
-            ends = np.array(pairs, np.int64).reshape(-1, 2)
+            block, c, n = t.column("t").to_numpy(), t.column("c").to_numpy(), t.column("n").to_numpy()
+            first = int((block == t.column("t1")[0].as_py()).sum())  # rows of the first block stand before the second's
+            ends = [0, *range(TILE, first, TILE), first, *range(first + TILE, len(c), TILE), len(c)]
+            tiles = [(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True) if a < b]
+            sums, pairs = np.zeros(len(c), np.int64), []
+            for i, (a, b) in enumerate(tiles):
+                # within one block each pair of tiles, between two each tile of the one with each of the other
+                others = tiles[i:] if first == len(c) else [x for x in tiles if x[0] >= first] if a < first else []
+                x = _matrix(t.slice(a, b - a)) if others else None
+                for p, q in others:
+                    if p == a:
+                        m = linked(x, x, threshold)
+                        m |= m.T
+                        np.fill_diagonal(m, False)
+                        sums[a:b] += m @ n[a:b]
+                        pairs += [(c[a + j], c[a + k]) for j, k in forest(m)]
+                    else:
+                        m = linked(x, _matrix(t.slice(p, q - p)), threshold)
+                        sums[a:b] += m @ n[p:q]
+                        sums[p:q] += n[a:b] @ m
+                        pairs += [(c[a + j], c[p + k]) for j, k in forest_between(m)]
+            ids, sums = c[sums > 0], sums[sums > 0]
+            two = np.array(pairs, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((ids, ends[:, 0]))), pa.array([None] * len(ids) + ends[:, 1].tolist(), pa.int64()), pa.array(np.concatenate((sums, np.zeros(len(ends), np.int64))))], names=["c", "other", "n"]
+                [pa.array(np.concatenate((ids, two[:, 0]))), pa.array([None] * len(ids) + two[:, 1].tolist(), pa.int64()), pa.array(np.concatenate((sums, np.zeros(len(two), np.int64))))], names=["c", "other", "n"]
             )
 
     found = durable(work.mapInArrow(run, "c long, other long, n long"))
     counts = found.groupBy("c").agg(F.sum("n").alias("beside"))
     roots = components(found.where("other is not null").select(F.col("c").alias("a"), F.col("other").alias("b")))
-    met = classes.join(counts, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = met.groupBy("root").agg(F.min("least").alias("component_id"))
-    met = met.join(least, "root").select("l", "v", (F.coalesce("beside", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.join(met, ["l", "v"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    met = durable(classes.join(counts, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")))
+    least = met.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    met = spread_join(met, least, ["root"], met.count(), "classes").select("l", "v", (F.coalesce("beside", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", "n")
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = spread_join(rows.where("v is not null"), met, ["l", "v"], rows.count()).select("vec_id", "n_links", "component_id").unionByName(alone)
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("component_id").eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,8 +49,16 @@ def test_matches_brute_force(spark, monkeypatch):
     rows = made(1)
     want = brute(rows)
     assert result(spark, rows) == want
-    monkeypatch.setattr(E, "TILE", 7)
-    assert result(spark, rows) == want
+    for tile, block in ((7, 1 << 20), (5, 16), (100, 9)):
+        monkeypatch.setattr(E, "TILE", tile)
+        monkeypatch.setattr(E, "BLOCK", block)
+        assert result(spark, rows) == want
+
+
+def test_clashing_columns(spark):
+    rows = made(2)
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as l", "'y' as v", "0 as c", "1 as n", "2 as kept", "3 as component_id", "4 as root", "5 as blocks", "6 as dim")
+    assert sorted(tuple(r) for r in E.near_vectors(df).collect()) == brute(rows)
 
 
 def test_bounds_are_rigorous():
