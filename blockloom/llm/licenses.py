@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import col, packed, session_of, table
 
 THRESHOLD = 0.8
+_SLACK = 1e-9  # far above the rounding of the bounds, which the coefficient itself then decides
 #: Public licence notices and headers, by SPDX identifier; whole texts are the files in texts/.
 NOTICES = {
     "Apache-2.0": [
@@ -89,7 +90,7 @@ def dice(a: Counter, b: Counter) -> float:
 
 def chosen_words(grams: Counter, threshold: float) -> list[str]:
     """Words whose bigrams are so many that a match can't do without all of them: long ones, those of most bigrams first."""
-    spare = grams.total() * (1 - threshold / (2 - threshold))
+    spare = grams.total() * (1 - threshold / (2 - threshold)) + _SLACK
     of: Counter = Counter()
     for g, n in grams.items():
         for w in set(g) - {""}:
@@ -141,14 +142,14 @@ class Scanner:
         n, found = grams.total(), None
         for name, g in self.templates:
             m = g.total()
-            if min(n, m) * (2 - t) >= t * max(n, m) and (d := dice(grams, g)) >= t and (found is None or d > found[1]):
+            if min(n, m) * (2 - t) + _SLACK >= t * max(n, m) and (d := dice(grams, g)) >= t and (found is None or d > found[1]):
                 found = name, d
         return found
 
     def windows(self, at: np.ndarray, gram: np.ndarray, n: int) -> list[tuple[str, float, int, int]]:
         """(licence, score, first and last bigram) of the windows to report over n bigrams, from where (at) they are a template's and which (gram)."""
         t, cols = self.threshold, []
-        for k in np.flatnonzero((self.counts[:, gram] > 0).sum(1) * 2 >= t * (self.sizes + np.minimum(self.sizes, n))).tolist():
+        for k in np.flatnonzero((self.counts[:, gram] > 0).sum(1) * 2 + _SLACK >= t * (self.sizes + np.minimum(self.sizes, n))).tolist():
             m = int(self.sizes[k])
             own = self.counts[k, gram] > 0
             g, p = gram[own], at[own]
@@ -204,7 +205,7 @@ class Scanner:
         shared = np.searchsorted(at, ends[b + 1] - 1) - np.searchsorted(at, ends[a])  # those that any template has
         some = (size == 0) & ("" in self.words)  # only templates of one word match such
         for m in np.unique(self.sizes):
-            some |= (np.minimum(size, m) * (2 - t) >= t * np.maximum(size, m)) & (2 * shared >= t * (size + m))
+            some |= (np.minimum(size, m) * (2 - t) + _SLACK >= t * np.maximum(size, m)) & (2 * shared + _SLACK >= t * (size + m))
         out = []
         for k in np.flatnonzero(some).tolist():
             x, y = segments[k]
@@ -229,8 +230,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
 
 
 def without_notices(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs, the text without the lines of the licences that it holds."""
+    """docs, the text without the lines of the licences that it holds; of segments within each other those of the higher score."""
     inner = docs.select(packed(docs), _found(docs, templates, threshold, text).alias("found"))
+    better = lambda f: F.exists("found", lambda g: (g["first_line"] >= f["first_line"]) & (g["last_line"] <= f["last_line"]) & (g["score"] > f["score"]))
+    inner = inner.withColumn("found", F.filter("found", lambda f: ~better(f)))
     kept = F.filter(F.split(F.col("row")[text], "\n"), lambda x, i: ~F.exists("found", lambda f: (f["first_line"] <= i) & (i <= f["last_line"])))
     return inner.select(*((F.array_join(kept, "\n") if c == text else F.col("row")[c]).alias(c) for c in docs.columns))
 
