@@ -48,10 +48,16 @@ def escape_fix(text: str) -> str:
     return _STRING.sub(lambda m: '"' + re.sub(r"(?<!\\)\\(?=[A-Za-z])", r"\\\\", m[1]) + '"', text)
 
 
+def quote_fix(text: str) -> str:
+    """A lone backslash before the quote that ends a string is doubled, as in paths."""
+    return re.sub(r'(?<!\\)\\(?="\s*(?:[,}\]:]|$))', r"\\\\", text)
+
+
 def _load(text: str):
+    """What JSON says; none if it is broken or nested beyond reason. NaN and the infinities are null."""
     try:
-        return json.loads(text)
-    except ValueError:
+        return json.loads(text, parse_constant=lambda _: None)
+    except (ValueError, RecursionError):
         return None
 
 
@@ -67,9 +73,9 @@ def fields(text: str) -> dict:
 
 
 def parse(text: str) -> dict:
-    """The first candidate that parses to something, as it is, cleaned, or with escapes mended; fields by pattern else."""
+    """The first candidate that parses to something, as it is, cleaned, or with escapes and last quotes mended; fields by pattern else."""
     spans = candidates(text)
-    for mend in (lambda x: x, cleanup, escape_fix):
+    for mend in (lambda x: x, cleanup, escape_fix, lambda x: escape_fix(quote_fix(cleanup(x)))):
         for span in spans:
             if found := _load(mend(span)):
                 return found
@@ -113,53 +119,62 @@ def parsed(answer: Column) -> Column:
     return run(answer)
 
 
-def judge_json(text: str) -> str:
-    """A judge's answer without fences, repeated reasoning and control characters, with its braces closed."""
-    text = re.sub(r"\n?```", "", re.sub(r"```json\s*\n?", "", text)).strip()
-    said = list(re.finditer(r'"reasoning":\s*"[^"\\]*(?:\\.[^"\\]*)*"', text, re.S))
-    if len(said) > 1:
-        end = said[0].end()
-        text = text[:end] + re.sub(r',?\s*"reasoning":\s*"[^"\\]*(?:\\.[^"\\]*)*"', "", text[end:])
-    missing = text.count("{") - text.count("}")
-    if text and not text.endswith("}") and missing > 0:
-        text = text.rstrip()
-        text += '"' * (text.count('"') % 2) + "}" * missing
-    return re.sub(r"[\x00-\x1f\x7f-\x9f]", "", text).strip()
-
-
-def judge_fallback(text: str, whole_words: bool = True) -> dict:
-    """accuracy and relevance of an answer that isn't JSON: by pattern, then by key words, then 0.
-
-    whole_words: "incorrect" doesn't count as "correct"."""
-    out: dict = {"accuracy": None, "relevance": None}
-    for name in ('"accuracy":\\s*', "accuracy.*?", "correct.*?", "accurate.*?"):
-        if (m := re.search(name + r"(\d+)", text, re.I)) and int(m[1]) in (0, 1):
-            out["accuracy"] = int(m[1])
-            break
+#: What a judge may score: accuracy as 0 or 1, the others from 0 to 1.
+SCORES = ("accuracy", "relevance", "completeness", "faithfulness", "clarity", "consistency", "overall_score")
+_SCORE = re.compile(r"\b(" + "|".join(SCORES) + r")\b[\"']?\s*(?:[:=]|is\b)\s*[\"']?(true\b|false\b|-?[0-9]+(?:\.[0-9]+)?(?![0-9.]*[0-9eE]))", re.I)
+_WHY = re.compile(r'"reasoning"\s*:\s*"((?:[^"\\]|\\.)*)', re.S)
+#: Words of a verdict given in prose: 1 speaks for the answer, -1 against it.
+VERDICT = dict.fromkeys("correct correctly accurate accurately right true yes match matches agree agrees equivalent".split(), 1) | dict.fromkeys("incorrect incorrectly inaccurate wrong false mismatch mismatches disagrees contradicts contradiction contradictory differs".split(), -1)
+_NEGATES = {"not", "no", "never", "neither", "nor", "without", "hardly", "cannot", "isnt", "doesnt", "wasnt", "arent", "dont", "cant"}
+REACH = 3  # words back within a sentence over which a negation holds
+
+
+def verdict(text: str) -> int:
+    """1 if some word speaks for the answer and none against it, with negations turned round; else 0."""
+    votes = []
+    for sentence in re.split(r"[.!?;\n]+", text.lower()):
+        words = re.findall(r"[a-z]+(?:['\u2019][a-z]+)?", sentence)
+        words = [re.sub(r"['\u2019]", "", w) for w in words]
+        for k, w in enumerate(words):
+            if w in VERDICT:
+                turned = sum(x in _NEGATES for x in words[max(0, k - REACH) : k]) % 2
+                votes.append(-VERDICT[w] if turned else VERDICT[w])
+        if words == ["no"]:
+            votes.append(-1)
+    return int(bool(votes) and min(votes) > 0)
+
+
+def scores(text: str) -> dict:
+    """A judge's scores and reasoning. One scan for "name: number" reads JSON, whether fenced, cut short, doubled or with
+    stray characters, and prose alike: of each name the first number in range counts. Without an accuracy the words decide."""
+    out: dict = dict.fromkeys(SCORES)
+    text = without_thinking(text)
+    for m in _SCORE.finditer(text):
+        name, said = m[1].lower(), m[2].lower()
+        value = {"true": 1.0, "false": 0.0}.get(said)
+        value = float(said) if value is None else value
+        if out[name] is None and (value in (0.0, 1.0) if name == "accuracy" else 0 <= value <= 1):
+            out[name] = int(value) if name == "accuracy" else value
     if out["accuracy"] is None:
-        edge = r"\b" if whole_words else ""
-        has = lambda words: re.search("|".join(edge + w + edge for w in words.split()), text, re.I)
-        out["accuracy"] = 1 if has("correct accurate right yes true match") else 0
-    if m := re.search(r'"relevance":\s*([\d.]+)', text, re.I):
-        try:
-            out["relevance"] = float(m[1])
-        except ValueError:
-            pass
+        out["accuracy"] = verdict(_SCORE.sub(" ", text))
+    why = _WHY.search(text)
+    out["reasoning"] = _unescaped(why[1]) if why else None
     return out
 
 
+def _unescaped(said: str) -> str:
+    found = _load('"' + re.sub(r"[\x00-\x1f]", " ", said) + '"')
+    return said if found is None else found
+
+
+_JUDGED = pa.struct([("accuracy", pa.int32()), *((k, pa.float64()) for k in SCORES[1:]), ("reasoning", pa.string())])
+
+
 def judged(answer: Column) -> Column:
-    """accuracy and relevance of a judge's answers: parsed after repair, else by judge_fallback()."""
+    """scores() of each row as a struct; a null answer has no scores, and accuracy 0."""
 
-    @F.arrow_udf("struct<accuracy:int,relevance:double>")
+    @F.arrow_udf("struct<accuracy:int," + "".join(f"{k}:double," for k in SCORES[1:]) + "reasoning:string>")
     def run(answers: pa.Array) -> pa.Array:
-        out = []
-        for a in answers.to_pylist():
-            found = None if a is None else _load(judge_json(a))
-            if not isinstance(found, dict) or not isinstance(found.get("accuracy"), (int, float)):
-                found = judge_fallback(a or "")
-            rel = found.get("relevance")
-            out.append({"accuracy": int(found["accuracy"]), "relevance": float(rel) if isinstance(rel, (int, float)) else None})
-        return pa.array(out, pa.struct([("accuracy", pa.int32()), ("relevance", pa.float64())]))
+        return pa.array([scores(a or "") for a in answers.to_pylist()], _JUDGED)
 
     return run(answer)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models, repair
@@ -33,15 +33,24 @@ def questions(results: DataFrame) -> DataFrame:
 
 
 def evaluate(asked: DataFrame, load: Callable, done: DataFrame | None = None, kind: str = "comprehensive", limit: int | None = None) -> DataFrame:
-    """doc_id, question, method, accuracy, relevance, success, error of questions, judged by a model unless done has them.
+    """doc_id, question, method, accuracy, the further scores, reasoning, success, error of questions, judged by a model unless done has them.
 
     Rows with an error of their own aren't judged and fail. limit: questions at most."""
     todo = asked if done is None else E.pending(asked, done)
     todo = todo if limit is None else todo.limit(limit)
     ask = F.when(F.col("error").isNull(), prompt(F.col("question"), F.col("expected_answer"), F.col("answer"), kind))
     judged = todo.withColumn("_a", models.answers(ask, load)).withColumn("error", F.coalesce("error", "_a.error"))
-    judged = judged.withColumn("_s", F.when(F.col("error").isNull(), repair.judged(F.col("_a.value"))))
-    return judged.select(*E.KEYS, F.col("_s.accuracy").alias("accuracy"), F.col("_s.relevance").alias("relevance"), F.col("error").isNull().alias("success"), "error")
+    # a generator of one row keeps the Python function out of the expressions over its result
+    judged = judged.withColumn("_s", F.explode(F.array(F.when(F.col("error").isNull(), repair.judged(F.col("_a.value"))))))
+    return judged.select(*E.KEYS, *(F.col(f"_s.{k}").alias(k) for k in (*repair.SCORES, "reasoning")), F.col("error").isNull().alias("success"), "error")
+
+
+def evaluate_files(spark: SparkSession, path: str, load: Callable, done: DataFrame | None = None, kind: str = "comprehensive") -> DataFrame:
+    """evaluate() of all result files (JSON lists or lines) of a folder or pattern; doc_id is the file's stem where a row has none."""
+    shape = "doc_id string, question string, expected_answer string, " + ", ".join(f"{m}_result struct<success:boolean,result:string,error:string>" for m in E.MODES)
+    rows = spark.read.schema(shape).option("multiLine", True).json(path)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return evaluate(questions(rows.withColumn("doc_id", F.coalesce("doc_id", stem))), load, done, kind)
 
 
 def updated(done: DataFrame, new: DataFrame) -> DataFrame:

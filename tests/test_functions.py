@@ -65,14 +65,50 @@ def test_entity_of_an_answer():
     assert R.entity("short", "image")["summary"] == "short"
 
 
-def test_judge():
-    assert json.loads(R.judge_json('```json\n{"accuracy": 1, "reasoning": "a", "reasoning": "b"}\n```')) == {"accuracy": 1, "reasoning": "a"}
-    assert json.loads(R.judge_json('{"accuracy": 0, "reasoning": "cut')) == {"accuracy": 0, "reasoning": "cut"}
-    assert R.judge_fallback("accuracy is 1")["accuracy"] == 1
-    assert R.judge_fallback("it is incorrect")["accuracy"] == 0
-    assert R.judge_fallback("it is incorrect", whole_words=False)["accuracy"] == 1
-    assert R.judge_fallback('x "relevance": 0.7')["relevance"] == 0.7
-    assert R.judge_fallback("nothing")["accuracy"] == 0
+@pytest.mark.parametrize(
+    ("said", "accuracy"),
+    [
+        ('```json\n{"accuracy": 1, "reasoning": "a", "reasoning": "b"}\n```', 1),
+        ('{"accuracy": 0, "reasoning": "cut', 0),
+        ('{"accuracy": true}', 1),
+        ("{'accuracy': '1'", 1),
+        ("Accuracy: 1", 1),
+        ("accuracy is 1", 1),
+        ('{"accuracy": NaN}', 0),
+        ('{"accuracy": Infinity}', 0),
+        ('{"accuracy": 5}', 0),
+        ('{"accuracy": 0.9}', 0),
+        ('{"accuracy": 1e3}', 0),
+        ("[" * 100_000, 0),
+        ("That is right.", 1),
+        ("The answer is correct and matches.", 1),
+        ("It is incorrect", 0),
+        ("The answer is not correct.", 0),
+        ("wrong, that is not true", 0),
+        ("It doesn't match", 0),
+        ("It isn\u2019t wrong.", 1),
+        ("No.", 0),
+        ("nothing", 0),
+        ("", 0),
+    ],
+)
+def test_accuracy_of_a_judge(said, accuracy):
+    assert R.scores(said)["accuracy"] == accuracy
+
+
+def test_all_scores_of_a_judge(spark):
+    full = {"accuracy": 1, "relevance": 0.5, "completeness": 1.0, "faithfulness": 0.0, "clarity": 0.25, "consistency": 0.75, "overall_score": 0.9, "reasoning": 'a "quoted" reason'}
+    assert R.scores(json.dumps(full)) == full and R.scores("<think>accuracy: 0</think>```json\n" + json.dumps(full, indent=1) + "\n```") == full
+    assert R.scores('{"accuracy": 1, "relevance": 7, "clarity": -1, "reasoning": "cut\x07 of') == {**dict.fromkeys(R.SCORES), "accuracy": 1, "reasoning": "cut  of"}
+    r = spark.createDataFrame([(json.dumps(full),), (None,)], "a string").select(R.judged(F.col("a")).alias("j")).collect()
+    assert r[0].j.asDict() == full and r[1].j.accuracy == 0 and r[1].j.clarity is None
+
+
+def test_hostile_answers_break_nothing():
+    empty = R.parse("")
+    assert R.parse("{" * 50_000 + "}" * 50_000) == empty and R.parse('{"a": ' * 50_000) == empty
+    assert R.parse('{"a": NaN, "b": Infinity}') == {"a": None, "b": None}
+    assert R.parse('{"detailed_description": "C:' + chr(92) + 'dir' + chr(92) + '"}') == {"detailed_description": "C:" + chr(92) + "dir" + chr(92)}
 
 
 @pytest.mark.parametrize(("url", "want"), [("https://a.b/c", True), ("http://x", True), ("ftp://h/f", True), ("/local/path", False), ("name", False), ("", False)])
@@ -81,7 +117,8 @@ def test_is_url(spark, url, want):
 
 
 def test_inline_markup(spark):
-    assert one(spark, X.inline_markup("x"), x="**b** __c__ *i* _j_ `k` ~~s~~ [t](u) <&> a*b*c") == '<b>b</b> <b>c</b> <i>i</i> <i>j</i> <font name="Courier" size="9" color="darkred">k</font> <strike>s</strike> <link href="u" color="blue"><u>t</u></link> &lt;&amp;&gt; a*b*c'
+    assert one(spark, X.inline_markup("x"), x="**b** __c__ *i* _j_ `k` ~~s~~ [t](u) <&> a*b*c") == '<strong>b</strong> <strong>c</strong> <em>i</em> <em>j</em> <code>k</code> <del>s</del> <a href="u">t</a> &lt;&amp;&gt; a*b*c'
+    assert one(spark, X.inline_markup("x"), x="`**a** [b](c)` ` *x* snake_case_name 2 * 3 * 4 **open") == "<code>**a** [b](c)</code> ` <em>x</em> snake_case_name 2 * 3 * 4 **open"
 
 
 def test_paragraphs_and_paths(spark):

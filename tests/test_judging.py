@@ -62,7 +62,7 @@ def test_callbacks(spark):
 
 def test_markdown_page_and_any_context(spark):
     r = spark.range(1).select(markdown_page(F.lit("# A **b**\n\ntext\n- item\n####### deep")).alias("p"), context.any_context("text", F.lit("t" * 3000), F.lit(0)).alias("c"), context.any_context("texts", F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1)).alias("t")).first()
-    assert "<h1>A <b>b</b></h1><p>text</p><li>item</li><h6>deep</h6></body></html>" in r.p and len(r.c) == 2003 and r.t == "a\nc"
+    assert "<h1>A <strong>b</strong></h1><p>text</p><li>item</li><h6>deep</h6></body></html>" in r.p and len(r.c) == 2003 and r.t == "a\nc"
     with pytest.raises(ValueError):
         context.any_context("x", F.lit(""), F.lit(0))
 
