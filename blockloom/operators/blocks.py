@@ -26,14 +26,15 @@ def separate(docs: DataFrame) -> DataFrame:
 
 
 def signature(b: Column) -> Column:
-    """A block's share in its document's id; blocks without their own content give canonical JSON."""
+    """A block's share in its document's id: its own content, or for blocks of other types or without any all that it
+    holds, as JSON with its fields in the order of the schema, nulls left out, its position not counted."""
     some = lambda x: F.coalesce(x, F.lit("")) != ""
     return (
         F.when((b["type"] == "text") & some(b["text"]), strip(b["text"]))
         .when((b["type"] == "image") & some(b["img_path"]), F.concat(F.lit("image:"), b["img_path"]))
         .when((b["type"] == "table") & some(b["table_body"]), F.concat(F.lit("table:"), b["table_body"]))
         .when((b["type"] == "equation") & some(b["text"]), F.concat(F.lit("equation:"), b["text"]))
-        .otherwise(F.concat(F.lit('{"type":"'), b["type"], F.lit('"}')))
+        .otherwise(F.to_json(b.dropFields("pos")))
     )
 
 

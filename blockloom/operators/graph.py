@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_id
@@ -70,18 +71,38 @@ def merge_full_entities(old: DataFrame, new: DataFrame, key: str = "doc_id") ->
     return met.withColumn("count", F.size("entity_names")).withColumn("update_time", F.coalesce("_time", "update_time")).drop("_new", "_time")
 
 
+#: Descriptions, sources and keywords that a merged row lists at most; counts are of all, and mentions() has every one.
+LISTED = 64
+
+
+def first_of(rows: DataFrame, keys: list[str], value: str, most: int = LISTED, sep: str = "\n") -> DataFrame:
+    """keys and value: a key's least distinct values, joined. A rank with a limit is cut in each task before it is
+    shuffled, so a key with very many values sends at most `most` of them from each."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(value))
+    kept = rows.select(*keys, value).where(F.col(value).isNotNull()).distinct().withColumn("_r", rank).where(F.col("_r") <= most)
+    return kept.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), sep).alias(value))
+
+
+def mentions(nodes: DataFrame) -> DataFrame:
+    """Every source of every name once: entity_name, source_id."""
+    return nodes.select("entity_name", "source_id").distinct()
+
+
 def merge_nodes(nodes: DataFrame) -> DataFrame:
-    """One node for each name: its most frequent type (ties: first by name), its descriptions and sources, each once and in order."""
-    each = nodes.groupBy("entity_name", "entity_type").agg(F.count("*").alias("n"), F.collect_set("description").alias("d"), F.collect_set("source_id").alias("s"))
-    return each.groupBy("entity_name").agg(
-        F.min_by("entity_type", F.struct(-F.col("n"), "entity_type")).alias("entity_type"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("d")))), "\n").alias("description"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))), ",").alias("source_ids"),
-        F.sum("n").alias("n_mentions"),
-    )
+    """One node for each name: its most frequent type (ties: first by name), its first LISTED descriptions and sources, each once and in order, and how many mentions and sources there are."""
+    each = nodes.groupBy("entity_name", "entity_type").agg(F.count("*").alias("n"))
+    merged = each.groupBy("entity_name").agg(F.min_by("entity_type", F.struct(-F.col("n"), "entity_type")).alias("entity_type"), F.sum("n").alias("n_mentions"))
+    n = mentions(nodes).groupBy("entity_name").agg(F.count("source_id").alias("n_sources"))
+    parts = (n, first_of(nodes, ["entity_name"], "description"), first_of(nodes, ["entity_name"], "source_id", sep=",").withColumnRenamed("source_id", "source_ids"))
+    for part in parts:
+        merged = merged.join(part, "entity_name", "left")
+    return merged.select("entity_name", "entity_type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("source_ids", F.lit("")).alias("source_ids"), "n_mentions", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One undirected edge for each pair of names: summed weight, keywords and sources each once."""
+    """One undirected edge for each pair of names: summed weight, its first LISTED keywords, counts of edges and sources."""
     pair = edges.withColumns({"a": F.least("src_id", "tgt_id"), "b": F.greatest("src_id", "tgt_id")})
-    return pair.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("keywords")), ",").alias("keywords"), F.count("*").alias("n_edges"), F.countDistinct("source_id").alias("n_sources"))
+    merged = pair.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.count("*").alias("n_edges"))
+    n = pair.select("a", "b", "source_id").distinct().groupBy("a", "b").agg(F.count("source_id").alias("n_sources"))
+    merged = merged.join(n, ["a", "b"]).join(first_of(pair, ["a", "b"], "keywords", sep=","), ["a", "b"], "left")
+    return merged.select("a", "b", "weight", F.coalesce("keywords", F.lit("")).alias("keywords"), "n_edges", "n_sources")

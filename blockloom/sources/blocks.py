@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,61 +109,132 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def html(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, type, text_level, text of an HTML page's headings, paragraphs, list items and cells; scripts, styles and navigation are left out."""
-    from html.parser import HTMLParser
-
-    class Reader(HTMLParser):
-        levels = {f"h{k}": k for k in range(1, 7)} | dict.fromkeys(("p", "li", "td", "th", "div", "article", "section", "blockquote", "pre", "figcaption"), 0)
-        breaks = {"table", "tr", "tbody", "thead", "ul", "ol", "dl", "main", "header", "aside", "form", "hr"}
-        skipped = {"script", "style", "nav", "footer", "head", "noscript"}
-
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.blocks, self.text, self.tag, self.hidden = [], [], "p", []
-
-        def close_block(self):
-            text = " ".join("".join(self.text).split())
-            if text:
-                self.blocks.append((self.tag, self.levels.get(self.tag, 0), text))
-            self.text = []
-
-        def handle_starttag(self, tag, attrs):
-            if tag in self.skipped:
-                self.hidden.append(tag)
-            elif tag in self.levels:
-                self.close_block()
-                self.tag = tag
-            elif tag in self.breaks:
-                self.close_block()
-                self.tag = "p"
-            elif tag == "br":
+#: Elements that start a block of text (with its level), those that only end one, those whose content isn't shown, and those without an end.
+_TEXTS = {f"h{k}": k for k in range(1, 7)} | dict.fromkeys("p li dt dd div article section blockquote pre figcaption main header aside".split(), 0)
+_BREAKS = {"ul", "ol", "dl", "form", "hr", "body", "figure"}
+_HIDDEN = {"script", "style", "nav", "footer", "head", "noscript", "template"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _Page(HTMLParser):
+    """Reads a page into blocks: (type, level, text, image, captions, table)."""
+
+    def __init__(self, hidden: set[str]):
+        super().__init__(convert_charrefs=True)
+        self.never, self.blocks, self.text, self.level = hidden, [], [], 0
+        self.open: list[str] = []
+        self.hides = 0  # hidden elements among the open ones
+        self.rows: list[list[str]] | None = None  # of the table that is open
+        self.caption: list[str] = []
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.text).split())
+        self.text = []
+        if text and self.rows is None:
+            self.blocks.append(("text", self.level, text, None, [], None))
+        self.level = 0 if self.rows is None else self.level
+
+    def cell(self) -> None:
+        text = " ".join("".join(self.text).split())
+        self.text = []
+        if text and self.rows:
+            self.rows[-1].append(text)
+
+    def table(self) -> None:
+        self.cell()
+        body = "\n".join(" | ".join(r) for r in self.rows or () if r)
+        self.rows = None
+        if body or self.caption:
+            self.blocks.append(("table", 0, None, None, self.caption, body))
+        self.caption = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            self.close("head")
+        if tag not in _VOID:
+            self.open.append(tag)
+            self.hides += tag in self.never
+        if self.hides:
+            return
+        if tag == "img":
+            of = dict(attrs)
+            if self.rows is None:
+                level = self.level
+                self.flush()
+                self.level = level
+            self.blocks.append(("image", 0, None, of.get("src"), [of["alt"].strip()] if (of.get("alt") or "").strip() else [], None))
+        elif tag == "br":
+            self.text.append(" ")
+        elif tag == "table":
+            if self.rows is None:
+                self.flush()
+                self.rows = []
+        elif self.rows is not None:
+            if tag in ("tr", "td", "th", "caption"):
+                self.cell()
+                if tag == "tr" or (tag in ("td", "th") and not self.rows):
+                    self.rows.append([])
+            elif tag in _TEXTS:
                 self.text.append(" ")
-
-        def handle_endtag(self, tag):
-            if tag in self.hidden:
-                while self.hidden and self.hidden.pop() != tag:
-                    pass
-            elif tag in self.levels or tag in self.breaks:
-                self.close_block()
-                self.tag = "p"
-
-        def handle_data(self, data):
-            if not self.hidden:
-                self.text.append(data)
-
-    def blocks(page: str | None) -> list[dict]:
-        r = Reader()
+        elif tag in _TEXTS or tag in _BREAKS:
+            self.flush()
+            self.level = _TEXTS.get(tag, 0)
+
+    def close(self, tag=None):
+        if tag is None:
+            return super().close()
+        if tag in self.open:
+            while True:
+                gone = self.open.pop()
+                self.hides -= gone in self.never
+                if gone == "table" and "table" not in self.open and self.rows is not None:
+                    self.table()
+                if gone == tag:
+                    break
+
+    def handle_endtag(self, tag):
+        if not self.hides:
+            if self.rows is not None:
+                if tag == "caption":
+                    text = " ".join("".join(self.text).split())
+                    self.text, self.caption = [], self.caption + [text] * bool(text)
+                elif tag in ("td", "th", "tr"):
+                    self.cell()
+            elif tag in _TEXTS or tag in _BREAKS:
+                self.flush()
+        self.close(tag)
+
+    def handle_data(self, data):
+        if not self.hides:
+            self.text.append(data)
+
+
+def page_blocks(page: str | None) -> list[tuple]:
+    """(type, level, text, image, captions, table) of a page's blocks. An element that is never closed hides nothing."""
+    hidden = set(_HIDDEN)
+    while True:
+        r = _Page(hidden)
         r.feed(page or "")
         r.close()
-        r.close_block()
-        return [{"pos": k, "type": t, "text_level": n, "text": x} for k, (t, n, x) in enumerate(r.blocks)]
+        left = hidden.intersection(r.open)
+        if not left or left <= {"script", "style"}:
+            break
+        hidden -= left
+    if r.rows is not None:
+        r.table()
+    r.flush()
+    return r.blocks
 
-    item = pa.list_(pa.struct([("pos", pa.int32()), ("type", pa.string()), ("text_level", pa.int32()), ("text", pa.string())]))
 
-    @F.arrow_udf("array<struct<pos:int,type:string,text_level:int,text:string>>")
+def html(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, type, text_level, text, img_path, captions, table_body of an HTML page's blocks: headings, paragraphs and
+    list items as text, tables with a line for each row, images. Scripts, styles and navigation are left out."""
+    item = pa.list_(pa.struct([("pos", pa.int32()), ("type", pa.string()), ("text_level", pa.int32()), ("text", pa.string()), ("img_path", pa.string()), ("captions", pa.list_(pa.string())), ("table_body", pa.string())]))
+    names = ("type", "text_level", "text", "img_path", "captions", "table_body")
+
+    @F.arrow_udf("array<struct<pos:int,type:string,text_level:int,text:string,img_path:string,captions:array<string>,table_body:string>>")
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([blocks(p) for p in pages.to_pylist()], item)
+        return pa.array([[{"pos": k, **dict(zip(names, b, strict=True))} for k, b in enumerate(page_blocks(p))] for p in pages.to_pylist()], item)
 
     return df.select(key, F.inline(run(F.col(text))))
 

@@ -38,7 +38,14 @@ def test_content_id(spark):
     import hashlib
 
     r = docs(spark, [T(" a "), {"type": "image", "img_path": "p"}, {"type": "table", "table_body": "b"}, {"type": "equation", "text": "e"}, T("  "), T("")]).select(blocks.content_id("blocks").alias("i")).first()
-    assert r.i == "doc-" + hashlib.md5(b'a\nimage:p\ntable:b\nequation:e\n\n{"type":"text"}').hexdigest()
+    assert r.i == "doc-" + hashlib.md5(b'a\nimage:p\ntable:b\nequation:e\n\n{"type":"text","page_idx":0,"text":"","text_level":0}').hexdigest()
+
+
+def test_content_ids_tell_blocks_without_content_of_their_own_apart(spark):
+    """All that a block holds counts, for types of one's own and for images without a path; its place among equal blocks doesn't."""
+    given = [[{"type": "image", "captions": ["a"]}], [{"type": "image", "captions": ["b"]}], [{"type": "sensor", "text": "1"}], [{"type": "sensor", "text": "2"}], [{"type": "sensor", "extra": "1"}], [{"type": "audio", "text": "1"}]]
+    ids = [r.i for r in docs(spark, *given, *given).select(blocks.content_id("blocks").alias("i")).collect()]
+    assert len(set(ids)) == len(given) and ids[: len(given)] == ids[len(given) :]
 
 
 def plain_context(bs, at, w, page):
@@ -201,10 +208,65 @@ def test_reference_tree_survives_cycles_and_dead_ends(spark):
     assert got == [(0, "equation", "x=1", None), (1, "image", None, b"png"), (2, "text", "end", None)]
 
 
+def html_of(spark, page):
+    return [tuple(r)[2:] for r in source.html(spark.createDataFrame([(1, page), (2, None)], "id int, html string"), "id", "html").orderBy("pos").collect()]
+
+
 def test_html(spark):
-    page = "<head><title>no</title></head><nav><li>menu</nav><h2>Head &amp; all</h2><p>one<br>two <b>bold</b><div>div</div><ul><li>x<li>y</ul><script>var a='<p>'</script><table><tr><td>c</table>tail"
-    got = [(r.type, r.text_level, r.text) for r in source.html(spark.createDataFrame([(1, page), (2, None)], "id int, html string"), "id", "html").collect()]
-    assert got == [("h2", 2, "Head & all"), ("p", 0, "one two bold"), ("div", 0, "div"), ("li", 0, "x"), ("li", 0, "y"), ("td", 0, "c"), ("p", 0, "tail")]
+    page = "<head><title>no</title></head><nav><li>menu</nav><h2>Head &amp; all</h2><p>one<br>two <b>bold</b><div>div</div><ul><li>x<li>y</ul><script>var a='<p>'</script><table><caption>Cap</caption><tr><th>a<th>b<tr><td>1</td><td><p>2</p> c</table>tail<img src='i.png' alt=' pic '>"
+    text = lambda t, level=0: ("text", level, t, None, [], None)
+    assert html_of(spark, page) == [text("Head & all", 2), text("one two bold"), text("div"), text("x"), text("y"), ("table", 0, None, None, ["Cap"], "a | b\n1 | 2 c"), text("tail"), ("image", 0, None, "i.png", ["pic"], None)]
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>t</title><body><p>hello", ["hello"]),
+        ("<html><head><title>t</title><p>hello", ["t", "hello"]),
+        ("<nav><p>menu<h1>Title</h1><p>rest", ["menu", "Title", "rest"]),
+        ("<p>a</p><footer>f<p>b", ["a", "f", "b"]),
+        ("<div><nav><a>menu</a></div><p>after</p>", ["after"]),
+        ("<p>a<script>never closed <p>b", ["a"]),
+        ("", []),
+    ],
+)
+def test_unclosed_elements_hide_nothing(spark, page, texts):
+    assert [r[2] for r in html_of(spark, page)] == texts
+
+
+def test_a_page_of_very_many_blocks(spark):
+    """One page of 50,000 blocks: each row holds the limit's worth of text only."""
+    n = 50_000
+    df = spark.range(n).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("pos"), F.when(F.col("id") % 100 == 99, "table").otherwise("text").alias("type"), F.lit(0).alias("page_idx"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit(0).alias("text_level"), F.lit(None).cast("array<string>").alias("captions"))
+    got = context.page_context(df).select("context").distinct().collect()
+    whole = "\n".join(f"text {k}" for k in range(400) if k % 100 != 99)[:2000]
+    assert len(got) == 1 and got[0].context in (whole + "...", whole[: whole.rfind("\n")]) and context.page_context(df).count() == n // 100
+
+
+def test_merges_list_a_bounded_number(spark):
+    rows = [("hub", "t", f"d{k:04}", f"s{k:04}") for k in range(500)] + [("hub", "u", "d0001", "s0001"), ("one", "t", None, "s")]
+    n = spark.createDataFrame(rows, "entity_name string, entity_type string, description string, source_id string").repartition(5)
+    got = {r.entity_name: r for r in graph.merge_nodes(n).collect()}
+    assert got["hub"].n_sources == 500 and got["hub"].n_mentions == 501 and got["hub"].entity_type == "t" and got["one"].description == ""
+    assert got["hub"].source_ids == ",".join(f"s{k:04}" for k in range(graph.LISTED)) and graph.mentions(n).count() == 501
+    e = n.selectExpr("'x' as src_id", "entity_name as tgt_id", "1.0 as weight", "description as keywords", "source_id")
+    got = {(r.a, r.n_edges, r.n_sources, len(r.keywords.split(","))) for r in graph.merge_edges(e.selectExpr("src_id as tgt_id", "tgt_id as src_id", "weight", "keywords", "source_id")).collect()}
+    assert got == {("hub", 501, 500, graph.LISTED), ("one", 1, 1, 1)}
+
+
+def test_search_among_vectors_of_several_lengths(spark):
+    rows = [("a", []), ("b", [1.0, 0.0]), ("c", [1.0, 0.1]), ("d", [1.0, 0.0, 0.0]), ("e", [1.0, 0.2, 0.0]), ("f", None), ("g", [0.0, 0.0]), ("h", [None, 1.0]), ("i", [float("nan"), 1.0])]
+    v = spark.createDataFrame(rows, "vec_id string, embedding array<float>").repartition(3)
+    got = {(r.query_id, r.vec_id) for r in retrieval.top_k(v, v, 2).collect()}
+    assert got == {("b", "c"), ("c", "b"), ("d", "e"), ("e", "d")}
+
+
+def test_query_blocks_give_the_same(spark, monkeypatch):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    want = sorted(map(tuple, retrieval.top_k(v, v, 3, same="label").collect()))
+    for name, value in (("QUERY_BLOCK", 70), ("QUERY_ROWS", 3), ("SCAN_ROWS", 11)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert sorted(map(tuple, retrieval.top_k(v, v, 3, same="label").collect())) == want
 
 
 def test_folder_scan_and_decoding(spark, tmp_path):
