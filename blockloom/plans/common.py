@@ -27,7 +27,7 @@ lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as li
 kinds as (select *, case when pos % 7 = 3 then 'table' when pos % 11 = 5 then 'image' when pos % 13 = 6 then 'equation' else 'text' end as type from lines),
 blocks as (select doc_id, pos, type, (pos // 10)::int as page_idx, line, case when type in ('text', 'equation') then line end as text,
   case when type = 'text' and length(line) < 20 then 1 else 0 end as text_level, case when type = 'image' then '/data/img/' || pos || '.png' end as img_path,
-  case when type in ('image', 'table') then substr(line, 1, 20) end as caption, case when type = 'table' then line end as table_body from kinds)
+  case when type in ('image', 'table') then substr(line, 1, 20) end as caption, case when type = 'table' then line end as table_body, case when type = 'equation' then 'latex' end as text_format from kinds)
 """
 
 
@@ -49,21 +49,21 @@ def truncate_sql(x: str, n: int) -> str:
 
 
 def answers(df: DataFrame) -> DataFrame:
-    """A model's answers for tests, made from text blocks: fenced, bare, with a thought before, with a comma too many, without JSON."""
-    body = F.concat(F.lit('{"detailed_description": "'), F.regexp_replace(F.left("text", F.lit(60)), r'["\\]', ""), F.lit('", "entity_info": {"entity_name": "E'), F.col("pos"), F.lit('", "entity_type": "thing", "summary": "s'), F.col("doc_id"), F.lit('"}}'))
+    """A model's answers for tests, made from whole text blocks as JSON: fenced, bare, with a thought before, with a comma too many; or plain text after a thought."""
+    body = F.to_json(F.struct(F.col("text").alias("detailed_description"), F.struct(F.concat(F.lit("E"), F.col("pos")).alias("entity_name"), F.lit("thing").alias("entity_type"), F.concat(F.lit("s"), F.col("doc_id")).alias("summary")).alias("entity_info")))
     kind = F.col("pos") % 5
     out = (
         F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(kind == 1, body)
         .when(kind == 2, F.concat(F.lit("<think>a {b}\n</think> "), body))
-        .when(kind == 3, F.replace(body, F.lit('"}}'), F.lit('",}}')))
-        .otherwise(F.concat(F.lit("  <THINKING>x</THINKING>"), F.left("text", F.lit(120))))
+        .when(kind == 3, F.concat(F.left(body, F.length(body) - 2), F.lit(",}}")))
+        .otherwise(F.concat(F.lit("  <THINKING>x</THINKING>"), F.col("text")))
     )
     return df.where("type = 'text'").withColumn("answer", out)
 
 
-_BODY = r"""'{"detailed_description": "' || regexp_replace(left(text, 60), '["\\]', '', 'g') || '", "entity_info": {"entity_name": "E' || pos || '", "entity_type": "thing", "summary": "s' || doc_id || '"}}'"""
+_OPEN = """'{{"detailed_description":' || to_json(text)::varchar || ',"entity_info":{{"entity_name":"E' || pos || '","entity_type":"thing","summary":"s' || doc_id || '"'""".replace("{{", "{")
 ANSWERS = f"""
-answers as (select doc_id, pos, text, case pos % 5 when 0 then '```json' || chr(10) || {_BODY} || chr(10) || '```' when 1 then {_BODY} when 2 then '<think>a {{b}}' || chr(10) || '</think> ' || {_BODY}
-  when 3 then replace({_BODY}, '"}}}}', '",}}}}') else '  <THINKING>x</THINKING>' || left(text, 120) end as answer from blocks where type = 'text')
+answers as (select doc_id, pos, text, case pos % 5 when 0 then '```json' || chr(10) || {_OPEN} || '}}}}' || chr(10) || '```' when 1 then {_OPEN} || '}}}}' when 2 then '<think>a {{b}}' || chr(10) || '</think> ' || {_OPEN} || '}}}}'
+  when 3 then {_OPEN} || ',}}}}' else '  <THINKING>x</THINKING>' || text end as answer from blocks where type = 'text')
 """

@@ -45,11 +45,14 @@ def truncate_context(spark, sf_dir):
 
 
 def text_chunk_context(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", O.texts_context(F.transform("blocks", lambda b: F.coalesce(b["text"], b["table_body"], F.lit(""))), F.lit(2), Config(context_window=2)).alias("context"))
+    """The context of every line within its document's array of lines."""
+    said = docs(spark, sf_dir).select("doc_id", F.transform("blocks", lambda b: F.coalesce(b["text"], b["table_body"], F.lit(""))).alias("said"))
+    each = F.transform(F.sequence(F.lit(0), F.size("said") - 1), lambda i: F.struct(i.alias("pos"), O.texts_context("said", i, Config(context_window=2)).alias("context")))
+    return said.select("doc_id", F.inline(each))
 
 
 def map_context(spark, sf_dir):
-    first = lambda k: F.when(F.col("doc_id") % 3 == k, F.left("text", F.lit(2500)))
+    first = lambda k: F.when(F.col("doc_id") % 3 == k, F.col("text"))
     m = F.map_filter(F.create_map(F.lit("content"), first(0), F.lit("text"), first(1), F.lit("other"), first(2), F.lit("lang"), F.col("lang")), lambda k, v: v.isNotNull())
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", O.map_context(m).alias("context"))
 
@@ -129,8 +132,9 @@ SQL = {
     "chunk_context_in_rows": _context(2, 2000, "'text'", False),
     "context_text": f"with {BLOCKS} select doc_id, pos, {_SAID} as said from blocks",
     "truncate_context": f"with d as (select doc_id, coalesce(text, '') as x from documents) select doc_id, {', '.join(f'{truncate_sql("x", n)} as c{n}' for n in (2000, 300, 50))} from d",
-    "text_chunk_context": f"with {BLOCKS}, d as (select distinct doc_id from documents), c as (select d.doc_id, coalesce(string_agg({strip_sql('coalesce(text, table_body)')}, chr(10) order by pos), '') as x from d left join blocks b on d.doc_id = b.doc_id and pos between 0 and 4 and pos <> 2 and {strip_sql('coalesce(text, table_body)')} <> '' group by d.doc_id) select doc_id, {truncate_sql('x', 2000)} as context from c",
-    "map_context": f"with d as (select doc_id, case when doc_id % 3 = 2 then lang || chr(10) || left(text, 2500) else left(text, 2500) end as x from documents where text is not null) select doc_id, {truncate_sql('x', 2000)} as context from d",
+    "text_chunk_context": f"""with {BLOCKS}, t as (select doc_id, pos, {strip_sql("coalesce(text, table_body, '')")} as x from blocks), c as (select t.doc_id, t.pos, coalesce(string_agg(n.x, chr(10) order by n.pos), '') as x from t left join t n on n.doc_id = t.doc_id and n.pos between t.pos - 2 and t.pos + 2 and n.pos <> t.pos and n.x <> '' group by t.doc_id, t.pos)
+        select doc_id, pos, {truncate_sql('x', 2000)} as context from c""",
+    "map_context": f"with d as (select doc_id, case when doc_id % 3 = 2 then lang || chr(10) || text else text end as x from documents where text is not null) select doc_id, {truncate_sql('x', 2000)} as context from d",
     "embedding_only_chunks": f"""with p as (select doc_id, coalesce(text, '') as t, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '') as l from documents), c as (select doc_id, case when len(l) > 0 then l else [t] end as l from p),
         e as (select doc_id, unnest(range(0, len(l)))::int as chunk_order_index, unnest(l) as content from c) select doc_id, chunk_order_index, content, len({_WORDS.format('content')})::int as tokens, {hash_sql("doc_id || ':' || chunk_order_index || ':' || content", 'chunk-')} as chunk_id from e""",
     **{f"chunk_template_{k}": f"with {BLOCKS} select doc_id, pos, {v} as content from blocks where type = '{'equation' if k == 'generic' else k}'" for k, v in _FILLED.items()},

@@ -12,8 +12,9 @@ from ..sources import blocks as source
 from ..sources import files
 from .common import BLOCKS, docs, hash_sql, strip_sql, table
 
-ITEM_SIGNATURE = f"""case when type = 'text' and text <> '' then {strip_sql('text')} when type = 'image' then 'image:' || img_path when type = 'table' and table_body <> '' then 'table:' || table_body
-  when type = 'equation' and text <> '' then 'equation:' || text else '{{"type":"' || type || '"}}' end"""
+ITEM_SIGNATURE = f"""case when type = 'text' and text <> '' then {strip_sql('text')} when type = 'image' and img_path <> '' then 'image:' || img_path when type = 'table' and table_body <> '' then 'table:' || table_body
+  when type = 'equation' and text <> '' then 'equation:' || text else '{{"type":"' || type || '","page_idx":' || page_idx || coalesce(',"text":' || to_json(text)::varchar, '') || ',"text_level":' || text_level || coalesce(',"img_path":"' || img_path || '"', '') || coalesce(',"captions":[' || to_json(caption)::varchar || ']', '')
+    || coalesce(',"table_body":' || to_json(table_body)::varchar, '') || case when text_format <> '' then ',"text_format":"latex"' else '' end || '}}' end"""
 
 
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,9 @@ def block_type_counts(spark, sf_dir):
 
 
 def content_doc_id(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", B.content_id("blocks").alias("content_id"))
+    """Ids of documents with blocks of types of their own and with images that have no path."""
+    own = F.transform("blocks", lambda b: F.when((b["pos"] % 8 == 0) & (b["type"] == "text"), b.withField("type", F.lit("note"))).when(b["pos"] % 2 == 0, b.withField("img_path", F.lit(None).cast("string"))).otherwise(b))
+    return docs(spark, sf_dir).select("doc_id", B.content_id(own).alias("content_id"))
 
 
 def text_recovery(spark, sf_dir):
@@ -78,13 +81,19 @@ def markdown_blocks(spark, sf_dir):
     return source.markdown(table(spark, sf_dir, "documents").select("doc_id", marked.alias("text")), "doc_id", "text")
 
 
+#: What stands before and behind the lines of inline_markup, in turn.
+MARKS = (("**", "**"), ("`", "` & <b>"), ("~~", "~~ `open"), ("[", "](u?a=1&b)"), ("x *", "* y"), ("_", "_ __b__"), ("", ""))
+
+
 def inline_markup(spark, sf_dir):
-    said = F.concat(F.lit("**"), F.left("text", F.lit(12)), F.lit("** & <a> `c` ~~s~~ [t](u) *i* "), F.substring("text", 13, 10))
-    return table(spark, sf_dir, "documents").select("doc_id", X.inline_markup(F.regexp_replace(said, "\n", " ")).alias("markup"))
+    """Whole texts whose lines are marked in turn, one mark left open."""
+    marks = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in MARKS))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(F.element_at(marks, i % len(MARKS) + 1)["a"], x, F.element_at(marks, i % len(MARKS) + 1)["b"]))
+    return table(spark, sf_dir, "documents").select("doc_id", X.inline_markup(F.array_join(lines, "\n")).alias("markup"))
 
 
 def html_blocks(spark, sf_dir):
-    return source.html(table(spark, sf_dir, "pages"), "page_id", "html")
+    return source.html(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "pos", "type", "text_level", "text")
 
 
 def content_list_blocks(spark, sf_dir):
@@ -119,13 +128,28 @@ def reference_tree(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (ingest_documents, separate_content, block_type_counts, content_doc_id, text_recovery, normalize_nested, file_reference, supported_files, url_sources, guarded_images, output_folders, markdown_blocks, inline_markup, html_blocks, content_list_blocks, span_text, recognised_lines, reference_tree)}
 
+
+def _markup_sql() -> str:
+    mark = lambda k: "[" + ", ".join("'" + m[k] + "'" for m in MARKS) + f"][(i - 1) % {len(MARKS)} + 1]"
+    styled = "v"
+    for pattern, to in X.STYLES:
+        styled = f"regexp_replace({styled}, '{pattern}', '{to.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
+    return f"""with m as (select doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {mark(0)} || x || {mark(1)}), chr(10)) as x from documents),
+        p as (select doc_id, string_split(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '`') as p from m)
+        select doc_id, array_to_string(list_transform(p, lambda v, i: case when i % 2 = 0 and i < len(p) then '<code>' || v || '</code>' when i % 2 = 0 then '`' || {styled} else {styled} end), '') as markup from p"""
+
+
+_HTML = r"""h as (select page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>', '', 'g') as x from pages),
+  s as (select page_id, string_split(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<(h[1-6])>', chr(1) || '\1' || chr(2), 'g'), '</?(?:p|li|ul|div|article|h[1-6]|body)(?: [^>]*)?>', chr(1), 'g'), chr(1)) as p from h),
+  u as (select page_id, unnest(p) as raw, unnest(range(0, len(p))) as k from s),
+  t as (select page_id, k, coalesce(try_cast(regexp_extract(raw, '^h([1-6])' || chr(2), 1) as int), 0) as text_level, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(raw, '^h[1-6]' || chr(2), ''), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as text from u)"""
 _PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', '/srv/'), '[?#].*$', '')"
 SQL = {
     "ingest_documents": f"""with {BLOCKS}, d as (select doc_id, string_agg({ITEM_SIGNATURE}, chr(10) order by pos) as sig, coalesce(string_agg(text, chr(10) || chr(10) order by pos) filter (type = 'text' and {strip_sql('text')} <> ''), '') as t, count(*) as n, count(*) filter (type <> 'text') as m from blocks group by doc_id)
         select doc_id, {hash_sql('sig', 'doc-')} as content_id, length(t)::bigint as text_len, n as n_blocks, m as n_multimodal from d""",
     "separate_content": f"with {BLOCKS} select doc_id, coalesce(string_agg(text, chr(10) || chr(10) order by pos) filter (type = 'text' and {strip_sql('text')} <> ''), '') as text_content, count(*) filter (type <> 'text') as n_items from blocks group by doc_id",
     "block_type_counts": f"with {BLOCKS} select doc_id, type, count(*) as n from blocks group by doc_id, type",
-    "content_doc_id": f"with {BLOCKS} select doc_id, 'doc-' || md5(string_agg({ITEM_SIGNATURE}, chr(10) order by pos)) as content_id from blocks group by doc_id",
+    "content_doc_id": f"with {BLOCKS.replace('blocks as (', 'given as (')}, blocks as (select * replace (case when pos % 8 = 0 and type = 'text' then 'note' else type end as type, case when pos % 2 = 0 and not (pos % 8 = 0 and type = 'text') then null else img_path end as img_path) from given) select doc_id, 'doc-' || md5(string_agg({ITEM_SIGNATURE}, chr(10) order by pos)) as content_id from blocks group by doc_id",
     "text_recovery": f"with {BLOCKS} select doc_id, coalesce(string_agg({strip_sql('text')}, chr(10) || chr(10) order by pos) filter (type = 'equation' and {strip_sql('text')} <> ''), '') as text_content from blocks group by doc_id",
     "normalize_nested": "with a as (select doc_id, flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: string_split(x, '. '))) as l from documents) select doc_id, unnest(range(0, len(l)))::int as pos, unnest(l) as item from a",
     "file_reference": f"""with p as (select page_id, url, {_PATH} as path from pages), q as (select *, list_last(string_split(path, '/')) as name, lower(regexp_extract(list_last(string_split(path, '/')), '(\\.[^./]+)$', 1)) as ext from p)
@@ -137,6 +161,8 @@ SQL = {
     "output_folders": "select page_id, 'report.v1_' || left(md5('/in/' || page_id % 3 || '/report.v1.pdf'), 8) as folder from pages",
     "markdown_blocks": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents), m as (select doc_id, pos, repeat('#', pos % 4) || ' ' || x as line from l)
         select doc_id, pos, length(regexp_extract(line, '^(#+)', 1))::int as text_level, {strip_sql("regexp_replace(line, '^#+', '')")} as text from m where {strip_sql('line')} <> ''""",
+    "inline_markup": _markup_sql(),
+    "html_blocks": f"with {_HTML} select page_id, (row_number() over (partition by page_id order by k) - 1)::int as pos, 'text' as type, text_level, text from t where text <> ''",
     "content_list_blocks": "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents) select doc_id, pos, case when pos % 5 = 4 then 'image' else 'text' end as type, case when pos % 5 = 4 then 0 else pos end as page_idx, case when pos % 5 = 4 then left(x, 9) else x end as said from l",
     "reference_tree": "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents) select doc_id, pos, case when pos % 5 = 2 then 'image' when pos % 3 = 1 then 'equation' else 'text' end as type, (pos // 10)::int as page_idx, x as text from l",
     "span_text": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents)

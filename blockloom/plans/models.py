@@ -21,7 +21,7 @@ def strip_thinking(spark, sf_dir):
 
 
 def json_cleanup(spark, sf_dir):
-    return _answers(spark, sf_dir).where("pos % 5 <> 4").select("doc_id", "pos", X.json_cleanup("answer").alias("cleaned"))
+    return _answers(spark, sf_dir).select("doc_id", "pos", X.json_cleanup("answer").alias("cleaned"))
 
 
 def json_fields_regex(spark, sf_dir):
@@ -38,9 +38,16 @@ def parse_response(spark, sf_dir):
 
 
 def judge_scores(spark, sf_dir):
-    """Judges' answers: JSON in fences, JSON cut short, plain words."""
-    kind = F.col("doc_id") % 3
-    said = F.when(kind == 0, F.concat(F.lit('```json\n{"accuracy": '), F.col("quality"), F.lit(', "relevance": 0.5}\n```'))).when(kind == 1, F.concat(F.lit('{"accuracy": '), F.col("quality"), F.lit(', "reasoning": "so'))).otherwise(F.when(F.col("quality") == 1, "That is right.").otherwise("This is incorrect."))
+    """Judges' answers: JSON in fences with all scores, JSON cut short, plain words with and without a negation."""
+    kind, share = F.col("doc_id") % 4, (F.col("doc_id") % 5) / 4
+    dims = F.concat(*(F.concat(F.lit(f', "{d}": '), share.cast("string")) for d in R.SCORES[1:]))
+    good = F.col("quality") == 1
+    said = (
+        F.when(kind == 0, F.concat(F.lit('```json\n{"accuracy": '), F.col("quality"), dims, F.lit(', "reasoning": "as \\"expected\\""}\n```')))
+        .when(kind == 1, F.concat(F.lit('{"accuracy": '), F.col("quality"), F.lit(', "relevance": 0.5, "reasoning": "so')))
+        .when(kind == 2, F.when(good, "That is right.").otherwise("This is incorrect."))
+        .otherwise(F.when(good, "The answer matches; it is not wrong.").otherwise("The answer is not correct."))
+    )
     return table(spark, sf_dir, "labels").select("doc_id", R.judged(said).alias("j")).select("doc_id", "j.*")
 
 
@@ -78,7 +85,7 @@ def belongs_to_edges(spark, sf_dir):
 
 
 def merge_nodes(spark, sf_dir):
-    return G.merge_nodes(_found(spark, sf_dir)).select("entity_name", "entity_type", "description", F.md5("source_ids").alias("sources_md5"), "n_mentions")
+    return G.merge_nodes(_found(spark, sf_dir)).select("entity_name", "entity_type", "description", F.md5("source_ids").alias("sources_md5"), "n_mentions", "n_sources")
 
 
 def merge_edges(spark, sf_dir):
@@ -86,17 +93,18 @@ def merge_edges(spark, sf_dir):
 
 
 def entity_rows(spark, sf_dir):
-    df = _answers(spark, sf_dir).where("pos % 5 = 1")
+    df = _answers(spark, sf_dir)
     e = F.struct(F.concat(F.lit("E"), F.col("pos"), F.lit(" (thing)")).alias("entity_name"), F.lit("thing").alias("entity_type"), F.concat(F.lit("s"), F.col("doc_id")).alias("summary"))
     rows = G.entity_rows(df.select(F.concat_ws("-", F.lit("chunk"), "doc_id", "pos").alias("chunk_id"), F.concat(F.lit("f"), F.col("doc_id")).alias("file_path"), e.alias("entity")))
     return rows.select("entity_id", "entity_name", "entity_type", "content", "source_id", "file_path")
 
 
 def merge_full_entities(spark, sf_dir):
-    """Names that a document had, and those that its first other blocks add."""
+    """Names that a document had, its text blocks, and those that blocks of all kinds but images and headings add."""
     b = blocks(spark, sf_dir)
-    old = b.where("pos < 3 and type = 'text'").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.left("text", F.lit(5)).alias("n")))), lambda x: x["n"]).alias("entity_names"), F.lit(1).alias("count"), F.lit(111).alias("update_time"), F.lit("kept").alias("note"))
-    new = b.where("pos between 2 and 6").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.left(F.coalesce("text", "table_body", "img_path"), F.lit(5)).alias("n")))), lambda x: x["n"]).alias("entity_names"), F.lit(222).alias("update_time"))
+    names = lambda df, said: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("n")))), lambda x: x["n"]).alias("entity_names"))
+    old = names(b.where("type = 'text'"), F.col("text")).withColumns({"count": F.lit(1), "update_time": F.lit(111), "note": F.lit("kept")})
+    new = names(b.where("type <> 'image' and text_level = 0"), F.coalesce("text", "table_body")).withColumn("update_time", F.lit(222))
     out = G.merge_full_entities(old, new)
     return out.select("doc_id", F.array_join("entity_names", "|").alias("entity_names"), "count", "update_time", "note")
 
@@ -129,18 +137,18 @@ def image_markers(spark, sf_dir):
 
 
 def vlm_messages(spark, sf_dir):
-    prompt = F.concat(F.left("text", F.lit(40)), F.lit("\n[VLM_IMAGE_1] between [VLM_IMAGE_2]\n[VLM_IMAGE_9] end"))
+    prompt = F.concat(F.col("text"), F.lit("\n[VLM_IMAGE_1] between [VLM_IMAGE_2]\n[VLM_IMAGE_9] end"))
     parts = Q.messages(prompt, F.array(F.lit("a"), F.lit("b")), F.lit("what?"))
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(parts).alias("n", "p")).select("conv_id", "turn", "n", "p.type", F.coalesce("p.text", F.lit("")).alias("text"), F.coalesce("p.image", F.lit(-1)).alias("image"))
 
 
 def analysis_prompts(spark, sf_dir):
-    """What a model is asked about images in a language that has that prompt only, and how its fallback for tables begins."""
+    """What a model is asked about images in a language that has that prompt only, and its fallback for tables."""
     from ..functions.prompts import Prompts
 
     known = Prompts().register("de", {"image": "Bild {image_path}: {captions}"})
     df = blocks(spark, sf_dir).where("type = 'image'").withColumns({"footnotes": F.lit(None).cast("array<string>"), "extra": F.lit(None).cast("string")})
-    return df.select("doc_id", "pos", known.use("de").column("image").alias("de"), F.left(known.use("de").column("table"), F.lit(18)).alias("fallback"))
+    return df.select("doc_id", "pos", known.use("de").column("image").alias("de"), known.use("de").column("table").alias("fallback"))
 
 
 def multimodal_pipeline(spark, sf_dir):
@@ -170,6 +178,20 @@ QUERIES = {
     )
 }
 
+
+def _prompt_sql(kind: str) -> str:
+    """The English prompt of a kind, filled from the columns that an image has."""
+    import string
+
+    from ..functions.prompts import Prompts
+
+    of = {"image_path": "img_path", "captions": "captions", "footnotes": "'None'"}
+    parts = []
+    for literal, name, _, _ in string.Formatter().parse(Prompts().get(kind)):
+        parts += ["'" + literal.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"] * bool(literal) + [of.get(name, "''")] * bool(name)
+    return " || ".join(parts)
+
+
 _VALUE = lambda name, group: f"""regexp_extract(answer, '(?s)"{name}":\\s*"([^"]*(?:\\\\.[^"]*)*)"', {group})"""
 _HAS = lambda name: f"{_VALUE(name, 0)} <> ''"
 _THOUGHTLESS = strip_sql("regexp_replace(regexp_replace(answer, '(?is)<think>.*?</think>', '', 'g'), '(?is)<thinking>.*?</thinking>', '', 'g')")
@@ -182,27 +204,28 @@ edges as (select md5(entity_name || modal_entity_name) as h, entity_name as src_
 """
 SQL = {
     "strip_thinking": f"with {BLOCKS}, {ANSWERS} select doc_id, pos, {_THOUGHTLESS} as cleaned from answers",
-    "json_cleanup": rf"with {BLOCKS}, {ANSWERS} select doc_id, pos, regexp_replace({strip_sql('answer')}, ',(\s*[}}\]])', '\1', 'g') as cleaned from answers where pos % 5 <> 4",
+    "json_cleanup": rf"with {BLOCKS}, {ANSWERS} select doc_id, pos, regexp_replace({strip_sql('answer')}, ',(\s*[}}\]])', '\1', 'g') as cleaned from answers",
     "json_fields_regex": f"""with {BLOCKS}, {ANSWERS}, f as (select doc_id, pos, answer, case when {_HAS('detailed_description')} then {_VALUE('detailed_description', 1)} else '' end as description from answers)
         select doc_id, pos, description, case when {_HAS('entity_name')} then {_VALUE('entity_name', 1)} else 'unknown_entity' end as entity_name, case when {_HAS('entity_type')} then {_VALUE('entity_type', 1)} else 'unknown' end as entity_type, case when {_HAS('summary')} then {_VALUE('summary', 1)} else left(description, 100) end as summary from f""",
-    "judge_scores": "select doc_id, quality::int as accuracy, case when doc_id % 3 = 0 then 0.5::double end as relevance from labels",
+    "judge_scores": "select doc_id, quality::int as accuracy, " + ", ".join(f"case doc_id % 4 when 0 then (doc_id % 5)::double / 4 {'when 1 then 0.5::double ' * (d == 'relevance')}end as {d}" for d in R.SCORES[1:]) + """, case doc_id % 4 when 0 then 'as "expected"' when 1 then 'so' end as reasoning from labels""",
     "route_processors": f"with {BLOCKS} select doc_id, pos, case when type = 'equation' then 'custom' else type end as type, case when type = 'equation' then 'generic' else type end || '_processor' as processor from blocks where type <> 'text'",
     "enabled_modalities": f"with {BLOCKS} select doc_id, pos, type, type || '_processor' as processor from blocks where type not in ('text', 'table')",
     "processor_supports": f"with {BLOCKS} select distinct type, case type " + " ".join(f"when '{k}' then '{', '.join(v)}'" for k, v in G.SUPPORTS.items()) + f" else '{G.BASIC[0]}' end as supports from blocks",
     "belongs_to_edges": f"with {BLOCKS}, {_FOUND} select 'rel-' || h as relation_id, src_id, tgt_id, keywords, source_id, weight from edges",
     "merge_nodes": f"""with {BLOCKS}, {_FOUND}, t as (select entity_name, entity_type, count(*) as n from found group by all), b as (select entity_name, entity_type from t qualify row_number() over (partition by entity_name order by n desc, entity_type) = 1),
-        a as (select entity_name, string_agg(distinct description, chr(10) order by description) as description, md5(string_agg(distinct chunk_id, ',' order by chunk_id)) as sources_md5, count(*) as n_mentions from found group by 1) select entity_name, entity_type, description, sources_md5, n_mentions from a join b using (entity_name)""",
+        s as (select entity_name, chunk_id, row_number() over (partition by entity_name order by chunk_id) as r from (select distinct entity_name, chunk_id from found)), l as (select entity_name, md5(string_agg(chunk_id, ',' order by chunk_id) filter (r <= {G.LISTED})) as sources_md5, count(*) as n_sources from s group by 1),
+        a as (select entity_name, string_agg(distinct description, chr(10) order by description) as description, count(*) as n_mentions from found group by 1) select entity_name, entity_type, description, sources_md5, n_mentions, n_sources from a join b using (entity_name) join l using (entity_name)""",
     "merge_edges": f"with {BLOCKS}, {_FOUND} select least(src_id, tgt_id) as a, greatest(src_id, tgt_id) as b, sum(weight) as weight, string_agg(distinct keywords, ',' order by keywords) as keywords, count(*) as n_edges, count(distinct source_id) as n_sources from edges group by 1, 2",
-    "entity_rows": f"with {BLOCKS}, {ANSWERS} select 'ent-' || md5('E' || pos || ' (thing)') as entity_id, 'E' || pos || ' (thing)' as entity_name, 'thing' as entity_type, 'E' || pos || ' (thing)' || chr(10) || 's' || doc_id as content, 'chunk-' || doc_id || '-' || pos as source_id, 'f' || doc_id as file_path from answers where pos % 5 = 1",
-    "merge_full_entities": f"""with {BLOCKS}, o as (select doc_id, list(left(text, 5) order by pos) as l from blocks where pos < 3 and type = 'text' group by doc_id), n as (select doc_id, list(left(coalesce(text, table_body, img_path), 5) order by pos) as l from blocks where pos between 2 and 6 group by doc_id),
+    "entity_rows": f"with {BLOCKS}, {ANSWERS} select 'ent-' || md5('E' || pos || ' (thing)') as entity_id, 'E' || pos || ' (thing)' as entity_name, 'thing' as entity_type, 'E' || pos || ' (thing)' || chr(10) || 's' || doc_id as content, 'chunk-' || doc_id || '-' || pos as source_id, 'f' || doc_id as file_path from answers",
+    "merge_full_entities": f"""with {BLOCKS}, o as (select doc_id, list(text order by pos) as l from blocks where type = 'text' group by doc_id), n as (select doc_id, list(coalesce(text, table_body) order by pos) as l from blocks where type <> 'image' and text_level = 0 group by doc_id),
         m as (select coalesce(o.doc_id, n.doc_id) as doc_id, list_concat(coalesce(o.l, []), coalesce(n.l, [])) as l, n.l is not null as has_new, o.l is not null as has_old from o full join n on o.doc_id = n.doc_id),
         u as (select doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) as l, has_new, has_old from m)
         select doc_id, array_to_string(l, '|') as entity_names, len(l)::int as count, case when has_new then 222 else 111 end as update_time, case when has_old then 'kept' end as note from u""",
-    "analysis_prompts": f"with {BLOCKS} select doc_id, pos, 'Bild ' || img_path || ': ' || case when caption = '' then 'None' else caption end as de, 'Explain the table:' as fallback from blocks where type = 'image'",
-    "robust_json_parse": f"""with {BLOCKS}, {ANSWERS}, d as (select doc_id, pos, regexp_replace(left(text, 60), '["\\\\]', '', 'g') as d from answers)
+    "analysis_prompts": f"with {BLOCKS}, c as (select *, case when caption = '' then 'None' else caption end as captions from blocks where type = 'image') select doc_id, pos, 'Bild ' || img_path || ': ' || captions as de, {_prompt_sql('table')} as fallback from c",
+    "robust_json_parse": f"""with {BLOCKS}, {ANSWERS}
         select doc_id, pos, case when pos % 5 = 4 then '{{"detailed_description": "", "entity_info": {{"entity_name": "unknown_entity", "entity_type": "unknown", "summary": ""}}}}'
-          else '{{"detailed_description": "' || d || '", "entity_info": {{"entity_name": "E' || pos || '", "entity_type": "thing", "summary": "s' || doc_id || '"}}}}' end as parsed from d""",
-    "parse_response": f"""with {BLOCKS}, {ANSWERS}, d as (select doc_id, pos, regexp_replace(left(text, 60), '["\\\\]', '', 'g') as d, {_THOUGHTLESS} as plain from answers), k as (select *, pos % 5 <> 4 and d <> '' as ok from d)
+          else '{{"detailed_description": ' || to_json(text)::varchar || ', "entity_info": {{"entity_name": "E' || pos || '", "entity_type": "thing", "summary": "s' || doc_id || '"}}}}' end as parsed from answers""",
+    "parse_response": f"""with {BLOCKS}, {ANSWERS}, d as (select doc_id, pos, text as d, {_THOUGHTLESS} as plain from answers), k as (select *, pos % 5 <> 4 and d <> '' as ok from d)
         select doc_id, pos, case when ok then d else plain end as description, case when ok then 'E' || pos || ' (thing)' else 'image_' || md5(plain) end as entity_name, case when ok then 'thing' else 'image' end as entity_type,
           case when ok then 's' || doc_id when length(plain) > 100 then left(plain, 100) || '...' else plain end as summary from k""",
     "query_cache_key": r"""select conv_id, turn, 'multimodal_query:' || md5('{"query":' || to_json(regexp_replace(text, '^\s+|\s+$', '', 'g'))::varchar || ',"mode":"mix","items":[{"type":"table","img_path":"t.png",' ||
@@ -211,6 +234,6 @@ SQL = {
     "enhanced_query": f"""with q as (select conv_id, turn, text, case when turn % 4 = 0 and turn % 3 = 0 then 'Image path: /a.png; Image captions: c1, c2' when turn % 4 = 0 then 'Image path: /a.png' when turn % 3 = 0 then 'Image captions: c1, c2' else 'Image content information incomplete' end as i from conversations where role = 'user')
         select conv_id, turn, 'User query: ' || text || chr(10) || chr(10) || 'Related image content: ' || i || case when turn > 1 then chr(10) || chr(10) || 'Related table content: ' || left(text, 10) else '' end || chr(10) || chr(10) || '{Q.SUFFIX.strip()}' as enhanced from q""",
     "image_markers": "select conv_id, turn, text || chr(10) || 'Image Path: /w/' || conv_id || '.png' || chr(10) || '[VLM_IMAGE_1]' || chr(10) || 'more' || chr(10) || 'Image Path: /etc/x.png' || chr(10) || 'Image Path: /w/' || conv_id + 1 || '.png' || chr(10) || '[VLM_IMAGE_2]' as prompt, '/w/' || conv_id || '.png,/w/' || conv_id + 1 || '.png' as images from conversations where role = 'user'",
-    "vlm_messages": """with q as (select conv_id, turn, left(text, 40) || chr(10) as t from conversations where role = 'user'), p as (select conv_id, turn, unnest([0, 1, 2, 3, 4, 5])::int as n, t from q)
+    "vlm_messages": """with q as (select conv_id, turn, text || chr(10) as t from conversations where role = 'user'), p as (select conv_id, turn, unnest([0, 1, 2, 3, 4, 5])::int as n, t from q)
         select conv_id, turn, n, case when n in (1, 3) then 'image' else 'text' end as type, case n when 0 then t when 2 then ' between ' when 4 then ' end' when 5 then chr(10) || chr(10) || 'User Question: what?' || chr(10) || chr(10) || 'Please answer based on the context and images provided.' else '' end as text, case n when 1 then 0 when 3 then 1 else -1 end::int as image from p""",
 }
