@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 TextModel = Callable[[list[str]], list[str]]
 VectorModel = Callable[[list[str]], list[list[float]]]
+#: Requests hold system (text), parts (type "text" or "image", text, image: a number) and images (base64 or paths).
+VisionModel = Callable[[list[dict]], list[str]]
+Encoder = Callable[[list[str]], list[list[int]]]
 
 
 class Rejected(Exception):
@@ -62,6 +65,25 @@ def guarded(call: Callable, breaker, clock: Callable = time.monotonic) -> Callab
     return run
 
 
+_ANSWER = pa.struct([("value", pa.string()), ("error", pa.string())])
+
+
+def _called(model: Callable, requests: list) -> list[dict]:
+    """value and error of each request that isn't null. If a batch fails, its rows are tried one by one."""
+    at = [k for k, r in enumerate(requests) if r is not None]
+    out: list = [{"value": None, "error": None} for _ in requests]
+    try:
+        for k, v in zip(at, model([requests[k] for k in at]) if at else [], strict=True):
+            out[k]["value"] = v
+    except Exception:
+        for k in at:
+            try:
+                out[k]["value"] = model([requests[k]])[0]
+            except Exception as e:
+                out[k]["error"] = f"{type(e).__name__}: {e}"
+    return out
+
+
 def answers(prompt: Column, load: Callable[[], TextModel]) -> Column:
     """struct<value, error> of each prompt; null prompts have neither. If a batch fails, its rows are tried one by one."""
     held: list = []
@@ -70,23 +92,80 @@ def answers(prompt: Column, load: Callable[[], TextModel]) -> Column:
     def run(prompts: pa.Array) -> pa.Array:
         if not held:
             held.append(load())
-        texts = prompts.to_pylist()
-        at = [k for k, t in enumerate(texts) if t is not None]
-        out: list = [{"value": None, "error": None} for _ in texts]
-        try:
-            for k, v in zip(at, held[0]([texts[k] for k in at]), strict=True):
-                out[k]["value"] = v
-        except Exception:
-            for k in at:
-                try:
-                    out[k]["value"] = held[0]([texts[k]])[0]
-                except Exception as e:
-                    out[k]["error"] = f"{type(e).__name__}: {e}"
-        return pa.array(out, pa.struct([("value", pa.string()), ("error", pa.string())]))
+        return pa.array(_called(held[0], prompts.to_pylist()), _ANSWER)
 
     return run(prompt)
 
 
+def seen(system: Column, parts: Column, images: Column, load: Callable[[], VisionModel]) -> Column:
+    """struct<value, error> of what a vision model says to each message; null parts have neither."""
+    held: list = []
+
+    @F.arrow_udf("struct<value:string,error:string>")
+    def run(systems: pa.Array, lists: pa.Array, pictures: pa.Array) -> pa.Array:
+        if not held:
+            held.append(load())
+        rows = zip(systems.to_pylist(), lists.to_pylist(), pictures.to_pylist(), strict=True)
+        return pa.array(_called(held[0], [None if p is None else {"system": s, "parts": p, "images": i or []} for s, p, i in rows]), _ANSWER)
+
+    return run(system, parts, images)
+
+
+def token_counts(text: Column, load: Callable[[], Encoder]) -> Column:
+    """How many tokens an encoder gives; null for null."""
+    held: list = []
+
+    @F.arrow_udf("int")
+    def run(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(load())
+        rows = texts.to_pylist()
+        at = [k for k, t in enumerate(rows) if t is not None]
+        out: list = [None] * len(rows)
+        for k, ids in zip(at, held[0]([rows[k] for k in at]) if at else [], strict=True):
+            out[k] = len(ids)
+        return pa.array(out, pa.int32())
+
+    return run(text)
+
+
+def within_tokens(text: Column, limit: int, load: Callable[[], Encoder]) -> Column:
+    """The longest start of a text that has at most so many tokens, dots behind it if it was cut. Found by halving, as the length of a start's encoding hardly ever falls when the start grows."""
+    held: list = []
+
+    def cut(t: str, encode: Encoder) -> str:
+        if len(encode([t])[0]) <= limit:
+            return t
+        lo, hi = 0, len(t)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if len(encode([t[:mid]])[0]) <= limit else (lo, mid)
+        return t[:lo] + "..."
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(load())
+        return pa.array([None if t is None else cut(t, held[0]) for t in texts.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def stub_encoder() -> Encoder:
+    """Words' lengths, for tests."""
+    return lambda texts: [[len(w) for w in t.split()] for t in texts]
+
+
+def stub_vision() -> VisionModel:
+    """Says how many texts and images a message has, and the md5 of its texts."""
+
+    def one(request: dict) -> str:
+        said = "\n".join(p["text"] for p in request["parts"] if p["type"] == "text")
+        return f"{sum(p['type'] == 'image' for p in request['parts'])} of {len(request['images'])} images, {hashlib.md5(said.encode()).hexdigest()}"
+
+    return lambda requests: [one(r) for r in requests]
+
+
 def embeddings(text: Column, load: Callable[[], VectorModel], dim: int, normalise: bool = True) -> Column:
     """array<float> of dim components and norm 1; null for null. A model that gives another length is an error."""
     held: list = []

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import EVENT
 
@@ -51,3 +52,25 @@ class Callbacks:
         from datetime import UTC, datetime
 
         return spark.createDataFrame([(e, datetime.fromtimestamp(t, UTC), *rest) for e, t, *rest in self.events], EVENT)
+
+    def timed(self, hook: str, work: Callable, **what):
+        """What work() gives; <hook>_start before it, then <hook>_complete or <hook>_error with its duration."""
+        self.dispatch(f"{hook}_start", **what) if f"{hook}_start" in HOOKS else None
+        began = self.clock()
+        try:
+            out = work()
+        except Exception as e:
+            if f"{hook}_error" in HOOKS:
+                self.dispatch(f"{hook}_error", error=e, duration_seconds=self.clock() - began, **what)
+            raise
+        self.dispatch(f"{hook}_complete", duration_seconds=self.clock() - began, **what)
+        return out
+
+
+def document_events(states: DataFrame, at, key: str = "doc_id") -> DataFrame:
+    """schema.EVENT rows of documents that are done or failed (status.document_states), without passing through the driver."""
+    done = states.where("status in ('processed', 'failed')")
+    return done.select(
+        F.when(F.col("status") == "failed", "document_error").otherwise("document_complete").alias("event_type"), F.lit(at).cast("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("file_path"), F.col(key).cast("string").alias("doc_id"),
+        F.lit("ingest").alias("stage"), F.create_map(F.lit("chunks_count"), F.col("chunks_count").cast("string")).alias("details"), F.lit(None).cast("double").alias("duration_seconds"), "error",
+    )

@@ -75,17 +75,22 @@ def split_chunks(docs: DataFrame, key: str, text: str, separator: str) -> DataFr
     return docs.select(key, F.posexplode(parts).alias("chunk_order_index", "content"))
 
 
-def window_chunks(docs: DataFrame, key: str, text: str, size: int = 1200, overlap: int = 100) -> DataFrame:
-    """key, chunk_order_index, content, tokens of overlapping windows over a text's words."""
+def windows(text: Column, size: int, overlap: int) -> Column:
+    """Overlapping windows over a text's words, as texts; none for a text without words."""
     step = size - overlap
     if step <= 0:
         raise ValueError("the overlap must be smaller than the window")
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    df = docs.select(key, words.alias("_w")).where(F.size("_w") > 0)
     # the last window is the first that reaches the end
-    last = F.ceil(F.greatest(F.size("_w") - size, F.lit(0)) / step).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(F.col("_w"), k * step + 1, size))
-    return df.select(key, F.posexplode(windows).alias("chunk_order_index", "_c")).select(key, "chunk_order_index", F.array_join("_c", " ").alias("content"), F.size("_c").alias("tokens"))
+    last = F.ceil(F.greatest(F.size(words) - size, F.lit(0)) / step).cast("int")
+    found = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * step + 1, size), " "))
+    return F.when(F.size(words) > 0, found).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def window_chunks(docs: DataFrame, key: str, text: str, size: int = 1200, overlap: int = 100) -> DataFrame:
+    """key, chunk_order_index, content, tokens of overlapping windows over a text's words."""
+    df = docs.select(key, F.posexplode(windows(F.col(text), size, overlap)).alias("chunk_order_index", "content"))
+    return df.withColumn("tokens", tokens("content"))
 
 
 def progress(index: Column, n: Column) -> Column:

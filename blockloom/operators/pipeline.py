@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import HTML, Config
 from ..functions import models, repair
 from ..functions.prompts import Prompts
-from ..functions.text import hash_id, tokens
+from ..functions.text import hash_id, image_data, tokens
+from ..shared import durable
+from ..sources import files
 from . import blocks as B
 from . import chunks, context, graph, queries, retrieval, status
+from .callbacks import Callbacks
 
 
 @dataclass(frozen=True)
@@ -28,44 +32,80 @@ class Ingested:
     doc_status: DataFrame
 
 
-def described(blocks: DataFrame, load: Callable, config: Config = Config(), prompts: Prompts = Prompts(), key: str = "doc_id") -> DataFrame:
+@dataclass(frozen=True)
+class Modality:
+    """A processor for a type of one's own: its prompt from the blocks' columns and context, and its chunk from a description."""
+
+    type: str
+    prompt: Callable[[Column], Column]
+    chunk: Callable[[Column], Column] | None = None
+
+
+def described(blocks: DataFrame, load: Callable, config: Config = Config(), prompts: Prompts = Prompts(), key: str = "doc_id", own: tuple[Modality, ...] = ()) -> DataFrame:
     """Blocks other than text with context, the model's entity, and error. A failed call leaves its row with the fallback of an empty answer and its error."""
     near = context.page_context if config.context_mode == "page" else context.chunk_context
     df = near(blocks, config, key)
     df = graph.route(df, graph.processors(df.sparkSession, config.enabled_types()))
-    df = df.withColumn("_a", models.answers(prompts.for_blocks(F.col("context")), load))
+    prompt = prompts.for_blocks(F.col("context"))
+    for m in own:
+        prompt = F.when(F.col("type") == m.type, m.prompt(F.col("context"))).otherwise(prompt)
+        df = df.withColumn("processor", F.when(F.col("type") == m.type, f"{m.type}_processor").otherwise(F.col("processor")))
+    df = df.withColumn("_a", models.answers(prompt, load))
     return df.withColumn("entity", repair.entities(F.coalesce("_a.value", F.lit("")), F.col("type"))).withColumn("error", F.col("_a.error")).drop("_a")
 
 
-def modal_chunks(items: DataFrame, key: str = "doc_id") -> DataFrame:
+def modal_chunks(items: DataFrame, key: str = "doc_id", own: tuple[Modality, ...] = ()) -> DataFrame:
     """Chunks of described blocks, the template filled once for all that need it; blocks of equal content in a document are one chunk."""
-    df = items.withColumn("content", chunks.modal_chunk(F.col("entity.description")))
+    content = chunks.modal_chunk(F.col("entity.description"))
+    for m in own:
+        content = F.when(F.col("type") == m.type, m.chunk(F.col("entity.description"))).otherwise(content) if m.chunk else content
+    df = items.withColumn("content", content)
     df = df.select(key, "pos", "page_idx", F.col("type").alias("original_type"), "content", hash_id("content", "chunk-").alias("chunk_id"), tokens("content").alias("tokens"), F.col("entity.entity_name").alias("modal_entity_name"), "entity", "error")
     return status.latest(df, [key, "chunk_id"], "pos")
 
 
-def ingest(docs: DataFrame, load: Callable, extract: Callable[[DataFrame], DataFrame], config: Config = Config(), prompts: Prompts = Prompts(), key: str = "doc_id", done: DataFrame | None = None, skip_multimodal: bool = False) -> Ingested:
-    """docs: key and blocks. load: the model. extract: entities (chunk_id, entity_name, entity_type, description, source_id) of chunks (chunk_id, content). done: doc_status of earlier runs, whose finished documents aren't described again."""
+def text_chunks(docs: DataFrame, key: str, config: Config, split: str | None = None, split_only: bool = False, by_tokens: bool = False) -> DataFrame:
+    """key, chunk_order_index, content, tokens, chunk_id of text_content: its paragraphs; or what stands between split, and
+    unless split_only any such piece of over chunk_size words in overlapping windows; or by_tokens such windows of the whole text."""
+    if split is None and not by_tokens:
+        return chunks.paragraph_chunks(docs, key, "text_content")
+    if split is None:
+        return chunks.with_chunk_id(chunks.window_chunks(docs, key, "text_content", config.chunk_size, config.chunk_overlap), key)
+    pieces = chunks.split_chunks(docs, key, "text_content", split).withColumn("tokens", tokens("content"))
+    if not split_only:
+        long = chunks.windows(F.col("content"), config.chunk_size, config.chunk_overlap)
+        parts = F.when(F.col("tokens") <= config.chunk_size, F.array("content")).otherwise(long)
+        pieces = pieces.select(key, F.col("chunk_order_index").alias("_a"), F.posexplode(parts).alias("_b", "content"))
+        pieces = pieces.select(key, (F.row_number().over(W.partitionBy(key).orderBy("_a", "_b")) - 1).alias("chunk_order_index"), "content", tokens("content").alias("tokens"))
+    return chunks.with_chunk_id(pieces.select(key, "chunk_order_index", "content", "tokens"), key)
+
+
+def ingest(
+    docs: DataFrame, load: Callable, extract: Callable[[DataFrame], DataFrame], config: Config = Config(), prompts: Prompts = Prompts(), key: str = "doc_id", done: DataFrame | None = None, skip_multimodal: bool = False,
+    split: str | None = None, split_only: bool = False, by_tokens: bool = False, own: tuple[Modality, ...] = (), callbacks: Callbacks | None = None,
+) -> Ingested:
+    """docs: key and blocks. load: the model. extract: entities (chunk_id, entity_name, entity_type, description, source_id) of chunks (chunk_id, content). done: doc_status of earlier runs, whose finished documents aren't described again. split, split_only, by_tokens: see text_chunks(). own: processors of further types.
+
+    What the models say, of blocks and of chunks, is written to the shared folder once, and all relations read that:
+    each block is described by one call, and answers that vary can't make relations disagree."""
     separated = B.recovered(docs)
-    text = chunks.paragraph_chunks(separated.where("text_content <> ''"), key, "text_content")
+    text = text_chunks(separated.where("text_content <> ''"), key, config, split, split_only, by_tokens)
     text = text.select(key, "chunk_id", "chunk_order_index", "content", "tokens", F.lit(None).cast("string").alias("original_type"), F.lit(None).cast("string").alias("modal_entity_name"), F.lit(None).cast("string").alias("error"))
     todo = docs if done is None else status.gate(docs, done, key)
     blocks = todo.select(key, F.inline("blocks"))
     for c, kind in (("footnotes", "array<string>"), ("extra", "string"), ("text_format", "string")):
         if c not in blocks.columns:
             blocks = blocks.withColumn(c, F.lit(None).cast(kind))
-    modal = modal_chunks(described(blocks, load, config, prompts, key), key)
-    if skip_multimodal:
-        modal = modal.where(F.lit(False))
+    modal = modal_chunks(described(blocks, load, config, prompts, key, own), key, own)
+    told = callbacks or Callbacks()
+    modal = modal.where(F.lit(False)) if skip_multimodal else told.timed("multimodal", lambda: durable(modal), stage="multimodal")
     # other blocks' chunks are numbered on from the text's
     base = text.groupBy(key).agg(F.max("chunk_order_index").alias("_base"))
-    from pyspark.sql import Window as W
-
     numbered = modal.join(base, key, "left").withColumn("chunk_order_index", (F.coalesce("_base", F.lit(-1)) + F.row_number().over(W.partitionBy(key).orderBy("pos"))).cast("int"))
     both = text.unionByName(numbered.select(*text.columns))
-    found = extract(both.select("chunk_id", "content"))
-    own = modal.select(F.col("modal_entity_name").alias("entity_name"), F.col("entity.entity_type").alias("entity_type"), F.col("entity.summary").alias("description"), F.col("chunk_id").alias("source_id"))
-    nodes = graph.merge_nodes(found.select("entity_name", "entity_type", "description", "source_id").unionByName(own))
+    found = told.timed("text_insert", lambda: durable(extract(both.select("chunk_id", "content"))), stage="extract")
+    mine = modal.select(F.col("modal_entity_name").alias("entity_name"), F.col("entity.entity_type").alias("entity_type"), F.col("entity.summary").alias("description"), F.col("chunk_id").alias("source_id"))
+    nodes = graph.merge_nodes(found.select("entity_name", "entity_type", "description", "source_id").unionByName(mine))
     edges = graph.merge_edges(graph.belongs_to(found, modal.select("chunk_id", "modal_entity_name")))
     names = modal.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "modal_entity_name"))), lambda x: x["modal_entity_name"]).alias("entity_names"))
     names = names.withColumn("entity_names", F.array_distinct("entity_names")).withColumn("count", F.size("entity_names"))
@@ -73,9 +113,25 @@ def ingest(docs: DataFrame, load: Callable, extract: Callable[[DataFrame], DataF
     return Ingested(separated.select(key, B.content_id("blocks").alias("content_id"), "text_content"), both, nodes, edges, names, state)
 
 
+def ingest_folder(spark: SparkSession, folder: str, registry: files.Registry, load: Callable, extract: Callable[[DataFrame], DataFrame], config: Config = Config(), cache: DataFrame | None = None, dry_run: bool = False, callbacks: Callbacks | None = None, **options) -> tuple[DataFrame, Ingested | None]:
+    """(the folder's files with parser, blocks, error; what ingest() gives of those that could be parsed). With dry_run only
+    the list of files and parsers, of which no byte is read."""
+    if dry_run:
+        listed = files.listing(spark, folder, config.supported_extensions + HTML, config.recursive)
+        return listed.withColumn("parser", files.route("path")), None
+    told = callbacks or Callbacks()
+    found = files.scan_folder(spark, folder, config.supported_extensions + HTML, config.recursive)
+    told.dispatch("batch_start", file_path=folder)
+    parsed = told.timed("parse", lambda: durable(files.dispatch(found, registry, cache=cache, method=config.parse_method)), file_path=folder, stage="parse")
+    docs = parsed.where("error is null").select(F.col("path").alias("doc_id"), "blocks")
+    out = ingest(docs, load, extract, config, callbacks=told, **options)
+    told.dispatch("batch_complete", file_path=folder, files=parsed.count(), failed=parsed.where("error is not null").count())
+    return parsed, out
+
+
 def first_words(found: DataFrame) -> DataFrame:
     """An extractor for tests: up to three capitalised words of a chunk."""
-    words = F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b(\p{Lu}\p{L}{3,})"), 1)), 1, 3)
+    words = F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?:^|[^\p{L}])(\p{Lu}\p{L}{3,})"), 1)), 1, 3)
     return found.select("chunk_id", F.explode(words).alias("entity_name")).select("chunk_id", "entity_name", F.lit("word").alias("entity_type"), F.lit("a word").alias("description"), F.col("chunk_id").alias("source_id"))
 
 
@@ -104,13 +160,35 @@ def answered(questions: DataFrame, found: DataFrame, texts: DataFrame, load: Cal
     return df.select("query_id", models.answers(prompt, load).alias("a")).select("query_id", F.col("a.value").alias("answer"), "a.error")
 
 
-def answered_with_items(questions: DataFrame, load: Callable, cache: DataFrame | None = None, mode: str = "mix") -> DataFrame:
-    """query_id, cache_key, answer, cached of questions (query_id, question, items of type, img_path, table_body, text): from the cache (cache_key, answer), else from the model by the enhanced question."""
+def answered_with_items(questions: DataFrame, load: Callable, cache: DataFrame | None = None, mode: str = "mix", describe: Callable | None = None) -> DataFrame:
+    """query_id, cache_key, answer, cached of questions (query_id, question, items of type, img_path, table_body, text): from the cache (cache_key, answer), else from the model by the enhanced question. describe: a model that describes tables, equations and other items first; without it their own text stands for them."""
     df = questions.withColumn("cache_key", queries.cache_key(F.col("question"), F.col("items"), F.lit(mode)))
     if cache is None:
         df = df.withColumn("_hit", F.lit(None).cast("string"))
     else:
         df = df.join(cache.select("cache_key", F.col("answer").alias("_hit")).dropDuplicates(["cache_key"]), "cache_key", "left")
-    told = F.transform("items", lambda i: F.struct(i["type"].alias("type"), F.coalesce(i["text"], i["table_body"], queries.described_image(i["img_path"], F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"))).alias("description")))
+    none = F.lit(None).cast("array<string>")
+    plain = lambda i: F.coalesce(i["text"], i["table_body"], queries.described_image(i["img_path"], none, none))
+    told = F.transform("items", lambda i: F.struct(i["type"].alias("type"), plain(i).alias("description")))
+    if describe is not None:
+        # each item is a row of the model's; a question's few items come together again
+        each = df.where("_hit is null").select("query_id", F.posexplode("items").alias("_k", "_i"))
+        each = each.withColumn("_d", models.answers(queries.item_prompt(F.col("_i")), describe)["value"])
+        each = each.select("query_id", F.struct("_k", F.col("_i.type").alias("type"), F.coalesce("_d", plain(F.col("_i"))).alias("description")).alias("_s"))
+        df = df.join(each.groupBy("query_id").agg(F.array_sort(F.collect_list("_s")).alias("_told")), "query_id", "left")
+        told = F.transform(F.coalesce("_told", F.expr("cast(array() as array<struct<_k:int,type:string,description:string>>)")), lambda i: F.struct(i["type"].alias("type"), i["description"].alias("description")))
     prompt = F.when(F.col("_hit").isNull(), queries.enhanced(F.col("question"), told))
     return df.select("query_id", "cache_key", F.coalesce("_hit", models.answers(prompt, load)["value"]).alias("answer"), F.col("_hit").isNotNull().alias("cached"))
+
+
+def answered_with_images(questions: DataFrame, load: Callable, folders: list[str], images: DataFrame | None = None, system: Column | None = None) -> DataFrame:
+    """query_id, answer, error, n_images: each question (query_id, question, prompt: its retrieved context) put to a vision
+    model with the images that its prompt names and that lie in one of folders. images: files (path, content) whose bytes
+    the model gets as base64; those that aren't there, and all without images, are given by path."""
+    m = queries.vision_messages(questions, "prompt", "question", folders, system)
+    if images is not None:
+        each = m.select("query_id", F.posexplode("images").alias("_k", "path")).join(images.select("path", image_data("content").alias("_b")), "path", "left")
+        held = each.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.coalesce("_b", "path").alias("b")))), lambda x: x["b"]).alias("_held"))
+        m = m.join(held, "query_id", "left").withColumn("images", F.coalesce("_held", "images"))
+    m = m.withColumn("_a", F.explode(F.array(models.seen(F.col("system"), F.col("parts"), F.col("images"), load))))
+    return m.select("query_id", F.col("_a.value").alias("answer"), F.col("_a.error").alias("error"), F.size("images").alias("n_images"))

@@ -51,6 +51,22 @@ def described_image(path: Column, captions: Column, footnotes: Column) -> Column
     return F.coalesce(F.nullif(said, F.lit("")), F.lit("Image content information incomplete"))
 
 
+#: What a model is asked about an item that comes with a question, by the item's type.
+ITEM_PROMPTS = {
+    "table": "Describe this table for a reader who can't see it: structure, main figures, trends.\n\nTable:\n{table_body}",
+    "equation": "Explain this equation: its symbols, its meaning and what it is used for.\n\nEquation: {text}",
+    "generic": "Describe this content of type {type}: what it is and what matters in it.\n\nContent: {content}",
+}
+
+
+def item_prompt(item: Column) -> Column:
+    """What a model is asked about an item (struct type, img_path, table_body, text); null for images, of which paths and captions tell."""
+    from .chunks import fill
+
+    of = dict(table_body=item["table_body"], text=item["text"], type=item["type"], content=F.coalesce(item["text"], item["table_body"]))
+    return F.when(item["type"] == "image", F.lit(None).cast("string")).when(item["type"] == "table", fill(ITEM_PROMPTS["table"], **of)).when(item["type"] == "equation", fill(ITEM_PROMPTS["equation"], **of)).otherwise(fill(ITEM_PROMPTS["generic"], **of))
+
+
 def enhanced(query: Column, items: Column) -> Column:
     """A query with its items' descriptions (array of struct type, description), those without one left out."""
     told = F.transform(F.filter(items, lambda i: i["description"].isNotNull()), lambda i: F.concat(F.lit("\nRelated "), i["type"], F.lit(" content: "), i["description"]))

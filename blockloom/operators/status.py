@@ -67,3 +67,20 @@ def document_status(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
         F.count("*").alias("chunks_count"),
         F.transform(F.array_sort(F.collect_list(F.struct("chunk_order_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunks_list"),
     )
+
+
+def document_states(parsed: DataFrame, chunks: DataFrame, todo: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """key, status, error, chunks_count, multimodal_processed of every parsed document (key, error).
+
+    failed: it couldn't be parsed, or all of its chunks (key, error) failed; ready: parsed, no chunk yet; handling: it has
+    chunks, and todo (key) says that other blocks are still to come; processed: all is done. Errors: the parser's, else the first of its chunks'."""
+    made = chunks.groupBy(key).agg(F.count("*").alias("chunks_count"), F.count_if(F.col("error").isNotNull()).alias("_bad"), F.min("error").alias("_why"))
+    met = parsed.select(key, F.col("error").alias("_parse")).join(made, key, "left")
+    if todo is None:
+        met = met.withColumn("_todo", F.lit(False))
+    else:
+        met = met.join(todo.select(key).distinct().withColumn("_todo", F.lit(True)), key, "left").withColumn("_todo", F.coalesce("_todo", F.lit(False)))
+    n, failed = F.coalesce("chunks_count", F.lit(0)), F.col("_parse").isNotNull() | ((F.col("_bad") > 0) & (F.col("_bad") == F.col("chunks_count")))
+    state = F.when(failed, "failed").when(n == 0, "ready").when(F.col("_todo"), "handling").otherwise("processed")
+    state = F.coalesce(state, F.lit("ready"))
+    return met.select(key, state.alias("status"), F.coalesce("_parse", "_why").alias("error"), n.alias("chunks_count"), (state == "processed").alias("multimodal_processed"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import heading_level, page_of, strip
 from ..schema import CONTENT_ITEM
+from ..shared import durable
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +313,7 @@ def reference_tree(nodes: DataFrame, key: str = "doc_key") -> DataFrame:
         steps = level.select(key, "path", "seen", F.posexplode("children").alias("k", "child"))
         steps = steps.where(~F.array_contains("seen", F.col("child"))).select(key, F.concat("path", F.array("k")).alias("path"), F.concat("seen", F.array("child")).alias("seen"), F.col("child").alias("ref"))
         level = steps.join(nodes.select(key, "ref", "children", "label", "type", "text", "image"), [key, "ref"])
-        level = level.select(key, "ref", "children", "label", "type", "text", "image", "path", "seen").persist()
+        level = durable(level.select(key, "ref", "children", "label", "type", "text", "image", "path", "seen"))
         if level.isEmpty():
             break
         found = found.unionByName(level)

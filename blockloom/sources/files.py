@@ -6,6 +6,7 @@ import posixpath
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +26,19 @@ def normalise_extension(x: str) -> str:
     return x if not x or x.startswith(".") else f".{x}"
 
 
+def listing(spark: SparkSession, folder: str, exts: tuple[str, ...] = (), recursive: bool = True, limit: int | None = None) -> DataFrame:
+    """path, modificationTime, length of the files with one of exts in any case, in order of path; their bytes aren't read."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).drop("content")
+    df = supported(df, tuple(map(normalise_extension, exts)) or Config().supported_extensions).orderBy("path")
+    return df if limit is None else df.limit(limit)
+
+
 def scan_folder(spark: SparkSession, folder: str, exts: tuple[str, ...] = (), recursive: bool = True, limit: int | None = None) -> DataFrame:
-    """path, modificationTime, length, content of the files with one of exts in any case, once each and in order of path."""
+    """listing() with content. Bytes are read where they are used: nothing that holds them is sorted or shuffled; with a limit, only the chosen paths (limit of them) are sent to the scan."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    df = supported(df, tuple(map(normalise_extension, exts)) or Config().supported_extensions).dropDuplicates(["path"]).orderBy("path")
-    return df if limit is None else df.limit(limit)
+    if limit is None:
+        return supported(df, tuple(map(normalise_extension, exts)) or Config().supported_extensions)
+    return df.join(F.broadcast(listing(spark, folder, exts, recursive, limit).select("path")), "path", "left_semi")
 
 
 def supported(files: DataFrame, exts: tuple[str, ...], path: str = "path") -> DataFrame:
@@ -111,3 +120,73 @@ class Registry:
 
     def names(self) -> list[str]:
         return sorted({*self.builtin, *self.own})
+
+
+#: What parsers give: one row for each file, with its blocks or an error.
+PARSED = "path string, blocks array<struct<pos:int,type:string,text_level:int,text:string,img_path:string,captions:array<string>,table_body:string,page_idx:int>>, error string"
+
+
+def parser_of(read: Callable[[bytes, str], list[dict]]) -> Parser:
+    """A parser from a function of a file's bytes and path to its blocks (dicts with type, text and so on). A file that it
+    fails on has null blocks and the error; others aren't touched by that."""
+    names = ("type", "text_level", "text", "img_path", "captions", "table_body", "page_idx")
+    item = pa.struct([("pos", pa.int32()), ("type", pa.string()), ("text_level", pa.int32()), ("text", pa.string()), ("img_path", pa.string()), ("captions", pa.list_(pa.string())), ("table_body", pa.string()), ("page_idx", pa.int32())])
+
+    @F.arrow_udf("struct<blocks:array<struct<pos:int,type:string,text_level:int,text:string,img_path:string,captions:array<string>,table_body:string,page_idx:int>>,error:string>")
+    def run(contents: pa.Array, paths: pa.Array) -> pa.Array:
+        out = []
+        for raw, path in zip(contents.to_pylist(), paths.to_pylist(), strict=True):
+            try:
+                found = [{"pos": k, **{n: b.get(n) for n in names}, "type": b.get("type") or "text", "page_idx": b.get("page_idx") or 0} for k, b in enumerate(read(raw, path))]
+                out.append({"blocks": found, "error": None})
+            except Exception as e:
+                out.append({"blocks": None, "error": f"{type(e).__name__}: {e}"})
+        return pa.array(out, pa.struct([("blocks", pa.list_(item)), ("error", pa.string())]))
+
+    def parse(files: DataFrame) -> DataFrame:
+        # a generator of one row keeps the Python function out of the expressions over its result
+        return files.select("path", F.explode(F.array(run("content", "path"))).alias("_p")).select("path", "_p.blocks", "_p.error")
+
+    return parse
+
+
+def builtin_parsers() -> dict[str, Parser]:
+    """text: Markdown's lines; html: pages; list: a parser's JSON list of blocks is read by blocks.content_list instead."""
+    from .blocks import decoded, page_blocks
+
+    def text(raw: bytes, path: str) -> list[dict]:
+        lines = (x.strip() for x in decoded(raw).split("\n"))
+        return [{"text": x.lstrip("#").strip(), "text_level": len(x) - len(x.lstrip("#"))} for x in lines if x]
+
+    def page(raw: bytes, path: str) -> list[dict]:
+        return [dict(zip(("type", "text_level", "text", "img_path", "captions", "table_body"), b, strict=True)) for b in page_blocks(decoded(raw))]
+
+    return {"text": parser_of(text), "html": parser_of(page)}
+
+
+def dispatch(files: DataFrame, registry: Registry, parser: Column | None = None, cache: DataFrame | None = None, method: str = "auto") -> DataFrame:
+    """path, parser, cache_key, blocks, error, cached for every file (path, modificationTime, content).
+
+    parser: the name of each file's parser, by default the kind that its extension routes to. Files whose parser isn't
+    registered have an error. cache: earlier rows by cache_key (path, time, parser and method); a hit with blocks isn't parsed again."""
+    from ..operators.queries import parse_key
+
+    named = files.withColumn("parser", F.lower(F.trim(route("path") if parser is None else parser)))
+    named = named.withColumn("cache_key", parse_key(F.col("path"), F.unix_micros("modificationTime"), F.col("parser"), F.lit(method)))
+    out, todo = None, named
+    if cache is not None:
+        known = cache.where("blocks is not null").select("cache_key", "blocks").dropDuplicates(["cache_key"])
+        out = named.drop("content").join(known, "cache_key").select("path", "parser", "cache_key", "blocks", F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
+        todo = named.join(known.select("cache_key"), "cache_key", "left_anti")
+    names = registry.names()
+    for name in names:
+        own = todo.where(F.col("parser") == name)
+        # one row for each file: paths say which
+        parsed = registry.get(name)(own.select("path", "content")).select("path", "blocks", "error")
+        got = own.select("path", "parser", "cache_key").join(parsed, "path", "left").select("path", "parser", "cache_key", "blocks", F.coalesce("error", F.when(F.col("blocks").isNull(), F.lit("the parser gave nothing"))).alias("error"), F.lit(False).alias("cached"))
+        out = got if out is None else out.unionByName(got)
+    none = todo.where(~F.col("parser").isin(*names)).select("path", "parser", "cache_key", F.lit(None).alias("blocks"), F.concat(F.lit("no parser "), F.col("parser")).alias("error"), F.lit(False).alias("cached"))
+    if out is None:
+        return none
+    kind = dict(out.dtypes)["blocks"]
+    return out.unionByName(none.withColumn("blocks", F.col("blocks").cast(kind)))
