@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -76,7 +78,9 @@ class Breaker:
 
 
 class BreakerProcessor(StatefulProcessor):
-    """One breaker for each key; a key's events are taken in order of time within a batch."""
+    """One breaker for each key; a key's events are taken in order of time within a batch.
+
+    A batch's events of a key are held while they are sorted, as two numbers and a flag each: no more than the trigger lets in (maxFilesPerTrigger and the like)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("breaker", "failures int, state string, last double, rejected long")
@@ -84,9 +88,10 @@ class BreakerProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         got = self.held.get()
         b = Breaker() if got is None else Breaker(failures=got[0], state=got[1], last=got[2], rejected=got[3])
-        events = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        for at, kind in zip(events["at"], events["event_type"], strict=True):
-            b.call(at, kind != "error")
+        held = [(part["at"].to_numpy(), part["event_id"].to_numpy(), (part["event_type"] != "error").to_numpy()) for part in rows]
+        at, ids, ok = (np.concatenate(x) for x in zip(*held, strict=True))
+        for k in np.lexsort((ids, at)):
+            b.call(float(at[k]), bool(ok[k]))
         self.held.update((b.failures, b.state, b.last, b.rejected))
         yield pd.DataFrame({"user_id": [key[0]], "n_failures": [b.failures], "state": [b.state], "n_rejected": [b.rejected], "last_failure": [b.last]})
 
@@ -130,18 +135,23 @@ def breaker_table(events: DataFrame) -> DataFrame:
 
 
 def ingest_new(spark: SparkSession, folder: str, table: str, schema, checkpoint: str, transform=lambda df: df, keys: tuple[str, ...] = ()) -> StreamingQuery:
-    """Files that come to a folder, transformed and appended to a Parquet folder once each; rows whose keys are there already are left out."""
+    """Files that come to a folder, transformed and added to a Parquet table once each.
+
+    Each batch has a folder of its own in the table (_n=<number>), which a batch that is tried again overwrites: so once
+    each holds without keys as well. With keys, rows whose keys are there already are left out; of the table only the
+    keys are read, and a batch's own folder isn't, so that a second try finds what the first found."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, n: int) -> None:
         new = transform(batch)
         if keys:
             new = new.dropDuplicates(list(keys))
             try:
-                new = new.join(spark.read.parquet(table).select(*keys), list(keys), "left_anti")
-            except Exception as e:  # the first batch finds no table
-                if "PATH_NOT_FOUND" not in str(e):
+                known = spark.read.parquet(table).where(F.col("_n") != n).select(*keys)
+                new = new.join(known, list(keys), "left_anti")
+            except AnalysisException as e:  # the first batch finds no table
+                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                     raise
-        new.write.mode("append").parquet(table)
+        new.write.mode("overwrite").parquet(f"{table}/_n={n}")
 
     stream = spark.readStream.schema(schema).json(folder)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

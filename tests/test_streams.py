@@ -42,3 +42,20 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     go()
     go()
     assert sorted((r.k, r.v) for r in spark.read.parquet(table).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_a_batch_that_is_tried_again_replaces_itself(spark, tmp_path):
+    """Without its commit a batch runs again under its old number, with keys and without."""
+    for keys in ((), ("k",)):
+        base = tmp_path / f"with{len(keys)}"
+        inbox, table, mark = base / "in", str(base / "out"), base / "mark"
+        inbox.mkdir(parents=True)
+        go = lambda: streams.ingest_new(spark, str(inbox), table, "k int, v string", str(mark), keys=keys).awaitTermination()  # noqa: B023, E731
+        for k in (1, 2):
+            (inbox / f"{k}.json").write_text(json.dumps({"k": k, "v": "a"}))
+            go()
+        last = max((f for f in (mark / "commits").iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+        last.unlink()
+        (mark / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+        go()
+        assert sorted((r.k, r.v) for r in spark.read.parquet(table).collect()) == [(1, "a"), (2, "a")]
