@@ -1,4 +1,8 @@
-"""python -m blockloom NAME SF_DIR OUT: runs a registered query and writes its rows as Parquet. Without arguments: the names."""
+"""python -m blockloom NAME SF_DIR OUT: runs a registered query and writes its rows as Parquet. Without arguments: the names.
+
+python -m blockloom parse FOLDER OUT: reads a folder's files to blocks (OUT/files as Parquet; failed ones have their error).
+python -m blockloom list FOLDER OUT: which files there are and which parser each would go to, nothing read.
+python -m blockloom questions BANK OUT: the questions of a bank (JSON lines, a JSON list or a workbook) as JSON lines."""
 
 from __future__ import annotations
 
@@ -11,13 +15,25 @@ def main(args: list[str]) -> int:
     if not args:
         print("\n".join(sorted(QUERIES)))
         return 0
-    if len(args) != 3 or args[0] not in QUERIES:
+    name = args[0]
+    if len(args) != 3 or name not in {*QUERIES, "parse", "list", "questions"}:
         print(__doc__, file=sys.stderr)
         return 2
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.builder.appName(f"blockloom {args[0]}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    QUERIES[args[0]](spark, args[1]).write.parquet(args[2])
+    from .operators import sinks
+    from .sources import files
+
+    spark = SparkSession.builder.appName(f"blockloom {name}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    exts = files.extensions()
+    if name == "parse":
+        files.dispatch(files.scan_folder(spark, args[1], exts), files.Registry(files.builtin_parsers())).write.parquet(f"{args[2]}/files")
+    elif name == "list":
+        files.listing(spark, args[1], exts).withColumn("parser", files.route("path")).write.json(args[2])
+    elif name == "questions":
+        sinks.question_bank(spark, args[1]).write.json(args[2])
+    else:
+        QUERIES[name](spark, args[1]).write.parquet(args[2])
     return 0
 
 

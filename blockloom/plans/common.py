@@ -48,6 +48,23 @@ def truncate_sql(x: str, n: int) -> str:
       when {last("chr(10)")} > length({cut}) * 0.8 then left({cut}, ({last("chr(10)")})::bigint) else {cut} || '...' end"""
 
 
+def template_sql(template: str, of: dict[str, str]) -> str:
+    """A template with {names} as a concatenation of SQL expressions; names that of lacks are empty."""
+    import string
+
+    parts = []
+    for literal, name, _, _ in string.Formatter().parse(template):
+        parts += ["'" + literal.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"] * bool(literal) + [f"coalesce({of[name]}, '')" if name in of else "''"] * bool(name)
+    return " || ".join(parts)
+
+
+def prompt_sql(kind: str, **of: str) -> str:
+    """The English prompt of a kind, filled from an item's columns."""
+    from ..functions.prompts import Prompts
+
+    return template_sql(Prompts().get(kind), {"image_path": "img_path", "captions": "captions", "footnotes": "'None'", **of})
+
+
 def answers(df: DataFrame) -> DataFrame:
     """A model's answers for tests, made from whole text blocks as JSON: fenced, bare, with a thought before, with a comma too many; or plain text after a thought."""
     body = F.to_json(F.struct(F.col("text").alias("detailed_description"), F.struct(F.concat(F.lit("E"), F.col("pos")).alias("entity_name"), F.lit("thing").alias("entity_type"), F.concat(F.lit("s"), F.col("doc_id")).alias("summary")).alias("entity_info")))

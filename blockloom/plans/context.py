@@ -109,7 +109,7 @@ QUERIES |= {f"chunk_template_{k}": _template(k) for k in C.TEMPLATES}
 _SAID = "case when type = 'text' then case when text_level > 0 then repeat('#', text_level) || ' ' || text else text end when type = 'image' then '[Image: ' || caption || ']' when type = 'table' then '[Table: ' || caption || ']' else '' end"
 
 
-def _context(window: int, limit: int, types: str, page: bool) -> str:
+def context_sql(window: int, limit: int, types: str, page: bool) -> str:
     near = f"n.page_idx between b.page_idx - {window} and b.page_idx + {window}" if page else f"n.pos between b.pos - {window} and b.pos + {window} and n.pos <> b.pos"
     said = "case when n.page_idx <> b.page_idx then '[Page ' || n.page_idx || '] ' || n.said else n.said end" if page else "n.said"
     return f"""with {BLOCKS}, said as (select *, {_SAID} as said from blocks),
@@ -117,7 +117,7 @@ def _context(window: int, limit: int, types: str, page: bool) -> str:
       select doc_id, pos, type, page_idx, {truncate_sql('x', limit)} as context from c"""
 
 
-_FILLED = {
+FILLED = {
     "image": "chr(10) || 'Image Content Analysis:' || chr(10) || 'Image Path: ' || img_path || chr(10) || 'Captions: ' || case when caption = '' then 'None' else caption end || chr(10) || 'Footnotes: None' || chr(10) || chr(10) || 'Visual Analysis: d' || pos",
     "table": "'Table Analysis:' || chr(10) || 'Image Path: ' || chr(10) || 'Caption: ' || case when caption = '' then 'None' else caption end || chr(10) || 'Structure: ' || table_body || chr(10) || 'Footnotes: None' || chr(10) || chr(10) || 'Analysis: d' || pos",
     "equation": "'Mathematical Equation Analysis:' || chr(10) || 'Equation: ' || text || chr(10) || 'Format: latex' || chr(10) || chr(10) || 'Mathematical Analysis: d' || pos",
@@ -125,11 +125,11 @@ _FILLED = {
 }
 _WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
 SQL = {
-    "page_context": _context(1, 2000, "'text'", True),
-    "page_context_wide": _context(2, 300, "'text', 'image', 'table'", True),
-    "chunk_context": _context(2, 2000, "'text'", False),
-    "page_context_in_rows": _context(1, 2000, "'text'", True),
-    "chunk_context_in_rows": _context(2, 2000, "'text'", False),
+    "page_context": context_sql(1, 2000, "'text'", True),
+    "page_context_wide": context_sql(2, 300, "'text', 'image', 'table'", True),
+    "chunk_context": context_sql(2, 2000, "'text'", False),
+    "page_context_in_rows": context_sql(1, 2000, "'text'", True),
+    "chunk_context_in_rows": context_sql(2, 2000, "'text'", False),
     "context_text": f"with {BLOCKS} select doc_id, pos, {_SAID} as said from blocks",
     "truncate_context": f"with d as (select doc_id, coalesce(text, '') as x from documents) select doc_id, {', '.join(f'{truncate_sql("x", n)} as c{n}' for n in (2000, 300, 50))} from d",
     "text_chunk_context": f"""with {BLOCKS}, t as (select doc_id, pos, {strip_sql("coalesce(text, table_body, '')")} as x from blocks), c as (select t.doc_id, t.pos, coalesce(string_agg(n.x, chr(10) order by n.pos), '') as x from t left join t n on n.doc_id = t.doc_id and n.pos between t.pos - 2 and t.pos + 2 and n.pos <> t.pos and n.x <> '' group by t.doc_id, t.pos)
@@ -137,8 +137,8 @@ SQL = {
     "map_context": f"with d as (select doc_id, case when doc_id % 3 = 2 then lang || chr(10) || text else text end as x from documents where text is not null) select doc_id, {truncate_sql('x', 2000)} as context from d",
     "embedding_only_chunks": f"""with p as (select doc_id, coalesce(text, '') as t, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '') as l from documents), c as (select doc_id, case when len(l) > 0 then l else [t] end as l from p),
         e as (select doc_id, unnest(range(0, len(l)))::int as chunk_order_index, unnest(l) as content from c) select doc_id, chunk_order_index, content, len({_WORDS.format('content')})::int as tokens, {hash_sql("doc_id || ':' || chunk_order_index || ':' || content", 'chunk-')} as chunk_id from e""",
-    **{f"chunk_template_{k}": f"with {BLOCKS} select doc_id, pos, {v} as content from blocks where type = '{'equation' if k == 'generic' else k}'" for k, v in _FILLED.items()},
-    "multimodal_chunks": f"with {BLOCKS}, c as (select doc_id, pos, type, case type when 'image' then {_FILLED['image']} when 'table' then {_FILLED['table']} else {_FILLED['equation']} end as content from blocks where type <> 'text') select doc_id, pos, 'chunk-' || md5(content) as chunk_id, len({_WORDS.format('content')})::int as tokens, type as original_type from c",
+    **{f"chunk_template_{k}": f"with {BLOCKS} select doc_id, pos, {v} as content from blocks where type = '{'equation' if k == 'generic' else k}'" for k, v in FILLED.items()},
+    "multimodal_chunks": f"with {BLOCKS}, c as (select doc_id, pos, type, case type when 'image' then {FILLED['image']} when 'table' then {FILLED['table']} else {FILLED['equation']} end as content from blocks where type <> 'text') select doc_id, pos, 'chunk-' || md5(content) as chunk_id, len({_WORDS.format('content')})::int as tokens, type as original_type from c",
     "dedupe_chunks": f"with {BLOCKS} select doc_id, 'chunk-' || md5(coalesce(text, table_body, img_path)) as chunk_id, max(pos) as pos, arg_max(type, pos) as type from blocks group by 1, 2",
     "split_by_character": f"with p as (select doc_id, list_filter(list_transform(string_split(text, '.'), lambda x: {strip_sql('x')}), lambda x: x <> '') as l from documents where text is not null) select doc_id, unnest(range(0, len(l)))::int as chunk_order_index, unnest(l) as content from p",
     "token_window_chunks": f"""with w as (select doc_id, {_WORDS.format('text')} as w from documents where text is not null), k as (select doc_id, w, unnest(range(0, ceil(greatest(len(w) - 120, 0) / 100.0)::int + 1))::int as chunk_order_index from w where len(w) > 0)

@@ -139,7 +139,7 @@ def _markup_sql() -> str:
         select doc_id, array_to_string(list_transform(p, lambda v, i: case when i % 2 = 0 and i < len(p) then '<code>' || v || '</code>' when i % 2 = 0 then '`' || {styled} else {styled} end), '') as markup from p"""
 
 
-_HTML = r"""h as (select page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>', '', 'g') as x from pages),
+HTML_SQL = r"""h as (select page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>', '', 'g') as x from pages),
   s as (select page_id, string_split(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<(h[1-6])>', chr(1) || '\1' || chr(2), 'g'), '</?(?:p|li|ul|div|article|h[1-6]|body)(?: [^>]*)?>', chr(1), 'g'), chr(1)) as p from h),
   u as (select page_id, unnest(p) as raw, unnest(range(0, len(p))) as k from s),
   t as (select page_id, k, coalesce(try_cast(regexp_extract(raw, '^h([1-6])' || chr(2), 1) as int), 0) as text_level, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(raw, '^h[1-6]' || chr(2), ''), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as text from u)"""
@@ -162,7 +162,7 @@ SQL = {
     "markdown_blocks": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents), m as (select doc_id, pos, repeat('#', pos % 4) || ' ' || x as line from l)
         select doc_id, pos, length(regexp_extract(line, '^(#+)', 1))::int as text_level, {strip_sql("regexp_replace(line, '^#+', '')")} as text from m where {strip_sql('line')} <> ''""",
     "inline_markup": _markup_sql(),
-    "html_blocks": f"with {_HTML} select page_id, (row_number() over (partition by page_id order by k) - 1)::int as pos, 'text' as type, text_level, text from t where text <> ''",
+    "html_blocks": f"with {HTML_SQL} select page_id, (row_number() over (partition by page_id order by k) - 1)::int as pos, 'text' as type, text_level, text from t where text <> ''",
     "content_list_blocks": "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents) select doc_id, pos, case when pos % 5 = 4 then 'image' else 'text' end as type, case when pos % 5 = 4 then 0 else pos end as page_idx, case when pos % 5 = 4 then left(x, 9) else x end as said from l",
     "reference_tree": "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents) select doc_id, pos, case when pos % 5 = 2 then 'image' when pos % 3 = 1 then 'equation' else 'text' end as type, (pos // 10)::int as page_idx, x as text from l",
     "span_text": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents)

@@ -9,7 +9,7 @@ from ..functions import repair as R
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import queries as Q
-from .common import ANSWERS, BLOCKS, answers, blocks, strip_sql, table
+from .common import ANSWERS, BLOCKS, answers, blocks, prompt_sql, strip_sql, table
 
 
 def _answers(spark, sf_dir):
@@ -151,47 +151,15 @@ def analysis_prompts(spark, sf_dir):
     return df.select("doc_id", "pos", known.use("de").column("image").alias("de"), known.use("de").column("table").alias("fallback"))
 
 
-def multimodal_pipeline(spark, sf_dir):
-    """Ingest from end to end with a stub for the model: all chunks."""
-    from ..functions import models
-    from ..operators import pipeline
-    from .common import docs
-
-    return pipeline.ingest(docs(spark, sf_dir), models.stub_text, pipeline.first_words).chunks
-
-
-def multimodal_graph(spark, sf_dir):
-    """The edges of the same."""
-    from ..functions import models
-    from ..operators import pipeline
-    from .common import docs
-
-    return pipeline.ingest(docs(spark, sf_dir), models.stub_text, pipeline.first_words).edges
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        analysis_prompts, multimodal_pipeline, multimodal_graph,
+        analysis_prompts,
         strip_thinking, json_cleanup, json_fields_regex, robust_json_parse, parse_response, judge_scores, route_processors, enabled_modalities, processor_supports, belongs_to_edges, merge_nodes, merge_edges, entity_rows,
         merge_full_entities, query_cache_key, query_cache_hits, enhanced_query, image_markers, vlm_messages,
     )
 }
 
-
-def _prompt_sql(kind: str) -> str:
-    """The English prompt of a kind, filled from the columns that an image has."""
-    import string
-
-    from ..functions.prompts import Prompts
-
-    of = {"image_path": "img_path", "captions": "captions", "footnotes": "'None'"}
-    parts = []
-    for literal, name, _, _ in string.Formatter().parse(Prompts().get(kind)):
-        parts += ["'" + literal.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"] * bool(literal) + [of.get(name, "''")] * bool(name)
-    return " || ".join(parts)
-
-
 _VALUE = lambda name, group: f"""regexp_extract(answer, '(?s)"{name}":\\s*"([^"]*(?:\\\\.[^"]*)*)"', {group})"""
 _HAS = lambda name: f"{_VALUE(name, 0)} <> ''"
 _THOUGHTLESS = strip_sql("regexp_replace(regexp_replace(answer, '(?is)<think>.*?</think>', '', 'g'), '(?is)<thinking>.*?</thinking>', '', 'g')")
@@ -221,7 +189,7 @@ SQL = {
         m as (select coalesce(o.doc_id, n.doc_id) as doc_id, list_concat(coalesce(o.l, []), coalesce(n.l, [])) as l, n.l is not null as has_new, o.l is not null as has_old from o full join n on o.doc_id = n.doc_id),
         u as (select doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) as l, has_new, has_old from m)
         select doc_id, array_to_string(l, '|') as entity_names, len(l)::int as count, case when has_new then 222 else 111 end as update_time, case when has_old then 'kept' end as note from u""",
-    "analysis_prompts": f"with {BLOCKS}, c as (select *, case when caption = '' then 'None' else caption end as captions from blocks where type = 'image') select doc_id, pos, 'Bild ' || img_path || ': ' || captions as de, {_prompt_sql('table')} as fallback from c",
+    "analysis_prompts": f"with {BLOCKS}, c as (select *, case when caption = '' then 'None' else caption end as captions from blocks where type = 'image') select doc_id, pos, 'Bild ' || img_path || ': ' || captions as de, {prompt_sql('table')} as fallback from c",
     "robust_json_parse": f"""with {BLOCKS}, {ANSWERS}
         select doc_id, pos, case when pos % 5 = 4 then '{{"detailed_description": "", "entity_info": {{"entity_name": "unknown_entity", "entity_type": "unknown", "summary": ""}}}}'
           else '{{"detailed_description": ' || to_json(text)::varchar || ', "entity_info": {{"entity_name": "E' || pos || '", "entity_type": "thing", "summary": "s' || doc_id || '"}}}}' end as parsed from answers""",
