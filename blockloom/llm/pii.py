@@ -1,17 +1,21 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
 
-Base kinds are email, ip, card (Luhn) and phone; the method adds iban (mod 97) and, where a context word stands nearby,
-ssn and dob. A span that fails its check is dropped and not retried, but
+Base kinds are email, ip, card (Luhn) and phone; the method adds iban (mod 97), secret (keys, tokens and passwords: by
+the form that their issuers give them, or a value assigned to such a name whose entropy is that of a random one) and,
+where a context word stands nearby, ssn and dob. A span that fails its check is dropped and not retried, but
 of an IBAN all ends are tried, the longest first. Offsets are code points, ends exclusive. All scans
 are linear in the text: runs are matched possessively and local parts of addresses are found from their "@".
 
-Nulls are empty texts, which have no spans; every input row gives one row; an empty table gives none.
+Nulls are empty texts, which have no spans; every input row gives one row, repeated rows too; an empty table gives none.
+Of secrets that overlap the first is taken. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import col, session_of, table
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn", "dob")
+ADDED = ("iban", "ssn", "dob", "secret")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -37,8 +41,16 @@ IBAN_LENGTH = {c: n for n, cs in {
 }.items() for c in cs.split()}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _DOB = re.compile(r"(?<![0-9/-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9/-])")
+#: The public forms of keys and tokens, by how they begin.
+_ISSUED = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[opsur]_[A-Za-z0-9]{36,255}+|github_pat_[A-Za-z0-9_]{22,255}+|xox[abprs]-[A-Za-z0-9-]{10,255}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,255}+"
+    r"|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])|glpat-[A-Za-z0-9_-]{20,255}+|eyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+)|-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
+)
+_ASSIGNED = re.compile(r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([^\s\"'<>,;]{8,256}+)")
+#: Bits a character that a value must have, of 8 characters and more; letters and digits both, or it is a word.
+BITS = 2.5
 #: Score before context; an added kind stays at KEEP and above.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "dob": 0.2}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "dob": 0.2, "secret": 0.8}
 KEEP, NEAR, LIFT, DAMP = 0.5, 48, 0.35, 0.25
 #: Words that speak for a kind, and words that speak against any.
 CONTEXT = {
@@ -49,6 +61,7 @@ CONTEXT = {
     "iban": "iban bank account transfer konto",
     "ssn": "ssn social security",
     "dob": "born birth birthday dob geboren",
+    "secret": "password passwd secret token key credential login auth bearer",
 }
 AGAINST = "example sample test dummy version"
 _FOR = {k: re.compile(r"\b(?:" + "|".join(map(re.escape, v.split())) + r")\b", re.I) for k, v in CONTEXT.items()}
@@ -123,6 +136,22 @@ def _ibans(text: str):
                 break
 
 
+def _random(value: str) -> bool:
+    """Whether a value has the entropy of a random one."""
+    n = len(value)
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    return bits >= BITS and any(x.isdigit() for x in value) and any(x.isalpha() for x in value)
+
+
+def _secrets(text: str):
+    free = 0
+    found = [m.span() for m in _ISSUED.finditer(text)] + [m.span(1) for m in _ASSIGNED.finditer(text) if _random(m[1])]
+    for a, b in sorted(found):
+        if a >= free:
+            yield a, b
+            free = b
+
+
 def _score(kind: str, text: str, a: int, b: int) -> float:
     around = text[max(0, a - NEAR) : a] + " " + text[b : b + NEAR]
     return round(min(1.0, max(0.0, PRIOR[kind] + LIFT * bool(_FOR[kind].search(around)) - DAMP * bool(_NOT.search(around)))), 4)
@@ -132,6 +161,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score), base kinds first, then by start."""
     out = [(k, a, b, _score(k, text, a, b)) for k, a, b in base_spans(text)]
     added = [("iban", a, b) for a, b in _ibans(text)]
+    added += [("secret", a, b) for a, b in _secrets(text)]
     added += [(k, *m.span()) for k, pattern in (("ssn", _SSN), ("dob", _DOB)) for m in pattern.finditer(text)]
     for kind, a, b in added:
         if (s := _score(kind, text, a, b)) >= KEEP:
@@ -159,7 +189,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
     said = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     n = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", *map(n, BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"), *map(n, ADDED))
+    scores = F.array_join(F.transform("found", lambda x: x["score"].cast("string")), ",").alias("scores")
+    return out.select("doc_id", *map(n, BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"), scores, *map(n, ADDED))
 
 
 def base_sha256(text: str) -> str:
