@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import shared_folder
+from ..shared import discard, durable  # noqa: F401
 
 #: A key with more than its share of PARTS of the rows is hot: at most PARTS keys are.
 PARTS, FEW = 1024, 64
@@ -18,37 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def session_of(df: DataFrame) -> SparkSession:
+    """df's session, whose Arrow batches are held to ARROW_BYTES and ARROW_ROWS from now on, unless it has lower bounds.
+    The bounds stay, as a lazy result reads them when it is computed."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return spark
 
 
-#: Shuffle files of a query go when it ends, not when the driver happens to collect garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder, cutting its lineage; the shuffle files that it took are removed."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # a query of its own, planned under this setting
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
-def discard(*done: DataFrame) -> None:
-    """Deletes what durable() wrote for these, which nothing may read any more."""
-    for df in done:
-        path = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        if path.isDefined():
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path.get())
-            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def col(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
