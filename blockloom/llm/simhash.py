@@ -29,7 +29,7 @@ from .common import col, durable, packed, session_of, spread_join, table
 from .components import components
 from .graphs import forest, forest_between
 
-SEED, DISTANCE, TILE, SMALL = 42, 3, 4096, 8
+SEED, DISTANCE, TILE, SMALL = 42, 3, 1024, 8
 _BLOCK = 1 << 16  # shingles whose bits are summed at once
 
 
