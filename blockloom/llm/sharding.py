@@ -1,10 +1,12 @@
 """Sharding by extendible hashing, in DataFrame operations only.
 
 A row's hash is 60 bits of an md5 over its id and text. The directory starts with one bucket; a bucket above the byte
-limit, and only such a bucket, splits on the next bit. Sizes are gathered in rounds of LEVEL_BITS bits: each round
-aggregates the rows of buckets that are still too large to cells of LEVEL_BITS more bits, with map-side partial sums,
-and finds all splits among them at once. A round's directory has at most 2**LEVEL_BITS cells for each bucket that it
-opens, so the first is always small enough to broadcast; later ones are counted first and joined by shuffle when large.
+limit, and only such a bucket, splits on the next bit. Sizes are gathered in rounds: each aggregates the rows of buckets
+that are still too large, with map-side partial sums, to cells of some more bits and finds all splits among them at once.
+The first round takes LEVEL_BITS bits, each later one as many as its buckets' mean size asks for and one more; so the
+cells stay few for each bucket, and outliers go on to the next round. Hashes and sizes are computed once (16 bytes a
+row); the rounds read only these. Directories of up to BROADCAST_CELLS cells are broadcast to the rows; with more, hashes
+meet their shards by shuffle, and rows meet those once.
 
 Nulls: a null id or text hashes and weighs like an empty string. Empty table: no shard. Rows that agree in id and text
 have the same hash and no bit parts them: if together they exceed the limit, they are numbered and paged over several
@@ -15,13 +17,14 @@ are returned as they are.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, durable, packed, row_digest, table
+from .common import col, discard, durable, packed, row_digest, table
 
 HASH_BITS, LEVEL_BITS = 60, 12
 LIMIT_BYTES = 32 << 20
@@ -37,9 +40,8 @@ def _prefix(bits: int) -> Column:
     return F.shiftright(F.col("h"), HASH_BITS - bits)
 
 
-def _level(rows: DataFrame, base: int, limit: int) -> DataFrame:
-    """The nodes of the directory between base and base + LEVEL_BITS bits, each with its own and its parent's size."""
-    deep = base + LEVEL_BITS
+def _level(rows: DataFrame, base: int, deep: int, limit: int) -> DataFrame:
+    """The nodes of the directory between base and deep bits, each with its own and its parent's size."""
     cells = rows.groupBy(_prefix(deep).alias("cell")).agg(F.sum("b").alias("b"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
     nodes = (
         cells.withColumn("depth", F.explode(F.sequence(F.lit(base if base == 0 else base + 1), F.lit(deep))))
@@ -52,41 +54,52 @@ def _level(rows: DataFrame, base: int, limit: int) -> DataFrame:
     return nodes.select("*", fits.alias("fits"), F.when(F.col("depth") == 0, F.lit(False)).otherwise(whole).alias("parent_fits"))
 
 
-def directory(rows: DataFrame, limit: int) -> list[DataFrame]:
-    """For each round, its nodes; leaves are those that fit while their parents don't."""
-    levels: list[DataFrame] = []
-    open_rows = rows
-    for base in range(0, HASH_BITS, LEVEL_BITS):
-        nodes = durable(_level(open_rows, base, limit))
-        levels.append(nodes)
-        large = nodes.where(~F.col("fits") & (F.col("depth") == base + LEVEL_BITS)).select(F.col("prefix").alias("open"))
-        if large.isEmpty():
+def directory(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
+    """For each round, its depth and its nodes; leaves are those that fit while their parents don't."""
+    levels: list[tuple[int, DataFrame]] = []
+    base, bits, given = 0, LEVEL_BITS, rows
+    while base < HASH_BITS:
+        deep = min(HASH_BITS, base + bits)
+        nodes = durable(_level(rows, base, deep, limit))
+        levels.append((deep, nodes))
+        large = nodes.where(~F.col("fits") & (F.col("depth") == deep)).select(F.col("prefix").alias("open"), "b")
+        mean, n = large.agg(F.avg("b"), F.count("*")).first()
+        if n:
+            opened = F.broadcast(large.select("open")) if n <= BROADCAST_CELLS else large.select("open")
+            left = durable(rows.join(opened, _prefix(deep) == F.col("open"), "left_semi"))
+        if rows is not given:
+            discard(rows)
+        if not n:
             break
-        open_rows = open_rows.join(large, _prefix(base + LEVEL_BITS) == F.col("open"), "left_semi")
+        rows = left
+        base, bits = deep, min(LEVEL_BITS, max(1, math.ceil(math.log2(max(1.0, float(mean) / limit))) + 1))
     return levels
 
 
+def _leaves(deep: int, nodes: DataFrame, k: int) -> DataFrame:
+    """Every cell of a round that lies under a leaf, with the leaf."""
+    span = F.expr(f"shiftleft(1L, {deep} - depth)")
+    leaves = nodes.where("fits and not parent_fits")
+    cells = leaves.select(F.explode(F.sequence(F.lit(0).cast("long"), span - 1)).alias("i"), span.alias("w"), F.struct("depth", "prefix", "b", "n").alias(f"leaf{k}"))
+    return cells.select((F.col(f"leaf{k}.prefix") * F.col("w") + F.col("i")).alias(f"cell{k}"), f"leaf{k}")
+
+
 def shard(docs: DataFrame, limit: int = LIMIT_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the shard of each row, clustered by shard."""
     rest = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
     rows = docs.select(packed(rest), F.conv(F.substring(row_digest(doc_id, text), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"), F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("long").alias("b"))
-    levels = directory(rows.select("h", "b"), limit)
-    out, found = rows, []
-    for k, nodes in enumerate(levels):
-        deep = (k + 1) * LEVEL_BITS
-        leaves = nodes.where("fits and not parent_fits")
-        # every cell of this round that lies under a leaf: at most 2**LEVEL_BITS for each opened bucket
-        span = F.expr(f"shiftleft(1L, {deep} - depth)")
-        cells = leaves.select(F.explode(F.sequence(F.lit(0).cast("long"), span - 1)).alias("i"), span.alias("w"), F.struct("depth", "prefix", "b", "n", (F.col("lo") == F.col("hi")).alias("one")).alias(f"leaf{k}"))
-        cells = cells.select((F.col(f"leaf{k}.prefix") * F.col("w") + F.col("i")).alias(f"cell{k}"), f"leaf{k}")
-        if k == 0 or cells.count() <= BROADCAST_CELLS:
-            cells = F.broadcast(cells)
-        out = out.join(cells, _prefix(deep) == F.col(f"cell{k}"), "left").drop(f"cell{k}")
-        found.append(F.col(f"leaf{k}"))
-    out = out.select("row", "h", "b", reduce(lambda a, b: F.coalesce(a, b), found).alias("leaf"))
+    slim = durable(rows.select("h", "b"))
+    levels = directory(slim, limit)
+    leaves = [(deep, _leaves(deep, nodes, k)) for k, (deep, nodes) in enumerate(levels)]
+    few = all(deep <= LEVEL_BITS or cells.count() <= BROADCAST_CELLS for deep, cells in leaves)
+    out = rows if few else slim.select("h").distinct()
+    for k, (deep, cells) in enumerate(leaves):
+        out = out.join(F.broadcast(cells) if few else cells, _prefix(deep) == F.col(f"cell{k}"), "left").drop(f"cell{k}")
+    out = out.withColumn("leaf", F.coalesce(*(F.col(f"leaf{k}") for k in range(len(leaves)))))
+    out = out if few else rows.join(out.select("h", "leaf"), "h")
     bits = F.when(F.col("leaf.depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(leaf.prefix), leaf.depth, '0')"))
     done = out.select("row", F.concat(F.lit("b"), bits).alias("shard"), F.col("leaf.depth").alias("shard_depth"), F.col("leaf.b").alias("shard_bytes"), F.col("leaf.n").alias("shard_rows"), (F.col("leaf.b") > limit).alias("oversize"), "h", "b")
-    copies = reduce(DataFrame.unionByName, [x.where("fits and not parent_fits") for x in levels]).where((F.col("b") > limit) & (F.col("n") > 1))
+    copies = reduce(DataFrame.unionByName, [x.where("fits and not parent_fits") for _, x in levels]).where((F.col("b") > limit) & (F.col("n") > 1))
     if not copies.isEmpty():
         stuck = F.col("oversize") & (F.col("shard_rows") > 1)
         done = done.where(~stuck).unionByName(_paged(durable(done.where(stuck).withColumn("at", F.monotonically_increasing_id())), limit))
