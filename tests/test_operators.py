@@ -274,7 +274,8 @@ def test_folder_scan_and_decoding(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x")
     names = lambda df: [r.path.rsplit("/", 1)[1] for r in df.collect()]
-    assert names(files.scan_folder(spark, str(tmp_path))) == ["doc.pdf", "img.PNG", "more.md"]
+    assert names(files.listing(spark, str(tmp_path))) == sorted(names(files.scan_folder(spark, str(tmp_path)))) == ["doc.pdf", "img.PNG", "more.md"]
+    assert "content" not in files.listing(spark, str(tmp_path)).columns and "content" in files.scan_folder(spark, str(tmp_path), limit=2).columns
     assert names(files.scan_folder(spark, str(tmp_path), ("PDF", ".csv"), recursive=False, limit=1)) == ["data.csv"]
     assert source.decoded("é".encode("gbk")) == "é" and source.decoded("é".encode()) == "é"
 
