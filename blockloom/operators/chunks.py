@@ -81,10 +81,15 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     if step <= 0:
         raise ValueError("the overlap must be smaller than the window")
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    # the last window is the first that reaches the end
-    last = F.ceil(F.greatest(F.size(words) - size, F.lit(0)) / step).cast("int")
-    found = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * step + 1, size), " "))
-    return F.when(F.size(words) > 0, found).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def of(w: Column) -> Column:
+        # the last window is the first that reaches the end
+        last = F.ceil(F.greatest(F.size(w) - size, F.lit(0)) / step).cast("int")
+        found = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(w, k * step + 1, size), " "))
+        return F.when(F.size(w) > 0, found).otherwise(F.expr("cast(array() as array<string>)"))
+
+    # a list of one: the words are split once, not for each window
+    return F.element_at(F.transform(F.array(words), of), 1)
 
 
 def window_chunks(docs: DataFrame, key: str, text: str, size: int = 1200, overlap: int = 100) -> DataFrame:
