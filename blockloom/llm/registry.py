@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, licenses, mixing, pii, quality, sharding, simhash, tokens, toxicity
+from . import decontamination, embeddings, infill, licenses, mixing, pii, quality, sharding, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_embeddings": embeddings.query,
     "op10_toxicity": toxicity.query,
+    "op11_infill": infill.query,
 }
 SQL = {
     "op1_sharding": sharding.sql(),
     "op3_licenses": licenses.sql(),
     "op7_mixing": mixing.sql(),
     "op9_embeddings": embeddings.sql(),
+    "op11_infill": infill.sql(),
 }
