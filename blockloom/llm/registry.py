@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, infill, licenses, merkle, mixing, pii, quality, sharding, simhash, tokens, toxicity
+from . import decontamination, embeddings, infill, language, licenses, merkle, mixing, pii, quality, sharding, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_embeddings": embeddings.query,
     "op10_toxicity": toxicity.query,
     "op11_infill": infill.query,
+    "op12_language": language.query,
     "op13_merkle": merkle.query,
 }
 SQL = {
