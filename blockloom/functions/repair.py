@@ -9,15 +9,28 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_THINK = re.compile(r"<(think|thinking)>.*?</\1>", re.I | re.S)
-_FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
-_WIDEST = re.compile(r"\{.*\}", re.S)
-_STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"', re.S)
-_FIELD = r'"{}":\s*"([^"\\]*(?:\\.[^"\\]*)*)"'
+_TAG = re.compile(r"<(/?)(think|thinking)>", re.I)
+_OPENS = re.compile(r"```(?:json)?\s*+\{")
+_CLOSES = re.compile(r"\}\s*+```")
+#: A string, or what is left of a text behind a quote that nothing ends: one scan, whatever is missing.
+_STRING = re.compile(r'"((?:[^"\\]++|\\.)*+)("?)', re.S)
+_FIELD = r'"{}":\s*+"((?:[^"\\]++|\\.)*+)"'
 
 
 def without_thinking(text: str) -> str:
-    return _THINK.sub("", text)
+    """Without blocks of thought, each from its start mark to the next end mark of that name; those without an end stay."""
+    tags = list(_TAG.finditer(text))
+    ends: list[dict[str, re.Match]] = [{}]
+    for m in reversed(tags):  # for each tag the next end mark of either name from it on
+        ends.append({**ends[-1], m[2].lower(): m} if m[1] else ends[-1])
+    ends.reverse()
+    out, free = [], 0
+    for k, m in enumerate(tags):
+        end = None if m[1] or m.start() < free else ends[k].get(m[2].lower())
+        if end:
+            out.append(text[free : m.start()])
+            free = end.end()
+    return "".join([*out, text[free:]])
 
 
 def balanced(text: str) -> list[str]:
@@ -32,11 +45,26 @@ def balanced(text: str) -> list[str]:
     return out
 
 
+def fenced(text: str) -> list[str]:
+    """What stands in braces between code fences; starts and ends are found by a scan each and then matched in order."""
+    closes, out, free, k = [(m.start(), m.end()) for m in _CLOSES.finditer(text)], [], 0, 0
+    for m in _OPENS.finditer(text):
+        if m.start() < free:
+            continue
+        while k < len(closes) and closes[k][0] < m.end():
+            k += 1
+        if k == len(closes):
+            break
+        out.append(text[m.end() - 1 : closes[k][0] + 1])
+        free = closes[k][1]
+    return out
+
+
 def candidates(text: str) -> list[str]:
     """Spans that may be JSON: fenced, balanced, then from the first to the last brace."""
     text = without_thinking(text)
-    widest = _WIDEST.search(text)
-    return _FENCED.findall(text) + balanced(text) + ([widest[0]] if widest else [])
+    first, last = text.find("{"), text.rfind("}")
+    return fenced(text) + balanced(text) + ([text[first : last + 1]] if 0 <= first < last else [])
 
 
 def cleanup(text: str) -> str:
@@ -45,7 +73,7 @@ def cleanup(text: str) -> str:
 
 def escape_fix(text: str) -> str:
     """Backslashes before letters in strings are doubled, as in LaTeX commands."""
-    return _STRING.sub(lambda m: '"' + re.sub(r"(?<!\\)\\(?=[A-Za-z])", r"\\\\", m[1]) + '"', text)
+    return _STRING.sub(lambda m: '"' + re.sub(r"(?<!\\)\\(?=[A-Za-z])", r"\\\\", m[1]) + '"' if m[2] else m[0], text)
 
 
 def quote_fix(text: str) -> str:

@@ -11,8 +11,8 @@ def _c(x: Column | str) -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    """Without white space at either end. A run within is tried from its first character only, so the scan is linear."""
+    return F.regexp_replace(_c(x), r"^\s+|(?<!\s)\s+$", "")
 
 
 def blank(x: Column | str) -> Column:
@@ -39,10 +39,17 @@ def truncate(x: Column | str, limit: int) -> Column:
 
 
 def strip_thinking(x: Column | str) -> Column:
-    """Without the blocks in which models think aloud."""
+    """Without the blocks in which models think aloud; a block without an end stays.
+
+    Marks are looked for only up to the last end mark, so each start mark there finds its end and the scan is linear."""
     out = _c(x)
     for tag in ("think", "thinking"):
-        out = F.regexp_replace(out, f"(?is)<{tag}>.*?</{tag}>", "")
+        end = f"</{tag}>"
+        lower = F.translate(out, "".join(sorted({c.upper() for c in tag})), "".join(sorted(set(tag))))
+        at = F.instr(F.reverse(lower), end[::-1])
+        head = F.length(out) - at + 1
+        cut = F.concat(F.regexp_replace(F.left(out, head), f"(?is)<{tag}>.*?{end}", ""), F.substring(out, head + 1, F.length(out)))
+        out = F.when(at == 0, out).otherwise(cut)
     return strip(out)
 
 
@@ -51,16 +58,17 @@ def json_cleanup(x: Column | str) -> Column:
     return F.regexp_replace(strip(x), r",(\s*[}\]])", "$1")
 
 
-def _field(x: Column | str, name: str) -> Column:
-    return F.nullif(F.regexp_extract(_c(x), f'(?s)"{name}":\\s*"([^"]*(?:\\\\.[^"]*)*)"', 0), F.lit(""))
+def _field(x: Column | str, name: str, group: int) -> Column:
+    """What stands between the quotes behind a name (group 1), or all of that (0). A backslash takes the next character with
+    it and nothing is given back, so an answer that was cut short costs one scan."""
+    return F.regexp_extract(_c(x), rf'(?s)"{name}":\s*+"((?:[^"\\]++|\\.)*+)"', group)
 
 
 def json_fields(x: Column | str) -> Column:
     """Struct of the four fields that can be found by pattern, with defaults."""
 
     def value(name: str, default: Column) -> Column:
-        found = F.regexp_extract(_c(x), f'(?s)"{name}":\\s*"([^"]*(?:\\\\.[^"]*)*)"', 1)
-        return F.when(_field(x, name).isNull(), default).otherwise(found)
+        return F.when(_field(x, name, 0) == "", default).otherwise(_field(x, name, 1))
 
     description = value("detailed_description", F.lit(""))
     return F.struct(

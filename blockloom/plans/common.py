@@ -66,21 +66,34 @@ def prompt_sql(kind: str, **of: str) -> str:
 
 
 def answers(df: DataFrame) -> DataFrame:
-    """A model's answers for tests, made from whole text blocks as JSON: fenced, bare, with a thought before, with a comma too many; or plain text after a thought."""
-    body = F.to_json(F.struct(F.col("text").alias("detailed_description"), F.struct(F.concat(F.lit("E"), F.col("pos")).alias("entity_name"), F.lit("thing").alias("entity_type"), F.concat(F.lit("s"), F.col("doc_id")).alias("summary")).alias("entity_info")))
-    kind = F.col("pos") % 5
+    """A model's answers for tests, made from whole text blocks, quoted, as JSON: fenced, bare, with a thought before, with a
+    comma too many, cut short within a string, cut short behind one; or plain text after a thought."""
+    told = F.concat(F.lit('"'), F.col("text"), F.lit('" \\ said'))
+    body = F.to_json(F.struct(told.alias("detailed_description"), F.struct(F.concat(F.lit("E"), F.col("pos")).alias("entity_name"), F.lit("thing").alias("entity_type"), F.concat(F.lit("s"), F.col("doc_id")).alias("summary")).alias("entity_info")))
+    kind = F.col("pos") % 7
+    named = F.instr(body, ',"entity_info":')
     out = (
         F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(kind == 1, body)
         .when(kind == 2, F.concat(F.lit("<think>a {b}\n</think> "), body))
         .when(kind == 3, F.concat(F.left(body, F.length(body) - 2), F.lit(",}}")))
-        .otherwise(F.concat(F.lit("  <THINKING>x</THINKING>"), F.col("text")))
+        .when(kind == 4, F.concat(F.lit("  <THINKING>x</THINKING>"), F.col("text")))
+        .when(kind == 5, F.left(body, (named - 2 + 24) / 2))
+        .otherwise(F.concat(F.left(body, F.length(body) - F.length(F.substring_index(body, ',"entity_type"', -1)) - 14), F.lit(',"entity_ty')))
     )
     return df.where("type = 'text'").withColumn("answer", out)
 
 
-_OPEN = """'{{"detailed_description":' || to_json(text)::varchar || ',"entity_info":{{"entity_name":"E' || pos || '","entity_type":"thing","summary":"s' || doc_id || '"'""".replace("{{", "{")
-ANSWERS = f"""
-answers as (select doc_id, pos, text, case pos % 5 when 0 then '```json' || chr(10) || {_OPEN} || '}}}}' || chr(10) || '```' when 1 then {_OPEN} || '}}}}' when 2 then '<think>a {{b}}' || chr(10) || '</think> ' || {_OPEN} || '}}}}'
-  when 3 then {_OPEN} || ',}}}}' else '  <THINKING>x</THINKING>' || text end as answer from blocks where type = 'text')
+def answers_sql() -> str:
+    """DuckDB's answers: doc_id, pos, text, told, j (told as JSON), answer."""
+    start = "'{\"detailed_description\":' || j"
+    name = f"""{start} || ',"entity_info":{{"entity_name":"E' || pos || '"'"""
+    whole = f"""{name} || ',"entity_type":"thing","summary":"s' || doc_id || '"'"""
+    return f"""
+said as (select doc_id, pos, text, '"' || text || '" \\ said' as told, to_json('"' || text || '" \\ said')::varchar as j from blocks where type = 'text'),
+answers as (select *, case pos % 7 when 0 then '```json' || chr(10) || {whole} || '}}}}' || chr(10) || '```' when 1 then {whole} || '}}}}' when 2 then '<think>a {{b}}' || chr(10) || '</think> ' || {whole} || '}}}}'
+  when 3 then {whole} || ',}}}}' when 4 then '  <THINKING>x</THINKING>' || text when 5 then left({start}, ((24 + length(j) - 1 + 24) // 2)::bigint) else {name} || ',"entity_ty' end as answer from said)
 """
+
+
+ANSWERS = answers_sql()

@@ -93,9 +93,9 @@ def merge_edges(spark, sf_dir):
 
 
 def entity_rows(spark, sf_dir):
-    df = _answers(spark, sf_dir)
-    e = F.struct(F.concat(F.lit("E"), F.col("pos"), F.lit(" (thing)")).alias("entity_name"), F.lit("thing").alias("entity_type"), F.concat(F.lit("s"), F.col("doc_id")).alias("summary"))
-    rows = G.entity_rows(df.select(F.concat_ws("-", F.lit("chunk"), "doc_id", "pos").alias("chunk_id"), F.concat(F.lit("f"), F.col("doc_id")).alias("file_path"), e.alias("entity")))
+    """Nodes of the graph from whole answers."""
+    e = R.entities(F.col("answer"), F.lit("image"))
+    rows = G.entity_rows(_answers(spark, sf_dir).select(F.concat_ws("-", F.lit("chunk"), "doc_id", "pos").alias("chunk_id"), F.concat(F.lit("f"), F.col("doc_id")).alias("file_path"), e.alias("entity")))
     return rows.select("entity_id", "entity_name", "entity_type", "content", "source_id", "file_path")
 
 
@@ -160,9 +160,12 @@ QUERIES = {
     )
 }
 
-_VALUE = lambda name, group: f"""regexp_extract(answer, '(?s)"{name}":\\s*"([^"]*(?:\\\\.[^"]*)*)"', {group})"""
+_VALUE = lambda name, group: f"""regexp_extract(answer, '(?s)"{name}":\\s*"((?:[^"\\\\]|\\\\.)*)"', {group})"""
 _HAS = lambda name: f"{_VALUE(name, 0)} <> ''"
 _THOUGHTLESS = strip_sql("regexp_replace(regexp_replace(answer, '(?is)<think>.*?</think>', '', 'g'), '(?is)<thinking>.*?</thinking>', '', 'g')")
+_ENTITIES = f"""d as (select doc_id, pos, case when pos % 7 = 6 then substr(j, 2, length(j) - 2) else told end as d, {_THOUGHTLESS} as plain from answers),
+entities as (select doc_id, pos, case when pos % 7 in (4, 5) then plain else d end as description, case when pos % 7 in (4, 5) then 'image_' || md5(plain) else 'E' || pos || case when pos % 7 = 6 then ' (unknown)' else ' (thing)' end end as entity_name,
+  case when pos % 7 in (4, 5) then 'image' when pos % 7 = 6 then 'unknown' else 'thing' end as entity_type, case when pos % 7 in (4, 5) then left(plain, 100) || case when length(plain) > 100 then '...' else '' end when pos % 7 = 6 then left(d, 100) else 's' || doc_id end as summary from d)"""
 _FOUND = """
 said as (select *, coalesce(text, table_body, type || ' ' || pos % 20 || ' (image)') as said from blocks where type <> 'text'),
 names as (select doc_id, pos, type, unnest(list_distinct(case when type = 'image' then [said] else list_filter(string_split(said, ' '), lambda w: w <> '')[1:3] end)) as entity_name from said),
@@ -184,18 +187,16 @@ SQL = {
         s as (select entity_name, chunk_id, row_number() over (partition by entity_name order by chunk_id) as r from (select distinct entity_name, chunk_id from found)), l as (select entity_name, md5(string_agg(chunk_id, ',' order by chunk_id) filter (r <= {G.LISTED})) as sources_md5, count(*) as n_sources from s group by 1),
         a as (select entity_name, string_agg(distinct description, chr(10) order by description) as description, count(*) as n_mentions from found group by 1) select entity_name, entity_type, description, sources_md5, n_mentions, n_sources from a join b using (entity_name) join l using (entity_name)""",
     "merge_edges": f"with {BLOCKS}, {_FOUND} select least(src_id, tgt_id) as a, greatest(src_id, tgt_id) as b, sum(weight) as weight, string_agg(distinct keywords, ',' order by keywords) as keywords, count(*) as n_edges, count(distinct source_id) as n_sources from edges group by 1, 2",
-    "entity_rows": f"with {BLOCKS}, {ANSWERS} select 'ent-' || md5('E' || pos || ' (thing)') as entity_id, 'E' || pos || ' (thing)' as entity_name, 'thing' as entity_type, 'E' || pos || ' (thing)' || chr(10) || 's' || doc_id as content, 'chunk-' || doc_id || '-' || pos as source_id, 'f' || doc_id as file_path from answers",
+    "entity_rows": f"""with {BLOCKS}, {ANSWERS}, {_ENTITIES} select 'ent-' || md5(entity_name) as entity_id, entity_name, entity_type, entity_name || chr(10) || summary as content, 'chunk-' || doc_id || '-' || pos as source_id, 'f' || doc_id as file_path from entities""",
     "merge_full_entities": f"""with {BLOCKS}, o as (select doc_id, list(text order by pos) as l from blocks where type = 'text' group by doc_id), n as (select doc_id, list(coalesce(text, table_body) order by pos) as l from blocks where type <> 'image' and text_level = 0 group by doc_id),
         m as (select coalesce(o.doc_id, n.doc_id) as doc_id, list_concat(coalesce(o.l, []), coalesce(n.l, [])) as l, n.l is not null as has_new, o.l is not null as has_old from o full join n on o.doc_id = n.doc_id),
         u as (select doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) as l, has_new, has_old from m)
         select doc_id, array_to_string(l, '|') as entity_names, len(l)::int as count, case when has_new then 222 else 111 end as update_time, case when has_old then 'kept' end as note from u""",
     "analysis_prompts": f"with {BLOCKS}, c as (select *, case when caption = '' then 'None' else caption end as captions from blocks where type = 'image') select doc_id, pos, 'Bild ' || img_path || ': ' || captions as de, {prompt_sql('table')} as fallback from c",
-    "robust_json_parse": f"""with {BLOCKS}, {ANSWERS}
-        select doc_id, pos, case when pos % 5 = 4 then '{{"detailed_description": "", "entity_info": {{"entity_name": "unknown_entity", "entity_type": "unknown", "summary": ""}}}}'
-          else '{{"detailed_description": ' || to_json(text)::varchar || ', "entity_info": {{"entity_name": "E' || pos || '", "entity_type": "thing", "summary": "s' || doc_id || '"}}}}' end as parsed from answers""",
-    "parse_response": f"""with {BLOCKS}, {ANSWERS}, d as (select doc_id, pos, text as d, {_THOUGHTLESS} as plain from answers), k as (select *, pos % 5 <> 4 and d <> '' as ok from d)
-        select doc_id, pos, case when ok then d else plain end as description, case when ok then 'E' || pos || ' (thing)' else 'image_' || md5(plain) end as entity_name, case when ok then 'thing' else 'image' end as entity_type,
-          case when ok then 's' || doc_id when length(plain) > 100 then left(plain, 100) || '...' else plain end as summary from k""",
+    "robust_json_parse": f"""with {BLOCKS}, {ANSWERS}, f as (select *, case when pos % 7 in (4, 5) then '' when pos % 7 = 6 then substr(j, 2, length(j) - 2) else told end as d from answers)
+        select doc_id, pos, '{{"detailed_description": ' || to_json(d)::varchar || ', "entity_info": {{"entity_name": "' || case when pos % 7 in (4, 5) then 'unknown_entity' else 'E' || pos end || '", "entity_type": "' || case when pos % 7 > 3 then 'unknown' else 'thing' end
+          || '", "summary": ' || to_json(case when pos % 7 > 3 then left(d, 100) else 's' || doc_id end)::varchar || '}}}}' as parsed from f""",
+    "parse_response": f"with {BLOCKS}, {ANSWERS}, {_ENTITIES} select * from entities",
     "query_cache_key": r"""select conv_id, turn, 'multimodal_query:' || md5('{"query":' || to_json(regexp_replace(text, '^\s+|\s+$', '', 'g'))::varchar || ',"mode":"mix","items":[{"type":"table","img_path":"t.png",' ||
           case when length(text) > 200 then '"table_body_hash":"' || md5(text) || '"' else '"table_body":' || to_json(text)::varchar end || '}]}') as cache_key from conversations where role = 'user'""",
     "query_cache_hits": "with u as (select conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from conversations where role = 'user') select conv_id, t in (select t from u where turn > 0) as hit from u where turn = 0",
