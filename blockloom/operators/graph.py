@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_id
@@ -71,38 +70,42 @@ def merge_full_entities(old: DataFrame, new: DataFrame, key: str = "doc_id") ->
     return met.withColumn("count", F.size("entity_names")).withColumn("update_time", F.coalesce("_time", "update_time")).drop("_new", "_time")
 
 
-#: Descriptions, sources and keywords that a merged row lists at most; counts are of all, and mentions() has every one.
-LISTED = 64
+def listed(rows: DataFrame, keys: list[str], *fields: str) -> DataFrame:
+    """keys, field, value: every value of some fields of rows with these keys once, whatever their number; no nulls, no empty ones."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
+    return rows.select(*keys, F.inline(pairs)).where("value is not null and value <> ''").distinct()
 
 
-def first_of(rows: DataFrame, keys: list[str], value: str, most: int = LISTED, sep: str = "\n") -> DataFrame:
-    """keys and value: a key's least distinct values, joined. A rank with a limit is cut in each task before it is
-    shuffled, so a key with very many values sends at most `most` of them from each."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(value))
-    kept = rows.select(*keys, value).where(F.col(value).isNotNull()).distinct().withColumn("_r", rank).where(F.col("_r") <= most)
-    return kept.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), sep).alias(value))
+def node_values(nodes: DataFrame) -> DataFrame:
+    """entity_name, field (description or source_id), value: all that was said of each name."""
+    return listed(nodes, ["entity_name"], "description", "source_id")
 
 
-def mentions(nodes: DataFrame) -> DataFrame:
-    """Every source of every name once: entity_name, source_id."""
-    return nodes.select("entity_name", "source_id").distinct()
+def edge_values(edges: DataFrame) -> DataFrame:
+    """a, b, field (description, keyword or source_id), value: all that was said of each pair of names; keywords apart."""
+    pair = edges.withColumns({"a": F.least("src_id", "tgt_id"), "b": F.greatest("src_id", "tgt_id")})
+    pair = pair if "description" in pair.columns else pair.withColumn("description", F.lit(None).cast("string"))
+    words = pair.select("a", "b", F.explode(F.split(F.coalesce("keywords", F.lit("")), ",")).alias("keyword"))
+    return listed(pair, ["a", "b"], "description", "source_id").unionByName(listed(words, ["a", "b"], "keyword"))
+
+
+def _counts(values: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    return values.groupBy(*keys).agg(*(F.count_if(F.col("field") == f).alias(n) for f, n in names.items()))
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
-    """One node for each name: its most frequent type (ties: first by name), its first LISTED descriptions and sources, each once and in order, and how many mentions and sources there are."""
+    """One node for each name: its most frequent type (ties: first by name), how many mentions, sources and different
+    descriptions it has. The descriptions themselves are rows (node_values), or one text by reduction.reduced()."""
     each = nodes.groupBy("entity_name", "entity_type").agg(F.count("*").alias("n"))
     merged = each.groupBy("entity_name").agg(F.min_by("entity_type", F.struct(-F.col("n"), "entity_type")).alias("entity_type"), F.sum("n").alias("n_mentions"))
-    n = mentions(nodes).groupBy("entity_name").agg(F.count("source_id").alias("n_sources"))
-    parts = (n, first_of(nodes, ["entity_name"], "description"), first_of(nodes, ["entity_name"], "source_id", sep=",").withColumnRenamed("source_id", "source_ids"))
-    for part in parts:
-        merged = merged.join(part, "entity_name", "left")
-    return merged.select("entity_name", "entity_type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("source_ids", F.lit("")).alias("source_ids"), "n_mentions", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+    counts = _counts(node_values(nodes), ["entity_name"], {"source_id": "n_sources", "description": "n_descriptions"})
+    out = merged.join(counts, "entity_name", "left")
+    return out.select("entity_name", "entity_type", "n_mentions", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sources", "n_descriptions")))
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One undirected edge for each pair of names: summed weight, its first LISTED keywords, counts of edges and sources."""
+    """One undirected edge for each pair of names: summed weight, how many edges, sources and different keywords; these are rows of edge_values()."""
     pair = edges.withColumns({"a": F.least("src_id", "tgt_id"), "b": F.greatest("src_id", "tgt_id")})
     merged = pair.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.count("*").alias("n_edges"))
-    n = pair.select("a", "b", "source_id").distinct().groupBy("a", "b").agg(F.count("source_id").alias("n_sources"))
-    merged = merged.join(n, ["a", "b"]).join(first_of(pair, ["a", "b"], "keywords", sep=","), ["a", "b"], "left")
-    return merged.select("a", "b", "weight", F.coalesce("keywords", F.lit("")).alias("keywords"), "n_edges", "n_sources")
+    counts = _counts(edge_values(edges), ["a", "b"], {"source_id": "n_sources", "keyword": "n_keywords"})
+    return merged.join(counts, ["a", "b"], "left").select("a", "b", "weight", "n_edges", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sources", "n_keywords")))

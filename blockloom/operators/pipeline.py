@@ -1,4 +1,4 @@
-"""Ingest and questions from end to end, each one lazy plan."""
+"""Ingest and questions from end to end. Questions are lazy plans; ingest writes what models say when it is called, and its relations read that."""
 
 from __future__ import annotations
 
@@ -16,13 +16,14 @@ from ..functions.text import hash_id, image_data, tokens
 from ..shared import durable
 from ..sources import files
 from . import blocks as B
-from . import chunks, context, graph, queries, retrieval, status
+from . import chunks, context, extraction, graph, queries, reduction, retrieval, status
 from .callbacks import Callbacks
 
 
 @dataclass(frozen=True)
 class Ingested:
-    """What ingest gives: relations of DataFrames, none computed yet."""
+    """What ingest gives. values: all that was said of each node (graph.node_values); nodes have one description of it if ingest
+    was given a model that sums up. relations: the typed ones of the extractor, with ids and texts for a vector store."""
 
     documents: DataFrame
     chunks: DataFrame
@@ -30,6 +31,8 @@ class Ingested:
     edges: DataFrame
     full_entities: DataFrame
     doc_status: DataFrame
+    values: DataFrame
+    relations: DataFrame
 
 
 @dataclass(frozen=True)
@@ -80,11 +83,19 @@ def text_chunks(docs: DataFrame, key: str, config: Config, split: str | None = N
     return chunks.with_chunk_id(pieces.select(key, "chunk_order_index", "content", "tokens"), key)
 
 
+def _found(got: DataFrame | extraction.Extraction) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations, written once."""
+    if isinstance(got, extraction.Extraction):
+        return durable(extraction.with_ends(got)), durable(got.relations)
+    none = got.sparkSession.createDataFrame([], "chunk_id string, src_id string, tgt_id string, description string, keywords string, weight double, source_id string")
+    return durable(got), none
+
+
 def ingest(
-    docs: DataFrame, load: Callable, extract: Callable[[DataFrame], DataFrame], config: Config = Config(), prompts: Prompts = Prompts(), key: str = "doc_id", done: DataFrame | None = None, skip_multimodal: bool = False,
-    split: str | None = None, split_only: bool = False, by_tokens: bool = False, own: tuple[Modality, ...] = (), callbacks: Callbacks | None = None,
+    docs: DataFrame, load: Callable, extract: Callable[[DataFrame], DataFrame | extraction.Extraction], config: Config = Config(), prompts: Prompts = Prompts(), key: str = "doc_id", done: DataFrame | None = None, skip_multimodal: bool = False,
+    split: str | None = None, split_only: bool = False, by_tokens: bool = False, own: tuple[Modality, ...] = (), callbacks: Callbacks | None = None, summarise: Callable | None = None,
 ) -> Ingested:
-    """docs: key and blocks. load: the model. extract: entities (chunk_id, entity_name, entity_type, description, source_id) of chunks (chunk_id, content). done: doc_status of earlier runs, whose finished documents aren't described again. split, split_only, by_tokens: see text_chunks(). own: processors of further types.
+    """docs: key and blocks. load: the model. extract: entities (chunk_id, entity_name, entity_type, description, source_id) of chunks (chunk_id, content), or entities and relations (extraction.extractor). summarise: a model for the nodes' descriptions. done: doc_status of earlier runs, whose finished documents aren't described again. split, split_only, by_tokens: see text_chunks(). own: processors of further types.
 
     What the models say, of blocks and of chunks, is written to the shared folder once, and all relations read that:
     each block is described by one call, and answers that vary can't make relations disagree."""
@@ -103,14 +114,18 @@ def ingest(
     base = text.groupBy(key).agg(F.max("chunk_order_index").alias("_base"))
     numbered = modal.join(base, key, "left").withColumn("chunk_order_index", (F.coalesce("_base", F.lit(-1)) + F.row_number().over(W.partitionBy(key).orderBy("pos"))).cast("int"))
     both = text.unionByName(numbered.select(*text.columns))
-    found = told.timed("text_insert", lambda: durable(extract(both.select("chunk_id", "content"))), stage="extract")
+    found, relations = told.timed("text_insert", lambda: _found(extract(both.select("chunk_id", "content"))), stage="extract")
     mine = modal.select(F.col("modal_entity_name").alias("entity_name"), F.col("entity.entity_type").alias("entity_type"), F.col("entity.summary").alias("description"), F.col("chunk_id").alias("source_id"))
-    nodes = graph.merge_nodes(found.select("entity_name", "entity_type", "description", "source_id").unionByName(mine))
-    edges = graph.merge_edges(graph.belongs_to(found, modal.select("chunk_id", "modal_entity_name")))
+    said = found.select("entity_name", "entity_type", "description", "source_id").unionByName(mine)
+    nodes = graph.merge_nodes(said)
+    if summarise is not None:
+        nodes = nodes.join(reduction.reduced(said, ["entity_name"], summarise).select("entity_name", "description"), "entity_name", "left")
+    beside = graph.belongs_to(found, modal.select("chunk_id", "modal_entity_name")).select("src_id", "tgt_id", "description", "keywords", "weight", "source_id")
+    edges = graph.merge_edges(beside.unionByName(relations.select(*beside.columns)))
     names = modal.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "modal_entity_name"))), lambda x: x["modal_entity_name"]).alias("entity_names"))
     names = names.withColumn("entity_names", F.array_distinct("entity_names")).withColumn("count", F.size("entity_names"))
     state = status.document_status(both, key).withColumn("multimodal_processed", F.lit(not skip_multimodal))
-    return Ingested(separated.select(key, B.content_id("blocks").alias("content_id"), "text_content"), both, nodes, edges, names, state)
+    return Ingested(separated.select(key, B.content_id("blocks").alias("content_id"), "text_content"), both, nodes, edges, names, state, graph.node_values(said), extraction.relation_rows(relations))
 
 
 def ingest_folder(spark: SparkSession, folder: str, registry: files.Registry, load: Callable, extract: Callable[[DataFrame], DataFrame], config: Config = Config(), cache: DataFrame | None = None, dry_run: bool = False, callbacks: Callbacks | None = None, **options) -> tuple[DataFrame, Ingested | None]:
@@ -129,12 +144,6 @@ def ingest_folder(spark: SparkSession, folder: str, registry: files.Registry, lo
     return parsed, out
 
 
-def first_words(found: DataFrame) -> DataFrame:
-    """An extractor for tests: up to three capitalised words of a chunk."""
-    words = F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?:^|[^\p{L}])(\p{Lu}\p{L}{3,})"), 1)), 1, 3)
-    return found.select("chunk_id", F.explode(words).alias("entity_name")).select("chunk_id", "entity_name", F.lit("word").alias("entity_type"), F.lit("a word").alias("description"), F.col("chunk_id").alias("source_id"))
-
-
 def retrieve(mode: str, question_vectors: DataFrame, chunk_vectors: DataFrame, entity_vectors: DataFrame, relation_vectors: DataFrame, edges: DataFrame, chunks_of: DataFrame, config: Config = Config()) -> DataFrame:
     """query_id, chunk_id, score, rank in one of retrieval.MODES. Vectors: vec_id, embedding."""
     if mode not in retrieval.MODES:

@@ -27,7 +27,7 @@ lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as li
 kinds as (select *, case when pos % 7 = 3 then 'table' when pos % 11 = 5 then 'image' when pos % 13 = 6 then 'equation' else 'text' end as type from lines),
 blocks as (select doc_id, pos, type, (pos // 10)::int as page_idx, line, case when type in ('text', 'equation') then line end as text,
   case when type = 'text' and length(line) < 20 then 1 else 0 end as text_level, case when type = 'image' then '/data/img/' || pos || '.png' end as img_path,
-  case when type in ('image', 'table') then substr(line, 1, 20) end as caption, case when type = 'table' then line end as table_body, case when type = 'equation' then 'latex' end as text_format from kinds)
+  case when type in ('image', 'table') then line end as caption, case when type = 'table' then line end as table_body, case when type = 'equation' then 'latex' end as text_format from kinds)
 """
 
 

@@ -8,6 +8,7 @@ from ..config import Config
 from ..functions import models
 from ..operators import pipeline, queries, status
 from ..sources import files
+from . import stubs
 from .common import BLOCKS, blocks, docs, prompt_sql, strip_sql, table, template_sql
 from .context import FILLED, context_sql
 from .ingest import HTML_SQL
@@ -15,17 +16,17 @@ from .ingest import HTML_SQL
 
 def multimodal_pipeline(spark, sf_dir):
     """Ingest from end to end: all chunks."""
-    return pipeline.ingest(docs(spark, sf_dir), models.stub_text, pipeline.first_words).chunks
+    return pipeline.ingest(docs(spark, sf_dir), models.stub_text, stubs.first_words).chunks
 
 
 def multimodal_graph(spark, sf_dir):
     """The edges of the same."""
-    return pipeline.ingest(docs(spark, sf_dir), models.stub_text, pipeline.first_words).edges
+    return pipeline.ingest(docs(spark, sf_dir), models.stub_text, stubs.first_words).edges
 
 
 def multimodal_nodes(spark, sf_dir):
     """The nodes of the same."""
-    return pipeline.ingest(docs(spark, sf_dir), models.stub_text, pipeline.first_words).nodes.select("entity_name", "entity_type", "n_mentions", "n_sources")
+    return pipeline.ingest(docs(spark, sf_dir), models.stub_text, stubs.first_words).nodes.select("entity_name", "entity_type", "n_mentions", "n_sources")
 
 
 def split_ingest(spark, sf_dir):
@@ -89,14 +90,14 @@ base as (select doc_id, max(i) as base from t group by doc_id),
 chunks as (
   select doc_id, 'chunk-' || md5(doc_id || ':' || i || ':' || content) as chunk_id, i::int as chunk_order_index, content, {_WORDS.format('content')} as tokens, null::varchar as original_type, null::varchar as modal_entity_name, null::varchar as error from t
   union all select m.doc_id, chunk_id, (coalesce(base, -1) + row_number() over (partition by m.doc_id order by pos))::int, content, {_WORDS.format('content')}, original_type, left(h, 6) || ' (thing)', null from modal m left join base on m.doc_id = base.doc_id),
-found as (select chunk_id, unnest(list_distinct_ordered(w)[1:3]) as entity_name from (select chunk_id, regexp_extract_all(content, '(?:^|[^\\p{{L}}])(\\p{{Lu}}\\p{{L}}{{3,}})', 1) as w from chunks))""".replace("list_distinct_ordered(w)", "list_filter(w, lambda x, i: list_position(w, x) = i)")
+found as (select chunk_id, unnest(list_distinct_ordered(w)) as entity_name from (select chunk_id, regexp_extract_all(content, '(?:^|[^\\p{{L}}])(\\p{{Lu}}\\p{{L}}{{3,}})', 1) as w from chunks))""".replace("list_distinct_ordered(w)", "list_filter(w, lambda x, i: list_position(w, x) = i)")
 _GRAPH = """e as (select entity_name as src, modal_entity_name as tgt, f.chunk_id from found f join (select doc_id, chunk_id, modal_entity_name from chunks where modal_entity_name is not null) m on f.chunk_id = m.chunk_id where entity_name <> modal_entity_name)"""
 _STUB = lambda x: f"""'```json' || chr(10) || '{{{{"detailed_description": "about ' || md5({x}) || '", "entity_info": {{{{"entity_name": "' || left(md5({x}), 6) || '", "entity_type": "thing", "summary": "' || substr(md5({x}), 7, 6) || '"}}}}}}}}' || chr(10) || '```'""".replace("{{", "{").replace("}}", "}")
 _SUFFIX = template_sql(queries.SUFFIX, {})
 _PIECES = rf"list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda x: {strip_sql('x')}), lambda x: x <> '')"
 SQL = {
     "multimodal_pipeline": f"with {_CHUNKS} select * from chunks",
-    "multimodal_graph": f"with {_CHUNKS}, {_GRAPH} select least(src, tgt) as a, greatest(src, tgt) as b, sum(10.0::double) as weight, 'belongs_to,part_of,contained_in' as keywords, count(*) as n_edges, count(distinct chunk_id) as n_sources from e group by 1, 2",
+    "multimodal_graph": f"with {_CHUNKS}, {_GRAPH} select least(src, tgt) as a, greatest(src, tgt) as b, sum(10.0::double) as weight, count(*) as n_edges, count(distinct chunk_id) as n_sources, 3 as n_keywords from e group by 1, 2",
     "multimodal_nodes": f"""with {_CHUNKS}, n as (select entity_name, 'word' as entity_type, chunk_id from found union all select left(h, 6) || ' (thing)', 'thing', chunk_id from modal), c as (select entity_name, entity_type, count(*) as n from n group by all)
         select entity_name, any_value(ty) as entity_type, count(*) as n_mentions, count(distinct chunk_id) as n_sources from n join (select entity_name, entity_type as ty from c qualify row_number() over (partition by entity_name order by n desc, entity_type) = 1) using (entity_name) group by entity_name""",
     "split_ingest": f"""with p as (select doc_id, {_PIECES} as l from documents), u as (select doc_id, unnest(range(0, len(l))) as a, unnest(l) as content from p), w as (select *, list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '') as w from u),

@@ -133,7 +133,7 @@ def upsert_latest(spark, sf_dir):
     """Turns by conversation and role: the last of a role replaces the rows of its key."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.col("turn").alias("_pos"))
     old = t.where("turn = 0").drop("_pos").withColumn("turn", F.lit(-1).cast("long"))
-    return S.upsert(old, t.where("turn > 1"), ["conv_id", "role"])
+    return S.upsert(old, t.where("turn > 0"), ["conv_id", "role"])
 
 
 def parse_cache_hits(spark, sf_dir):
@@ -234,7 +234,7 @@ SQL = {
     "doc_status": f"with {_STATUS} select d.doc_id, st.doc_id is not null as exists, coalesce(status = 'processed', false) as text_processed, coalesce(mm, false) as multimodal_processed, coalesce(status = 'processed' and mm, false) as fully_processed, coalesce(chunks_count, 0)::int as chunks_count from documents d left join st on d.doc_id = st.doc_id",
     "multimodal_gate": f"with {_STATUS} select doc_id from documents where doc_id not in (select doc_id from st where mm)",
     "chunk_status": f"with {BLOCKS} select doc_id, 'processed' as status, count(*) as chunks_count, md5(string_agg('c-' || doc_id || '-' || pos, ',' order by pos)) as chunks_md5 from blocks group by doc_id",
-    "upsert_latest": "with n as (select conv_id, role, max(turn) as turn from conversations where turn > 1 group by all) select * from n union all select conv_id, role, -1::bigint from conversations c where turn = 0 and not exists (select 1 from n where n.conv_id = c.conv_id and n.role = c.role)",
+    "upsert_latest": "with n as (select conv_id, role, max(turn) as turn from conversations where turn > 0 group by all) select * from n union all select conv_id, role, -1::bigint from conversations c where turn = 0 and not exists (select 1 from n where n.conv_id = c.conv_id and n.role = c.role)",
     "parse_cache_hits": "with f as (select page_id, md5(url || '|1|mineru|auto') as cache_key from pages) select page_id, cache_key, page_id % 3 = 1 and cache_key in (select cache_key from f where page_id % 2 = 0) as hit from f",
     "event_metrics": f"select user_id, count(*) filter ({_ROLE('purchase')}) as documents_processed, count(*) filter ({_ROLE('error')}) as documents_failed, round(coalesce(sum(value) filter ({_ROLE('view')}), 0.0), 4) as total_parse_time, round(coalesce(sum(value) filter ({_ROLE('signup')}), 0.0), 4) as total_insert_time, count(*) filter ({_ROLE('click')}) as queries_executed, round(coalesce(sum(value) filter ({_ROLE('click')}), 0.0), 4) as total_query_time from events group by user_id",
     "error_log_top5": "select user_id, event_id, row_number() over (partition by user_id order by ts, event_id)::int as nth, value from events where event_type = 'error' qualify nth <= 5",

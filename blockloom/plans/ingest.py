@@ -54,25 +54,30 @@ def file_reference(spark, sf_dir):
 
 
 def supported_files(spark, sf_dir):
-    """Names made from page ids, with endings of all kinds and cases."""
+    """Pages' paths with endings of all kinds and cases."""
     endings = F.array(*map(F.lit, (".pdf", ".PNG", ".csv", ".py", ".Md", ".docx", "")))
-    df = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/in/f"), F.col("page_id"), F.element_at(endings, (F.col("page_id") % 7 + 1).cast("int"))).alias("path"))
+    df = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/in"), _path(), F.element_at(endings, (F.col("page_id") % 7 + 1).cast("int"))).alias("path"))
     return files.supported(df, tuple(sorted({*PDF, *IMAGE, *TEXT})))
 
 
+def _path():
+    """The path in a page's address."""
+    return F.coalesce(F.expr("parse_url(url, 'PATH')"), F.lit("/"))
+
+
 def url_sources(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.lower(F.expr("parse_url(url, 'PROTOCOL')")).alias("scheme"), F.expr("parse_url(url, 'HOST')").alias("host"), F.expr("parse_url(url, 'PATH')").alias("path")).where("host is not null")
 
 
 def guarded_images(spark, sf_dir):
-    path = F.concat(F.element_at(F.array(*map(F.lit, ("images/", "../", "/data/doc/x/../", "/etc/", "./a/./"))), (F.col("page_id") % 5 + 1).cast("int")), F.col("page_id"), F.lit(".png"))
+    path = F.concat(F.element_at(F.array(*map(F.lit, ("images/", "../", "/data/doc/x/../", "/etc/", "./a/./"))), (F.col("page_id") % 5 + 1).cast("int")), F.substring(_path(), 2, 1 << 30), F.lit(".png"))
     return table(spark, sf_dir, "pages").select("page_id", path.alias("given"), files.guarded_image(path, "/data/doc").alias("img_path"), files.valid_image(path, F.col("page_id") * (1 << 20), 100).alias("valid"))
 
 
 def output_folders(spark, sf_dir):
     from ..operators.status import output_folder
 
-    path = F.concat(F.lit("/in/"), F.col("page_id") % 3, F.lit("/report.v1.pdf"))
+    path = F.concat(F.lit("/in/"), F.col("page_id") % 3, _path(), F.lit(".v1.pdf"))
     return table(spark, sf_dir, "pages").select("page_id", output_folder(path).alias("folder"))
 
 
@@ -98,7 +103,7 @@ def html_blocks(spark, sf_dir):
 
 def content_list_blocks(spark, sf_dir):
     """Documents written as content lists in JSON, one level of lists in the list, and read again."""
-    item = lambda x, i: F.when(i % 5 == 4, F.to_json(F.array(F.named_struct(F.lit("type"), F.lit("image"), F.lit("img_caption"), F.left(x, F.lit(9)))))).otherwise(F.to_json(F.named_struct(F.lit("type"), F.lit("text"), F.lit("text"), x, F.lit("page_idx"), i)))
+    item = lambda x, i: F.when(i % 5 == 4, F.to_json(F.array(F.named_struct(F.lit("type"), F.lit("image"), F.lit("img_caption"), x)))).otherwise(F.to_json(F.named_struct(F.lit("type"), F.lit("text"), F.lit("text"), x, F.lit("page_idx"), i)))
     raw = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), item), ","), F.lit("]")).alias("raw"))
     df = raw.withColumn("blocks", source.from_content(F.col("raw")))
     return df.select("doc_id", F.inline("blocks")).select("doc_id", "pos", "type", "page_idx", F.coalesce("text", F.array_join("captions", ",")).alias("said"))
@@ -139,6 +144,7 @@ def _markup_sql() -> str:
         select doc_id, array_to_string(list_transform(p, lambda v, i: case when i % 2 = 0 and i < len(p) then '<code>' || v || '</code>' when i % 2 = 0 then '`' || {styled} else {styled} end), '') as markup from p"""
 
 
+_URL_PATH = "coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), ''), '/')"
 HTML_SQL = r"""h as (select page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>', '', 'g') as x from pages),
   s as (select page_id, string_split(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<(h[1-6])>', chr(1) || '\1' || chr(2), 'g'), '</?(?:p|li|ul|div|article|h[1-6]|body)(?: [^>]*)?>', chr(1), 'g'), chr(1)) as p from h),
   u as (select page_id, unnest(p) as raw, unnest(range(0, len(p))) as k from s),
@@ -154,16 +160,16 @@ SQL = {
     "normalize_nested": "with a as (select doc_id, flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: string_split(x, '. '))) as l from documents) select doc_id, unnest(range(0, len(l)))::int as pos, unnest(l) as item from a",
     "file_reference": f"""with p as (select page_id, url, {_PATH} as path from pages), q as (select *, list_last(string_split(path, '/')) as name, lower(regexp_extract(list_last(string_split(path, '/')), '(\\.[^./]+)$', 1)) as ext from p)
         select page_id, name, substr(path, 6) as relative, ext, case when ext = '.pdf' then 'pdf' when ext in ({", ".join(f"'{x}'" for x in IMAGE)}) then 'image' when ext in ('.doc', '.docx', '.ppt', '.pptx', '.xls', '.xlsx') then 'office' when ext in ('.txt', '.md') then 'text' when ext in ('.html', '.htm', '.xhtml') then 'html' else 'generic' end as kind, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') as is_url from q""",
-    "supported_files": f"with f as (select page_id, '/in/f' || page_id || ['.pdf', '.PNG', '.csv', '.py', '.Md', '.docx', ''][(page_id % 7 + 1)::int] as path from pages) select * from f where lower(regexp_extract(path, '(\\.[^./]+)$', 1)) in ({', '.join(repr(x) for x in sorted({*PDF, *IMAGE, *TEXT}))})",
+    "supported_files": f"with f as (select page_id, '/in' || {_URL_PATH} || ['.pdf', '.PNG', '.csv', '.py', '.Md', '.docx', ''][(page_id % 7 + 1)::int] as path from pages) select * from f where lower(regexp_extract(path, '(\\.[^./]+)$', 1)) in ({', '.join(repr(x) for x in sorted({*PDF, *IMAGE, *TEXT}))})",
     "url_sources": "select page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) as scheme, regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) as host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) as path from pages where regexp_matches(url, '^[a-zA-Z]+://[^/?#]+')",
-    "guarded_images": """select page_id, ['images/', '../', '/data/doc/x/../', '/etc/', './a/./'][(page_id % 5 + 1)::int] || page_id || '.png' as given,
-        case page_id % 5 when 0 then '/data/doc/images/' || page_id || '.png' when 2 then '/data/doc/' || page_id || '.png' when 4 then '/data/doc/a/' || page_id || '.png' else '' end as img_path, page_id <= 100 as valid from pages""",
-    "output_folders": "select page_id, 'report.v1_' || left(md5('/in/' || page_id % 3 || '/report.v1.pdf'), 8) as folder from pages",
+    "guarded_images": f"""with p as (select page_id, substr({_URL_PATH}, 2) || '.png' as n from pages) select page_id, ['images/', '../', '/data/doc/x/../', '/etc/', './a/./'][(page_id % 5 + 1)::int] || n as given,
+        case page_id % 5 when 0 then '/data/doc/images/' || n when 2 then '/data/doc/' || n when 4 then '/data/doc/a/' || n else '' end as img_path, page_id <= 100 as valid from p""",
+    "output_folders": f"with p as (select page_id, '/in/' || page_id % 3 || {_URL_PATH} || '.v1.pdf' as p from pages) select page_id, regexp_extract(p, '([^/]*)\\.pdf$', 1) || '_' || left(md5(p), 8) as folder from p",
     "markdown_blocks": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents), m as (select doc_id, pos, repeat('#', pos % 4) || ' ' || x as line from l)
         select doc_id, pos, length(regexp_extract(line, '^(#+)', 1))::int as text_level, {strip_sql("regexp_replace(line, '^#+', '')")} as text from m where {strip_sql('line')} <> ''""",
     "inline_markup": _markup_sql(),
     "html_blocks": f"with {HTML_SQL} select page_id, (row_number() over (partition by page_id order by k) - 1)::int as pos, 'text' as type, text_level, text from t where text <> ''",
-    "content_list_blocks": "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents) select doc_id, pos, case when pos % 5 = 4 then 'image' else 'text' end as type, case when pos % 5 = 4 then 0 else pos end as page_idx, case when pos % 5 = 4 then left(x, 9) else x end as said from l",
+    "content_list_blocks": "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents) select doc_id, pos, case when pos % 5 = 4 then 'image' else 'text' end as type, case when pos % 5 = 4 then 0 else pos end as page_idx, case when pos % 5 = 4 then x else x end as said from l",
     "reference_tree": "with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents) select doc_id, pos, case when pos % 5 = 2 then 'image' when pos % 3 = 1 then 'equation' else 'text' end as type, (pos // 10)::int as page_idx, x as text from l",
     "span_text": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(0, len(string_split(coalesce(text, ''), chr(10)))))::int as pos from documents)
         select doc_id, coalesce(string_agg(case when pos % 2 = 0 then '' else '- ' end || {strip_sql('x')}, chr(10) || chr(10) order by pos) filter ({strip_sql('x')} <> ''), '') as plain from l group by doc_id""",

@@ -72,9 +72,9 @@ def _modal(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    """chunk_id, entity_name, entity_type, description, source_id: the first words of blocks other than text, as a model might name them."""
+    """chunk_id, entity_name, entity_type, description, source_id: the words of blocks other than text, as a model might name them."""
     b = blocks(spark, sf_dir).where("type <> 'text'").withColumn("said", F.coalesce("text", "table_body", F.concat(F.col("type"), F.lit(" "), F.col("pos") % 20, F.lit(" (image)"))))
-    named = F.when(F.col("type") == "image", F.array("said")).otherwise(F.slice(F.filter(F.split("said", " "), lambda w: w != ""), 1, 3))
+    named = F.when(F.col("type") == "image", F.array("said")).otherwise(F.filter(F.split("said", " "), lambda w: w != ""))
     b = b.select("doc_id", "pos", "type", F.explode(F.array_distinct(named)).alias("entity_name"))
     chunk = F.concat_ws("-", F.lit("chunk"), "doc_id", "pos")
     return b.select("doc_id", "pos", chunk.alias("chunk_id"), "entity_name", F.when(F.length("entity_name") > 6, "concept").otherwise(F.col("type")).alias("entity_type"), F.concat(F.lit("in "), F.col("type")).alias("description"), chunk.alias("source_id"))
@@ -85,7 +85,7 @@ def belongs_to_edges(spark, sf_dir):
 
 
 def merge_nodes(spark, sf_dir):
-    return G.merge_nodes(_found(spark, sf_dir)).select("entity_name", "entity_type", "description", F.md5("source_ids").alias("sources_md5"), "n_mentions", "n_sources")
+    return G.merge_nodes(_found(spark, sf_dir))
 
 
 def merge_edges(spark, sf_dir):
@@ -126,7 +126,7 @@ def query_cache_hits(spark, sf_dir):
 def enhanced_query(spark, sf_dir):
     item = lambda kind, d: F.struct(F.lit(kind).alias("type"), d.alias("description"))
     image = Q.described_image(F.when(F.col("turn") % 4 == 0, F.lit("/a.png")), F.when(F.col("turn") % 3 == 0, F.array(F.lit("c1"), F.lit("c2"))), F.lit(None).cast("array<string>"))
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", Q.enhanced(F.col("text"), F.array(item("image", image), item("table", F.when(F.col("turn") > 1, F.left("text", F.lit(10)))))).alias("enhanced"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", Q.enhanced(F.col("text"), F.array(item("image", image), item("table", F.when(F.col("turn") > 1, F.col("text"))))).alias("enhanced"))
 
 
 def image_markers(spark, sf_dir):
@@ -168,7 +168,7 @@ entities as (select doc_id, pos, case when pos % 7 in (4, 5) then plain else d e
   case when pos % 7 in (4, 5) then 'image' when pos % 7 = 6 then 'unknown' else 'thing' end as entity_type, case when pos % 7 in (4, 5) then left(plain, 100) || case when length(plain) > 100 then '...' else '' end when pos % 7 = 6 then left(d, 100) else 's' || doc_id end as summary from d)"""
 _FOUND = """
 said as (select *, coalesce(text, table_body, type || ' ' || pos % 20 || ' (image)') as said from blocks where type <> 'text'),
-names as (select doc_id, pos, type, unnest(list_distinct(case when type = 'image' then [said] else list_filter(string_split(said, ' '), lambda w: w <> '')[1:3] end)) as entity_name from said),
+names as (select doc_id, pos, type, unnest(list_distinct(case when type = 'image' then [said] else list_filter(string_split(said, ' '), lambda w: w <> '') end)) as entity_name from said),
 found as (select *, 'chunk-' || doc_id || '-' || pos as chunk_id, case when length(entity_name) > 6 then 'concept' else type end as entity_type, 'in ' || type as description from names),
 modal as (select 'chunk-' || doc_id || '-' || pos as chunk_id, type || ' ' || pos % 20 || ' (' || type || ')' as modal_entity_name from blocks where type <> 'text'),
 edges as (select md5(entity_name || modal_entity_name) as h, entity_name as src_id, modal_entity_name as tgt_id, 'belongs_to,part_of,contained_in' as keywords, chunk_id as source_id, 10.0::double as weight from found join modal using (chunk_id) where entity_name <> modal_entity_name)
@@ -184,9 +184,8 @@ SQL = {
     "processor_supports": f"with {BLOCKS} select distinct type, case type " + " ".join(f"when '{k}' then '{', '.join(v)}'" for k, v in G.SUPPORTS.items()) + f" else '{G.BASIC[0]}' end as supports from blocks",
     "belongs_to_edges": f"with {BLOCKS}, {_FOUND} select 'rel-' || h as relation_id, src_id, tgt_id, keywords, source_id, weight from edges",
     "merge_nodes": f"""with {BLOCKS}, {_FOUND}, t as (select entity_name, entity_type, count(*) as n from found group by all), b as (select entity_name, entity_type from t qualify row_number() over (partition by entity_name order by n desc, entity_type) = 1),
-        s as (select entity_name, chunk_id, row_number() over (partition by entity_name order by chunk_id) as r from (select distinct entity_name, chunk_id from found)), l as (select entity_name, md5(string_agg(chunk_id, ',' order by chunk_id) filter (r <= {G.LISTED})) as sources_md5, count(*) as n_sources from s group by 1),
-        a as (select entity_name, string_agg(distinct description, chr(10) order by description) as description, count(*) as n_mentions from found group by 1) select entity_name, entity_type, description, sources_md5, n_mentions, n_sources from a join b using (entity_name) join l using (entity_name)""",
-    "merge_edges": f"with {BLOCKS}, {_FOUND} select least(src_id, tgt_id) as a, greatest(src_id, tgt_id) as b, sum(weight) as weight, string_agg(distinct keywords, ',' order by keywords) as keywords, count(*) as n_edges, count(distinct source_id) as n_sources from edges group by 1, 2",
+        a as (select entity_name, count(*) as n_mentions, count(distinct chunk_id) as n_sources, count(distinct description) as n_descriptions from found group by 1) select entity_name, entity_type, n_mentions, n_sources, n_descriptions from a join b using (entity_name)""",
+    "merge_edges": f"with {BLOCKS}, {_FOUND} select least(src_id, tgt_id) as a, greatest(src_id, tgt_id) as b, sum(weight) as weight, count(*) as n_edges, count(distinct source_id) as n_sources, 3 as n_keywords from edges group by 1, 2",
     "entity_rows": f"""with {BLOCKS}, {ANSWERS}, {_ENTITIES} select 'ent-' || md5(entity_name) as entity_id, entity_name, entity_type, entity_name || chr(10) || summary as content, 'chunk-' || doc_id || '-' || pos as source_id, 'f' || doc_id as file_path from entities""",
     "merge_full_entities": f"""with {BLOCKS}, o as (select doc_id, list(text order by pos) as l from blocks where type = 'text' group by doc_id), n as (select doc_id, list(coalesce(text, table_body) order by pos) as l from blocks where type <> 'image' and text_level = 0 group by doc_id),
         m as (select coalesce(o.doc_id, n.doc_id) as doc_id, list_concat(coalesce(o.l, []), coalesce(n.l, [])) as l, n.l is not null as has_new, o.l is not null as has_old from o full join n on o.doc_id = n.doc_id),
@@ -201,7 +200,7 @@ SQL = {
           case when length(text) > 200 then '"table_body_hash":"' || md5(text) || '"' else '"table_body":' || to_json(text)::varchar end || '}]}') as cache_key from conversations where role = 'user'""",
     "query_cache_hits": "with u as (select conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from conversations where role = 'user') select conv_id, t in (select t from u where turn > 0) as hit from u where turn = 0",
     "enhanced_query": f"""with q as (select conv_id, turn, text, case when turn % 4 = 0 and turn % 3 = 0 then 'Image path: /a.png; Image captions: c1, c2' when turn % 4 = 0 then 'Image path: /a.png' when turn % 3 = 0 then 'Image captions: c1, c2' else 'Image content information incomplete' end as i from conversations where role = 'user')
-        select conv_id, turn, 'User query: ' || text || chr(10) || chr(10) || 'Related image content: ' || i || case when turn > 1 then chr(10) || chr(10) || 'Related table content: ' || left(text, 10) else '' end || chr(10) || chr(10) || '{Q.SUFFIX.strip()}' as enhanced from q""",
+        select conv_id, turn, 'User query: ' || text || chr(10) || chr(10) || 'Related image content: ' || i || case when turn > 1 then chr(10) || chr(10) || 'Related table content: ' || text else '' end || chr(10) || chr(10) || '{Q.SUFFIX.strip()}' as enhanced from q""",
     "image_markers": "select conv_id, turn, text || chr(10) || 'Image Path: /w/' || conv_id || '.png' || chr(10) || '[VLM_IMAGE_1]' || chr(10) || 'more' || chr(10) || 'Image Path: /etc/x.png' || chr(10) || 'Image Path: /w/' || conv_id + 1 || '.png' || chr(10) || '[VLM_IMAGE_2]' as prompt, '/w/' || conv_id || '.png,/w/' || conv_id + 1 || '.png' as images from conversations where role = 'user'",
     "vlm_messages": """with q as (select conv_id, turn, text || chr(10) as t from conversations where role = 'user'), p as (select conv_id, turn, unnest([0, 1, 2, 3, 4, 5])::int as n, t from q)
         select conv_id, turn, n, case when n in (1, 3) then 'image' else 'text' end as type, case n when 0 then t when 2 then ' between ' when 4 then ' end' when 5 then chr(10) || chr(10) || 'User Question: what?' || chr(10) || chr(10) || 'Please answer based on the context and images provided.' else '' end as text, case n when 1 then 0 when 3 then 1 else -1 end::int as image from p""",

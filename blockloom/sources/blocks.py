@@ -32,7 +32,7 @@ def line_block(line: Column, pos: Column) -> Column:
         F.when(text, line).alias("text"),
         F.when((kind == "text") & (F.length(line) < 20), 1).otherwise(0).alias("text_level"),
         F.when(kind == "image", F.concat(F.lit("/data/img/"), pos.cast("string"), F.lit(".png"))).alias("img_path"),
-        F.when(kind.isin("image", "table"), F.array(F.left(line, F.lit(20)))).alias("captions"),
+        F.when(kind.isin("image", "table"), F.array(line)).alias("captions"),
         F.when(kind == "table", line).alias("table_body"),
         F.when(kind == "equation", "latex").alias("text_format"),
     )

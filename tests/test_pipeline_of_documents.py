@@ -7,6 +7,7 @@ from blockloom.config import Config
 from blockloom.functions import models
 from blockloom.functions.prompts import Prompts
 from blockloom.operators import pipeline, sinks
+from blockloom.plans import stubs
 from blockloom.streaming.streams import Breaker
 from tests.test_operators import T, docs
 
@@ -16,7 +17,7 @@ def given(spark):
 
 
 def test_ingest(spark):
-    out = pipeline.ingest(given(spark), models.stub_text, pipeline.first_words)
+    out = pipeline.ingest(given(spark), models.stub_text, stubs.first_words)
     chunks = out.chunks.collect()
     assert sorted((r.doc_id, r.chunk_order_index, r.original_type) for r in chunks) == [(0, 0, None), (0, 1, None), (0, 2, "image"), (0, 3, "table"), (1, 0, "image")]
     assert {r.content for r in chunks if r.original_type is None} == {"Alpha paragraph", "Beta"}
@@ -28,10 +29,10 @@ def test_ingest(spark):
     state = {r.doc_id: r for r in out.doc_status.collect()}
     assert state[0].chunks_count == 4 and len(state[0].chunks_list) == 4 and state[1].multimodal_processed
     assert {r.doc_id: r["count"] for r in out.full_entities.collect()} == {0: 2, 1: 1}
-    again = pipeline.ingest(given(spark), models.stub_text, pipeline.first_words, done=out.doc_status)
+    again = pipeline.ingest(given(spark), models.stub_text, stubs.first_words, done=out.doc_status)
     assert again.chunks.where("original_type is not null").count() == 0
-    assert pipeline.ingest(given(spark), models.stub_text, pipeline.first_words, skip_multimodal=True).chunks.count() == 2
-    assert pipeline.ingest(given(spark), models.stub_text, pipeline.first_words, Config(enable_image=False)).chunks.where("original_type = 'image'").count() == 0
+    assert pipeline.ingest(given(spark), models.stub_text, stubs.first_words, skip_multimodal=True).chunks.count() == 2
+    assert pipeline.ingest(given(spark), models.stub_text, stubs.first_words, Config(enable_image=False)).chunks.where("original_type = 'image'").count() == 0
 
 
 def test_failing_models_fail_row_by_row(spark):
@@ -43,7 +44,7 @@ def test_failing_models_fail_row_by_row(spark):
 
         return call
 
-    rows = pipeline.ingest(given(spark), load, pipeline.first_words).chunks.where("original_type is not null").collect()
+    rows = pipeline.ingest(given(spark), load, stubs.first_words).chunks.where("original_type is not null").collect()
     assert sorted((r.doc_id, r.error) for r in rows) == [(0, None), (0, None), (1, "RuntimeError: no")] or sorted((r.doc_id, r.error or "") for r in rows) == [(0, ""), (0, ""), (1, "RuntimeError: no")]
 
 
@@ -155,7 +156,7 @@ def test_each_block_is_described_by_one_call(spark, tmp_path):
 
         return call
 
-    out = pipeline.ingest(given(spark), load, pipeline.first_words)
+    out = pipeline.ingest(given(spark), load, stubs.first_words)
     names = {r.modal_entity_name for r in out.chunks.where("original_type is not null").collect()}
     assert names <= {r.entity_name for r in out.nodes.collect()} and {x for r in out.full_entities.collect() for x in r.entity_names} == names
     assert {x for r in out.edges.collect() for x in (r.a, r.b) if "(t)" in x} <= names and out.doc_status.count() == 2
@@ -176,7 +177,7 @@ def test_a_modality_of_ones_own(spark):
     d = docs(spark, [T("hall"), {"type": "sensor", "extra": "21 C"}])
     asked = pipeline.described(d.select("doc_id", F.inline("blocks")), lambda: lambda prompts: [json.dumps({"detailed_description": p, "entity_info": {"entity_name": "n", "entity_type": "t", "summary": "s"}}) for p in prompts], own=(m,)).first()
     assert asked.entity.description == "read 21 C near hall" and asked.processor == "sensor_processor"
-    r = pipeline.ingest(d, models.stub_text, pipeline.first_words, own=(m,)).chunks.where("original_type = 'sensor'").first()
+    r = pipeline.ingest(d, models.stub_text, stubs.first_words, own=(m,)).chunks.where("original_type = 'sensor'").first()
     assert r.content.startswith("Sensor: about ")
 
 
@@ -198,9 +199,9 @@ def test_folders(spark, tmp_path):
     registry = files.Registry(files.builtin_parsers())
     registry.register("strict", files.parser_of(fail))
     told = Callbacks(lambda: 0.0)
-    listed, none = pipeline.ingest_folder(spark, str(tmp_path / "in"), registry, models.stub_text, pipeline.first_words, dry_run=True)
+    listed, none = pipeline.ingest_folder(spark, str(tmp_path / "in"), registry, models.stub_text, stubs.first_words, dry_run=True)
     assert none is None and [(r.path.rsplit("/", 1)[1], r.parser) for r in listed.collect()] == [("a.html", "html"), ("b.md", "text"), ("c.pdf", "pdf"), ("d.txt", "text")] and "content" not in listed.columns
-    parsed, out = pipeline.ingest_folder(spark, str(tmp_path / "in"), registry, models.stub_text, pipeline.first_words, callbacks=told)
+    parsed, out = pipeline.ingest_folder(spark, str(tmp_path / "in"), registry, models.stub_text, stubs.first_words, callbacks=told)
     rows = {r.path.rsplit("/", 1)[1]: r for r in parsed.collect()}
     assert [(b.type, b.text_level, b.text, b.table_body) for b in rows["a.html"].blocks] == [("text", 1, "Alpha Title", None), ("table", 0, None, "x | y")]
     assert [b.text for b in rows["b.md"].blocks] == ["Beta", "text"] and rows["c.pdf"].error == "no parser pdf" and rows["c.pdf"].blocks is None
