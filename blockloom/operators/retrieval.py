@@ -1,116 +1,14 @@
-"""Retrieval: exact vector search and the six modes.
-
-Queries are a stated set of rows; they go to executors in blocks of at most QUERY_BLOCK vectors, whatever their number,
-and one scan of the vectors serves a block. Each task multiplies its batches with the block, QUERY_ROWS and SCAN_ROWS at
-a time, and keeps its k best for each query, so what is shuffled is at most tasks x queries x k rows; a window over a
-query's few rows gives the k best of all."""
+"""Retrieval: the six modes over hits by vector (operators.vectors), the graph beside them, and reranking."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, QUERY_ROWS, SCAN_ROWS, DECIMALS = 16_384, 1024, 2048, 6
-MODES = ("local", "global", "hybrid", "naive", "mix", "bypass")
-
+from .vectors import top_k  # noqa: F401
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.sqrt((m * m).sum(1, keepdims=True))
-    return m / np.where(n > 0, n, 1)
-
-
-def _rows(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: numbers of the rows that are sound vectors, and those as a matrix of unit vectors. Read from Arrow's own buffers."""
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes)
-    flat = column.flatten()
-    holes = flat.is_null().to_numpy(zero_copy_only=False) if flat.null_count else None
-    values = pc.fill_null(flat, np.nan).to_numpy(zero_copy_only=False).astype(np.float64) if flat.null_count else flat.to_numpy(zero_copy_only=False).astype(np.float64)
-    out = {}
-    for dim in np.unique(sizes[sizes > 0]).tolist():
-        at = np.flatnonzero(sizes == dim)
-        pick = (ends[at] - dim)[:, None] + np.arange(dim)
-        m = values[pick]
-        sound = np.isfinite(m).all(1) & (m != 0).any(1)
-        if holes is not None:
-            sound &= ~holes[pick].any(1)
-        if sound.any():
-            out[dim] = at[sound], _unit(m[sound])
-    return out
-
-
-def _best(found: list[tuple], k: int) -> tuple:
-    """The k best of each query: (query's number, vector's id, score), ties by id."""
-    row, vid, score = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((vid, -score, row))
-    row, vid, score = row[order], vid[order], score[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[keep], vid[keep], score[keep]
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, qid: str = "vec_id", vid: str = "vec_id", embedding: str = "embedding", same: str | None = None, self_match: bool = False) -> DataFrame:
-    """query_id, vec_id, score, rank: the k best by cosine (rounded to 6 digits; ties by id), of threshold and more.
-
-    same: a column in which query and vector must agree. self_match: whether a row may find its own id. Vectors that are
-    null, zero or not finite find nothing and are not found; others meet those of their own length. Ids of any type."""
-    spark = vectors.sparkSession
-    extra = [same] if same else []
-    wanted = queries.select(F.col(qid).alias("q"), F.col(embedding).cast("array<double>").alias("e"), *extra).where("e is not null and q is not null")
-    kinds = wanted.schema["q"].dataType, vectors.select(vid).schema[0].dataType
-    n = wanted.count()
-    blocks = -(-n // QUERY_BLOCK) or 1
-    out = None
-    for b in range(blocks):
-        rows = (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).collect()
-        by = _rows(pa.array([r["e"] for r in rows], pa.list_(pa.float64())))
-        ids = [r["q"] for r in rows]
-        groups = np.array([r[same] for r in rows], object) if same else None
-        sent = spark.sparkContext.broadcast((ids, by, groups))  # QUERY_BLOCK vectors at most
-
-        def run(batches, sent=sent):
-            ids, by, groups = sent.value
-            names, best = np.array(ids), None
-            for whole in batches:
-                for at in range(0, whole.num_rows if len(ids) else 0, SCAN_ROWS):
-                    batch = whole.slice(at, SCAN_ROWS)
-                    known = np.array(batch.column(0).to_pylist(), object)
-                    of = np.array(batch.column(2).to_pylist(), object) if groups is not None else None
-                    found = [] if best is None else [best]
-                    for dim, (ok, v) in _rows(batch.column(1)).items():
-                        ok, v = ok[known[ok] != None], v[known[ok] != None]  # noqa: E711
-                        if dim not in by or not len(ok):
-                            continue
-                        vids = np.array(known[ok].tolist())
-                        for first in range(0, len(by[dim][0]), QUERY_ROWS):
-                            number, m = by[dim][0][first : first + QUERY_ROWS], by[dim][1][first : first + QUERY_ROWS]
-                            s = np.round(m @ v.T, DECIMALS)
-                            bad = np.zeros(s.shape, bool) if self_match else names[number][:, None] == vids[None, :]
-                            if groups is not None:
-                                bad |= groups[number][:, None] != of[ok][None, :]
-                            if threshold is not None:
-                                bad |= s < threshold
-                            s[bad] = -np.inf
-                            # what reaches the batch's k-th best of its query, ties included
-                            kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                            r, c = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
-                            if len(r):
-                                found.append((number[r], vids[c], s[r, c]))
-                    best = _best(found, k) if found else None
-            row, vid, score = best if best is not None else ([], [], [])
-            picked = [ids[r] for r in row]
-            yield pa.RecordBatch.from_arrays([pa.array(picked, arrow[0]), pa.array(list(vid) if not len(vid) else vid.tolist(), arrow[1]), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        arrow = tuple(map(to_arrow_type, kinds))
-        got = vectors.select(vid, F.col(embedding).cast("array<double>").alias("e"), *extra).mapInArrow(run, f"query_id {kinds[0].simpleString()}, vec_id {kinds[1].simpleString()}, score double")
-        out = got if out is None else out.unionByName(got)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+MODES = ("local", "global", "hybrid", "naive", "mix", "bypass")
 
 
 def naive(hits: DataFrame) -> DataFrame:

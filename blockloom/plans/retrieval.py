@@ -5,9 +5,13 @@ for entities of equal number; entities are tied in rings of ten (edge e joins e
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators import vectors as V
+from ..shared import shared_folder
 from .common import table
 
 K, THRESHOLD = 60, 0.2
@@ -22,6 +26,13 @@ def vector_topk(spark, sf_dir):
     return _search(spark, sf_dir)
 
 
+def vector_index_topk(spark, sf_dir):
+    """The same of an index that is written first, in its exact mode."""
+    v, folder = table(spark, sf_dir, "embeddings"), f"{shared_folder(spark)}/index-{uuid.uuid4()}"
+    V.build_index(v, folder)
+    return V.search_index(spark, folder, v.where("vec_id % 100 = 0"), K)
+
+
 def vector_threshold(spark, sf_dir):
     return _search(spark, sf_dir, threshold=THRESHOLD)
 
@@ -78,7 +89,7 @@ def rerank(spark, sf_dir):
     return R.rerank(_naive(spark, sf_dir), -F.abs(F.col("query_id") - F.col("chunk_id")).cast("double"), 5)
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, knn_per_label, retrieval_naive, retrieval_local, retrieval_global, retrieval_hybrid, retrieval_mix, retrieval_bypass, rerank)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_index_topk, vector_threshold, knn_per_label, retrieval_naive, retrieval_local, retrieval_global, retrieval_hybrid, retrieval_mix, retrieval_bypass, rerank)}
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
 _ALL = f"""
@@ -107,6 +118,7 @@ def _ranked(rows: str) -> str:
 
 SQL = {
     "vector_topk": f"with {_ALL} select * from {_top(K)}",
+    "vector_index_topk": f"with {_ALL} select * from {_top(K)}",
     "vector_threshold": f"with {_ALL} select * from {_top(K, f'score >= {THRESHOLD}')}",
     "knn_per_label": f"with {_ALL} select * from {_top(5, 'same')}",
     "retrieval_naive": _ranked("from naive"),

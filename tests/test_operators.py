@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.config import Config
-from blockloom.operators import blocks, chunks, context, evaluation, graph, metrics, queries, retrieval, status
+from blockloom.operators import blocks, chunks, context, evaluation, graph, metrics, queries, retrieval, status, vectors
 from blockloom.schema import BLOCK
 from blockloom.sources import blocks as source
 from blockloom.sources import files
@@ -171,8 +171,8 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(k, [float(x) for x in r], k % 3) for k, r in enumerate(v)] + [(900, None, 0), (901, [0.0] * 8, 0), (902, [1.0], 0)], "vec_id long, embedding array<float>, label int").repartition(4)
     u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
     s = np.round(u @ u.T, 6)
-    for block in (1024, 7):
-        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    for size in (1 << 20, 0):
+        monkeypatch.setattr(vectors, "QUERY_BYTES", size)
         got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in retrieval.top_k(df.where("vec_id % 10 = 0"), df, 4, same="label").collect()}
         for q in range(0, 300, 10):
             order = sorted((x for x in range(300) if x != q and x % 3 == q % 3), key=lambda x: (-s[q, x], x))[:4]
@@ -267,8 +267,8 @@ def test_search_among_vectors_of_several_lengths(spark):
 def test_query_blocks_give_the_same(spark, monkeypatch):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     want = sorted(map(tuple, retrieval.top_k(v, v, 3, same="label").collect()))
-    for name, value in (("QUERY_BLOCK", 70), ("QUERY_ROWS", 3), ("SCAN_ROWS", 11)):
-        monkeypatch.setattr(retrieval, name, value)
+    for name, value in (("QUERY_BYTES", 7000), ("TILE_BYTES", 9000), ("QUERY_ROWS", 3), ("SCAN_ROWS", 11)):
+        monkeypatch.setattr(vectors, name, value)
     assert sorted(map(tuple, retrieval.top_k(v, v, 3, same="label").collect())) == want
 
 
