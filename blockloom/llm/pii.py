@@ -7,7 +7,8 @@ of an IBAN all ends are tried, the longest first. Offsets are code points, ends
 are linear in the text: runs are matched possessively and local parts of addresses are found from their "@".
 
 Nulls are empty texts, which have no spans; every input row gives one row, repeated rows too; an empty table gives none.
-Of secrets that overlap the first is taken. Other columns, whatever their names, are not read.
+Of secrets that overlap the first is taken; a value assigned to a name counts only with a digit and a letter in it, so a
+password of letters alone isn't found. No span has a longest length. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -43,10 +44,13 @@ _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9
 _DOB = re.compile(r"(?<![0-9/-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9/-])")
 #: The public forms of keys and tokens, by how they begin.
 _ISSUED = re.compile(
-    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[opsur]_[A-Za-z0-9]{36,255}+|github_pat_[A-Za-z0-9_]{22,255}+|xox[abprs]-[A-Za-z0-9-]{10,255}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,255}+"
-    r"|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])|glpat-[A-Za-z0-9_-]{20,255}+|eyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+)|-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[opsur]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+"
+    r"|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])|glpat-[A-Za-z0-9_-]{20,}+)|-----BEGIN [A-Z ]*PRIVATE KEY-----"
 )
-_ASSIGNED = re.compile(r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([^\s\"'<>,;]{8,256}+)")
+#: A token of three parts, dots between them: the first begins so, each has PART_CHARS more at least.
+_TOKEN, PART_CHARS = "eyJ", 8
+_PART = re.compile(r"[A-Za-z0-9_-]*+")
+_ASSIGNED = re.compile(r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?[ \t]*+[:=][ \t]*+[\"']?([^\s\"'<>,;]{8,}+)")
 #: Bits a character that a value must have, of 8 characters and more; letters and digits both, or it is a word.
 BITS = 2.5
 #: Score before context; an added kind stays at KEEP and above.
@@ -143,14 +147,33 @@ def _random(value: str) -> bool:
     return bits >= BITS and any(x.isdigit() for x in value) and any(x.isalpha() for x in value)
 
 
+def _tokens(text: str):
+    """Spans of tokens of three parts. A run of their characters is read once, however often a token may start within it."""
+    at, end, whole = text.find(_TOKEN), -1, None
+    while at >= 0:
+        if at >= end:  # a new run: where it ends, and where the token ends if two more parts follow
+            stops = [_PART.match(text, at).end()]
+            while len(stops) < 3 and text[stops[-1] : stops[-1] + 1] == ".":
+                stops.append(_PART.match(text, stops[-1] + 1).end())
+            end = stops[0]
+            whole = stops[2] if len(stops) == 3 and all(b - a > PART_CHARS for a, b in zip(stops, stops[1:], strict=False)) else None
+        before = text[at - 1 : at]
+        if whole and end - at - len(_TOKEN) >= PART_CHARS and not (before.isascii() and before.isalnum()):
+            yield at, whole
+            at, end = text.find(_TOKEN, whole), -1
+        else:
+            at = text.find(_TOKEN, at + 1)
+
+
 #: What every match of the two patterns holds; a search for plain text costs far less than theirs.
-_ISSUED_HAS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "xox", "k_live_", "k_test_", "AIza", "glpat-", "eyJ", "PRIVATE KEY")
+_ISSUED_HAS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "xox", "k_live_", "k_test_", "AIza", "glpat-", "PRIVATE KEY")
 _ASSIGNED_HAS = ("pass", "pwd", "secret", "token", "key", "credential")
 
 
 def _secrets(text: str):
     free, low = 0, text.lower()
     found = [m.span() for m in _ISSUED.finditer(text)] if any(x in text for x in _ISSUED_HAS) else []
+    found += _tokens(text)
     if any(x in low for x in _ASSIGNED_HAS):
         found += [m.span(1) for m in _ASSIGNED.finditer(text) if _random(m[1])]
     for a, b in sorted(found):

@@ -89,3 +89,33 @@ def test_secrets():
         assert of(clean) == [], clean
     assert pii.base_spans("password=49b0203a9cc466e6ee") == [x[:3] for x in pii.spans("password=49b0203a9cc466e6ee") if x[0] in pii.BASE]
     assert len(of("password=" * 20_000)) == 0  # linear
+
+
+def test_secrets_of_any_length():
+    """Values beyond the bounds that once held: each is one span, whole; hostile runs end."""
+    import time
+
+    long = "Ab3_-" * 2000
+    token = f"eyJ{long}.{long}.{long}"
+    letters = "Ab3xK9zQ7m" * 300
+    for text, value in (
+        (f"x {token} y", token), (f"ghp_{letters} y", f"ghp_{letters}"), (f"github_pat_{'a_1' * 300}", f"github_pat_{'a_1' * 300}"), (f"xoxb-{'1-a' * 300}", f"xoxb-{'1-a' * 300}"),
+        (f"sk_live_{letters}", f"sk_live_{letters}"), (f"glpat-{long}", f"glpat-{long}"), (f"password:{' ' * 50}{letters}x9", f"{letters}x9"),
+    ):
+        got = [(text[a:b]) for k, a, b, _ in pii.spans(text) if k == "secret"]
+        assert got == [value], text[:40]
+    start = time.time()
+    for text in ("eyJ-" * 250_000, "eyJabcdefgh." * 80_000, "eyJabcdefgh.abcdefgh1.x " * 40_000, "-----BEGIN " * 80_000, "password" + " " * 10**6, "token:" * 150_000):
+        pii.spans(text)
+    assert time.time() - start < 30
+
+
+def test_tokens_against_the_plain_pattern():
+    import random
+    import re
+
+    plain = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "a", "Zz9_-bcde", ".", ".", " ", "-", "eyJabcdefgh", "é"]) for _ in range(rng.randrange(1, 25)))
+        assert list(pii._tokens(text)) == [m.span() for m in plain.finditer(text)], text
