@@ -57,7 +57,7 @@ NOTICES = {
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "BSD-3-Clause": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD-3-Clause": ["Released under the BSD License.", "Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     **{f"{kind.replace(' ', '-')}-4.0": [f"Licensed under {kind} 4.0."] for kind in ("CC BY", "CC BY-SA", "CC BY-NC", "CC BY-ND", "CC BY-NC-SA", "CC BY-NC-ND")},
@@ -73,7 +73,7 @@ def whole_texts() -> dict[str, list[str]]:
 def all_templates() -> dict[str, list[str]]:
     out = whole_texts()
     for name, notices in NOTICES.items():
-        out[name] = notices + out.get(name, [])
+        out[name] = [*notices, f"SPDX-License-Identifier: {name}", *out.get(name, [])]
     return out
 
 
