@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import col, session_of, table
 
-MAX_TEXTS, MAX_WORDS, WINDOW = 1500, 20_000, 32
+MAX_TEXTS, WINDOW = 1500, 32
 WORD_DIM, CHAR_DIM, HIDDEN, TRIGRAMS = 8, 8, 8, 4096
 EPOCHS, STEPS, ROUNDS, BATCH, RATE, DROP, DECAY, SEED = 4, 120, 3, 256, 0.01, 0.5, 1.0, 7  # epochs of a round, or as many as make the steps
 FOLDS, CLEAN_WINDOWS, TOP = 5, 3, 5
@@ -238,7 +238,7 @@ def fit(texts: list[str], labels: list[int]) -> Network:
             if w not in counts:
                 counts[w] = np.zeros((2, FOLDS))
             counts[w][int(t), f] += 1
-    known = sorted((w for w, c in counts.items() if c.sum() > 1), key=lambda w: (-counts[w].sum(), w))[:MAX_WORDS]
+    known = sorted((w for w, c in counts.items() if c.sum() > 1), key=lambda w: (-counts[w].sum(), w))
     number = {w: k + 1 for k, w in enumerate(known)}
     held = np.stack([np.zeros((2, FOLDS)), *(counts[w] for w in known)])
     texts_by = np.stack([np.bincount(fold[~y], minlength=FOLDS), np.bincount(fold[y], minlength=FOLDS)])
@@ -369,7 +369,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score for every row of docs."""
     session_of(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(net)  # bounded by MAX_WORDS and TRIGRAMS
+    sent = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the sample's words and TRIGRAMS
     slim = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
