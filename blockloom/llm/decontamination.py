@@ -22,6 +22,7 @@ columns of docs, whatever their names, are neither read nor changed.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, session_of, table
+from .common import col, durable, session_of, table
 
 MIN_WORDS, EXACT, THRESHOLD = 1, 5, 0.5
 #: For items of under so many words: n, the share of their n-grams that are seeds, how many seeds a text must hold.
@@ -290,8 +291,8 @@ def _seeds(texts: DataFrame, found: list[Index]) -> list[list[np.ndarray]]:
     return out
 
 
-def matchers(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, threshold: float, min_words: int) -> list[Column]:
-    """For each pass a column ARRAY<STRUCT<item, score, word>> of docs' texts' matches, item being the id."""
+def matchers(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, threshold: float, min_words: int) -> Iterator[tuple[Column, list]]:
+    """For each pass a column ARRAY<STRUCT<item, score, word>> of docs' texts' matches, item being the id, and the broadcasts that it reads."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = session_of(docs)
@@ -299,9 +300,9 @@ def matchers(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
     kind = items.select(col(item_id)).schema[0].dataType
     ddl = f"array<struct<item:{kind.simpleString()},score:double,word:bigint>>"
     arrow = pa.list_(pa.struct([("item", to_arrow_type(kind)), ("score", pa.float64()), ("word", pa.int64())]))
-    out, todo = [], []
+    todo = []
 
-    def close() -> None:
+    def close() -> tuple[Column, list]:
         rows, found = zip(*todo, strict=True)
         picked = _seeds(texts, list(found))
         sents = [spark.sparkContext.broadcast(build(r, min_words, p)) for r, p in zip(rows, picked, strict=True)]  # of about BLOCK_BYTES each
@@ -315,23 +316,27 @@ def matchers(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
                     row += [{"item": index.ids[i], "score": round(s, 6), "word": p} for i, s, p in some]
             return pa.array(got, arrow)
 
-        out.append(matches(F.coalesce(col(text), F.lit(""))))
         todo.clear()
+        return matches(F.coalesce(col(text), F.lit(""))), sents
 
     for rows in blocks(items, item_id, item_text):
         index = build(rows, min_words)
         if index.size:
             todo.append((rows, index))
         if len(todo) == PASS:
-            close()
+            yield close()
     if todo:
-        close()
-    return out
+        yield close()
 
 
 def contaminations(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, item_id, score, word: one row for each item that a row of docs holds."""
-    parts = [docs.select(col(doc_id).alias("doc_id"), F.explode(c).alias("m")).select("doc_id", F.col("m.item").alias("item_id"), "m.score", "m.word") for c in matchers(docs, items, text, item_id, item_text, threshold, min_words)]
+    parts, held = [], []
+    for c, sents in matchers(docs, items, text, item_id, item_text, threshold, min_words):
+        if parts:  # of several passes each is written before the next, so executors hold the items of one
+            parts[-1] = _written(parts[-1], held)
+        held = sents
+        parts.append(docs.select(col(doc_id).alias("doc_id"), F.explode(c).alias("m")).select("doc_id", F.col("m.item").alias("item_id"), "m.score", "m.word"))
     if not parts:
         kinds = (x.select(col(c)).schema[0].dataType.simpleString() for x, c in ((docs, doc_id), (items, item_id)))
         return docs.sparkSession.createDataFrame([], "doc_id {}, item_id {}, score double, word long".format(*kinds))
@@ -343,9 +348,19 @@ def contaminations(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs that hold no item."""
-    out = docs
-    for c in matchers(docs, items, text, item_id, item_text, threshold, min_words):
-        out = out.where(F.size(c) == 0)
+    out, held = docs, []
+    for c, sents in matchers(docs, items, text, item_id, item_text, threshold, min_words):
+        if held:
+            out = _written(out, held)
+        out, held = out.where(F.size(c) == 0), sents
+    return out
+
+
+def _written(rows: DataFrame, sents: list) -> DataFrame:
+    """A pass's rows, and its broadcasts gone."""
+    out = durable(rows)
+    for sent in sents:
+        sent.destroy()
     return out
 
 
