@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..joins import FEW, PARTS, spread_join  # noqa: F401
 from ..shared import discard, durable  # noqa: F401
 
-#: A key with more than its share of PARTS of the rows is hot: at most PARTS keys are.
-PARTS, FEW = 1024, 64
 #: Arrow batches handed to Python are held to this many bytes and rows, whatever the texts' lengths.
 ARROW_BYTES, ARROW_ROWS = 8 << 20, 4096
 
@@ -41,14 +40,3 @@ def row_digest(doc_id: str, text: str) -> Column:
 def packed(df: DataFrame, name: str = "row") -> Column:
     """All columns of df as one struct, so that an operator's own columns clash with none of them; name.* unpacks it."""
     return F.struct(*map(col, df.columns)).alias(name)
-
-
-def spread_join(rows: DataFrame, by: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
-    """rows joined to by, which has one row for each of their keys and in n how many of the total rows have it.
-
-    Keys of more than total / PARTS rows meet their row of by where they are, by a broadcast of at most PARTS rows; only
-    the others are shuffled, so no task gets more than its share. (A broadcast of all of by has no bound; salting would
-    need to know a row's key to be hot first.)"""
-    limit = max(FEW, total // PARTS)
-    hot, calm = F.broadcast(by.where(F.col(n) > limit).drop(n)), by.where(F.col(n) <= limit).drop(n)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(calm, keys))

@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, durable, packed, row_digest, table
+from .common import col, durable, packed, row_digest, spread_join, table
 
 SEED, ALPHA, PART = 42, 0.5, 16.0
-#: Sources whose rates are broadcast at most; beyond, rows and rates meet by a salted shuffle.
-BROADCAST_SOURCES, SALTS = 10_000, 64
+#: Sources whose rates are broadcast at most; beyond, rows of the largest sources meet their rates in place, the others by shuffle.
+BROADCAST_SOURCES = 10_000
 TERMS = 96  # of a distribution of mean PART at most; what is beyond has a chance below 2**-52
 ADDED = ("copy", "copies", "rate", "shuffle_key")
 SQL_NAME = "op7_mixing"
@@ -34,7 +34,7 @@ def _hash(seed: str, *parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, source: str, targets: dict[str | None, float] | None, alpha: float) -> DataFrame:
-    """source, rate, parts, cdf of a part: one row for each source of docs that has a weight."""
+    """source, rate, n, parts, cdf of a part: one row for each source of docs that has a weight."""
     sizes = durable(docs.groupBy(col(source).alias("source")).agg(F.count("*").alias("n")))
     if targets is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
@@ -46,7 +46,7 @@ def rates(docs: DataFrame, source: str, targets: dict[str | None, float] | None,
     # one row of two sums; rows of sources without a weight count towards the total that is to be reached
     sums = sizes.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
     total, rows = sums["w"] or 1.0, sums["n"] or 0
-    out = sizes.where("w > 0").select("source", (F.col("w") / F.lit(float(total)) * F.lit(float(rows)) / F.col("n")).alias("rate"))
+    out = sizes.where("w > 0").select("source", (F.col("w") / F.lit(float(total)) * F.lit(float(rows)) / F.col("n")).alias("rate"), "n")
     out = out.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")).withColumn("mean", F.col("rate") / F.col("parts"))
     terms = F.expr(f"""aggregate(sequence(1, {TERMS}), struct(array(exp(-mean)) as cdf, exp(-mean) as term),
         (a, j) -> struct(concat(a.cdf, array(element_at(a.cdf, -1) + a.term * mean / j)) as cdf, a.term * mean / j as term), a -> a.cdf)""")
@@ -61,8 +61,8 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, source:
     if by.count() <= BROADCAST_SOURCES:
         met = rows.join(F.broadcast(by), F.col("of").eqNullSafe(F.col("source")))
     else:
-        salted = by.withColumn("salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(salted, F.col("of").eqNullSafe(F.col("source")) & (F.col("salt") == F.col("salt2")))
+        key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("key")
+        met = spread_join(rows.select("*", key("of")), by.select("*", key("source")), ["key"], rows.count())
     # each part's hash once, then its place in the distribution
     uniform = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda p: _hash(str(seed), F.col("id"), p.cast("string")) / F.lit(2.0**52))
     draws = F.aggregate(uniform, F.lit(0), lambda a, u: a + F.size(F.filter(F.col("cdf"), lambda c: c <= u)))

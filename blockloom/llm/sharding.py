@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, discard, durable, packed, row_digest, table
+from .common import col, discard, durable, packed, row_digest, spread_join, table
 
 HASH_BITS, LEVEL_BITS = 60, 12
 LIMIT_BYTES = 32 << 20
@@ -92,11 +92,11 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, doc_id: str = "doc_id", tex
     levels = directory(slim, limit)
     leaves = [(deep, _leaves(deep, nodes, k)) for k, (deep, nodes) in enumerate(levels)]
     few = all(deep <= LEVEL_BITS or cells.count() <= BROADCAST_CELLS for deep, cells in leaves)
-    out = rows if few else slim.select("h").distinct()
+    out = rows if few else slim.groupBy("h").agg(F.count("*").alias("same"))
     for k, (deep, cells) in enumerate(leaves):
         out = out.join(F.broadcast(cells) if few else cells, _prefix(deep) == F.col(f"cell{k}"), "left").drop(f"cell{k}")
     out = out.withColumn("leaf", F.coalesce(*(F.col(f"leaf{k}") for k in range(len(leaves)))))
-    out = out if few else rows.join(out.select("h", "leaf"), "h")
+    out = out if few else spread_join(rows, out.select("h", "leaf", "same"), ["h"], slim.count(), "same")
     bits = F.when(F.col("leaf.depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(leaf.prefix), leaf.depth, '0')"))
     done = out.select("row", F.concat(F.lit("b"), bits).alias("shard"), F.col("leaf.depth").alias("shard_depth"), F.col("leaf.b").alias("shard_bytes"), F.col("leaf.n").alias("shard_rows"), (F.col("leaf.b") > limit).alias("oversize"), "h", "b")
     copies = reduce(DataFrame.unionByName, [x.where("fits and not parent_fits") for _, x in levels]).where((F.col("b") > limit) & (F.col("n") > 1))
