@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import similarity
-from .common import col, durable, packed, session_of, spread_join, table
+from .common import PARTS, col, durable, packed, session_of, spread_join, table
 from .components import components
 from .graphs import forest, forest_between
 
@@ -60,8 +60,8 @@ def distinct_hashes(text: str, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, shingle_hashes(text, words))]))
 
 
-def _sketched(text: str, words: int, wide: bool) -> tuple[int, int | None, list[int] | None, bytes | None]:
-    """The fingerprint; if wide, a number for the set of shingles, bands and sketch too (None without words)."""
+def _sketched(text: str, words: int, wide: bool) -> tuple[int, int | None, list[int] | None, bytes | None, int | None]:
+    """The fingerprint; if wide, a number for the set of shingles, bands, sketch and how many hashes the set has too (None without words)."""
     import xxhash
 
     counts, n, least, sets = np.zeros(64, np.int64), 0, None, []
@@ -73,15 +73,15 @@ def _sketched(text: str, words: int, wide: bool) -> tuple[int, int | None, list[
             least = similarity.minima(sets[-1], least)
     fp = int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
     if least is None:
-        return fp, None, None, None
+        return fp, None, None, None, None
     whole = sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
     # the fingerprint counts repeats, the set doesn't: the number stands for both
     number = xxhash.xxh64_intdigest(whole.astype("<u8").tobytes(), fp) - (1 << 63)
-    return fp, number, similarity.bands(least), similarity.sketch(least)
+    return fp, number, similarity.bands(least), similarity.sketch(least), len(whole)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, wide: bool = False) -> DataFrame:
-    """doc_id, key (a hash of id and text), fp (the 64 bits as a signed long) for every row of docs; if wide, unit (fingerprint and set of shingles), bands and sketch too."""
+    """doc_id, key (a hash of id and text), fp (the 64 bits as a signed long) for every row of docs; if wide, unit (a hash of fingerprint and set of shingles), bands, sketch and width (the set's size) too."""
     session_of(docs)
     slim = docs.select(col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -90,16 +90,16 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
         for batch in batches:
             got = [_sketched(t, words, wide) for t in batch.column("text").to_pylist()]
             cols = [batch.column("doc_id"), batch.column("key"), pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64))]
-            more = [pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.list_(pa.int64())), (3, pa.binary()))] if wide else []
-            yield pa.RecordBatch.from_arrays(cols + more, names=["doc_id", "key", "fp", "unit", "bands", "sketch"][: len(cols) + len(more)])
+            more = [pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.list_(pa.int64())), (3, pa.binary()), (4, pa.int64()))] if wide else []
+            yield pa.RecordBatch.from_arrays(cols + more, names=["doc_id", "key", "fp", "unit", "bands", "sketch", "width"][: len(cols) + len(more)])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, key long, fp long" + ", unit long, bands array<long>, sketch binary" * wide)
+    return slim.mapInArrow(run, f"doc_id {kind}, key long, fp long" + ", unit long, bands array<long>, sketch binary, width long" * wide)
 
 
 def _hashed(near: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """fp, sketch, hashes (the text's distinct shingle hashes, sorted, uint64). near: fp, key (of the text's row), sketch."""
-    texts = docs.select(_key(doc_id, text).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
-    met = texts.join(near, "key").select("fp", "sketch", "text")
+    """fp, sketch, hashes (the text's distinct shingle hashes, sorted, uint64). near: fp, id and key (of the text's row), sketch."""
+    texts = docs.select(col(doc_id).alias("_id"), _key(doc_id, text).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
+    met = texts.join(near, (texts["key"] == near["key"]) & texts["_id"].eqNullSafe(near["id"])).select("fp", "sketch", "text")
 
     def run(batches):
         for batch in batches:
@@ -222,12 +222,16 @@ def _whole(batches, keys: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
 def links(classes: DataFrame) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints (column fp)."""
     cover = _cover(classes)
-    hot = durable(cover.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("anchor", F.ceil(F.col("n") / (TILE // 2)).cast("int").alias("tiles")))
+    hot = durable(cover.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("anchor", F.ceil(F.col("n") / (TILE // 2)).cast("int").alias("tiles"), "n"))
+    limit = max(TILE, classes.count() * 2 // PARTS)  # a fingerprint goes to two anchors at least
     # t1 <= t2: the pair of tiles; an anchor that isn't hot is the pair (0, 0)
     if hot.isEmpty():
         dealt = cover.select("anchor", F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(0).alias("t"), "fp")
     else:
-        dealt = cover.join(hot, "anchor", "left").withColumn("t", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int"))
+        # rows of anchors with more than their share meet their tiles in place, the others after a shuffle
+        very = F.broadcast(hot.where(F.col("n") > limit).drop("n"))
+        calm = cover.join(very.select("anchor"), "anchor", "left_anti").join(hot.where(F.col("n") <= limit).drop("n"), "anchor", "left")
+        dealt = cover.join(very, "anchor").unionByName(calm).withColumn("t", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int"))
         dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
         dealt = dealt.select("anchor", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "fp")
     dealt = dealt.repartition("anchor", "t1", "t2").sortWithinPartitions("anchor", "t1", "t2", "t", "fp")
@@ -246,22 +250,29 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     wide: texts link as well if they share similarity.SIMILARITY of their shingles."""
     fps = durable(fingerprints(docs, doc_id, text, words, wide))
     # texts of one fingerprint are one class
-    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    classes = durable(classes.withColumn("node", 2 * F.monotonically_increasing_id()))
     edges = links(classes)
     if wide:
+        # nodes are numbers of their own, even ones for fingerprints and odd ones for sets, so no two are equal by chance
+        end = lambda c: classes.select(F.col("fp").alias(c), F.col("node").alias(f"{c}2"))
+        edges = edges.join(end("a"), "a").join(end("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
         # texts of one fingerprint may be of different shingles, and each set has links of its own
-        units = fps.where("unit is not null").groupBy("unit").agg(F.min_by(F.struct("key", "fp", "bands", "sketch"), "key").alias("s"))
-        units = durable(units.select(F.col("unit").alias("fp"), "s.key", F.col("s.fp").alias("of"), "s.bands", "s.sketch"))
+        units = fps.where("unit is not null").groupBy("unit", "fp").agg(F.min_by(F.struct("doc_id", "key", "bands", "sketch", "width"), F.struct("key", "doc_id")).alias("s"))
+        units = units.join(classes.select("fp", F.col("node").alias("of")), "fp")
+        units = durable(units.select((2 * F.monotonically_increasing_id() + 1).alias("fp"), "of", F.col("s.doc_id").alias("id"), "s.key", "s.bands", "s.sketch", "s.width"))
         candidates = components(similarity.links(units.select("fp", "bands", "sketch")))
         candidates = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())  # roots are no nodes there
-        near = durable(units.join(candidates.select(F.col("node").alias("fp")), "fp").select("fp", "of", "key", "sketch"))
-        found = similarity.confirmed(candidates, _hashed(near.drop("of"), docs, doc_id, text, words))
+        near = durable(units.join(candidates.select(F.col("node").alias("fp")), "fp").select("fp", "of", "id", "key", "sketch", "width"))
+        found = similarity.confirmed(candidates, _hashed(near.select("fp", "id", "key", "sketch"), docs, doc_id, text, words), near.select("fp", "width"))
         # sets are nodes beside their fingerprints
         edges = edges.unionByName(found).unionByName(near.select(F.col("fp").alias("a"), F.col("of").alias("b")))
+    else:
+        classes = classes.withColumn("node", F.col("fp"))
     found = components(edges)
-    rooted = durable(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
-    named = spread_join(rooted, groups, ["root"], rooted.count(), "classes").select("fp", "root", "component_id", "n")
+    rooted = durable(classes.join(found, "node", "left").select("fp", "least", "n", F.coalesce("root", "node").alias("at")))
+    groups = rooted.groupBy("at").agg(F.min("fp").alias("root"), F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    named = spread_join(rooted, groups, ["at"], rooted.count(), "classes").select("fp", "root", "component_id", "n")
     return spread_join(fps, named, ["fp"], fps.count()).select("doc_id", "key", "fp", "root", "component_id")
 
 

@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import PARTS, durable, spread_join
 from .graphs import forest, forest_between
 
 PERMUTATIONS, ROWS, SIMILARITY = 128, 5, 0.8
@@ -30,6 +31,8 @@ BANDS = PERMUTATIONS // ROWS
 #: What the estimate of a candidate must reach: over four standard errors below.
 LEAST = SIMILARITY - 0.15
 TILE, LEADERS = 512, 16
+#: A tile's sets, in bytes, as aimed at: a group's texts are dealt by their number and by the size of their sets.
+TILE_BYTES = 16 << 20
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -124,7 +127,11 @@ def links(sketches: DataFrame) -> DataFrame:
     members = sketches.select(F.explode("bands").alias("band"), "fp")
     # partial minima, maxima and counts: a band that all texts share is one row for each task
     shared = durable(members.groupBy("band").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n"))
-    calm = members.join(shared.where(F.col("n") <= TILE).select("band"), "band").join(sketches.select("fp", "sketch"), "fp")
+    hot, total = shared.where(F.col("n") > TILE), shared.agg(F.sum("n").alias("n")).first()["n"] or 0
+    some = not hot.isEmpty()
+    # rows of the hottest bands, PARTS at most, leave before the others are shuffled
+    calm = members.join(F.broadcast(_hottest(hot, total)), "band", "left_anti") if some else members
+    calm = calm.join(shared.where(F.col("n") <= TILE).select("band"), "band").join(sketches.select("fp", "sketch"), "fp")
     calm = calm.repartition("band").sortWithinPartitions("band").select("band", "fp", "sketch")
 
     def run(batches):
@@ -135,22 +142,31 @@ def links(sketches: DataFrame) -> DataFrame:
             yield _edges([(fp[i], fp[j]) for i, j in forest(alike(x, x))])
 
     out = calm.mapInArrow(run, "a long, b long")
-    hot = shared.where(F.col("n") > TILE)
-    if not hot.isEmpty():
-        out = out.unionByName(_hot_links(members, hot, sketches.select("fp", "sketch")))
+    if some:
+        hot = hot.withColumn("nj", F.ceil(F.col("n") / TILE).cast("int"))
+        out = out.unionByName(_hot_links(members, hot, sketches.select("fp", "sketch"), total))
     return out.distinct()
 
 
-def confirmed(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def _hottest(hot: DataFrame, total: int) -> DataFrame:
+    """The bands that hold more than their share of all members: PARTS at most."""
+    return hot.where(F.col("n") > max(TILE, total // PARTS)).select("band")
+
+
+def confirmed(groups: DataFrame, sets: DataFrame, widths: DataFrame) -> DataFrame:
     """(a, b): fingerprints of texts that share SIMILARITY of their shingles, enough to join all such pairs of a group.
 
-    groups: node, root, of candidates. sets: fp, sketch, hashes (the whole set, sorted, uint64); of those nodes."""
+    groups: node, root, of candidates. sets: fp, sketch, hashes (the whole set, sorted, uint64); widths: fp, width (how many
+    hashes); both of those nodes."""
     members = groups.select(F.col("root").alias("band"), F.col("node").alias("fp"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
-    hot = durable(sizes.where(F.col("n") > TILE))
-    some = not hot.isEmpty()
-    sets = durable(sets) if some else sets
-    calm = (members.join(hot.select("band"), "band", "left_anti") if some else members).join(sets, "fp")
+    sizes = members.join(widths, "fp").groupBy("band").agg(F.count("*").alias("n"), (F.sum("width") * 8).alias("bytes"))
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    hot = durable(sizes.select("band", "n", tiles.alias("nj")).where("nj > 1 and n > 1"))
+    some, total, calm = not hot.isEmpty(), groups.count(), members
+    if some:
+        sets = durable(sets)
+        calm = members.join(F.broadcast(_hottest(hot, total)), "band", "left_anti").join(hot.select("band"), "band", "left_anti")
+    calm = calm.join(sets, "fp")
     calm = calm.repartition("band").sortWithinPartitions("band").select("band", "fp", "sketch", "hashes")
 
     def run(batches):
@@ -161,17 +177,17 @@ def confirmed(groups: DataFrame, sets: DataFrame) -> DataFrame:
             yield _edges([(fp[i], fp[j]) for i, j in near_forest(_vectors(work.column("sketch")), _sets(work.column("hashes")))])
 
     out = calm.mapInArrow(run, "a long, b long")
-    return out.unionByName(_hot_links(members, hot, sets)) if some else out
+    return out.unionByName(_hot_links(members, hot, sets, total)) if some else out
 
 
-def _hot_links(members: DataFrame, hot: DataFrame, sketches: DataFrame) -> DataFrame:
+def _hot_links(members: DataFrame, hot: DataFrame, sketches: DataFrame, total: int) -> DataFrame:
     """Links within bands of many members, that join all that all their links would; near ones if sketches have hashes.
 
     LEADERS of a band's members are compared with all of them. What is linked to leaders that are linked to each other
     is one component; only the members outside a band's largest such component are then compared with all its members,
     in tiles. For a group of near copies nearly nobody is outside, and the work is linear in the group."""
     tile = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
-    own = members.join(hot.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("nj")), "band")
+    own = spread_join(members, hot.select("band", "nj", "n"), ["band"], total)
     chosen = own.groupBy("band", "nj", F.pmod(F.xxhash64("fp"), F.lit(LEADERS)).cast("int").alias("k")).agg(F.min("fp").alias("fp"))
     led = chosen.select("band", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "k", "fp")
     first = own.select("band", tile(F.col("nj")).alias("j"), F.lit(-1).alias("k"), "fp").unionByName(led)
@@ -187,11 +203,13 @@ def _hot_links(members: DataFrame, hot: DataFrame, sketches: DataFrame) -> DataF
             m = _matches(work, rows, lead)
             masks = (m.astype(np.int64) << k[lead].astype(np.int64)[None, :]).sum(1)
             ids = fp[lead]
+            column = work.column("hashes" if "hashes" in work.column_names else "sketch")
+            size = pc.binary_length(column).to_numpy()[rows].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(int(rows.sum()), work.column("band")[0].as_py(), np.int64)), pa.array(fp[rows]), pa.array(masks), pa.array([ids[r].tolist() for r in m], pa.list_(pa.int64()))], names=["band", "fp", "mask", "to"]
+                [pa.array(np.full(int(rows.sum()), work.column("band")[0].as_py(), np.int64)), pa.array(fp[rows]), pa.array(masks), pa.array([ids[r].tolist() for r in m], pa.list_(pa.int64())), pa.array(size)], names=["band", "fp", "mask", "to", "size"]
             )
 
-    found = durable(first.mapInArrow(with_leaders, "band long, fp long, mask long, to array<long>"))
+    found = durable(first.mapInArrow(with_leaders, "band long, fp long, mask long, to array<long>, size long"))
     star = found.select("fp", F.explode("to").alias("b")).where("fp <> b")
     stars = star.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
 
@@ -213,13 +231,17 @@ def _hot_links(members: DataFrame, hot: DataFrame, sketches: DataFrame) -> DataF
         return pa.array(out, pa.int64())
 
     # 2**LEADERS masks of a band at most
-    masks = found.groupBy("band", "mask").agg(F.count("*").alias("n")).groupBy("band").agg(F.collect_list(F.struct("mask", "n")).alias("g"), F.sum("n").alias("n"))
-    main = masks.select("band", "n", largest("g").alias("main"))
-    seen = found.select("band", "fp", "mask").join(main, "band").withColumn("outside", F.col("mask").bitwiseAND(F.col("main")) == 0)
-    out_n = durable(seen.where("outside").groupBy("band").agg(F.count("*").alias("r"), F.first("n").alias("n")))
+    masks = found.groupBy("band", "mask").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    masks = masks.groupBy("band").agg(F.collect_list(F.struct("mask", "n")).alias("g"), F.sum("n").alias("n"), F.sum("size").alias("bytes"))
+    main = durable(masks.select("band", "n", "bytes", largest("g").alias("main")))
+    rows = spread_join(found.select("band", "fp", "mask", "size"), main.select("*", F.col("n").alias("all")), ["band"], total)
+    seen = durable(rows.select("band", "fp", "size", "all", "bytes", (F.col("mask").bitwiseAND(F.col("main")) == 0).alias("outside")))
+    out_n = seen.where("outside").groupBy("band").agg(F.count("*").alias("r"), F.sum("size").alias("rb"), F.first("all").alias("n"), F.first("bytes").alias("bytes"))
+    tiles = lambda n, b: F.greatest(F.ceil(F.col(n) / TILE), F.ceil(F.col(b) / TILE_BYTES)).cast("int")
+    out_n = durable(out_n.select("band", tiles("r", "rb").alias("ri"), tiles("n", "bytes").alias("nj"), "n"))
     if out_n.isEmpty():
         return stars
-    sized = seen.select("band", "fp", "outside").join(out_n.select("band", F.ceil(F.col("r") / TILE).cast("int").alias("ri"), F.ceil(F.col("n") / TILE).cast("int").alias("nj")), "band")
+    sized = spread_join(seen.select("band", "fp", "outside"), out_n, ["band"], total)
     left = sized.where("outside").select("band", tile(F.col("ri")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("left"), "fp")
     right = sized.select("band", F.explode(F.sequence(F.lit(0), F.col("ri") - 1)).alias("i"), tile(F.col("nj")).alias("j"), F.lit(False).alias("left"), "fp")
     dealt = left.unionByName(right).join(sketches, "fp").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").select("band", "i", "j", "left", "fp", *held)
