@@ -1,43 +1,13 @@
-"""Sinks: versioned tables, evaluation reports, question and answer files."""
+"""Sinks: caches of parsed files and answers, evaluation reports, question and answer files. Keyed tables: operators.tables."""
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import shorten
-from .status import upsert
-
-
-def save_upserted(new: DataFrame, folder: str, keys: list[str]) -> str:
-    """Writes a new version of a table below folder: what it had, with new's rows in place of their keys. Returns the version's path.
-
-    A version is never overwritten, so readers of the one before aren't disturbed; the greatest name is the latest."""
-    spark = new.sparkSession
-    old = latest_version(spark, folder)
-    out = new if old is None else upsert(spark.read.parquet(old), new, keys)
-    if "_pos" in out.columns:
-        from .status import latest
-
-        out = latest(out, keys, "_pos").drop("_pos")
-    number = 0 if old is None else int(old.rsplit("/v", 1)[1].split("-")[0]) + 1
-    path = f"{folder}/v{number:09d}-{uuid.uuid4().hex[:8]}"
-    out.write.parquet(path)
-    return path
-
-
-def latest_version(spark: SparkSession, folder: str) -> str | None:
-    """The path of the latest complete version, through Spark's file systems."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return f"{folder}/{names[-1]}" if names else None
+from .tables import KeyedTable
 
 
 def evaluation_report(results: DataFrame, folder: str) -> None:
@@ -47,15 +17,25 @@ def evaluation_report(results: DataFrame, folder: str) -> None:
     results.select(*(shorten(c, cut[c]).alias(c) if c in cut else F.col(c) for c in results.columns)).write.mode("overwrite").option("header", True).csv(f"{folder}/summary")
 
 
-def save_parsed(parsed: DataFrame, folder: str) -> str:
-    """The parse cache: a new version with these files' rows (sources.files.dispatch) by cache_key; files that failed aren't kept."""
-    return save_upserted(parsed.where("error is null").select("cache_key", "path", "parser", "blocks").dropDuplicates(["cache_key"]), folder, ["cache_key"])
+def save_parsed(parsed: DataFrame, folder: str) -> int:
+    """The parse cache: these files' rows (sources.files.dispatch) by cache_key; files that failed aren't kept. Returns the version."""
+    return KeyedTable(parsed.sparkSession, folder, ["cache_key"]).upsert(parsed.where("error is null").select("cache_key", "path", "parser", "blocks").dropDuplicates(["cache_key"]))
 
 
 def parsed_cache(spark: SparkSession, folder: str) -> DataFrame | None:
     """What save_parsed() kept, none before the first time."""
-    path = latest_version(spark, folder)
-    return None if path is None else spark.read.parquet(path)
+    return KeyedTable(spark, folder, ["cache_key"]).read()
+
+
+def save_answers(answered: DataFrame, folder: str) -> int:
+    """The answer cache: the answers (pipeline.answered_with_items) that weren't taken from it and didn't fail, by cache_key. Returns the version."""
+    new = answered.where("not cached and answer is not null").select("cache_key", "answer").dropDuplicates(["cache_key"])
+    return KeyedTable(answered.sparkSession, folder, ["cache_key"]).upsert(new)
+
+
+def answer_cache(spark: SparkSession, folder: str) -> DataFrame | None:
+    """What save_answers() kept, none before the first time."""
+    return KeyedTable(spark, folder, ["cache_key"]).read()
 
 
 def answer_files(answers: DataFrame, folder: str, began: float, ended: float) -> None:

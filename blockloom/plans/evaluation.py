@@ -4,11 +4,15 @@ labels stand for judged answers: quality for accuracy, the document's source for
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import metrics as M
 from ..operators import status as S
+from ..operators.tables import KeyedTable
+from ..shared import shared_folder
 from .common import BLOCKS, blocks, table
 
 
@@ -185,9 +189,42 @@ def stream_once_each(spark, sf_dir):
     return streams.drained(streams.once_each(s.unionByName(s), late="100 days").select("event_id", "event_type"), "append")
 
 
+def stream_breakers(spark, sf_dir):
+    """Breakers as keyed state of a stream of the same events."""
+    from ..streaming import streams
+
+    return streams.drained(streams.breaker_stream(streams.event_stream(spark, sf_dir)), "update", ("user_id",)).select("user_id", "n_failures", "state", "n_rejected")
+
+
+def table_upserts(spark, sf_dir):
+    """Turns by conversation and role, upserted in three parts into a keyed table; the last of a role stays."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", "text", F.col("turn").alias("_pos"))
+    kept = KeyedTable(spark, f"{shared_folder(spark)}/table-{uuid.uuid4()}", ["conv_id", "role"], 16)
+    for part in ("turn < 2", "turn >= 2 and conv_id % 3 = 0", "turn >= 2 and conv_id % 3 <> 0"):
+        kept.upsert(turns.where(part))
+    return kept.read()
+
+
+def incremental_files(spark, sf_dir):
+    """Pages as files that a stream lists three times; those that changed between are read again and replace their rows."""
+    from ..streaming import incremental
+
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+    folder = f"{shared_folder(spark)}/listing-{uuid.uuid4()}"
+    kept = KeyedTable(spark, f"{folder}/table", ["path"], 16)
+    read = lambda changed: changed.join(pages, "path").select("path", "mtime", "page_id", F.posexplode(F.split("html", "\n")).alias("pos", "line"))
+    for n, changed in ((1, F.lit(True)), (2, F.col("page_id") % 3 == 0), (3, F.col("page_id") % 5 == 0)):
+        before = F.when((F.lit(n) > 2) & (F.col("page_id") % 3 == 0), 2).otherwise(1)
+        pages.select("path", F.when(changed, n).otherwise(before).cast("long").alias("mtime")).write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema("path string, mtime long").option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        incremental.ingest_changes(stream, read, kept, f"{folder}/state").awaitTermination()
+    return kept.read()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        stream_breakers, table_upserts, incremental_files,
         eval_by_method, eval_dimensions, eval_comparison, eval_source_method, eval_doc_method, eval_doc_type, eval_totals, eval_pending, eval_existing, eval_replace, eval_errors, eval_unpivot, eval_doc_sort, eval_limit_per_file, eval_summary,
         batch_summary, doc_status, multimodal_gate, chunk_status, upsert_latest, parse_cache_hits, event_metrics, error_log_top5, event_windows_tumbling, event_windows_sliding, event_sessions, breaker_states, stream_event_windows, stream_once_each,
     )
@@ -247,4 +284,8 @@ SQL = {
         select user_id, b.f::int as n_failures, b.s as state, b.r as n_rejected from b""",
     "stream_event_windows": "select event_type, time_bucket(interval '1 hour', ts) as window_start, count(*) as n, round(sum(value), 4) as total from events group by all",
     "stream_once_each": "select event_id, event_type from events",
+    "table_upserts": "select conv_id, role, turn, text from conversations qualify row_number() over (partition by conv_id, role order by turn desc) = 1",
+    "incremental_files": """with p as (select url as path, case when page_id % 5 = 0 then 3 when page_id % 3 = 0 then 2 else 1 end::bigint as mtime, page_id, string_split(coalesce(html, ''), chr(10)) as l from pages)
+        select path, mtime, page_id, unnest(range(0, len(l)))::int as pos, unnest(l) as line from p""",
 }
+SQL["stream_breakers"] = SQL["breaker_states"]

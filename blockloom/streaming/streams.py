@@ -1,4 +1,4 @@
-"""Streams: metrics by event-time windows, breaker states, re-delivered chunks, incremental ingest."""
+"""Streams: metrics by event-time windows, breaker states, re-delivered chunks."""
 
 from __future__ import annotations
 
@@ -8,15 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import metrics
 from ..operators.status import latest
-from ..shared import shared_folder
+from ..shared import shared_folder, with_rocksdb
 
 THRESHOLD, RESET_SECONDS = 3, 3600.0
 STATES = "user_id long, n_failures int, state string, n_rejected long, last_failure double"
@@ -49,7 +47,9 @@ def drained(df: DataFrame, mode: str = "complete", keys: tuple[str, ...] = ()) -
         batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/rows/{n:09d}")
         batches.append(n)
 
-    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    with with_rocksdb(spark):
+        query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
     if not batches:
         return spark.createDataFrame([], df.schema)
     rows = spark.read.parquet(*(f"{folder}/rows/{n:09d}" for n in ([max(batches)] if mode == "complete" else sorted(set(batches)))))
@@ -100,7 +100,7 @@ class BreakerProcessor(StatefulProcessor):
 
 
 def breaker_stream(stream: DataFrame) -> DataFrame:
-    """The breaker's state of each user after each batch; needs the RocksDB state store."""
+    """The breaker's state of each user after each batch; needs the RocksDB state store (drained() sees to it)."""
     rows = stream.select("user_id", "event_id", "event_type", F.unix_micros("ts").cast("double").alias("us")).withColumn("at", F.col("us") / 1e6).drop("us")
     return rows.groupBy("user_id").transformWithStateInPandas(BreakerProcessor(), STATES, "Update", "None")
 
@@ -132,26 +132,3 @@ def breaker_table(events: DataFrame) -> DataFrame:
         yield out()
 
     return rows.mapInArrow(run, "user_id long, n_failures int, state string, n_rejected long")
-
-
-def ingest_new(spark: SparkSession, folder: str, table: str, schema, checkpoint: str, transform=lambda df: df, keys: tuple[str, ...] = ()) -> StreamingQuery:
-    """Files that come to a folder, transformed and added to a Parquet table once each.
-
-    Each batch has a folder of its own in the table (_n=<number>), which a batch that is tried again overwrites: so once
-    each holds without keys as well. With keys, rows whose keys are there already are left out; of the table only the
-    keys are read, and a batch's own folder isn't, so that a second try finds what the first found."""
-
-    def write(batch: DataFrame, n: int) -> None:
-        new = transform(batch)
-        if keys:
-            new = new.dropDuplicates(list(keys))
-            try:
-                known = spark.read.parquet(table).where(F.col("_n") != n).select(*keys)
-                new = new.join(known, list(keys), "left_anti")
-            except AnalysisException as e:  # the first batch finds no table
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-        new.write.mode("overwrite").parquet(f"{table}/_n={n}")
-
-    stream = spark.readStream.schema(schema).json(folder)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -73,6 +73,18 @@ def test_cached_questions(spark):
     assert {r.query_id: r.answer for r in again.collect()} == {r.query_id: r.answer for r in first.collect()}
 
 
+def test_answers_are_kept_and_not_asked_again(spark, tmp_path):
+    s = "query_id long, question string, items array<struct<type:string,img_path:string,table_body:string,text:string>>"
+    q = spark.createDataFrame([(1, "a", []), (2, "b", [])], s)
+    folder = str(tmp_path / "answers")
+    assert sinks.answer_cache(spark, folder) is None
+    sinks.save_answers(pipeline.answered_with_items(q.where("query_id = 1"), models.stub_text), folder)
+    second = pipeline.answered_with_items(q, models.stub_text, sinks.answer_cache(spark, folder))
+    assert {r.query_id: r.cached for r in second.collect()} == {1: True, 2: False}
+    assert sinks.save_answers(second, folder) == 1
+    assert all(r.cached for r in pipeline.answered_with_items(q, models.stub_text, sinks.answer_cache(spark, folder)).collect())
+
+
 def test_embeddings_check_their_length(spark):
     df = spark.createDataFrame([("a b",), (None,), ("",)], "t string")
     got = [r.e for r in df.select(models.embeddings(F.col("t"), models.stub_vectors(4), 4).alias("e")).collect()]
@@ -125,12 +137,6 @@ def test_prompts(spark):
 
 
 def test_sinks(spark, tmp_path):
-    folder = str(tmp_path / "t")
-    make = lambda rows: spark.createDataFrame(rows, "k int, v string, _pos int")
-    sinks.save_upserted(make([(1, "a", 0), (1, "b", 1)]), folder, ["k"])
-    sinks.save_upserted(make([(2, "c", 0), (1, "d", 1)]), folder, ["k"])
-    assert sorted(map(tuple, spark.read.parquet(sinks.latest_version(spark, folder)).collect())) == [(1, "d"), (2, "c")]
-    assert sinks.latest_version(spark, str(tmp_path / "none")) is None
     r = spark.createDataFrame([("q" * 120, "r" * 201, 1)], "question string, reasoning string, accuracy int")
     sinks.evaluation_report(r, str(tmp_path / "e"))
     s = spark.read.option("header", True).csv(str(tmp_path / "e/summary")).first()

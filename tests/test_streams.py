@@ -1,6 +1,9 @@
 import json
 
-from blockloom.streaming import streams
+from pyspark.sql import functions as F
+
+from blockloom.operators.tables import KeyedTable
+from blockloom.streaming import incremental, streams
 from blockloom.streaming.streams import Breaker
 from tests.duck import SF
 
@@ -24,38 +27,45 @@ def test_breaker_table_and_stream_agree(spark):
         want.setdefault(r.user_id, Breaker()).call(r.ts.timestamp(), r.event_type != "error")
     want = {u: (b.failures, b.state, b.rejected) for u, b in want.items()}
     assert {r.user_id: (r.n_failures, r.state, r.n_rejected) for r in streams.breaker_table(events).collect()} == want
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = streams.drained(streams.breaker_stream(streams.event_stream(spark, SF)), "update", ("user_id",)).collect()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    out = streams.drained(streams.breaker_stream(streams.event_stream(spark, SF)), "update", ("user_id",)).collect()
     assert {r.user_id: (r.n_failures, r.state, r.n_rejected) for r in out} == want
 
 
-def test_ingest_takes_each_file_once(spark, tmp_path):
-    inbox, table, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+def test_ingest_merges_each_file_once(spark, tmp_path):
+    inbox, table, mark = tmp_path / "in", str(tmp_path / "out"), tmp_path / "mark"
     inbox.mkdir()
-    go = lambda: streams.ingest_new(spark, str(inbox), table, "k int, v string", mark, keys=("k",)).awaitTermination()
+    go = lambda: incremental.ingest_new(spark, str(inbox), table, "k int, v string", str(mark), ["k"]).awaitTermination()
     (inbox / "a.json").write_text(json.dumps({"k": 1, "v": "a"}) + "\n" + json.dumps({"k": 1, "v": "a"}))
     go()
     (inbox / "b.json").write_text(json.dumps({"k": 1, "v": "again"}) + "\n" + json.dumps({"k": 2, "v": "b"}))
     go()
     go()
-    assert sorted((r.k, r.v) for r in spark.read.parquet(table).collect()) == [(1, "a"), (2, "b")]
-
-
-def test_a_batch_that_is_tried_again_replaces_itself(spark, tmp_path):
-    """Without its commit a batch runs again under its old number, with keys and without."""
-    for keys in ((), ("k",)):
-        base = tmp_path / f"with{len(keys)}"
-        inbox, table, mark = base / "in", str(base / "out"), base / "mark"
-        inbox.mkdir(parents=True)
-        go = lambda: streams.ingest_new(spark, str(inbox), table, "k int, v string", str(mark), keys=keys).awaitTermination()  # noqa: B023, E731
-        for k in (1, 2):
-            (inbox / f"{k}.json").write_text(json.dumps({"k": k, "v": "a"}))
-            go()
-        last = max((f for f in (mark / "commits").iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
-        last.unlink()
-        (mark / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
-        go()
-        assert sorted((r.k, r.v) for r in spark.read.parquet(table).collect()) == [(1, "a"), (2, "a")]
+    read = lambda: sorted((r.k, r.v) for r in KeyedTable(spark, table, ["k"]).read().collect())
+    assert read() == [(1, "again"), (2, "b")]
+    # without its commit a batch runs again under its old number
+    last = max((f for f in (mark / "commits").iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+    last.unlink()
+    (mark / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    go()
+    assert read() == [(1, "again"), (2, "b")]
+
+
+def test_only_changed_files_are_read(spark, tmp_path):
+    inbox, asked = tmp_path / "in", []
+    inbox.mkdir()
+    table = KeyedTable(spark, str(tmp_path / "table"), ["path"], 4)
+
+    def read(changed):
+        asked.append(sorted((r.path, r.mtime) for r in changed.collect()))
+        return changed.where("path <> 'gone' or mtime < 3").select("path", "mtime", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("block"))
+
+    def go(name, rows):
+        (inbox / f"{name}.json").write_text("\n".join(json.dumps({"path": p, "mtime": m}) for p, m in rows))
+        stream = spark.readStream.schema("path string, mtime long").json(str(inbox))
+        incremental.ingest_changes(stream, read, table, str(tmp_path / "mark")).awaitTermination()
+
+    go("1", [("a", 1), ("b", 1), ("gone", 1), ("a", 1)])
+    go("2", [("a", 1), ("b", 2), ("gone", 1), ("c", 2)])
+    go("3", [("a", 1), ("b", 1), ("gone", 3), ("c", 2)])
+    assert asked == [[("a", 1), ("b", 1), ("gone", 1)], [("b", 2), ("c", 2)], [("gone", 3)]]
+    assert sorted((r.path, r.mtime, r.block) for r in table.read().collect()) == [(p, m, b) for p, m in (("a", 1), ("b", 2), ("c", 2)) for b in "xy"]
