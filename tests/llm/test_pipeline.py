@@ -34,16 +34,16 @@ def test_each_stage_does_what_a_plain_version_does(spark):
     score = dict(zip([r[0] for r in rows], model(np.array([tuple(r)[1:] for r in rows], float)), strict=True))
     good = P.good_quality(spark, docs, SF)
     assert {r.doc_id for r in good.collect()} == {i for i, s in score.items() if s >= quality.KEEP_FROM}
-    # 2: all pairs by fingerprint and by exact similarity, from which the estimate may differ near 0.8
+    # 2: all pairs by fingerprint and by exact similarity
     texts = {r.doc_id: r.text for r in good.collect()}
     ids = sorted(texts)
     fps = [fingerprint(texts[i], P.SHINGLE_WORDS) for i in ids]
     sets = [shingles(texts[i]) for i in ids]
-    alike = lambda least: lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])
+    alike = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
     one = P.one_of_each_group(spark, good, SF)
     kept = {r.doc_id for r in one.collect()}
-    sure, most = (set(grouped(ids, alike(x))) for x in (0.88, 0.65))
-    assert most <= kept <= sure and len(kept) < len(ids)
+    assert kept == set(grouped(ids, alike))
+    assert len(kept) < len(ids)
     # 3: alignment of everything with everything
     texts = {r.doc_id: r.text for r in one.collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:8]
