@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 import time
 from collections.abc import Callable
 
@@ -20,6 +21,8 @@ VectorModel = Callable[[list[str]], list[list[float]]]
 #: Requests hold system (text), parts (type "text" or "image", text, image: a number) and images (base64 or paths).
 VisionModel = Callable[[list[dict]], list[str]]
 Encoder = Callable[[list[str]], list[list[int]]]
+#: For each text where its tokens start and end, in code points and in order.
+OffsetEncoder = Callable[[list[str]], list[list[tuple[int, int]]]]
 
 
 class Rejected(Exception):
@@ -129,28 +132,76 @@ def token_counts(text: Column, load: Callable[[], Encoder]) -> Column:
     return run(text)
 
 
-def within_tokens(text: Column, limit: int, load: Callable[[], Encoder]) -> Column:
-    """The longest start of a text that has at most so many tokens, dots behind it if it was cut. Found by halving, as the length of a start's encoding hardly ever falls when the start grows."""
+def tokenizer_offsets(path: str) -> Callable[[], OffsetEncoder]:
+    """Offsets by a tokenizer's file as the tokenizers library reads it."""
+
+    def load() -> OffsetEncoder:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return lambda texts: [e.offsets for e in t.encode_batch(texts, add_special_tokens=False)]
+
+    return load
+
+
+def windows_of(offsets: list[tuple[int, int]], length: int, size: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, tokens, fresh) of windows of size tokens, each sharing overlap with the one before. A window ends where the
+    next token starts, so what stands between tokens stays; what is fresh of a window begins where the one before ended."""
+    if size <= overlap or overlap < 0:
+        raise ValueError("a window must be larger than its overlap")
+    out, n, first = [], len(offsets), 0
+    while True:
+        last = first + size >= n
+        start, end = offsets[first][0] if first else 0, length if last else offsets[first + size][0]
+        out.append((start, end, min(n, first + size) - first, (out[-1][1] if out else 0) - start))
+        if last:
+            return out
+        first += size - overlap
+
+
+def token_windows(text: Column, size: int, overlap: int, load: Callable[[], OffsetEncoder]) -> Column:
+    """array<struct<start, tokens, fresh, content>> of a text, by one encoding of it; null for null, one empty window for an
+    empty text. Contents from fresh on, joined, are the text."""
+    held: list = []
+    item = pa.list_(pa.struct([("start", pa.int32()), ("tokens", pa.int32()), ("fresh", pa.int32()), ("content", pa.string())]))
+
+    @F.arrow_udf("array<struct<start:int,tokens:int,fresh:int,content:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(load())
+        rows = texts.to_pylist()
+        out: list = [None] * len(rows)
+        for k, t in enumerate(rows):
+            if t is not None:
+                out[k] = [{"start": a, "tokens": n, "fresh": f, "content": t[a:b]} for a, b, n, f in windows_of(held[0]([t])[0], len(t), size, overlap)]
+        return pa.array(out, item)
+
+    return run(text)
+
+
+def within_tokens(text: Column, limit: int, load: Callable[[], OffsetEncoder]) -> Column:
+    """The start of a text that has at most so many tokens, up to where the next one starts, with dots behind it if it was cut; by one encoding."""
     held: list = []
 
-    def cut(t: str, encode: Encoder) -> str:
-        if len(encode([t])[0]) <= limit:
-            return t
-        lo, hi = 0, len(t)
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if len(encode([t[:mid]])[0]) <= limit else (lo, mid)
-        return t[:lo] + "..."
+    def cut(t: str) -> str:
+        offsets = held[0]([t])[0]
+        return t if len(offsets) <= limit else t[: offsets[limit][0]] + "..."
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(load())
-        return pa.array([None if t is None else cut(t, held[0]) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else cut(t) for t in texts.to_pylist()], pa.string())
 
     return run(text)
 
 
+def stub_offsets() -> OffsetEncoder:
+    """Where words stand, for tests."""
+    return lambda texts: [[m.span() for m in re.finditer(r"[^ \t\r\n]+", t)] for t in texts]
+
+
 def stub_encoder() -> Encoder:
     """Words' lengths, for tests."""
     return lambda texts: [[len(w) for w in t.split()] for t in texts]

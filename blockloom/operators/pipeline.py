@@ -67,9 +67,16 @@ def modal_chunks(items: DataFrame, key: str = "doc_id", own: tuple[Modality, ...
     return status.latest(df, [key, "chunk_id"], "pos")
 
 
-def text_chunks(docs: DataFrame, key: str, config: Config, split: str | None = None, split_only: bool = False, by_tokens: bool = False) -> DataFrame:
+def text_chunks(docs: DataFrame, key: str, config: Config, split: str | None = None, split_only: bool = False, by_tokens: bool = False, encoder: Callable | None = None) -> DataFrame:
     """key, chunk_order_index, content, tokens, chunk_id of text_content: its paragraphs; or what stands between split, and
-    unless split_only any such piece of over chunk_size words in overlapping windows; or by_tokens such windows of the whole text."""
+    unless split_only any such piece of over chunk_size words in overlapping windows; or by_tokens such windows of the whole text. encoder: offsets of tokens (models.OffsetEncoder),
+    by which windows are cut in place of words."""
+    if encoder is not None and (by_tokens or (split is not None and not split_only)):
+        whole = docs.select(key, F.lit(0).alias("_a"), F.col("text_content").alias("content")) if split is None else chunks.split_chunks(docs, key, "text_content", split).select(key, F.col("chunk_order_index").alias("_a"), "content")
+        cut = models.token_windows(F.col("content"), config.chunk_size, config.chunk_overlap, encoder)
+        pieces = whole.select(key, "_a", F.explode(F.array(cut)).alias("_w")).select(key, "_a", F.posexplode("_w").alias("_b", "w"))
+        order = (F.row_number().over(W.partitionBy(key).orderBy("_a", "_b")) - 1).alias("chunk_order_index")
+        return chunks.with_chunk_id(pieces.select(key, order, F.col("w.content").alias("content"), F.col("w.tokens").alias("tokens")), key)
     if split is None and not by_tokens:
         return chunks.paragraph_chunks(docs, key, "text_content")
     if split is None:
@@ -93,14 +100,14 @@ def _found(got: DataFrame | extraction.Extraction) -> tuple[DataFrame, DataFrame
 
 def ingest(
     docs: DataFrame, load: Callable, extract: Callable[[DataFrame], DataFrame | extraction.Extraction], config: Config = Config(), prompts: Prompts = Prompts(), key: str = "doc_id", done: DataFrame | None = None, skip_multimodal: bool = False,
-    split: str | None = None, split_only: bool = False, by_tokens: bool = False, own: tuple[Modality, ...] = (), callbacks: Callbacks | None = None, summarise: Callable | None = None,
+    split: str | None = None, split_only: bool = False, by_tokens: bool = False, encoder: Callable | None = None, own: tuple[Modality, ...] = (), callbacks: Callbacks | None = None, summarise: Callable | None = None,
 ) -> Ingested:
-    """docs: key and blocks. load: the model. extract: entities (chunk_id, entity_name, entity_type, description, source_id) of chunks (chunk_id, content), or entities and relations (extraction.extractor). summarise: a model for the nodes' descriptions. done: doc_status of earlier runs, whose finished documents aren't described again. split, split_only, by_tokens: see text_chunks(). own: processors of further types.
+    """docs: key and blocks. load: the model. extract: entities (chunk_id, entity_name, entity_type, description, source_id) of chunks (chunk_id, content), or entities and relations (extraction.extractor). summarise: a model for the nodes' descriptions. done: doc_status of earlier runs, whose finished documents aren't described again. split, split_only, by_tokens, encoder: see text_chunks(). own: processors of further types.
 
     What the models say, of blocks and of chunks, is written to the shared folder once, and all relations read that:
     each block is described by one call, and answers that vary can't make relations disagree."""
     separated = B.recovered(docs)
-    text = text_chunks(separated.where("text_content <> ''"), key, config, split, split_only, by_tokens)
+    text = text_chunks(separated.where("text_content <> ''"), key, config, split, split_only, by_tokens, encoder)
     text = text.select(key, "chunk_id", "chunk_order_index", "content", "tokens", F.lit(None).cast("string").alias("original_type"), F.lit(None).cast("string").alias("modal_entity_name"), F.lit(None).cast("string").alias("error"))
     todo = docs if done is None else status.gate(docs, done, key)
     blocks = todo.select(key, F.inline("blocks"))

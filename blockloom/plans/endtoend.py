@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import models
-from ..operators import pipeline, queries, status
-from ..sources import files
+from ..operators import embedding, pipeline, queries, status
+from ..shared import shared_folder
+from ..sources import datasource, files
 from . import stubs
 from .common import BLOCKS, blocks, docs, prompt_sql, strip_sql, table, template_sql
 from .context import FILLED, context_sql
@@ -51,6 +54,14 @@ def dispatched_files(spark, sf_dir):
     return got.select("path", "parser", F.coalesce(F.size("blocks"), F.lit(0)).alias("n_blocks"), F.length(said).alias("n_chars"), "error")
 
 
+def parser_source(spark, sf_dir):
+    """Pages written as files and read by the library's data source, whose listing the filter on path reaches."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4()}"
+    table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value")).repartition("page_id").write.partitionBy("page_id").option("compression", "none").text(folder)
+    rows = datasource.load(spark, folder, parser="html").where("path like '%.txt'")
+    return rows.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "pos", "type", "text_level", "text")
+
+
 def vision_answers(spark, sf_dir):
     """Questions put to a vision model with the safe ones of the images that their context names."""
     prompt = F.concat("text", F.lit("\nImage Path: /w/"), "conv_id", F.lit(".png\nmore\nImage Path: /etc/x.png"))
@@ -69,10 +80,27 @@ def described_items(spark, sf_dir):
 def tokens_within(spark, sf_dir):
     """Texts cut to 50 tokens of an encoder, and how many they had."""
     text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", models.within_tokens(text, 50, models.stub_encoder).alias("start"), models.token_counts(text, models.stub_encoder).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", models.within_tokens(text, 50, models.stub_offsets).alias("start"), models.token_counts(text, models.stub_encoder).alias("n"))
+
+
+def offset_windows(spark, sf_dir):
+    """Whole texts in windows of 50 tokens that share 10, cut at an encoder's offsets."""
+    windows = models.token_windows(F.coalesce("text", F.lit("")), 50, 10, models.stub_offsets)
+    df = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(windows)).alias("w")).select("doc_id", F.posexplode("w").alias("n", "w"))
+    return df.select("doc_id", "n", "w.start", "w.tokens", "w.fresh", "w.content")
+
+
+def embedded_chunks(spark, sf_dir):
+    """Paragraphs with vectors that are kept by content: half of the texts first, then all, so the rest is embedded only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text_content"))
+    made = pipeline.text_chunks(docs.where("text_content <> ''"), "doc_id", Config(), split="\n", split_only=True)
+    store = embedding.vector_store(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4()}")
+    embedding.embedded(made.where("doc_id % 2 = 0"), store, models.stub_vectors(16), 16, "stub")
+    rows = embedding.embedded(made, store, models.stub_vectors(16), 16, "stub")
+    return rows.select("doc_id", "chunk_order_index", "hash", "model", "added", F.size("embedding").alias("dim"))
 
 
-QUERIES = {f.__name__: f for f in (multimodal_pipeline, multimodal_graph, multimodal_nodes, split_ingest, document_states, dispatched_files, vision_answers, described_items, tokens_within)}
+QUERIES = {f.__name__: f for f in (offset_windows, embedded_chunks, multimodal_pipeline, multimodal_graph, multimodal_nodes, split_ingest, document_states, dispatched_files, parser_source, vision_answers, described_items, tokens_within)}
 
 _KINDS = ("image", "table", "equation")
 _OF = {"table_body": "table_body", "text": "text", "text_format": "text_format", "context": "context"}
@@ -96,6 +124,13 @@ _STUB = lambda x: f"""'```json' || chr(10) || '{{{{"detailed_description": "abou
 _SUFFIX = template_sql(queries.SUFFIX, {})
 _PIECES = rf"list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda x: {strip_sql('x')}), lambda x: x <> '')"
 SQL = {
+    "offset_windows": """with d as (select doc_id, coalesce(text, '') as t from documents), l as (select doc_id, t, length(regexp_extract(t, '^[ \\t\\r\\n]*')) as lead, regexp_extract_all(t, '[^ \\t\\r\\n]+[ \\t\\r\\n]*') as w from d),
+        u as (select doc_id, unnest(range(0, len(w))) as i, unnest(w) as x, lead from l), s as (select doc_id, i, (lead + sum(length(x)) over (partition by doc_id order by i) - length(x))::int as at from u),
+        k as (select doc_id, t, len(w) as c, unnest(range(0, greatest(1, ceil((len(w) - 10) / 40.0)::int))) as n from l),
+        b as (select k.*, case when n = 0 then 0 else s1.at end as a, case when n * 40 + 50 >= c then length(t) else s2.at end as e from k left join s s1 on s1.doc_id = k.doc_id and s1.i = n * 40 left join s s2 on s2.doc_id = k.doc_id and s2.i = n * 40 + 50)
+        select doc_id, n::int as n, a::int as start, (least(c, n * 40 + 50) - n * 40)::int as tokens, (coalesce(lag(e) over (partition by doc_id order by n), 0) - a)::int as fresh, substr(t, (a + 1)::bigint, (e - a)::bigint) as content from b""",
+    "embedded_chunks": f"""with p as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '') as l from documents), u as (select doc_id, unnest(range(0, len(l)))::int as chunk_order_index, md5(unnest(l)) as hash from p)
+        select doc_id, chunk_order_index, hash, 'stub' as model, hash not in (select hash from u where doc_id % 2 = 0) as added, 16 as dim from u""",
     "multimodal_pipeline": f"with {_CHUNKS} select * from chunks",
     "multimodal_graph": f"with {_CHUNKS}, {_GRAPH} select least(src, tgt) as a, greatest(src, tgt) as b, sum(10.0::double) as weight, count(*) as n_edges, count(distinct chunk_id) as n_sources, 3 as n_keywords from e group by 1, 2",
     "multimodal_nodes": f"""with {_CHUNKS}, n as (select entity_name, 'word' as entity_type, chunk_id from found union all select left(h, 6) || ' (thing)', 'thing', chunk_id from modal), c as (select entity_name, entity_type, count(*) as n from n group by all)
@@ -111,6 +146,7 @@ SQL = {
         l as (select page_id, list_filter(list_transform(string_split(coalesce(html, ''), chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '') as l from pages)
         select '/in/' || page_id || ['.html', '.MD', '.pdf', '.htm'][(page_id % 4 + 1)::int] as path, case page_id % 4 when 1 then 'text' when 2 then 'pdf' else 'html' end as parser, case page_id % 4 when 1 then len(l) when 2 then 0 else n end::int as n_blocks,
           case page_id % 4 when 1 then length(array_to_string(list_transform(l, lambda x: {strip_sql("regexp_replace(x, '^#+', '')")}), '')) when 2 then null else c end::int as n_chars, case when page_id % 4 = 2 then 'no parser pdf' end as error from l join n using (page_id)""",
+    "parser_source": f"with {HTML_SQL} select page_id, (row_number() over (partition by page_id order by k) - 1)::int as pos, 'text' as type, text_level, text from t where text <> ''",
     "vision_answers": f"""with q as (select conv_id || '-' || turn as query_id, text, text || chr(10) || 'Image Path: /w/' || conv_id || '.png' || chr(10) as p, {template_sql(queries.CLOSING.replace('{}', '{q}'), {'q': 'text'})} as c from conversations where role = 'user')
         select query_id, '1 of 1 images, ' || md5(p || chr(10) || chr(10) || 'more' || chr(10) || 'Image Path: /etc/x.png' || chr(10) || c) as answer, null::varchar as error, 1 as n_images from q""",
     "described_items": f"""with q as (select conv_id || '-' || turn as query_id, text, {template_sql(queries.ITEM_PROMPTS['table'], {'table_body': 'text'})} as a, {template_sql(queries.ITEM_PROMPTS['generic'], {'type': "'note'", 'content': "'note ' || text"})} as b from conversations where role = 'user'),

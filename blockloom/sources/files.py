@@ -150,8 +150,8 @@ def parser_of(read: Callable[[bytes, str], list[dict]]) -> Parser:
     return parse
 
 
-def builtin_parsers() -> dict[str, Parser]:
-    """text: Markdown's lines; html: pages; list: a parser's JSON list of blocks is read by blocks.content_list instead."""
+def builtin_readers() -> dict[str, Callable[[bytes, str], list[dict]]]:
+    """text: Markdown's lines; html: pages. From a file's bytes and path to its blocks."""
     from .blocks import decoded, page_blocks
 
     def text(raw: bytes, path: str) -> list[dict]:
@@ -161,7 +161,12 @@ def builtin_parsers() -> dict[str, Parser]:
     def page(raw: bytes, path: str) -> list[dict]:
         return [dict(zip(("type", "text_level", "text", "img_path", "captions", "table_body"), b, strict=True)) for b in page_blocks(decoded(raw))]
 
-    return {"text": parser_of(text), "html": parser_of(page)}
+    return {"text": text, "html": page}
+
+
+def builtin_parsers() -> dict[str, Parser]:
+    """The built-in readers as parsers; a parser's JSON list of blocks is read by blocks.content_list or sources.datasource instead."""
+    return {name: parser_of(read) for name, read in builtin_readers().items()}
 
 
 def dispatch(files: DataFrame, registry: Registry, parser: Column | None = None, cache: DataFrame | None = None, method: str = "auto") -> DataFrame:

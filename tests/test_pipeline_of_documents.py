@@ -267,7 +267,7 @@ def test_items_are_described_first(spark):
 
 def test_tokens(spark):
     df = spark.createDataFrame([("a bb  ccc d",), ("",), (None,)], "t string")
-    got = df.select(models.token_counts(F.col("t"), models.stub_encoder).alias("n"), models.within_tokens(F.col("t"), 2, models.stub_encoder).alias("s")).collect()
+    got = df.select(models.token_counts(F.col("t"), models.stub_encoder).alias("n"), models.within_tokens(F.col("t"), 2, models.stub_offsets).alias("s")).collect()
     assert [tuple(r) for r in got] == [(4, "a bb  ..."), (0, ""), (None, None)]
 
 
