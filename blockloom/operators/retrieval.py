@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..joins import spread_join
 from .vectors import top_k  # noqa: F401
 
 MODES = ("local", "global", "hybrid", "naive", "mix", "bypass")
@@ -16,14 +17,48 @@ def naive(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", F.col("vec_id").alias("chunk_id"), "score")
 
 
-def local(entity_hits: DataFrame, edges: DataFrame, chunks_of: DataFrame) -> DataFrame:
-    """Entities by vector, then the edges at them (a, b), then the chunks of both ends (entity, chunk_id)."""
-    ends = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+#: Neighbours of an entity that a search goes on to, its strongest first; of hubs there may be any number.
+BESIDE = 64
+
+
+def neighbours(edges: DataFrame, most: int = BESIDE) -> DataFrame:
+    """entity, beside, weight, nth: each entity's strongest neighbours: by weight of the edges between them (1 each without
+    weights), then by how many neighbours those have, then by name. A rank with a limit is cut in each task before it is
+    shuffled, so a hub sends most rows from each."""
+    w = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    both = edges.select("a", "b", w.alias("weight")).where("a <> b")
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    degree = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("degree"))
+    met = spread_join(both, degree.withColumn("n", F.col("degree")), ["b"], both.count())
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("weight"), F.desc("degree"), "b"))
+    return met.withColumn("nth", rank).where(F.col("nth") <= most).select(F.col("a").alias("entity"), F.col("b").alias("beside"), "weight", "nth")
+
+
+def local(entity_hits: DataFrame, edges: DataFrame, chunks_of: DataFrame, most: int = BESIDE) -> DataFrame:
+    """Entities by vector, then the strongest entities beside them by edges (a, b, weight), then the chunks of all (entity, chunk_id)."""
     hits = entity_hits.select("query_id", F.col("vec_id").alias("entity"), "score")
-    beside = hits.join(ends, hits["entity"] == ends["a"]).select("query_id", F.col("b").alias("entity"), "score")
+    beside = hits.join(neighbours(edges, most), "entity").select("query_id", F.col("beside").alias("entity"), "score")
     return best(hits.unionByName(beside).join(chunks_of, "entity").select("query_id", "chunk_id", "score"))
 
 
+def packed(found: DataFrame, budgets: dict[str, int]) -> DataFrame:
+    """found (query_id, section, rank, text, tokens) as far as each section's budget of tokens goes, with the running sum in used.
+
+    A section ends before the first row that doesn't fit, so what is left is its best; sections without a budget leave."""
+    limit = F.coalesce(*(F.when(F.col("section") == k, F.lit(n)) for k, n in budgets.items()))
+    used = F.sum("tokens").over(W.partitionBy("query_id", "section").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return found.withColumn("used", used).where(F.col("used") <= limit)
+
+
+def context(kept: DataFrame, titles: dict[str, str]) -> DataFrame:
+    """query_id, context: what packed() kept of a question as one text, sections in the order of titles; bounded by the budgets."""
+    place = F.coalesce(*(F.when(F.col("section") == k, F.lit(i)) for i, k in enumerate(titles)))
+    title = F.coalesce(*(F.when(F.col("section") == k, F.lit(t)) for k, t in titles.items()))
+    sections = kept.groupBy("query_id", place.alias("place"), title.alias("title")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "title", "body"))), lambda x: F.concat(x["title"], F.lit("\n"), x["body"]))
+    return sections.groupBy("query_id").agg(F.array_join(parts, "\n\n").alias("context"))
+
+
 def global_(relation_hits: DataFrame, edges: DataFrame, chunks_of: DataFrame) -> DataFrame:
     """Relations (edge_id) by vector, then the entities at their ends, then those's chunks."""
     hits = relation_hits.select("query_id", F.col("vec_id").alias("edge_id"), "score").join(edges, "edge_id")

@@ -9,12 +9,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators import vectors as V
 from ..shared import shared_folder
 from .common import table
 
 K, THRESHOLD = 60, 0.2
+BUDGETS = {"entities": 12, "relations": 20, "texts": 1500}
+TITLES = {"entities": "Entities:", "relations": "Relations:", "texts": "Texts:"}
 
 
 def _search(spark, sf_dir, k=K, threshold=None, same=None):
@@ -79,6 +82,30 @@ def retrieval_mix(spark, sf_dir):
     return R.ranked(R.both(_local(spark, sf_dir), _global(spark, sf_dir), _naive(spark, sf_dir)), K)
 
 
+def _sections(spark, sf_dir):
+    """What was found for each question: entities by vector, the edges to those beside them, whole texts of documents."""
+    edges, _ = _graph(spark, sf_dir)
+    hits = _search(spark, sf_dir, 10, THRESHOLD)
+    entities = hits.select("query_id", F.lit("entities").alias("section"), "rank", F.concat(F.lit("entity "), "vec_id").alias("text"))
+    near = hits.join(R.neighbours(edges.withColumn("weight", F.col("edge_id") % 7 + 1.0), 2), F.col("vec_id") == F.col("entity"))
+    relations = near.select("query_id", F.lit("relations").alias("section"), (F.col("rank") * 10 + F.col("nth")).alias("rank"), F.concat_ws(" ", "entity", "beside", F.col("weight").cast("int")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    chunks = R.ranked(_naive(spark, sf_dir), K).join(docs, F.col("chunk_id") == F.col("doc_id")).select("query_id", F.lit("texts").alias("section"), "rank", "text")
+    found = entities.unionByName(relations).unionByName(chunks)
+    return found.withColumn("tokens", X.tokens("text"))
+
+
+def packed_context(spark, sf_dir):
+    """Entities, relations and whole texts as far as each section's budget goes."""
+    kept = R.packed(_sections(spark, sf_dir), BUDGETS)
+    return kept.select("query_id", "section", "rank", "tokens", "used", F.md5("text").alias("text_md5"))
+
+
+def context_prompts(spark, sf_dir):
+    """The same as one text for each question."""
+    return R.context(R.packed(_sections(spark, sf_dir), BUDGETS), TITLES).select("query_id", F.md5("context").alias("context_md5"))
+
+
 def retrieval_bypass(spark, sf_dir):
     """No retrieval: queries go on as they are."""
     return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
@@ -89,7 +116,7 @@ def rerank(spark, sf_dir):
     return R.rerank(_naive(spark, sf_dir), -F.abs(F.col("query_id") - F.col("chunk_id")).cast("double"), 5)
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_index_topk, vector_threshold, knn_per_label, retrieval_naive, retrieval_local, retrieval_global, retrieval_hybrid, retrieval_mix, retrieval_bypass, rerank)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_index_topk, vector_threshold, knn_per_label, retrieval_naive, retrieval_local, retrieval_global, retrieval_hybrid, retrieval_mix, retrieval_bypass, rerank, packed_context, context_prompts)}
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
 _ALL = f"""
@@ -116,6 +143,15 @@ def _ranked(rows: str) -> str:
     return f"with {_SETS}, f as (select query_id, chunk_id, max(score) as score from ({rows}) group by all) select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from f qualify rank <= {K}"
 
 
+_PACKED_SQL = f"""with {_SETS}, w as (select a, b, sum(weight) as weight from (select a, b, edge_id % 7 + 1.0 as weight from edges where a <> b union all select b, a, edge_id % 7 + 1.0 from edges where a <> b) group by a, b),
+d as (select a as b, count(*) as degree from w group by a), near as (select w.a, w.b, weight, row_number() over (partition by w.a order by weight desc, degree desc, w.b) as nth from w join d on w.b = d.b qualify nth <= 2),
+h as (select query_id, vec_id, rank from {_top(10, f'score >= {THRESHOLD}')}), t as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from naive qualify rank <= {K}),
+f as (select query_id, 'entities' as section, rank, 'entity ' || vec_id as text from h union all select query_id, 'relations', rank * 10 + nth, a || ' ' || b || ' ' || weight::int from h join near on vec_id = a
+  union all select query_id, 'texts', rank, coalesce(text, '') from t join documents on chunk_id = doc_id),
+n as (select *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::int as tokens from f),
+u as (select query_id, section, rank::int as rank, text, tokens, sum(tokens) over (partition by query_id, section order by rank)::bigint as used from n),
+kept as (select * from u where used <= case section {' '.join(f"when '{k}' then {n}" for k, n in BUDGETS.items())} end)"""
+_TITLE_SQL = "case section " + " ".join(f"when '{k}' then '{t}'" for k, t in TITLES.items()) + " end"
 SQL = {
     "vector_topk": f"with {_ALL} select * from {_top(K)}",
     "vector_index_topk": f"with {_ALL} select * from {_top(K)}",
@@ -128,4 +164,7 @@ SQL = {
     "retrieval_mix": _ranked("from loc union all from glo union all from naive"),
     "retrieval_bypass": "select vec_id as query_id from embeddings where vec_id % 100 = 0",
     "rerank": f"with {_SETS} select query_id, chunk_id, -abs(query_id - chunk_id)::double as score, row_number() over (partition by query_id order by abs(query_id - chunk_id), chunk_id)::int as rank from naive qualify rank <= 5",
+    "packed_context": f"{_PACKED_SQL} select query_id, section, rank, tokens, used, md5(text) as text_md5 from kept",
+    "context_prompts": f"""{_PACKED_SQL}, sec as (select query_id, {_TITLE_SQL} as title, string_agg(text, chr(10) order by rank) as body, case section when 'entities' then 0 when 'relations' then 1 else 2 end as place from kept group by query_id, section)
+        select query_id, md5(string_agg(title || chr(10) || body, chr(10) || chr(10) order by place)) as context_md5 from sec group by query_id""",
 }

@@ -105,30 +105,115 @@ def breaker_stream(stream: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(BreakerProcessor(), STATES, "Update", "None")
 
 
-def breaker_table(events: DataFrame) -> DataFrame:
-    """The same of a table. Each state depends on the one before, so a user's events are read in order by one task; they
-    stream through it one batch at a time, sorted by Spark, and only the breaker itself is held."""
-    rows = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_type") != "error").alias("ok"))
-    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").select("user_id", "at", "ok")
-
-    def run(batches):
-        user, b, done = None, None, []
-
-        def out():
-            cols = zip(*done, strict=True) if done else ([], [], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["user_id", "n_failures", "state", "n_rejected"])
-
+#: Events of a chunk, as aimed at.
+CHUNK_ROWS = 1 << 16
+_EXITS = "user_id long, part int, kind int, at long, first_at long, first_ok boolean, n long, failures int, state string, last long, rejected long"
+Exit = tuple[int, str, int | None, int]  # failures, state, time of the failure that opened it, calls rejected until then
+
+
+def chunk_exits(at: list[int], ok: list[bool], threshold: int, reset: int) -> list[tuple[int, int, Exit]]:
+    """What a chunk of one user's events in order makes of every state that it may be entered in: (kind, time, exit).
+
+    Kinds 0 to threshold - 1: closed after so many failures (of which the last is taken to be recent). Kind threshold: open,
+    with the first event that is let through at this time; states that let through the same event are one row, and so are
+    those that end alike. An exit closed without failures doesn't depend on older ones, so it holds no time. Found
+    backwards, from each event by what follows it."""
+    n = len(at)
+    through = np.searchsorted(np.array(at), np.array(at) + reset).tolist()  # by an open breaker whose last failure is this event
+    opened: list[Exit] = [(0, "", None, 0)] * n
+    after: list[list[Exit]] = [[] for _ in range(n + 1)]  # closed with so many failures before event i
+    after[n] = [(f, "closed", at[n - 1] if f else None, 0) for f in range(threshold)]
+    for i in range(n - 1, -1, -1):
+        j = through[i]
+        if j >= n:
+            opened[i] = (threshold, "open", at[i], n - 1 - i)
+        else:
+            f, state, last, rejected = after[j + 1][0] if ok[j] else opened[j]
+            opened[i] = (f, state, last, rejected + j - i - 1)
+        if ok[i]:
+            after[i] = [after[i + 1][0]] * threshold
+        else:
+            stale = i > 0 and at[i] - at[i - 1] >= reset
+            more = [1 if stale or not f else f + 1 for f in range(threshold)]
+            after[i] = [opened[i] if f >= threshold else after[i + 1][f] for f in more]
+    out = [(f, 0, x) for f, x in enumerate(after[0])]
+    rows: list[tuple[int, int, Exit]] = []
+    for j in range(n):
+        if not j or at[j] != at[j - 1]:
+            f, state, last, rejected = after[j + 1][0] if ok[j] else opened[j]
+            row = (threshold, at[j], (f, state, last, rejected + j))
+            if rows and rows[-1][2] == row[2]:
+                rows.pop()
+            rows.append(row)
+        if at[j] >= at[0] + reset:
+            break
+    return out + rows
+
+
+def breaker_table(events: DataFrame, threshold: int = THRESHOLD, reset: float = RESET_SECONDS) -> DataFrame:
+    """The same of a table; events without a time are left out. A user's events, however many, are dealt by time to chunks of bounded size; each task turns its
+    chunks into tables from entry to exit state, which one task a user reads in order: a few rows a chunk, and one for
+    each event of a chunk's first reset seconds at most, as an open breaker may let any of these through."""
+    rows = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_type") != "error").alias("ok")).where("at is not null")
+    parts = max(1, -(-rows.count() // CHUNK_ROWS))
+    rows = rows.repartitionByRange(parts, "user_id", "at", "event_id").sortWithinPartitions("user_id", "at", "event_id")
+    span = int(reset * 1e6)
+
+    def summed(batches):
+        def table(user, part, held):
+            at, ok = (np.concatenate(x).tolist() for x in zip(*held, strict=True))
+            found = chunk_exits(at, [bool(x) for x in ok], threshold, span)
+            cols = zip(*((user, part, kind, t, at[0], bool(ok[0]), len(at), *x) for kind, t, x in found), strict=True)
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _EXITS.split(", ")])
+
+        user, part, held = None, None, []
+        for batch in batches:
+            users = batch.column("user_id").to_pylist()
+            at, ok = batch.column("at").to_numpy(), batch.column("ok").fill_null(True).to_numpy(zero_copy_only=False)
+            cuts = [0, *(k for k in range(1, len(users)) if users[k] != users[k - 1]), len(users)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and users[a] != user:
+                    yield table(user, part, held)
+                    held = []
+                if b > a:
+                    user, part = users[a], batch.column("part")[a].as_py()
+                    held.append((at[a:b], ok[a:b]))
+        if held:
+            yield table(user, part, held)
+
+    tables = rows.withColumn("part", F.spark_partition_id()).select("user_id", "part", "at", "ok").mapInArrow(summed, _EXITS)
+    tables = tables.repartition("user_id").sortWithinPartitions("user_id", "part", "kind", "at")
+
+    def composed(batches):
+        def taken(now: Exit, chunk: list[dict]) -> Exit:
+            f, state, last, rejected = now
+            first = chunk[0]
+            if state == "closed":
+                old = f and last is not None and not first["first_ok"] and first["first_at"] - last >= span
+                row = chunk[0 if old else f]
+            else:
+                row = next((r for r in chunk[threshold:] if r["at"] >= last + span), None)
+                if row is None:
+                    return f, state, last, rejected + first["n"]
+            return row["failures"], row["state"], row["last"], rejected + row["rejected"]
+
+        start: Exit = (0, "closed", None, 0)
+        users, states, key, now, chunk = [], [], None, start, []
         for batch in batches:
-            for u, at, ok in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b is None or u != user:
-                    if b is not None:
-                        done.append((user, b.failures, b.state, b.rejected))
-                    user, b = u, Breaker()
-                b.call(at / 1e6, bool(ok))
-            yield out()
-            done = []
-        if b is not None:
-            done.append((user, b.failures, b.state, b.rejected))
-        yield out()
-
-    return rows.mapInArrow(run, "user_id long, n_failures int, state string, n_rejected long")
+            for r in batch.to_pylist():
+                if chunk and (r["user_id"], r["part"]) != key:
+                    now = taken(now, chunk)
+                    chunk = []
+                    if r["user_id"] != key[0]:
+                        users.append(key[0])
+                        states.append(now)
+                        now = start
+                key = r["user_id"], r["part"]
+                chunk.append(r)
+        if chunk:
+            users.append(key[0])
+            states.append(taken(now, chunk))
+        yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), *(pa.array([s[k] for s in states], t) for k, t in ((0, pa.int32()), (1, pa.string()), (3, pa.int64())))], names=["user_id", "n_failures", "state", "n_rejected"])
+
+    return tables.mapInArrow(composed, "user_id long, n_failures int, state string, n_rejected long")

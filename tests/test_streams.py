@@ -1,4 +1,6 @@
 import json
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -20,6 +22,26 @@ def test_breaker():
     assert (b.failures, b.state) == (1, "closed")
 
 
+def test_chunks_composed_are_the_breaker(spark, monkeypatch):
+    """Dense and sparse users, one of most events, in chunks of few events: what one breaker makes of them in order."""
+    rng = random.Random(5)
+    rows, at = [], dict.fromkeys(range(6), 0)
+    for k in range(3000):
+        u = 0 if rng.random() < 0.7 else rng.randrange(6)
+        at[u] += rng.choice((0, 1, 3, 900, 4000)) if u else rng.choice((0, 20, 400, 1200))
+        rows.append((k, datetime(2024, 1, 1) + timedelta(seconds=at[u]), u, "error" if rng.random() < (0.6 if u % 2 else 0.35) else "view"))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").repartition(3)
+    for threshold, reset in ((3, 3600.0), (1, 60.0), (2, 10_000.0)):
+        want = {}
+        for k, ts, u, kind in sorted(rows, key=lambda r: (r[1], r[0])):
+            want.setdefault(u, Breaker(threshold, reset)).call(ts.timestamp(), kind != "error")
+        want = {u: (b.failures, b.state, b.rejected) for u, b in want.items()}
+        for size in (streams.CHUNK_ROWS, 150):
+            monkeypatch.setattr(streams, "CHUNK_ROWS", size)
+            assert {r.user_id: (r.n_failures, r.state, r.n_rejected) for r in streams.breaker_table(df, threshold, reset).collect()} == want
+        monkeypatch.undo()
+
+
 def test_breaker_table_and_stream_agree(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     want = {}

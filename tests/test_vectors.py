@@ -77,3 +77,24 @@ def test_the_running_threshold_keeps_the_best():
     for q in range(40):
         want = sorted(zip(-s[q], ids, strict=True))[:7]
         assert list(zip(-score[row == q], got[row == q], strict=True)) == want
+
+
+def test_hubs_go_on_to_their_strongest_neighbours(spark):
+    from blockloom.operators import retrieval as R
+
+    edges = [(0, k, float(k % 50)) for k in range(1, 2000)] + [(1999, 5, 2.0), (5, 0, 100.0), (7, 7, 9.0)]
+    df = spark.createDataFrame(edges, "a long, b long, weight double").repartition(4)
+    got = {}
+    for r in R.neighbours(df, 3).collect():
+        got.setdefault(r.entity, []).append((r.nth, r.beside, r.weight))
+    assert sorted(got[0]) == [(1, 5, 105.0), (2, 1999, 49.0), (3, 49, 49.0)] and sorted(got[5]) == [(1, 0, 105.0), (2, 1999, 2.0)] and 7 in got and all(len(x) <= 3 for x in got.values())
+
+
+def test_sections_end_before_what_doesnt_fit(spark):
+    from blockloom.operators import retrieval as R
+
+    rows = [(1, "a", k, f"t{k}", n) for k, n in enumerate((3, 4, 5, 1))] + [(1, "b", 0, "long", 99), (2, "a", 0, "u", 0), (1, "c", 0, "x", 1)]
+    df = spark.createDataFrame(rows, "query_id int, section string, rank int, text string, tokens int")
+    kept = R.packed(df, {"a": 8, "b": 10})
+    assert sorted((r.query_id, r.section, r["rank"], r.used) for r in kept.collect()) == [(1, "a", 0, 3), (1, "a", 1, 7), (2, "a", 0, 0)]
+    assert {r.query_id: r.context for r in R.context(R.packed(df, {"a": 8, "c": 5}), {"c": "C:", "a": "A:"}).collect()} == {1: "C:\nx\n\nA:\nt0\nt1", 2: "A:\nu"}
