@@ -1,4 +1,11 @@
-"""From documents to training shards: reject, deduplicate, decontaminate, mix, shard."""
+"""From documents to training shards: reject, deduplicate, decontaminate, mix, shard.
+
+Null texts are empty texts: the classifier scores them like any other, equal ones are one group, they hold no item, and they mix and
+shard by their empty text. Null ids are ids of their own: rows with null ids train nothing, come after other ids when a group's row
+is chosen, and rows that agree in id and text count once in a group. A null source is a source. Of an empty table nothing is left, and every stage gives
+its columns; without labels, or with one label only, all rows score that label's share, so all stay or all go; without items nothing
+is contaminated. Further columns, whatever their names, stay with their rows, except that the last stage's five replace columns of their names.
+"""
 
 from __future__ import annotations
 

@@ -48,7 +48,7 @@ def test_anchors_of_most_fingerprints(spark, monkeypatch):
     want = rows(components(simhash.links(df)))
     monkeypatch.setattr(simhash, "TILE", 64)
     monkeypatch.setattr(simhash, "PARTS", 8)
-    assert rows(components(simhash.links(df))) == want and len(want) >= 600
+    assert rows(components(simhash.links(df))) == want and len(want) >= 300
 
 
 def test_groups_dealt_by_bytes(spark, monkeypatch):

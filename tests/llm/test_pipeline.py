@@ -83,3 +83,16 @@ def test_columns_named_like_internal_ones_are_kept(spark):
         rows = got.collect()
         assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
         assert Counter(tuple(r[c] for c in docs.columns) for r in rows) == Counter(tuple(r[c] for c in docs.columns) for r in stage(spark, docs, SF).collect()), name
+
+
+def test_every_stage_on_empty_and_odd_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    empty, odd = docs.limit(0), spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (1, "", "en", None, 0), (1, None, "en", "a", 0), (2, "word", None, "a", 4)], docs.schema)
+    for name, stage in P.STAGES:
+        got = stage(spark, empty, SF)
+        assert got.count() == 0 and got.columns[:5] == docs.columns, name
+        rows = [tuple(r)[:5] for r in stage(spark, odd, SF).collect()]
+        assert set(rows) <= {tuple(r) for r in odd.collect()}, name
+    # equal texts are one group, a null text being an empty one, and ids come before nulls
+    assert sorted((r.doc_id, r.text or "") for r in P.one_of_each_group(spark, odd, SF).collect()) == [(1, ""), (2, "word")]
+    assert P.without_test_items(spark, odd, SF).count() == 5 and P.sharded(spark, odd, SF).count() == 5
