@@ -20,6 +20,7 @@ TextModel = Callable[[list[str]], list[str]]
 VectorModel = Callable[[list[str]], list[list[float]]]
 #: Requests hold system (text), parts (type "text" or "image", text, image: a number) and images (base64 or paths).
 VisionModel = Callable[[list[dict]], list[str]]
+PairModel = Callable[[list[tuple[str, str]]], list[float]]
 Encoder = Callable[[list[str]], list[list[int]]]
 #: For each text where its tokens start and end, in code points and in order.
 OffsetEncoder = Callable[[list[str]], list[list[tuple[int, int]]]]
@@ -114,6 +115,31 @@ def seen(system: Column, parts: Column, images: Column, load: Callable[[], Visio
     return run(system, parts, images)
 
 
+def pair_scores(left: Column, right: Column, load: Callable[[], PairModel]) -> Column:
+    """A model's score of each pair; null for a pair with a null, and for one that the model fails on alone."""
+    held: list = []
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        if not held:
+            held.append(load())
+        rows = list(zip(a.to_pylist(), b.to_pylist(), strict=True))
+        got = _called(held[0], [None if None in r else r for r in rows])
+        return pa.array([None if g["value"] is None else float(g["value"]) for g in got], pa.float64())
+
+    return run(left, right)
+
+
+def stub_overlap() -> PairModel:
+    """The share of a question's words that its text has, for tests."""
+
+    def one(question: str, text: str) -> float:
+        q, t = ({w for w in re.split(r"[ \t\r\n]+", x) if w} for x in (question, text))
+        return round(len(q & t) / max(1, len(q)), 6)
+
+    return lambda pairs: [one(q, t) for q, t in pairs]
+
+
 def token_counts(text: Column, load: Callable[[], Encoder]) -> Column:
     """How many tokens an encoder gives; null for null."""
     held: list = []

@@ -14,14 +14,16 @@ from ..functions.text import basename, strip
 SUFFIX = "\n\nPlease provide a comprehensive answer based on the user query and the provided multimodal content information."
 SYSTEM = "You are a helpful assistant that can analyze both text and image content to provide comprehensive answers."
 CLOSING = "\n\nUser Question: {}\n\nPlease answer based on the context and images provided."
+#: Options of a parser that bear on what it gives.
+PARSE_OPTIONS = ("lang", "device", "start_page", "end_page", "formula", "table", "backend", "source")
 KEPT_OPTIONS = ("stream", "response_type", "top_k", "max_tokens", "temperature", "system_prompt")
 LONG = 200
 _IMAGE = re.compile(r"Image Path:\s*([^\r\n]*?\.(?:jpg|jpeg|png|gif|bmp|webp|tiff|tif))")
 
 
-def options(x: Column | str) -> Column:
-    """A map's entries that bear on the answer."""
-    return F.map_filter(x, lambda k, v: k.isin(*KEPT_OPTIONS))
+def options(x: Column | str, kept: tuple[str, ...] = KEPT_OPTIONS) -> Column:
+    """A map's entries that bear on the answer, or are of other kept names."""
+    return F.map_filter(x, lambda k, v: k.isin(*kept))
 
 
 def normal_item(item: Column) -> Column:
@@ -40,8 +42,13 @@ def cache_key(query: Column, items: Column, mode: Column, kept: Column | None =
     return F.concat(F.lit("multimodal_query:"), F.md5(F.to_json(F.struct(*parts))))
 
 
-def parse_key(path: Column, mtime: Column, parser: Column, method: Column) -> Column:
-    return F.md5(F.concat_ws("|", path, mtime.cast("string"), parser, method))
+def parse_key(path: Column, mtime: Column, parser: Column, method: Column, given: Column | None = None) -> Column:
+    """A key of what a file's parse depends on. given: a map of the parser's options, of which PARSE_OPTIONS count, in any order; without any of these the key is as without options."""
+    parts = [path, mtime.cast("string"), parser, method]
+    if given is not None:
+        kept = F.array_sort(F.map_entries(options(given, PARSE_OPTIONS)))
+        parts.append(F.when(F.size(kept) > 0, F.to_json(kept)))
+    return F.md5(F.concat_ws("|", *parts))
 
 
 def described_image(path: Column, captions: Column, footnotes: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import models
 from ..joins import spread_join
 from .vectors import top_k  # noqa: F401
 
@@ -86,3 +89,15 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 def rerank(found: DataFrame, score: Column, k: int) -> DataFrame:
     """The k best by another score of columns of found."""
     return ranked(found.drop("rank").withColumn("score", score), k)
+
+
+def reranked(found: DataFrame, questions: DataFrame, texts: DataFrame, load: Callable, k: int, of: int = 100) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best of a question's first `of` chunks by a model over question and text.
+
+    questions: query_id, question. texts: chunk_id, content. load: a model from pairs of both to scores. A pair that the
+    model fails on, or without a text, has no score and comes last, in the old order."""
+    first = found.where(F.col("rank") <= of) if "rank" in found.columns else ranked(found, of)
+    met = first.join(questions.select("query_id", "question"), "query_id").join(texts.select("chunk_id", "content"), "chunk_id", "left")
+    scored = met.select("query_id", "chunk_id", F.col("rank").alias("before"), models.pair_scores(F.col("question"), F.col("content"), load).alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "before", "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("before")

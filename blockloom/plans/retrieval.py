@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import models
 from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators import vectors as V
@@ -95,6 +96,13 @@ def _sections(spark, sf_dir):
     return found.withColumn("tokens", X.tokens("text"))
 
 
+def model_rerank(spark, sf_dir):
+    """Whole texts found for a question, ranked anew by a model over both; a question's text is the document of its number."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"))
+    questions = docs.select(F.col("chunk_id").alias("query_id"), F.col("content").alias("question"))
+    return R.reranked(R.ranked(_naive(spark, sf_dir), K), questions, docs, models.stub_overlap, 10)
+
+
 def packed_context(spark, sf_dir):
     """Entities, relations and whole texts as far as each section's budget goes."""
     kept = R.packed(_sections(spark, sf_dir), BUDGETS)
@@ -116,7 +124,7 @@ def rerank(spark, sf_dir):
     return R.rerank(_naive(spark, sf_dir), -F.abs(F.col("query_id") - F.col("chunk_id")).cast("double"), 5)
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_index_topk, vector_threshold, knn_per_label, retrieval_naive, retrieval_local, retrieval_global, retrieval_hybrid, retrieval_mix, retrieval_bypass, rerank, packed_context, context_prompts)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_index_topk, vector_threshold, knn_per_label, retrieval_naive, retrieval_local, retrieval_global, retrieval_hybrid, retrieval_mix, retrieval_bypass, rerank, model_rerank, packed_context, context_prompts)}
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
 _ALL = f"""
@@ -164,6 +172,10 @@ SQL = {
     "retrieval_mix": _ranked("from loc union all from glo union all from naive"),
     "retrieval_bypass": "select vec_id as query_id from embeddings where vec_id % 100 = 0",
     "rerank": f"with {_SETS} select query_id, chunk_id, -abs(query_id - chunk_id)::double as score, row_number() over (partition by query_id order by abs(query_id - chunk_id), chunk_id)::int as rank from naive qualify rank <= 5",
+    "model_rerank": f"""with {_SETS}, w as (select doc_id, list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\r\\n]+'), lambda x: x <> '')) as w from documents),
+        o as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as before from naive qualify before <= {K}),
+        m as (select o.*, case when t.doc_id is not null then round(len(list_intersect(q.w, t.w)) / greatest(1, len(q.w))::double, 6) end as score from o join w q on q.doc_id = query_id left join w t on t.doc_id = chunk_id)
+        select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc nulls last, before, chunk_id)::int as rank from m qualify rank <= 10""",
     "packed_context": f"{_PACKED_SQL} select query_id, section, rank, tokens, used, md5(text) as text_md5 from kept",
     "context_prompts": f"""{_PACKED_SQL}, sec as (select query_id, {_TITLE_SQL} as title, string_agg(text, chr(10) order by rank) as body, case section when 'entities' then 0 when 'relations' then 1 else 2 end as place from kept group by query_id, section)
         select query_id, md5(string_agg(title || chr(10) || body, chr(10) || chr(10) order by place)) as context_md5 from sec group by query_id""",

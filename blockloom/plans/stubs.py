@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import models
 from ..operators import extraction
 
 
@@ -70,3 +71,23 @@ def record_writer():
 def short_sums():
     """A model that answers with the first eight digits of the question's md5."""
     return lambda prompts: ["sum " + md5(p)[:8] for p in prompts]
+
+
+def record_or_entity():
+    """The one of the stubs above that a question is for: records of a text, a sum of descriptions, or an item's JSON."""
+    records, sums, items = record_writer(), short_sums(), models.stub_text()
+
+    def one(prompt: str) -> str:
+        model = records if prompt.startswith(extraction.ASK[:20]) else sums if prompt.startswith("Merge these") else items
+        return model([prompt])[0]
+
+    return lambda prompts: [one(p) for p in prompts]
+
+
+def vectors_of_16():
+    return models.stub_vectors(16)()
+
+
+def fair_judge():
+    """A judge that finds every answer right."""
+    return lambda prompts: ['{"accuracy": 1, "relevance": 0.5}' for _ in prompts]

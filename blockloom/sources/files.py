@@ -169,15 +169,16 @@ def builtin_parsers() -> dict[str, Parser]:
     return {name: parser_of(read) for name, read in builtin_readers().items()}
 
 
-def dispatch(files: DataFrame, registry: Registry, parser: Column | None = None, cache: DataFrame | None = None, method: str = "auto") -> DataFrame:
+def dispatch(files: DataFrame, registry: Registry, parser: Column | None = None, cache: DataFrame | None = None, method: str = "auto", options: dict[str, str] | None = None) -> DataFrame:
     """path, parser, cache_key, blocks, error, cached for every file (path, modificationTime, content).
 
     parser: the name of each file's parser, by default the kind that its extension routes to. Files whose parser isn't
-    registered have an error. cache: earlier rows by cache_key (path, time, parser and method); a hit with blocks isn't parsed again."""
+    registered have an error. options: the parsers' own, which the key holds (queries.PARSE_OPTIONS). cache: earlier rows by cache_key (path, time, parser, method and options); a hit with blocks isn't parsed again."""
     from ..operators.queries import parse_key
 
+    given = F.create_map(*(F.lit(x) for k, v in options.items() for x in (k, str(v)))) if options else None
     named = files.withColumn("parser", F.lower(F.trim(route("path") if parser is None else parser)))
-    named = named.withColumn("cache_key", parse_key(F.col("path"), F.unix_micros("modificationTime"), F.col("parser"), F.lit(method)))
+    named = named.withColumn("cache_key", parse_key(F.col("path"), F.unix_micros("modificationTime"), F.col("parser"), F.lit(method), given))
     out, todo = None, named
     if cache is not None:
         known = cache.where("blocks is not null").select("cache_key", "blocks").dropDuplicates(["cache_key"])

@@ -1,3 +1,4 @@
+import json
 import subprocess
 import sys
 
@@ -71,3 +72,26 @@ def test_command_line(tmp_path):
     run = lambda *a: subprocess.run([sys.executable, "-m", "blockloom", *a], capture_output=True, text=True, timeout=120)
     assert "page_context" in run().stdout.split() and run("nothing").returncode == 2
     assert run("supported_files", "/root/testdata/sf0.001", str(tmp_path / "out")).returncode == 0 and (tmp_path / "out/_SUCCESS").exists()
+
+
+def test_a_folder_from_end_to_end(tmp_path):
+    """Ingest, answers and evaluation by the command line, with models for tests."""
+    run = lambda *a: subprocess.run([sys.executable, "-m", "blockloom", *map(str, a)], capture_output=True, text=True, timeout=300)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("# Cats\n\ncats purr loudly. They sleep\n\ndogs bark")
+    (tmp_path / "bank.jsonl").write_text("\n".join(json.dumps({"question": q, "answer": "x"}) for q in ("why do cats purr", "why do cats purr", " ", "what do dogs do")))
+    (tmp_path / "results").mkdir()
+    (tmp_path / "results/d.json").write_text(json.dumps([{"question": "q", "expected_answer": "e", "naive_result": {"success": True, "result": "a"}}]))
+    got = run("ingest", tmp_path / "in", tmp_path / "out", "blockloom.plans.stubs:record_or_entity")
+    assert got.returncode == 0, got.stderr[-2000:]
+    import duckdb
+
+    rows = lambda x: duckdb.sql(f"select * from '{tmp_path}/out/{x}/*.parquet'").fetchall()
+    assert len(rows("chunks")) == 3 and rows("nodes") and rows("edges") and len(rows("files")) == 1
+    got = run("answer", tmp_path / "bank.jsonl", tmp_path / "answers", "blockloom.functions.models:stub_text", tmp_path / "out/chunks", "blockloom.plans.stubs:vectors_of_16", 16)
+    assert got.returncode == 0, got.stderr[-2000:]
+    answers = duckdb.sql(f"select * from read_json('{tmp_path}/answers/answers/*.json')").fetchall()
+    assert len(answers) == 2
+    assert run("evaluate", tmp_path / "results", tmp_path / "judged", "blockloom.plans.stubs:fair_judge").returncode == 0
+    assert duckdb.sql(f"select accuracy from read_json('{tmp_path}/judged/results/*.json')").fetchall() == [(1,)]
+    assert run("evaluate", tmp_path).returncode == 2

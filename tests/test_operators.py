@@ -332,3 +332,29 @@ def test_config(spark):
     finally:
         spark.conf.unset("spark.blockloom.enable_image")
         spark.conf.unset("spark.blockloom.context_filter_types")
+
+
+def test_parse_keys_hold_the_options_that_count(spark):
+    s = "o map<string,string>"
+    rows = [({"lang": "en", "table": "1"},), ({"table": "1", "lang": "en", "other": "x"},), ({"lang": "de"},), ({"other": "x"},), (None,)]
+    key = lambda *o: queries.parse_key(F.lit("p"), F.lit(1), F.lit("m"), F.lit("auto"), *o)
+    a, b, c, d, e = [r.k for r in spark.createDataFrame(rows, s).select(key(F.col("o")).alias("k")).collect()]
+    assert a == b != c and d == e == spark.range(1).select(key().alias("k")).first().k != a
+
+
+def test_reranking_by_a_model(spark):
+    found = spark.createDataFrame([(1, k, 1.0 - k / 10, k + 1) for k in range(5)], "query_id int, chunk_id int, score double, rank int")
+    texts = spark.createDataFrame([(0, "no"), (1, "cats purr"), (2, "bad"), (3, "cats")], "chunk_id int, content string")
+
+    def load():
+        def run(pairs):
+            if any(t == "bad" for _, t in pairs):
+                raise OSError("down")
+            return [float(sum(w in t for w in q.split())) for q, t in pairs]
+
+        return run
+
+    q = spark.createDataFrame([(1, "cats purr")], "query_id int, question string")
+    got = [(r.chunk_id, r.score, r["rank"]) for r in retrieval.reranked(found, q, texts, load, 4).orderBy("rank").collect()]
+    assert got == [(1, 2.0, 1), (3, 1.0, 2), (0, 0.0, 3), (2, None, 4)]
+    assert [r.chunk_id for r in retrieval.reranked(found, q, texts, load, 4, of=2).orderBy("rank").collect()] == [1, 0]
