@@ -132,7 +132,7 @@ def links(sketches: DataFrame) -> DataFrame:
     # rows of the hottest bands, PARTS at most, leave before the others are shuffled
     calm = members.join(F.broadcast(_hottest(hot, total)), "band", "left_anti") if some else members
     calm = calm.join(shared.where(F.col("n") <= TILE).select("band"), "band").join(sketches.select("fp", "sketch"), "fp")
-    calm = calm.repartition("band").sortWithinPartitions("band").select("band", "fp", "sketch")
+    calm = by_band(calm).select("band", "fp", "sketch")
 
     def run(batches):
         from .embeddings import _works
@@ -148,6 +148,12 @@ def links(sketches: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def by_band(rows: DataFrame) -> DataFrame:
+    """Rows with each band in one task, sorted by it. Dealt by a hash of the band: a shuffle by the band itself would be taken for
+    one with the join by band before it, whose pieces the adaptive planner may then read where they lie, each band in many tasks."""
+    return rows.repartition(F.xxhash64("band")).sortWithinPartitions("band")
+
+
 def _hottest(hot: DataFrame, total: int) -> DataFrame:
     """The bands that hold more than their share of all members: PARTS at most."""
     return hot.where(F.col("n") > max(TILE, total // PARTS)).select("band")
@@ -167,7 +173,7 @@ def confirmed(groups: DataFrame, sets: DataFrame, widths: DataFrame) -> DataFram
         sets = durable(sets)
         calm = members.join(F.broadcast(_hottest(hot, total)), "band", "left_anti").join(hot.select("band"), "band", "left_anti")
     calm = calm.join(sets, "fp")
-    calm = calm.repartition("band").sortWithinPartitions("band").select("band", "fp", "sketch", "hashes")
+    calm = by_band(calm).select("band", "fp", "sketch", "hashes")
 
     def run(batches):
         from .embeddings import _works

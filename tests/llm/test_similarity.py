@@ -115,3 +115,18 @@ def test_each_set_of_shingles_of_a_fingerprint_has_its_links(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     root = {r.doc_id: r.root for r in simhash.grouped(df, words=5, wide=True).collect()}
     assert root[1] == root[2] == root[3] == root[4] != root[5]
+
+
+def test_bands_stay_together_under_the_adaptive_planner(spark):
+    """Joins that turn into broadcasts at run time must not spread a band over tasks: all of many pairs are found."""
+    rng, rows = random.Random(3), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    for k in range(900):
+        base = [word() for _ in range(110)]
+        rows.append((2 * k, " ".join(base)))
+        if k % 3 == 0:
+            base[50] = word()
+            rows.append((2 * k + 1, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    root = {r.doc_id: r.root for r in simhash.grouped(df, words=5, wide=True).collect()}
+    assert all((root[i] == root[i - 1]) for i in root if i % 2) and len(set(root.values())) == 900
