@@ -206,19 +206,21 @@ def table_upserts(spark, sf_dir):
 
 
 def incremental_files(spark, sf_dir):
-    """Pages as files that a stream lists three times; those that changed between are read again and replace their rows."""
+    """Pages as files that a stream lists three times; those that changed between are read again and replace their rows.
+
+    Pages may share an address, or have none, so each is a file of its own: its path ends in its number until the rows are read."""
     from ..streaming import incremental
 
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat_ws("#", "url", "page_id").alias("path"), F.coalesce("html", F.lit("")).alias("html"))
     folder = f"{shared_folder(spark)}/listing-{uuid.uuid4()}"
     kept = KeyedTable(spark, f"{folder}/table", ["path"], 16)
-    read = lambda changed: changed.join(pages, "path").select("path", "mtime", "page_id", F.posexplode(F.split("html", "\n")).alias("pos", "line"))
+    read = lambda changed: changed.join(pages, "path").select("path", "mtime", "page_id", "url", F.posexplode(F.split("html", "\n")).alias("pos", "line"))
     for n, changed in ((1, F.lit(True)), (2, F.col("page_id") % 3 == 0), (3, F.col("page_id") % 5 == 0)):
         before = F.when((F.lit(n) > 2) & (F.col("page_id") % 3 == 0), 2).otherwise(1)
         pages.select("path", F.when(changed, n).otherwise(before).cast("long").alias("mtime")).write.parquet(f"{folder}/in/{n}")
         stream = spark.readStream.schema("path string, mtime long").option("recursiveFileLookup", "true").parquet(f"{folder}/in")
         incremental.ingest_changes(stream, read, kept, f"{folder}/state").awaitTermination()
-    return kept.read()
+    return kept.read().select(F.col("url").alias("path"), "mtime", "page_id", "pos", "line")
 
 
 QUERIES = {
