@@ -10,7 +10,7 @@ import json
 import random
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -69,6 +69,9 @@ def guarded(call: Callable, breaker, clock: Callable = time.monotonic) -> Callab
     return run
 
 
+#: Characters of texts whose windows Python holds at once, unless one text has more.
+PIECE = 1 << 18
+
 _ANSWER = pa.struct([("value", pa.string()), ("error", pa.string())])
 
 
@@ -188,20 +191,25 @@ def windows_of(offsets: list[tuple[int, int]], length: int, size: int, overlap:
 
 def token_windows(text: Column, size: int, overlap: int, load: Callable[[], OffsetEncoder]) -> Column:
     """array<struct<start, tokens, fresh, content>> of a text, by one encoding of it; null for null, one empty window for an
-    empty text. Contents from fresh on, joined, are the text."""
+    empty text. Contents from fresh on, joined, are the text. Windows leave Python after each PIECE of text, so a batch's are never held together."""
     held: list = []
     item = pa.list_(pa.struct([("start", pa.int32()), ("tokens", pa.int32()), ("fresh", pa.int32()), ("content", pa.string())]))
 
     @F.arrow_udf("array<struct<start:int,tokens:int,fresh:int,content:string>>")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not held:
             held.append(load())
-        rows = texts.to_pylist()
-        out: list = [None] * len(rows)
-        for k, t in enumerate(rows):
-            if t is not None:
-                out[k] = [{"start": a, "tokens": n, "fresh": f, "content": t[a:b]} for a, b, n, f in windows_of(held[0]([t])[0], len(t), size, overlap)]
-        return pa.array(out, item)
+        for texts in batches:
+            out: list = []
+            held_now = 0
+            for x in texts:
+                t = x.as_py()
+                out.append(None if t is None else [{"start": a, "tokens": n, "fresh": f, "content": t[a:b]} for a, b, n, f in windows_of(held[0]([t])[0], len(t), size, overlap)])
+                held_now += len(t or "")
+                if held_now >= PIECE:
+                    yield pa.array(out, item)
+                    out, held_now = [], 0
+            yield pa.array(out, item)
 
     return run(text)
 

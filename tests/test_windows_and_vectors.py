@@ -101,3 +101,24 @@ def test_only_new_contents_are_embedded(spark, tmp_path):
 def test_packs():
     rows = [(str(k), "t", n) for k, n in enumerate((5, 5, 1, 30, 2, 2, 2, 2))]
     assert [[h for h, _ in p] for p in embedding.packs(iter(rows), 10, 3)] == [["0", "1"], ["2"], ["3"], ["4", "5", "6"], ["7"]]
+
+
+def test_windows_leave_python_before_a_batch_ends(spark, tmp_path):
+    """A batch of 300 texts with 2,600 windows each: while it is read, Python's memory grows by less than its windows take."""
+
+    def load():
+        import resource
+
+        def run(given):
+            with open(f"{tmp_path}/peaks", "a") as f:
+                f.write(f"{resource.getrusage(resource.RUSAGE_SELF).ru_maxrss}\n")
+            return models.stub_offsets()(given)
+
+        return run
+
+    text = "word " * 13_000
+    df = spark.range(300).coalesce(1).select("id", F.when(F.col("id") != 7, F.concat(F.lit(text), F.lit(" "))).alias("t"))
+    got = df.select("id", F.explode(F.array(models.token_windows(F.col("t"), 10, 5, load))).alias("w")).select("id", F.size("w").alias("n"))
+    assert [(r.id, r.n) for r in got.orderBy("id").collect()] == [(k, None if k == 7 else 2599) for k in range(300)]
+    peaks = [int(x) for x in open(f"{tmp_path}/peaks").read().split()]
+    assert max(peaks[20:]) - peaks[19] < 100 << 10
