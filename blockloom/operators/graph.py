@@ -47,8 +47,10 @@ def entity_rows(chunks: DataFrame) -> DataFrame:
 
 
 def belongs_to(found: DataFrame, modal: DataFrame) -> DataFrame:
-    """Edges from each entity found in a chunk (chunk_id, entity_name) to the entity that the chunk is about (chunk_id, modal_entity_name); none to itself."""
-    met = found.join(modal, "chunk_id").where(F.col("entity_name") != F.col("modal_entity_name"))
+    """Edges from each entity found in a chunk (chunk_id, entity_name) to the entity that the chunk is about (chunk_id, modal_entity_name); none to itself.
+
+    What chunks are about, a row each, is hashed, so that a task sorts neither side."""
+    met = found.join(modal.hint("shuffle_hash"), "chunk_id").where(F.col("entity_name") != F.col("modal_entity_name"))
     src, tgt = F.col("entity_name"), F.col("modal_entity_name")
     words = F.lit("belongs_to,part_of,contained_in")
     described = F.concat(F.lit("Entity "), src, F.lit(" belongs to "), tgt)
@@ -82,11 +84,14 @@ def node_values(nodes: DataFrame) -> DataFrame:
 
 
 def edge_values(edges: DataFrame) -> DataFrame:
-    """a, b, field (description, keyword or source_id), value: all that was said of each pair of names; keywords apart."""
+    """a, b, field (description, keyword or source_id), value: all that was said of each pair of names; keywords apart.
+
+    Each field is made distinct in tasks of its own, and lists of keywords before they are taken apart, so that a task holds one field's values."""
     pair = edges.withColumns({"a": F.least("src_id", "tgt_id"), "b": F.greatest("src_id", "tgt_id")})
     pair = pair if "description" in pair.columns else pair.withColumn("description", F.lit(None).cast("string"))
-    words = pair.select("a", "b", F.explode(F.split(F.coalesce("keywords", F.lit("")), ",")).alias("keyword"))
-    return listed(pair, ["a", "b"], "description", "source_id").unionByName(listed(words, ["a", "b"], "keyword"))
+    lists = pair.select("a", "b", F.coalesce("keywords", F.lit("")).alias("keywords")).distinct()
+    words = lists.select("a", "b", F.explode(F.split("keywords", ",")).alias("keyword"))
+    return listed(pair, ["a", "b"], "description").unionByName(listed(pair, ["a", "b"], "source_id")).unionByName(listed(words, ["a", "b"], "keyword"))
 
 
 def _counts(values: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
