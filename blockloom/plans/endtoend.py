@@ -16,6 +16,8 @@ from .common import BLOCKS, blocks, docs, prompt_sql, strip_sql, table, template
 from .context import FILLED, context_sql
 from .ingest import HTML_SQL
 
+FOLDERS = 1_024
+
 
 def multimodal_pipeline(spark, sf_dir):
     """Ingest from end to end: all chunks."""
@@ -57,9 +59,11 @@ def dispatched_files(spark, sf_dir):
 def parser_source(spark, sf_dir):
     """Pages written as files and read by the library's data source, whose listing the filter on path reaches."""
     folder = f"{shared_folder(spark)}/pages-{uuid.uuid4()}"
-    table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value")).repartition("page_id").write.partitionBy("page_id").option("compression", "none").text(folder)
+    # directories of hashes, so that there are few and none is long
+    at = F.format_string("%03x/page_id=%s.txt", F.pmod(F.xxhash64("page_id"), F.lit(FOLDERS)), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    files.written(table(spark, sf_dir, "pages").select(at.alias("path"), F.coalesce("html", F.lit("")).alias("content")), folder)
     rows = datasource.load(spark, folder, parser="html").where("path like '%.txt'")
-    return rows.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "pos", "type", "text_level", "text")
+    return rows.select(F.regexp_extract("path", "page_id=(-?[0-9]+)", 1).try_cast("long").alias("page_id"), "pos", "type", "text_level", "text")
 
 
 def vision_answers(spark, sf_dir):

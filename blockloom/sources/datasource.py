@@ -3,18 +3,21 @@
     spark.dataSource.register(source_of({"own": read}))          # read: from a file's bytes and path to its blocks
     spark.read.format("blockloom").option("parser", "own").load(folder).where("path like ...")
 
-Options: parser (a registered name; by default the kind that a file's extension routes to), partitionBytes, recursive. The
-driver lists the folder and packs files into partitions by bytes; filters on path and mtime are applied to the listing,
-so what they exclude is never opened. Executors read and parse file by file. A file that can't be parsed is one row with
-its error. The parser "output" reads what an external parser left: for each document its content list is looked for by
+Options: parser (a registered name; by default the kind that a file's extension routes to), partitionBytes, maxPartitions,
+recursive. The driver lists the folder, a directory at a time, and packs files into partitions by bytes; filters on path and
+mtime are applied to the listing, so what they exclude is never opened. A partition's files are kept compressed, and there
+are maxPartitions at most: beyond, partitions take more bytes. Executors read and parse file by file. A file that can't be
+parsed is one row with its error. The parser "output" reads what an external parser left: for each document its content list is looked for by
 the document's stem, and images' paths are made absolute where they lie within the folder of that list."""
 
 from __future__ import annotations
 
 import json
+import pickle
 import posixpath
 import re
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -26,6 +29,7 @@ from ..config import HTML, IMAGE, OFFICE, PDF, TEXT
 Read = Callable[[bytes, str], list[dict]]
 SCHEMA = "path string, mtime timestamp, parser string, pos int, type string, text_level int, text string, img_path string, captions array<string>, table_body string, page_idx int, error string"
 PARTITION_BYTES, OPEN_BYTES = 32 << 20, 1 << 20  # a file costs OPEN_BYTES at least
+MAX_PARTITIONS = 4_096
 #: Where a parser leaves the list of a document, below its output folder; {} is the document's stem.
 LISTS = ("{0}/{1}/{0}_content_list.json", "{0}/{0}_content_list.json", "{0}_content_list.json")
 METHODS = ("auto", "ocr", "txt", "vlm", "hybrid_auto")
@@ -84,22 +88,54 @@ def listed_blocks(raw: bytes, base: str) -> list[dict]:
 
 @dataclass
 class Packed(D.InputPartition):
-    """Some files: path, size, time in microseconds."""
+    """Some files: path, size, time in microseconds; compressed, as the driver holds all partitions."""
 
-    files: list[tuple[str, int, int]]
+    pieces: list[bytes]
 
+    @property
+    def files(self) -> list[tuple[str, int, int]]:
+        return list(self.unpacked())
 
-def packed(files: list[tuple[str, int, int]], limit: int) -> list[Packed]:
-    """Files in order of path in partitions of about limit bytes."""
-    out, held = [], limit
-    for f in sorted(files):
+    def unpacked(self) -> Iterator[tuple[str, int, int]]:
+        for x in self.pieces:
+            yield from zip(*pickle.loads(zlib.decompress(x)), strict=True)
+
+
+def piece(files: list[tuple[str, int, int]]) -> bytes:
+    return zlib.compress(pickle.dumps(tuple(zip(*files, strict=True))))
+
+
+def packed(files: Iterable[tuple[str, int, int]], limit: int, most: int = MAX_PARTITIONS) -> list[Packed]:
+    """Files in the order given in partitions of about limit bytes; with more than most of them, of twice, four times and so on."""
+    out, own, held = [], [], 0
+    for f in files:
         cost = max(f[1], OPEN_BYTES)
-        if held + cost > limit or not out:
-            out.append(Packed([]))
-            held = 0
-        out[-1].files.append(f)
+        if own and held + cost > limit:
+            out.append(Packed([piece(own)]))
+            own, held = [], 0
+            if len(out) > most:
+                out, limit = paired(out), limit * 2
+        own.append(f)
         held += cost
-    return out
+    if own:
+        out.append(Packed([piece(own)]))
+    return paired(out) if len(out) > most else out
+
+
+def paired(parts: list[Packed]) -> list[Packed]:
+    return [Packed([x for p in parts[k : k + 2] for x in p.pieces]) for k in range(0, len(parts), 2)]
+
+
+def listed(system, folder: str, recursive: bool = True) -> Iterator[tuple[str, int, int]]:
+    """Files below a folder, by name within each directory; one directory's are held at a time. What is hidden is neither given nor entered."""
+    from pyarrow import fs
+
+    left = [folder]
+    while left:
+        found = sorted((i for i in system.get_file_info(fs.FileSelector(left.pop())) if not i.base_name.startswith(("_", "."))), key=lambda i: i.base_name)
+        if recursive:
+            left.extend(i.path for i in reversed(found) if i.type == fs.FileType.Directory)
+        yield from ((i.path, i.size or 0, int(i.mtime.timestamp() * 1e6) if i.mtime else 0) for i in found if i.type == fs.FileType.File)
 
 
 class BlockReader(D.DataSourceReader):
@@ -111,6 +147,7 @@ class BlockReader(D.DataSourceReader):
         if self.parser not in {None, "output", *readers}:
             raise ValueError(f"no parser {self.parser}; there are {', '.join(sorted({'output', *readers}))}")
         self.limit = int(options.get("partitionbytes") or options.get("partitionBytes") or PARTITION_BYTES)
+        self.most = int(options.get("maxpartitions") or options.get("maxPartitions") or MAX_PARTITIONS)
         self.recursive = (options.get("recursive") or "true").lower() == "true"
         self.output, self.method, self.readers = options.get("output"), options.get("method"), readers
         self.tests: list[Callable[[str, datetime], bool]] = []
@@ -130,17 +167,13 @@ class BlockReader(D.DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Packed]:
-        from pyarrow import fs
-
         system, folder = opened(self.folder)
-        found = system.get_file_info(fs.FileSelector(folder, recursive=self.recursive))
-        hidden = lambda p: any(x.startswith(("_", ".")) for x in p[len(folder) :].split("/"))
-        files = [(i.path, i.size or 0, int(i.mtime.timestamp() * 1e6) if i.mtime else 0) for i in found if i.type == fs.FileType.File and not hidden(i.path)]
-        return packed([f for f in files if all(t(f[0], _time(f[2])) for t in self.tests)], self.limit) or [Packed([])]
+        files = (f for f in listed(system, folder, self.recursive) if all(t(f[0], _time(f[2])) for t in self.tests))
+        return packed(files, self.limit, self.most) or [Packed([])]
 
     def read(self, partition: Packed) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.folder)
-        for path, _, time in partition.files:
+        for path, _, time in partition.unpacked():
             name = self.parser or routed(path)
             try:
                 rows = [{"pos": k, **b, "type": b.get("type") or "text", "text_level": b.get("text_level") or 0, "page_idx": b.get("page_idx") or 0, "error": None} for k, b in enumerate(self._blocks(system, path, name))]

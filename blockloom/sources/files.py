@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -41,6 +42,41 @@ def scan_folder(spark: SparkSession, folder: str, exts: tuple[str, ...] = (), re
     return df.join(F.broadcast(listing(spark, folder, exts, recursive, limit).select("path")), "path", "left_semi")
 
 
+def written(df: DataFrame, folder: str) -> int:
+    """Writes the column content, as lines, to files at the column path below folder; rows of one path become one file. Returns how many files.
+
+    Tasks write them, each under a hidden name until it is whole, and the driver is told only how many: a table's partitionBy
+    would keep every directory there. The folder must be one that executors share."""
+    from .datasource import opened
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(folder)
+        at, made, out, n = None, None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                system.move(hidden, f"{base}/{at}")
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if path != at:
+                    close()
+                    inner = posixpath.dirname(f"{base}/{path}")
+                    if inner != made:
+                        system.create_dir(inner, recursive=True)
+                        made = inner
+                    hidden, at, n = f"{inner}/_{uuid.uuid4()}", path, n + 1
+                    out = system.open_output_stream(hidden)
+                out.write(content.as_buffer())
+                out.write(b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows = df.select("path", F.col("content").cast("binary").alias("content")).repartition("path").sortWithinPartitions("path")
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def supported(files: DataFrame, exts: tuple[str, ...], path: str = "path") -> DataFrame:
     return files.where(extension(path).isin(*exts))
 
