@@ -30,6 +30,7 @@ Read = Callable[[bytes, str], list[dict]]
 SCHEMA = "path string, mtime timestamp, parser string, pos int, type string, text_level int, text string, img_path string, captions array<string>, table_body string, page_idx int, error string"
 PARTITION_BYTES, OPEN_BYTES = 32 << 20, 1 << 20  # a file costs OPEN_BYTES at least
 MAX_PARTITIONS = 4_096
+BATCH_ROWS, BATCH_CHARS = 1_024, 1 << 20  # files' rows go on together when either is reached; a file's are never parted
 #: Where a parser leaves the list of a document, below its output folder; {} is the document's stem.
 LISTS = ("{0}/{1}/{0}_content_list.json", "{0}/{0}_content_list.json", "{0}_content_list.json")
 METHODS = ("auto", "ocr", "txt", "vlm", "hybrid_auto")
@@ -173,13 +174,20 @@ class BlockReader(D.DataSourceReader):
 
     def read(self, partition: Packed) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.folder)
+        out, held = [], 0
         for path, _, time in partition.unpacked():
             name = self.parser or routed(path)
             try:
                 rows = [{"pos": k, **b, "type": b.get("type") or "text", "text_level": b.get("text_level") or 0, "page_idx": b.get("page_idx") or 0, "error": None} for k, b in enumerate(self._blocks(system, path, name))]
             except Exception as e:
                 rows = [{"error": f"{type(e).__name__}: {e}"}]
-            yield pa.RecordBatch.from_pylist([{"path": path, "mtime": _time(time), "parser": name, **r} for r in rows], ARROW)
+            out += [{"path": path, "mtime": _time(time), "parser": name, **r} for r in rows]
+            held += sum(len(r.get("text") or "") + len(r.get("table_body") or "") for r in rows)
+            if len(out) >= BATCH_ROWS or held >= BATCH_CHARS:
+                yield pa.RecordBatch.from_pylist(out, ARROW)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, ARROW)
 
     def _blocks(self, system, path: str, name: str) -> list[dict]:
         content = lambda p: system.open_input_stream(p).readall()

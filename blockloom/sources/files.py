@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import HTML, IMAGE, OFFICE, PDF, TEXT, Config
 from ..functions.text import extension
+from ..shared import CLEANUP
 
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -73,8 +74,14 @@ def written(df: DataFrame, folder: str) -> int:
         close()
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    rows = df.select("path", F.col("content").cast("binary").alias("content")).repartition("path").sortWithinPartitions("path")
-    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        rows = df.select("path", F.col("content").cast("binary").alias("content")).repartition("path").sortWithinPartitions("path")
+        return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def supported(files: DataFrame, exts: tuple[str, ...], path: str = "path") -> DataFrame:

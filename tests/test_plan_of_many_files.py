@@ -60,3 +60,12 @@ def test_pages_are_written_without_a_folder_each(spark, tmp_path, monkeypatch):
     assert got == duck_rows(con, catalog.SQL["parser_source"])
     walked = list(os.walk(seen[0].removeprefix("file://").replace("file:", "")))
     assert len(walked) <= 1 + 1_024 and sum(len(fs) for _, _, fs in walked) == 2_501
+
+
+def test_rows_of_several_files_go_together(tmp_path):
+    for k in range(60):
+        (tmp_path / f"{k:02}.txt").write_text("\n".join(f"{k}-{i}" for i in range(k)))
+    reader = datasource.BlockReader({"path": str(tmp_path)}, files.builtin_readers())
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(batches) < 10
+    assert [r["text"] for b in batches for r in b.to_pylist()] == [f"{k}-{i}" for k in range(60) for i in range(k)]
